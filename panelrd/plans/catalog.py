@@ -186,3 +186,144 @@ def q_bin_means(spark, d):
     n = _normalised(spark, d).filter(F.col("x_treat_a") < 0).withColumn("y", F.col("treat_b") * 100)
     out = B.bin_means(n, "x_treat_b", "y", bins=6, lo=-30.0, hi=30.0, by=["cohort"])
     return rounded(out.select("cohort", "bin", "bin_lo", "bin_mid", "n", "mean_y", "se_y"))
+
+
+# ---------------------------------------------------------------- 2.E-2.H: spells, joins, reshape
+
+def _spell_rows(spark, d):
+    sp = roles.spells(spark, d).withColumn("cls", recode(F.col("closure"), CLOSURE_RULES)).filter(F.col("cls") != 2)
+    return sp.withColumns({"drop": flag(F.col("cls") == 1), "done": flag(F.col("closure") == "A")})
+
+
+def _students(spark, d):
+    """One row per (order, cohort) from its line-item spells; duration from `l_quantity`."""
+    return P.collapse_spells(_spell_rows(spark, d), ["id", "cohort"], "drop", "done", "dur", keep=[])
+
+
+def q_spell_flags(spark, d):
+    sp = _spell_rows(spark, d)
+    out = P.group_flags(sp, ["id", "cohort"], "drop", "done")
+    return rounded(out.select("id", "cohort", "line", "part", "drop", "done", "dropped", "finished"))
+
+
+def q_spell_duration(spark, d):
+    sp = _spell_rows(spark, d).withColumn("years_code", P.spell_duration(F.col("end_term"), F.col("cohort"), CENSOR))
+    return rounded(P.collapse_spells(sp, ["id", "cohort"], "drop", "done", "years_code", keep=[]))
+
+
+def q_first_per_key(spark, d):
+    li = _t(spark, d, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
+    return rounded(P.first_per_key(li, ["l_orderkey"], order_by=order))
+
+
+def q_persistence_ladder(spark, d):
+    from panelrd.functions import persistence
+
+    st = _students(spark, d)
+    return rounded(st.select("id", "cohort", "years", *persistence(F.col("years"), [1, 2, 3, 4], prefix="persist_")))
+
+
+def _awards(o):
+    return o.select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("cohort"), F.col("o_orderpriority").alias("type"))
+
+
+def q_pivot_awards(spark, d):
+    return V.one_hot(_awards(_t(spark, d, "orders")), ["id", "cohort"], "type", PRIORITIES)
+
+
+def _payments(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("pay_year"),
+                     F.when(F.month("l_shipdate") != 2, F.month("l_shipdate")).alias("pay_month"),
+                     F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("amount"))
+
+
+def q_payment_rollup(spark, d):
+    return rounded(S.payment_rollup(_payments(spark, d), ["pay_year", "id", "type"], "amount", "pay_month"))
+
+
+def q_pivot_text(spark, d):
+    roll = S.payment_rollup(_payments(spark, d), ["pay_year", "id", "type"], "amount", "pay_month")
+    return V.pivot_first(roll, ["pay_year", "id"], "type", "span", FLAGS)
+
+
+def q_join_right_two_key(spark, d):
+    o = _t(spark, d, "orders")
+    awards = V.one_hot(_awards(o.filter(F.col("o_orderstatus") == "F")), ["id", "cohort"], "type", PRIORITIES)
+    scores = o.groupBy(F.col("o_custkey").alias("cust"), F.year("o_orderdate").alias("yr")).agg(
+        F.count(F.lit(1)).cast("long").alias("n_orders"), F.sum("o_totalprice").alias("price_sum"))
+    return rounded(P.join_on(awards, scores, [("id", "cust"), ("cohort", "yr")], how="right"))
+
+
+def q_join_left_two_key(spark, d):
+    s = roles.score(spark, d).select("id", "cohort", "score")
+    st = _students(spark, d).withColumnsRenamed({"id": "sid", "cohort": "entry"}).drop("n_spells")
+    return rounded(P.join_on(s, st, [("id", "sid"), ("cohort", "entry")], how="left"))
+
+
+def _majors(spark, d):
+    """Score role with the unit's major (customer nation) attached."""
+    s = roles.score(spark, d)
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    return s.join(c, s.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left") \
+        .withColumn("price", F.col("score") * 4000)
+
+
+def q_join_agg_fill(spark, d):
+    m = _majors(spark, d)
+    students = S.group_stats(m, ["n_name"], [S.Stat(None, "n", "students"), S.Stat("treat_a", "mean", "porc_a", scale=100.0)])
+    appl = m.filter((F.col("treat_a") == 1) & (F.col("o_orderpriority") == "1-URGENT") & (F.col("score") > 112.5))
+    applicants = appl.groupBy("n_name").agg(F.count(F.lit(1)).cast("long").alias("applicants"), F.sum("treat_a").alias("stipends"))
+    out = P.join_fill(students, applicants, ["n_name"], {"applicants": 0, "stipends": 0.0})
+    out = out.withColumns({
+        "porc_apply": F.when(F.col("applicants") == 0, F.lit(0.0)).otherwise(100 * F.col("applicants") / F.col("students")),
+        "porc_stipend": F.when(F.col("stipends") == 0, F.lit(0.0)).otherwise(100 * F.col("stipends") / F.col("students")),
+    })
+    return rounded(out)
+
+
+# ---------------------------------------------------------------- 2.F summaries
+
+def q_group_shares(spark, d):
+    m = _majors(spark, d)
+    out = S.group_stats(m, ["cohort", "n_name"], [
+        S.Stat(None, "n", "n"),
+        S.Stat("treat_a", "mean", "pct_a", scale=100.0),
+        S.Stat("treat_b", "sum", "n_b", skip_null=True),
+        S.Stat("score", "mean", "mean_score", skip_null=True),
+        S.Stat("score", "mean", "scaled_score", scale=1.1648, skip_null=True),
+    ])
+    return rounded(out)
+
+
+def q_table_means(spark, d):
+    s = roles.score(spark, d)
+    return rounded(S.group_stats(s, [], [S.Stat("treat_a", "mean", "pct_a", scale=100.0), S.Stat("treat_b", "mean", "pct_b", scale=100.0),
+                                         S.Stat("score", "mean", "mean_score")]))
+
+
+def q_describe_by_group(spark, d):
+    n = _normalised(spark, d).withColumns({
+        "cut": F.when(F.col("above_treat_b") == 1, F.lit("Eligible")).otherwise(F.lit("Not Eligible")),
+        "pct_a": F.col("treat_a") * 100, "pct_b": F.col("treat_b") * 100})
+    return rounded(S.describe_by(n, "cut", ["score", "pct_a", "pct_b"]))
+
+
+def q_cohort_series(spark, d):
+    s = roles.score(spark, d)
+    return rounded(S.group_stats(s, ["cohort"], [S.Stat(None, "n", "n"), S.Stat("treat_b", "mean", "pct_b", scale=100.0),
+                                                 S.Stat("score", "mean", "mean_score", skip_null=True)]))
+
+
+def q_panel_change(spark, d):
+    m = _majors(spark, d).withColumn("pct_a", F.col("treat_a") * 100)
+    out = V.panel_change(m, "n_name", "cohort", 1995, 1999, ["price", "pct_a"], annualise=["price"], base_means=["score"])
+    return rounded(out)
+
+
+def q_bubble_table(spark, d):
+    m = _majors(spark, d).withColumn("pct_a", F.col("treat_a") * 100)
+    return rounded(S.bubble_table(m, "n_name", "score", "pct_a"))

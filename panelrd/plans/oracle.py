@@ -181,7 +181,7 @@ def _rewrite_rounds(sql: str) -> str:
             out.append(f"round({_rewrite_rounds(inner)})")
         else:
             arg, digits = _rewrite_rounds(inner[:cut]), inner[cut + 1:].strip()
-            out.append(f"CAST(round(CAST({arg} AS DECIMAL(38,12)), {digits}) AS DOUBLE)")
+            out.append(f"CAST(round(CAST({arg} AS DECIMAL(38,9)), {digits}) AS DOUBLE)")
         i = k
 
 
@@ -192,4 +192,155 @@ def _doubles(sql: str) -> str:
     return re.sub(r"\b(THEN|ELSE)\s+(-?\d+\.\d+)\b(?!::)", r"\1 \2::DOUBLE", sql)
 
 
+SPELLROWS = """sr AS (
+  SELECT *, CASE WHEN cls = 1 THEN 1.0 ELSE 0.0 END AS dropf, CASE WHEN closure = 'A' THEN 1.0 ELSE 0.0 END AS done
+  FROM (SELECT *, CASE WHEN closure IN ('R') THEN 1 WHEN closure IN ('N') THEN 2
+                       WHEN closure IN ('A') OR closure IS NULL THEN 0 END AS cls FROM spells)
+  WHERE cls <> 2)"""
+
+
+def _collapse(dur: str) -> str:
+    strict_sum = "(CASE WHEN count(done) = count(*) THEN sum(done) END)"
+    return f"""SELECT id, cohort,
+    CASE WHEN count(dropf) = count(*) AND min(dropf) = 1 THEN 1.0 ELSE 0.0 END AS dropped,
+    CASE WHEN count(done) = count(*) AND max(done) = 1 THEN 1.0 ELSE 0.0 END AS finished,
+    CASE WHEN {strict_sum} >= 1 THEN (CASE WHEN count({dur} * done) = count(*) THEN max({dur} * done) END)
+         WHEN {strict_sum} = 0 THEN (CASE WHEN count({dur}) = count(*) THEN max({dur}) END) END AS years,
+    count(*) AS n_spells
+  FROM sr GROUP BY id, cohort"""
+
+
+STUDENTS = f"st AS ({_collapse('dur')})"
+
+MAJORS = """maj AS (
+  SELECT s.*, n_name, score * 4000 AS price FROM score s
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+
+PAYMENTS = """pay AS (
+  SELECT l_suppkey AS id, CAST(year(l_shipdate) AS INTEGER) AS pay_year,
+         CASE WHEN month(l_shipdate) <> 2 THEN CAST(month(l_shipdate) AS INTEGER) END AS pay_month,
+         l_returnflag AS type, l_extendedprice AS amount FROM lineitem),
+roll AS (
+  SELECT pay_year, id, type, coalesce(sum(amount), 0.0) AS total,
+         count(DISTINCT pay_month) + max(CASE WHEN pay_month IS NULL THEN 1 ELSE 0 END) AS parcels,
+         coalesce(CASE WHEN count(pay_month) = count(*) THEN CAST(min(pay_month) AS VARCHAR) END, 'NA') || '-' ||
+         coalesce(CASE WHEN count(pay_month) = count(*) THEN CAST(max(pay_month) AS VARCHAR) END, 'NA') AS span
+  FROM pay GROUP BY pay_year, id, type)"""
+
+_PRI = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ONEHOT = ", ".join(f"""CAST(coalesce(max(CASE WHEN o_orderpriority = '{v}' THEN 1 END), 0) AS INTEGER) AS "{v}\"""" for v in _PRI)
+
+SQL["spell_flags"] = f"""
+WITH {SPELLS}, {SPELLROWS},
+g AS (SELECT id, cohort,
+        CASE WHEN count(dropf) = count(*) AND min(dropf) = 1 THEN 1.0 ELSE 0.0 END AS dropped,
+        CASE WHEN count(done) = count(*) AND max(done) = 1 THEN 1.0 ELSE 0.0 END AS finished
+      FROM sr GROUP BY id, cohort)
+SELECT id, cohort, line, part, dropf AS "drop", done, dropped, finished FROM sr JOIN g USING (id, cohort)"""
+
+SQL["spell_duration"] = f"""
+WITH {SPELLS}, sr0 AS (SELECT * FROM ({SPELLROWS.replace("sr AS (", "(", 1)})),
+sr AS (SELECT *, CASE WHEN end_term IS NULL THEN 2002.5::DOUBLE
+                      ELSE TRY_CAST(substring(end_term, 1, 4) AS DOUBLE) + TRY_CAST(substring(end_term, 6, 1) AS DOUBLE) * 0.5 END
+                 - CAST(cohort AS DOUBLE) AS years_code FROM sr0)
+SELECT id, cohort, dropped, finished, round(years, 6) AS years, n_spells FROM ({_collapse('years_code')})"""
+
+SQL["first_per_key"] = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice,
+       round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus, l_shipdate
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                   l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem)
+WHERE rn = 1"""
+
+SQL["persistence_ladder"] = f"""
+WITH {SPELLS}, {SPELLROWS}, {STUDENTS}
+SELECT id, cohort, round(years, 6) AS years,
+       CASE WHEN years > 1 THEN 1.0 ELSE 0.0 END AS persist_1, CASE WHEN years > 2 THEN 1.0 ELSE 0.0 END AS persist_2,
+       CASE WHEN years > 3 THEN 1.0 ELSE 0.0 END AS persist_3, CASE WHEN years > 4 THEN 1.0 ELSE 0.0 END AS persist_4
+FROM st"""
+
+SQL["pivot_awards"] = f"""
+SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS cohort, {ONEHOT} FROM orders GROUP BY 1, 2"""
+
+SQL["payment_rollup"] = f"""
+WITH {PAYMENTS}
+SELECT pay_year, id, type, round(total, 6) AS total, parcels, span FROM roll"""
+
+SQL["pivot_text"] = f"""
+WITH {PAYMENTS}
+SELECT pay_year, id, min(CASE WHEN type = 'A' THEN span END) AS "A", min(CASE WHEN type = 'N' THEN span END) AS "N",
+       min(CASE WHEN type = 'R' THEN span END) AS "R"
+FROM roll GROUP BY pay_year, id"""
+
+SQL["join_right_two_key"] = f"""
+WITH aw AS (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS cohort, {ONEHOT} FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+sc AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n_orders, sum(o_totalprice) AS price_sum
+       FROM orders GROUP BY 1, 2)
+SELECT sc.cust AS id, sc.yr AS cohort, {", ".join(f'aw."{v}"' for v in _PRI)}, n_orders, round(price_sum, 6) AS price_sum
+FROM aw RIGHT JOIN sc ON aw.id IS NOT DISTINCT FROM sc.cust AND aw.cohort IS NOT DISTINCT FROM sc.yr"""
+
+SQL["join_left_two_key"] = f"""
+WITH {SCORE}, {SPELLS}, {SPELLROWS}, {STUDENTS}
+SELECT s.id, s.cohort, round(s.score, 6) AS score, st.dropped, st.finished, round(st.years, 6) AS years
+FROM score s LEFT JOIN st ON s.id IS NOT DISTINCT FROM st.id AND s.cohort IS NOT DISTINCT FROM st.cohort"""
+
+SQL["join_agg_fill"] = f"""
+WITH {SCORE}, {MAJORS},
+stu AS (SELECT n_name, count(*) AS students, CASE WHEN count(treat_a) = count(*) THEN avg(treat_a) END * 100.0 AS porc_a FROM maj GROUP BY n_name),
+app AS (SELECT n_name, count(*) AS applicants, sum(treat_a) AS stipends FROM maj
+        WHERE treat_a = 1 AND o_orderpriority = '1-URGENT' AND score > 112.5 GROUP BY n_name)
+SELECT stu.n_name, students, round(porc_a, 6) AS porc_a, coalesce(applicants, 0) AS applicants,
+       round(coalesce(stipends, 0.0), 6) AS stipends,
+       round(CASE WHEN coalesce(applicants, 0) = 0 THEN 0.0 ELSE 100 * coalesce(applicants, 0) / students END, 6) AS porc_apply,
+       round(CASE WHEN coalesce(stipends, 0.0) = 0 THEN 0.0 ELSE 100 * coalesce(stipends, 0.0) / students END, 6) AS porc_stipend
+FROM stu LEFT JOIN app USING (n_name)"""
+
+SQL["group_shares"] = f"""
+WITH {SCORE}, {MAJORS}
+SELECT cohort, n_name, count(*) AS n, round(CASE WHEN count(treat_a) = count(*) THEN avg(treat_a) END * 100.0, 6) AS pct_a,
+       round(coalesce(sum(treat_b), 0.0), 6) AS n_b, round(avg(score), 6) AS mean_score, round(avg(score) * 1.1648, 6) AS scaled_score
+FROM maj GROUP BY cohort, n_name"""
+
+SQL["table_means"] = f"""
+WITH {SCORE}
+SELECT round(CASE WHEN count(treat_a) = count(*) THEN avg(treat_a) END * 100.0, 6) AS pct_a,
+       round(CASE WHEN count(treat_b) = count(*) THEN avg(treat_b) END * 100.0, 6) AS pct_b,
+       round(CASE WHEN count(score) = count(*) THEN avg(score) END, 6) AS mean_score
+FROM score"""
+
+SQL["describe_by_group"] = f"""
+WITH {SCORE}, {CUTS},
+n2 AS (SELECT CASE WHEN above_treat_b = 1 THEN 'Eligible' ELSE 'Not Eligible' END AS cut, score, treat_a * 100 AS pct_a, treat_b * 100 AS pct_b FROM norm)
+SELECT cut, 'score' AS variable, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, count(score) AS n FROM n2 GROUP BY cut
+UNION ALL SELECT cut, 'pct_a', round(avg(pct_a), 6), round(stddev_samp(pct_a), 6), count(pct_a) FROM n2 GROUP BY cut
+UNION ALL SELECT cut, 'pct_b', round(avg(pct_b), 6), round(stddev_samp(pct_b), 6), count(pct_b) FROM n2 GROUP BY cut"""
+
+SQL["cohort_series"] = f"""
+WITH {SCORE}
+SELECT cohort, count(*) AS n, round(CASE WHEN count(treat_b) = count(*) THEN avg(treat_b) END * 100.0, 6) AS pct_b,
+       round(avg(score), 6) AS mean_score
+FROM score GROUP BY cohort"""
+
+SQL["panel_change"] = f"""
+WITH {SCORE}, {MAJORS},
+pc AS (SELECT n_name, count(CASE WHEN cohort = 1995 THEN 1 END) AS students, count(CASE WHEN cohort = 1999 THEN 1 END) AS n1,
+              avg(CASE WHEN cohort = 1995 THEN score END) AS mean_score,
+              avg(CASE WHEN cohort = 1995 THEN price END) AS price_1995, avg(CASE WHEN cohort = 1999 THEN price END) AS price_1999,
+              avg(CASE WHEN cohort = 1995 THEN pct_a END) AS pct_a_1995, avg(CASE WHEN cohort = 1999 THEN pct_a END) AS pct_a_1999
+       FROM (SELECT *, treat_a * 100 AS pct_a FROM maj) WHERE cohort IN (1995, 1999) GROUP BY n_name)
+SELECT n_name, students, round(mean_score, 6) AS mean_score, round(price_1995, 6) AS price_1995, round(price_1999, 6) AS price_1999,
+       round(pct_a_1995, 6) AS pct_a_1995, round(pct_a_1999, 6) AS pct_a_1999,
+       round(price_1999 - price_1995, 6) AS diff_price, round(pct_a_1999 - pct_a_1995, 6) AS diff_pct_a,
+       round((pow(CASE WHEN price_1995 = 0 THEN NULL ELSE price_1999 / price_1995 END, 0.25) - 1) * 100.0, 6) AS rate_price
+FROM pc
+WHERE students > 0 AND n1 > 0 AND mean_score IS NOT NULL AND price_1995 IS NOT NULL AND price_1999 IS NOT NULL
+  AND pct_a_1995 IS NOT NULL AND pct_a_1999 IS NOT NULL"""
+
+SQL["bubble_table"] = f"""
+WITH {SCORE}, {MAJORS},
+g AS (SELECT n_name, count(*) AS n, avg(score) AS x_mean, avg(treat_a * 100) AS y_mean FROM maj GROUP BY n_name),
+c AS (SELECT regr_slope(y_mean, x_mean) AS b, regr_intercept(y_mean, x_mean) AS a FROM g)
+SELECT n_name, n, round(x_mean, 6) AS x_mean, round(y_mean, 6) AS y_mean, round(a + b * x_mean, 6) AS y_fit FROM g, c"""
+
+
 SQL = {k: _rewrite_rounds(_doubles(v)) for k, v in SQL.items()}

@@ -16,7 +16,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").try_cast("decimal(38,12)"), digits).cast("double").alias(f.name))
+            cols.append(F.round(F.col(f"`{f.name}`").try_cast("decimal(38,9)"), digits).cast("double").alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
