@@ -117,7 +117,7 @@ def model_table(results: DataFrame, model_col: str = "spec", term_col: str = "me
     """Side-by-side table: rows (term, estimate / std_error), one text column per model."""
     if models is None:
         raise ValueError("pass the model names (pivot values) so the schema is fixed")
-    fmt = lambda c: F.format_number(F.col(c), digits)
+    fmt = lambda c: F.format_string(f"%.{digits}f", F.col(c))
     est = results.select(model_col, term_col, F.lit("estimate").alias("row"),
                          F.concat(fmt("estimate"), stars(F.col("p_value"), cuts)).alias("cell"))
     se = results.select(model_col, term_col, F.lit("std_error").alias("row"),

@@ -327,3 +327,80 @@ def q_panel_change(spark, d):
 def q_bubble_table(spark, d):
     m = _majors(spark, d).withColumn("pct_a", F.col("treat_a") * 100)
     return rounded(S.bubble_table(m, "n_name", "score", "pct_a"))
+
+
+# ---------------------------------------------------------------- 2.J bins, 2.K estimators
+
+from panelrd.operators import density as DEN  # noqa: E402
+from panelrd.operators import ols as OLS  # noqa: E402
+from panelrd.operators.rd import rd_bandwidth, rd_grid  # noqa: E402
+from panelrd.plans import estimates as EST  # noqa: E402
+
+
+def q_histogram(spark, d):
+    n = _normalised(spark, d)
+    return rounded(B.histogram(n, "x_treat_b", EST.HIST_BINS, EST.HIST_LO, EST.HIST_HI, shift=EST.HIST_SHIFT))
+
+
+def q_bin_bands(spark, d):
+    n = _normalised(spark, d).filter((F.col("x_treat_a") < 0) & (F.col("x_treat_b") >= -30) & (F.col("x_treat_b") < 30))
+    n = n.withColumns({"side": F.when(F.col("x_treat_b") >= 0, F.lit(1)).otherwise(F.lit(0)), "y": F.col("treat_b") * 100})
+    return rounded(B.bin_bands(n, "x_treat_b", "y", width=10.0, center=5.0, by=["side"]))
+
+
+def q_rdplot_bins(spark, d):
+    return rounded(B.rd_plot_data(roles.rd_fixture(spark, d), "x", "y", c=0.0))
+
+
+def q_rd_sharp(spark, d):
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.SHARP_SPECS))
+
+
+def q_rd_fuzzy(spark, d):
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t"))
+
+
+def q_rd_fuzzy_groups(spark, d):
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t", group="grp"))
+
+
+def q_rd_spec_grid(spark, d):
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.GRID_SPECS, treat="t"))
+
+
+def q_rd_bandwidth(spark, d):
+    fx = roles.rd_fixture(spark, d)
+    a = rd_bandwidth(fx, "x", "y", treat="t", rule="msetwo")
+    b = rd_bandwidth(fx, "x", "y", treat="t", rule="certwo")
+    return rounded(a.unionByName(b))
+
+
+def q_fitted_lines(spark, d):
+    fx = roles.rd_fixture(spark, d)
+    _, sides = rd_grid(fx, "x", EST.FUZZY_SPECS, treat="t", return_sides=True)
+    return rounded(B.fitted_lines(fx, "x", sides, c=0.0, h_left=EST.RD_H, h_right=EST.RD_H))
+
+
+def q_model_table(spark, d):
+    res = rd_grid(roles.rd_fixture(spark, d), "x", EST.TABLE_SPECS)
+    return S.model_table(res, models=[s.name for s in EST.TABLE_SPECS])
+
+
+def q_ols_simple(spark, d):
+    return rounded(OLS.ols(roles.rd_fixture(spark, d), "y", ["x"], name="simple"))
+
+
+def q_ols_multi(spark, d):
+    return rounded(OLS.ols_models(roles.rd_fixture(spark, d), "y", {"m1": ["x"], "m2": ["x", "t"]}))
+
+
+def q_density_binned(spark, d):
+    return rounded(DEN.density_binned(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
+
+
+def q_density_test(spark, d):
+    fx = roles.rd_fixture(spark, d)
+    bunched = fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))
+    a = DEN.density_test(fx, "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H).withColumn("sample", F.lit("full"))
+    b = DEN.density_test(bunched, "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H).withColumn("sample", F.lit("bunched"))
+    return rounded(a.unionByName(b))

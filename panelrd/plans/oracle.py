@@ -343,4 +343,44 @@ c AS (SELECT regr_slope(y_mean, x_mean) AS b, regr_intercept(y_mean, x_mean) AS
 SELECT n_name, n, round(x_mean, 6) AS x_mean, round(y_mean, 6) AS y_mean, round(a + b * x_mean, 6) AS y_fit FROM g, c"""
 
 
+from panelrd.plans import estimates as _EST  # noqa: E402
+from panelrd.plans.oracle_estimators import all_sql as _est_sql  # noqa: E402
+
+SQL.update(_est_sql(RD))
+
+_HW = repr((_EST.HIST_HI - _EST.HIST_LO) / _EST.HIST_BINS)
+SQL["histogram"] = f"""
+WITH {SCORE}, {CUTS},
+v AS (SELECT x_treat_b + 95.0 AS v FROM norm WHERE x_treat_b + 95.0 >= 0.0 AND x_treat_b + 95.0 <= 130.0),
+b AS (SELECT CAST(least(floor((v - 0.0) / CAST('{_HW}' AS DOUBLE)), 29) AS INTEGER) AS bin FROM v)
+SELECT bin, count(*) AS n, round(0.0 + bin * CAST('{_HW}' AS DOUBLE), 6) AS bin_lo, round(0.0 + (bin + 1) * CAST('{_HW}' AS DOUBLE), 6) AS bin_hi
+FROM b GROUP BY bin"""
+
+SQL["bin_bands"] = f"""
+WITH {SCORE}, {CUTS},
+w AS (SELECT CASE WHEN x_treat_b >= 0 THEN 1 ELSE 0 END AS side, x_treat_b AS x, treat_b * 100 AS y FROM norm
+      WHERE x_treat_a < 0 AND x_treat_b >= -30 AND x_treat_b < 30),
+mn AS (SELECT side, min(x) AS mn FROM w GROUP BY side),
+k AS (SELECT w.side, y, greatest(CAST(ceil((x - 0.0) / 10.0) - 1 AS BIGINT), CAST(floor((mn - 0.0) / 10.0) AS BIGINT)) AS bin
+      FROM w JOIN mn USING (side)),
+g AS (SELECT side, bin, count(*) AS n, avg(y) AS mean, stddev_samp(y) / sqrt(count(*)) AS se FROM k GROUP BY side, bin)
+SELECT side, bin, n, round(mean, 6) AS mean, round(CAST(0.0 AS DOUBLE) + bin * CAST(10.0 AS DOUBLE), 6) AS bin_lo,
+       round(CAST(0.0 AS DOUBLE) + (bin + 1) * CAST(10.0 AS DOUBLE), 6) AS bin_hi, round(CAST(0.0 AS DOUBLE) + (bin + 0.5) * CAST(10.0 AS DOUBLE), 6) AS bin_mid,
+       round(se, 6) AS se, round(mean + 1.96 * se, 6) AS upper, round(mean - 1.96 * se, 6) AS lower
+FROM g"""
+
+SQL["rdplot_bins"] = f"""
+WITH {RD},
+d AS (SELECT x, y, CASE WHEN x >= 0.0 THEN 1 ELSE 0 END AS side FROM rd WHERE x IS NOT NULL AND y IS NOT NULL),
+m AS (SELECT side, count(*) AS n, min(x) AS lo, max(x) AS hi, var_samp(y) AS vy, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+             regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM d GROUP BY side),
+j AS (SELECT *, CAST(greatest(1, ceil(vy / ((syy - sxy * sxy / sxx) / n) * n / (ln(n) * ln(n)))) AS INTEGER) AS J,
+             CASE WHEN side = 0 THEN lo ELSE 0.0 END AS lo_e, CASE WHEN side = 0 THEN 0.0 ELSE hi END AS hi_e FROM m),
+jb AS (SELECT d.side, d.x, d.y, j.J, j.a, j.b,
+              CAST(least(greatest(floor((d.x - j.lo_e) / ((j.hi_e - j.lo_e) / j.J)), 0), j.J - 1) AS INTEGER) AS bin
+       FROM d JOIN j USING (side))
+SELECT side, bin, count(*) AS n, max(J) AS J, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean,
+       round(max(a) + max(b) * avg(x), 6) AS y_fit FROM jb GROUP BY side, bin"""
+
+
 SQL = {k: _rewrite_rounds(_doubles(v)) for k, v in SQL.items()}
