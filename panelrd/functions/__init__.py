@@ -1,9 +1,9 @@
 """Column-level helpers (NA-exact predicates, recoding, number parsing)."""
 
-from panelrd.functions.na import in_set, strict, n_unique, to_number, skip_mean, coalesce_sum
+from panelrd.functions.na import in_set, strict, n_unique, to_number, skip_mean, coalesce_sum, fill_and_cast, within
 from panelrd.functions.recode import Rule, recode, bracket, lookup, backfill, refine, persistence, flag
 
 __all__ = [
-    "in_set", "strict", "n_unique", "to_number", "skip_mean", "coalesce_sum",
+    "in_set", "strict", "n_unique", "to_number", "skip_mean", "coalesce_sum", "fill_and_cast", "within",
     "Rule", "recode", "bracket", "lookup", "backfill", "refine", "persistence", "flag",
 ]

@@ -59,3 +59,24 @@ def to_number(col, decimal: str = ",") -> Column:
     if decimal != ".":
         c = F.translate(c, decimal, ".")
     return c.try_cast("double")
+
+
+def fill_and_cast(df, cols, value=0, dtype: str | None = None):
+    """`mutate(across(cols, ~ifelse(is.na(.), value, .)))` plus an optional cast, in one projection."""
+    cols = set(cols)
+    out = []
+    for c in df.columns:
+        if c in cols:
+            e = F.coalesce(F.col(f"`{c}`"), F.lit(value))
+            out.append((e.cast(dtype) if dtype else e).alias(c))
+        else:
+            out.append(F.col(f"`{c}`"))
+    return df.select(*out)
+
+
+def within(df, x: str, lo: float, hi: float, closed: str = "both"):
+    """Rows with `lo ≤ x ≤ hi` (`closed` = both / left / right / neither); pushed to the scan when x is a column."""
+    c = F.col(x)
+    left = (c >= lo) if closed in ("both", "left") else (c > lo)
+    right = (c <= hi) if closed in ("both", "right") else (c < hi)
+    return df.filter(left & right)

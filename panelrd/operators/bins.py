@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrd.functions.na import within
+
 
 def equal_bin(x, lo: float, hi: float, bins: int):
     """0-based bin of `x` among `bins` equal bins over [lo, hi] (top edge in the last bin)."""
@@ -24,7 +26,7 @@ def bin_means(df: DataFrame, x: str, y: str, bins: int, lo: float, hi: float, by
     """Mean and standard error of `y` in `bins` equal-width bins of `x` over [lo, hi]."""
     w = (hi - lo) / bins
     xc = F.col(x)
-    d = df.filter((xc >= lo) & (xc <= hi) & F.col(y).isNotNull()).withColumn("bin", equal_bin(xc, lo, hi, bins))
+    d = within(df, x, lo, hi).filter(F.col(y).isNotNull()).withColumn("bin", equal_bin(xc, lo, hi, bins))
     out = d.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.avg(F.col(y)).alias("mean_y"), F.stddev_samp(F.col(y)).alias("sd_y")
     )

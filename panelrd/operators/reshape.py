@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrd.functions.na import fill_and_cast
+
 
 def one_hot(df: DataFrame, keys: Sequence[str], type_col: str, values: Sequence[str]) -> DataFrame:
     """One row per key with a 0/1 integer column per type (bare type names).
@@ -19,7 +21,7 @@ def one_hot(df: DataFrame, keys: Sequence[str], type_col: str, values: Sequence[
     combined map-side, so duplicate (type, key) rows never travel.
     """
     out = df.groupBy(*keys).pivot(type_col, list(values)).agg(F.max(F.lit(1)))
-    return out.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("int").alias(v) for v in values])
+    return fill_and_cast(out.select(*keys, *[F.col(f"`{v}`").alias(v) for v in values]), values, 0, "int")
 
 
 def pivot_first(df: DataFrame, keys: Sequence[str], name: str, value: str, values: Sequence[str]) -> DataFrame:
