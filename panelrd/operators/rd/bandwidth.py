@@ -12,7 +12,8 @@ Cattaneo and Farrell (2020):
 
 Each stage is one aggregation of kernel-weighted moments per (window, side)
 plus one of residual-weighted moments; the base columns are persisted for the
-seven passes.  The quartiles of the pilot use `percentile_approx` (relative
+seven passes.  Residual variances are nearest-neighbour by default (as the
+estimator), or hc0/hc1.  The quartiles of the pilot use `percentile_approx` (relative
 rank error 1e-4), so the pilot is not sorted through one task.
 """
 
@@ -50,12 +51,26 @@ def _moments(base: DataFrame, windows: Sequence[tuple], kernel: str) -> list[dic
     return [got.get(i, {"n": 0}) for i in range(len(windows))]
 
 
-def _residual_moments(base: DataFrame, fits: Sequence[tuple], kernel: str) -> list[dict]:
+def _residual_moments(base: DataFrame, fits: Sequence[tuple], kernel: str, vce: str = "nn", nnmatch: int = 3,
+                      counts: Sequence[int] | None = None) -> list[dict]:
     """fits: (side, h, order, coef_y, coef_t, s_y, s_t) in z-units.  Σ w² zᵐ e², m ≤ 2·order."""
     u, side = F.col("u"), F.col("side")
     wid = F.explode(F.array_compact(F.array(*[
         F.when((side == f[0]) & (F.abs(u) <= f[1]), F.lit(i)) for i, f in enumerate(fits)]))).alias("w")
-    e = base.select("u", "y", "t", wid)
+    e = base.select("x", "u", "y", "t", wid)
+    if vce == "nn":
+        from panelrd.operators.rd.nn import nn_sums
+
+        hcol = F.element_at(F.array(*[F.lit(float(f[1])) for f in fits]), F.col("w") + 1)
+        sy = F.element_at(F.array(*[F.lit(float(f[5])) for f in fits]), F.col("w") + 1)
+        st = F.element_at(F.array(*[F.lit(float(f[6])) for f in fits]), F.col("w") + 1)
+        e = e.select("w", "x", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"),
+                     (sy * F.col("y") + st * F.col("t")).alias("_v"))
+        mmax = max(2 * f[2] for f in fits)
+        terms = {f"M{m}": F.col("k") ** 2 * F.col("z") ** m for m in range(mmax + 1)}
+        nk = {(i,): int(counts[i]) for i in range(len(fits)) if counts and counts[i]}
+        got = nn_sums(e, ["w"], "x", "_v", terms, nk, J=nnmatch)
+        return [got.get((i,), {}) for i in range(len(fits))]
     hcol = F.element_at(F.array(*[F.lit(float(f[1])) for f in fits]), F.col("w") + 1)
     z = F.col("u") / hcol
     k = kernel_weight(F.col("u"), hcol, kernel)
@@ -88,6 +103,7 @@ def _fit(m: dict, order: int, fuzzy: bool):
 
 
 def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
+    """(Γ⁻¹ M Γ⁻¹) with the hc1 small-sample factor where asked."""
     Mm = np.array([[M.get(f"M{a + b}") or 0.0 for b in range(order + 1)] for a in range(order + 1)])
     if vce == "hc1":
         Mm = Mm * (n / (n - order - 1) if n > order + 1 else float("nan"))
@@ -96,8 +112,8 @@ def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
 
 
 def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, p: int = 1, q: int = 2,
-                 kernel: str = "triangular", vce: str = "hc1", rule: str = "msetwo", scaleregul: float = 1.0,
-                 as_dict: bool = False):
+                 kernel: str = "triangular", vce: str = "nn", rule: str = "msetwo", scaleregul: float = 1.0,
+                 as_dict: bool = False, nnmatch: int = 3):
     """Per-side bandwidths (h_left, h_right, b_left, b_right) for the order-p estimate at `c`."""
     if rule not in ("msetwo", "certwo"):
         raise ValueError("rule must be 'msetwo' or 'certwo'")
@@ -105,7 +121,7 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
     cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
             (F.col(treat).cast("double") if fuzzy else F.lit(0.0)).alias("t")]
     base = df.select(*cols).dropna()
-    base = base.select((F.col("x") - F.lit(float(c))).alias("u"), "y", "t",
+    base = base.select("x", (F.col("x") - F.lit(float(c))).alias("u"), "y", "t",
                        F.when(F.col("x") >= c, F.lit(1)).otherwise(F.lit(0)).alias("side"))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -142,7 +158,7 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
                 bconst = float((_inv(G) @ v)[nu])
                 vfit[(s, o)] = dict(G=G, sv=sv, bconst=bconst, nu=nu)
                 rfits.append((s, c_bw, o, by, bt, sv[0], sv[1]))
-        vres = _residual_moments(base, rfits, kernel)
+        vres = _residual_moments(base, rfits, kernel, vce, nnmatch, counts=[mom[f[0]]["n"] for f in rfits])
         for idx, (s, _, o, *_rest) in enumerate(rfits):
             f = vfit[(s, o)]
             Vm = _vmat(f["G"], vres[idx], o, mom[s]["n"], vce)
@@ -157,7 +173,8 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
             for s in (0, 1):
                 G, by, bt = _fit(bm[s], o_b, fuzzy)
                 fitsB.append((s, hb[s], o_b, by, bt, vfit[(s, o)]["sv"][0], vfit[(s, o)]["sv"][1]))
-            resB = _residual_moments(base, fitsB, kernel) if with_reg else [{}, {}]
+            resB = (_residual_moments(base, fitsB, kernel, vce, nnmatch, counts=[bm[s]["n"] for s in (0, 1)])
+                    if with_reg else [{}, {}])
             for s in (0, 1):
                 f = vfit[(s, o)]
                 G, by, bt = _fit(bm[s], o_b, fuzzy)

@@ -99,15 +99,15 @@ def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
 
 
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
-            p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "hc1", level: float = 95.0,
-            return_sides: bool = False):
+            p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
+            return_sides: bool = False, nnmatch: int = 3):
     """Estimate every spec in one pair of passes; returns the result DataFrame
     (schema `RESULT_SCHEMA`, three rows per spec) and, with `return_sides`, the
     per-side polynomial coefficients (schema `SIDE_SCHEMA`)."""
     if q < p + 1:
         raise ValueError("q must be at least p + 1")
-    if vce not in ("hc0", "hc1"):
-        raise ValueError("vce must be 'hc0' or 'hc1'")
+    if vce not in ("hc0", "hc1", "nn"):
+        raise ValueError("vce must be 'nn', 'hc0' or 'hc1'")
     specs = [s.filled() for s in specs]
     if any(s.fuzzy for s in specs) and treat is None:
         raise ValueError("a fuzzy spec needs `treat`")
@@ -145,7 +145,7 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     scale = F.greatest(h, b)
     ycol = F.element_at(F.array(*[F.col(s.outcome).cast("double") for s in specs]), k + 1)
     u = xc - c
-    e = e.select("k", "side", (F.col(group).cast("string") if group else F.lit("")).alias("g"),
+    e = e.select("k", "side", (F.col(group).cast("string") if group else F.lit("")).alias("g"), xc.alias("xr"),
                  (u / scale).alias("z"), kernel_weight(u, h, kernel).alias("wh"), kernel_weight(u, b, kernel).alias("wb"),
                  ycol.alias("y"), (F.col(treat).cast("double") if treat else F.lit(0.0)).alias("t"))
     z, wh, wb, yy, tt = F.col("z"), F.col("wh"), F.col("wb"), F.col("y"), F.col("t")
@@ -248,9 +248,18 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     e_b = lhs - poly("kq", q + 1)
     a_i = poly("arow", q + 1)
     Q = [wh * z ** j - F.col("L")[j] * wb * a_i for j in range(p + 1)]
-    aggs2 = [F.sum(wh * wh * z ** m * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
-    aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
-    meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
+    if vce == "nn":
+        # nearest-neighbour residuals are the same for both fits: one pass over distinct values
+        from panelrd.operators.rd.nn import nn_sums
+
+        terms = {f"MC{m}": wh * wh * z ** m for m in range(2 * p + 1)}
+        terms.update({f"MR{j}_{l}": Q[j] * Q[l] for j in range(p + 1) for l in range(j, p + 1)})
+        nk = {(i, sside): int(fits[(i, sside)]["tot"]["nw"]) for i in range(K) for sside in (0, 1) if fits[(i, sside)]["tot"].get("nw")}
+        meat = nn_sums(e2.withColumn("_w", lhs), ["k", "side"], "xr", "_w", terms, nk, J=nnmatch)
+    else:
+        aggs2 = [F.sum(wh * wh * z ** m * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
+        aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
+        meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
 
     zq = Z975 if level == 95.0 else _zq(level)
     for i, s in enumerate(specs):
@@ -305,8 +314,8 @@ def _zq(level: float) -> float:
 
 def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
        h: float | tuple | None = None, b: float | tuple | None = None, p: int = 1, q: int = 2,
-       kernel: str = "triangular", vce: str = "hc1", bwselect: str = "msetwo", name: str | None = None,
-       return_sides: bool = False):
+       kernel: str = "triangular", vce: str = "nn", bwselect: str = "msetwo", name: str | None = None,
+       return_sides: bool = False, nnmatch: int = 3):
     """One RD estimate (sharp, or fuzzy with `treat`, optional group controls).
 
     `h`/`b` may be a number or a (left, right) pair; when `h` is None both are
@@ -315,7 +324,8 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
     if h is None:
         from panelrd.operators.rd.bandwidth import rd_bandwidth
 
-        bw = rd_bandwidth(df, x, y, c=c, treat=treat, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect, as_dict=True)
+        bw = rd_bandwidth(df, x, y, c=c, treat=treat, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect, as_dict=True,
+                          nnmatch=nnmatch)
         hl, hr, bl, br = bw["h_left"], bw["h_right"], bw["b_left"], bw["b_right"]
     else:
         hl, hr = (h, h) if not isinstance(h, tuple) else h
@@ -324,4 +334,5 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
         else:
             bl, br = (b, b) if not isinstance(b, tuple) else b
     spec = RDSpec(name or y, y, c, hl, hr, bl, br, fuzzy=treat is not None)
-    return rd_grid(df, x, [spec], treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, return_sides=return_sides)
+    return rd_grid(df, x, [spec], treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, return_sides=return_sides,
+                   nnmatch=nnmatch)

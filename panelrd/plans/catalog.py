@@ -353,11 +353,11 @@ def q_rdplot_bins(spark, d):
 
 
 def q_rd_sharp(spark, d):
-    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.SHARP_SPECS))
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.SHARP_SPECS, vce="hc1"))
 
 
 def q_rd_fuzzy(spark, d):
-    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t"))
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t", vce="nn"))
 
 
 def q_rd_fuzzy_groups(spark, d):
@@ -365,7 +365,14 @@ def q_rd_fuzzy_groups(spark, d):
 
 
 def q_rd_spec_grid(spark, d):
-    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.GRID_SPECS, treat="t"))
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.GRID_SPECS, treat="t", vce="hc1"))
+
+
+def q_rd_fuzzy_auto(spark, d):
+    """The main analysis call: fuzzy RD, per-side MSE-optimal bandwidths, nearest-neighbour variance."""
+    from panelrd.operators.rd import rd
+
+    return rounded(rd(roles.rd_fixture(spark, d), "x", "y", c=0.0, treat="t", bwselect="msetwo", name="fuzzy_auto"))
 
 
 def q_rd_bandwidth(spark, d):
@@ -382,7 +389,7 @@ def q_fitted_lines(spark, d):
 
 
 def q_model_table(spark, d):
-    res = rd_grid(roles.rd_fixture(spark, d), "x", EST.TABLE_SPECS)
+    res = rd_grid(roles.rd_fixture(spark, d), "x", EST.TABLE_SPECS, vce="hc1")
     return S.model_table(res, models=[s.name for s in EST.TABLE_SPECS])
 
 

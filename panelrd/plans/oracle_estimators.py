@@ -34,15 +34,16 @@ def spec_values(specs) -> str:
     return f"specs(spec, outcome, c, hl, hr, bl, br, fz) AS (VALUES {rows})"
 
 
-def rd_core(rd_cte: str, specs) -> str:
+def rd_core(rd_cte: str, specs, vce: str = "hc1") -> str:
     """CTEs up to per-(spec, side) fits `m5`, estimates `est2` and variances `v`."""
+    meat = _HC_MEAT if vce == "hc1" else _nn_meat()
     return f"""WITH {rd_cte}, {spec_values(specs)},
 tot AS (SELECT spec, count(CASE WHEN x < c THEN 1 END) AS n_left, count(CASE WHEN x >= c THEN 1 END) AS n_right FROM rd, specs GROUP BY spec),
 e0 AS (SELECT s.*, rd.x, rd.t, CASE s.outcome WHEN 'y' THEN rd.y WHEN 'e' THEN rd.e WHEN 't' THEN rd.t END AS yv,
               CASE WHEN rd.x >= s.c THEN 1 ELSE 0 END AS side
        FROM rd JOIN specs s ON rd.x >= s.c - greatest(s.hl, s.bl) AND rd.x <= s.c + greatest(s.hr, s.br)),
 e1 AS (SELECT *, x - c AS u, CASE WHEN side = 1 THEN hr ELSE hl END AS h, CASE WHEN side = 1 THEN br ELSE bl END AS b FROM e0),
-e AS (SELECT spec, side, fz, yv AS y, t, u / greatest(h, b) AS z, greatest(h, b) AS sc,
+e AS (SELECT spec, side, fz, x AS xr, yv AS y, t, u / greatest(h, b) AS z, greatest(h, b) AS sc,
              CASE WHEN abs(u) / h <= 1 THEN (1 - abs(u) / h) / h ELSE 0.0 END AS wh,
              CASE WHEN abs(u) / b <= 1 THEN (1 - abs(u) / b) / b ELSE 0.0 END AS wb FROM e1),
 m1 AS (SELECT spec, side, max(fz) AS fz, max(sc) AS sc, count(*) AS nw, count(CASE WHEN wh > 0 THEN 1 END) AS nh,
@@ -73,7 +74,17 @@ est2 AS (SELECT spec, CASE WHEN fz = 1 THEN ty_cl / tt_cl ELSE ty_cl END AS tau_
          FROM est),
 k AS (SELECT m5.*, sy, st, py0 * sy + pt0 * st AS kp0, py1 * sy + pt1 * st AS kp1,
              qy0 * sy + qt0 * st AS kq0, qy1 * sy + qt1 * st AS kq1, qy2 * sy + qt2 * st AS kq2 FROM m5 JOIN est2 USING (spec)),
-r2 AS (SELECT e.spec, e.side, e.wh, e.wb, e.z,
+{meat}res AS (SELECT spec, tau_cl, tau_bc, sqrt(v_cl) AS se_cl, sqrt(v_rb) AS se_rb FROM est2 JOIN v USING (spec)),
+info AS (SELECT s.spec, s.outcome, s.hl, s.hr, s.bl, s.br, tot.n_left, tot.n_right, l.nh AS n_eff_left, r.nh AS n_eff_right
+         FROM specs s JOIN tot USING (spec) JOIN m1 l ON l.spec = s.spec AND l.side = 0 JOIN m1 r ON r.spec = s.spec AND r.side = 1),
+rr AS (SELECT spec, 'conventional' AS method, tau_cl AS estimate, se_cl AS std_error FROM res
+       UNION ALL SELECT spec, 'bias_corrected', tau_bc, se_cl FROM res
+       UNION ALL SELECT spec, 'robust', tau_bc, se_rb FROM res),
+full_res AS (SELECT rr.spec, info.outcome, method, estimate, std_error, estimate / std_error AS statistic,
+                    n_left, n_right, n_eff_left, n_eff_right, hl, hr, bl, br FROM rr JOIN info USING (spec))"""
+
+
+_HC_MEAT = """r2 AS (SELECT e.spec, e.side, e.wh, e.wb, e.z,
               k.sy * e.y + k.st * e.t - (k.kp0 + k.kp1 * e.z) AS eh,
               k.sy * e.y + k.st * e.t - (k.kq0 + k.kq1 * e.z + k.kq2 * e.z * e.z) AS eb,
               k.ar0 + k.ar1 * e.z + k.ar2 * e.z * e.z AS a, k.H2 AS L0, k.H3 AS L1
@@ -84,18 +95,49 @@ mt AS (SELECT r3.spec, r3.side, sum(wh * wh * eh * eh) AS MC0, sum(wh * wh * z *
 v AS (SELECT mt.spec, sum((i00 * i00 * MC0 + 2 * i00 * i01 * MC1 + i01 * i01 * MC2) * nw / (nw - 2)) AS v_cl,
              sum((i00 * i00 * MR00 + 2 * i00 * i01 * MR01 + i01 * i01 * MR11) * nw / (nw - 3)) AS v_rb
       FROM mt JOIN m5 ON mt.spec = m5.spec AND mt.side = m5.side GROUP BY mt.spec),
-res AS (SELECT spec, tau_cl, tau_bc, sqrt(v_cl) AS se_cl, sqrt(v_rb) AS se_rb FROM est2 JOIN v USING (spec)),
-info AS (SELECT s.spec, s.outcome, s.hl, s.hr, s.bl, s.br, tot.n_left, tot.n_right, l.nh AS n_eff_left, r.nh AS n_eff_right
-         FROM specs s JOIN tot USING (spec) JOIN m1 l ON l.spec = s.spec AND l.side = 0 JOIN m1 r ON r.spec = s.spec AND r.side = 1),
-rr AS (SELECT spec, 'conventional' AS method, tau_cl AS estimate, se_cl AS std_error FROM res
-       UNION ALL SELECT spec, 'bias_corrected', tau_bc, se_cl FROM res
-       UNION ALL SELECT spec, 'robust', tau_bc, se_rb FROM res),
-full_res AS (SELECT rr.spec, info.outcome, method, estimate, std_error, estimate / std_error AS statistic,
-                    n_left, n_right, n_eff_left, n_eff_right, hl, hr, bl, br FROM rr JOIN info USING (spec))"""
+"""
+
+
+def _nn_meat(J: int = 3) -> str:
+    """Nearest-neighbour meat: distinct values, lag/lead over each (spec, side), unrolled expansion."""
+    lagcols = ", ".join(f"lag({c}, {j}) OVER w AS l{c}{j}, lead({c}, {j}) OVER w AS r{c}{j}"
+                        for j in range(1, J + 1) for c in ("xr", "d", "S"))
+    steps = ["s0 AS (SELECT *, d - 1 AS k, 0.0 AS A, 0 AS li, 0 AS ri FROM lg)"]
+    for i in range(J):
+        pick = lambda side, c, idx: "CASE " + idx + " " + " ".join(f"WHEN {j - 1} THEN {side}{c}{j}" for j in range(1, J + 1)) + " END"
+        steps.append(f"""p{i} AS (SELECT *, {pick('l', 'xr', 'li')} AS nlx, {pick('l', 'd', 'li')} AS nld, {pick('l', 'S', 'li')} AS nlS,
+            {pick('r', 'xr', 'ri')} AS nrx, {pick('r', 'd', 'ri')} AS nrd, {pick('r', 'S', 'ri')} AS nrS,
+            k < least({J}, n - 1) AS need FROM s{i}),
+t{i} AS (SELECT *, coalesce(need AND nlx IS NOT NULL AND (nrx IS NULL OR xr - nlx <= nrx - xr), false) AS tl,
+            coalesce(need AND nrx IS NOT NULL AND (nlx IS NULL OR xr - nlx >= nrx - xr), false) AS tr FROM p{i}),
+s{i + 1} AS (SELECT * EXCLUDE (k, A, li, ri, nlx, nld, nlS, nrx, nrd, nrS, need, tl, tr),
+            k + CASE WHEN tl THEN nld ELSE 0 END + CASE WHEN tr THEN nrd ELSE 0 END AS k,
+            A + CASE WHEN tl THEN nlS ELSE 0.0 END + CASE WHEN tr THEN nrS ELSE 0.0 END AS A,
+            li + CASE WHEN tl THEN 1 ELSE 0 END AS li, ri + CASE WHEN tr THEN 1 ELSE 0 END AS ri FROM t{i})""")
+    return f"""wrow AS (SELECT e.spec, e.side, e.xr, k.sy * e.y + k.st * e.t AS w, e.wh, e.wb, e.z,
+              k.ar0 + k.ar1 * e.z + k.ar2 * e.z * e.z AS a, k.H2 AS L0, k.H3 AS L1
+       FROM e JOIN k ON e.spec = k.spec AND e.side = k.side),
+dv AS (SELECT spec, side, xr, count(*) AS d, sum(w) AS S, sum(w * w) AS Q,
+              first(wh * wh) AS c0, first(wh * wh * z) AS c1, first(wh * wh * z * z) AS c2,
+              first((wh - L0 * wb * a) * (wh - L0 * wb * a)) AS q00, first((wh - L0 * wb * a) * (wh * z - L1 * wb * a)) AS q01,
+              first((wh * z - L1 * wb * a) * (wh * z - L1 * wb * a)) AS q11
+       FROM wrow GROUP BY spec, side, xr),
+nk AS (SELECT spec, side, sum(d) AS n FROM dv GROUP BY spec, side),
+lg AS (SELECT dv.*, nk.n, {lagcols} FROM dv JOIN nk USING (spec, side) WINDOW w AS (PARTITION BY spec, side ORDER BY xr)),
+{", ".join(steps)},
+ee AS (SELECT *, sqrt(k / (k + 1.0)) AS cf FROM s{J}),
+ef AS (SELECT *, cf * (1 + 1.0 / k) AS al, cf * (S + A) / k AS be FROM ee),
+eg AS (SELECT *, al * al * Q - 2 * al * be * S + d * be * be AS E FROM ef),
+mt AS (SELECT spec, side, sum(c0 * E) AS MC0, sum(c1 * E) AS MC1, sum(c2 * E) AS MC2,
+              sum(q00 * E) AS MR00, sum(q01 * E) AS MR01, sum(q11 * E) AS MR11 FROM eg GROUP BY spec, side),
+v AS (SELECT mt.spec, sum(i00 * i00 * MC0 + 2 * i00 * i01 * MC1 + i01 * i01 * MC2) AS v_cl,
+             sum(i00 * i00 * MR00 + 2 * i00 * i01 * MR01 + i01 * i01 * MR11) AS v_rb
+      FROM mt JOIN m5 ON mt.spec = m5.spec AND mt.side = m5.side GROUP BY mt.spec),
+"""
 
 
-def rd_result_sql(rd_cte: str, specs) -> str:
-    return rd_core(rd_cte, specs) + f"""
+def rd_result_sql(rd_cte: str, specs, vce: str = "hc1") -> str:
+    return rd_core(rd_cte, specs, vce) + f"""
 SELECT spec, outcome, method, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(statistic, 6) AS statistic,
        round({pnorm2('statistic')}, 6) AS p_value,
        round(estimate - {Z975} * std_error, 6) AS conf_low, round(estimate + {Z975} * std_error, 6) AS conf_high,
@@ -183,7 +225,7 @@ SELECT bin, round(mid, 6) AS mid, n, round(height, 6) AS height, side, round(wei
 def all_sql(rd_cte: str) -> dict[str, str]:
     out = {
         "rd_sharp": rd_result_sql(rd_cte, EST.SHARP_SPECS),
-        "rd_fuzzy": rd_result_sql(rd_cte, EST.FUZZY_SPECS),
+        "rd_fuzzy": rd_result_sql(rd_cte, EST.FUZZY_SPECS, vce="nn"),
         "rd_spec_grid": rd_result_sql(rd_cte, EST.GRID_SPECS),
         "fitted_lines": fitted_sql(rd_cte, EST.FUZZY_SPECS, EST.RD_H),
         "model_table": model_table_sql(rd_cte, EST.TABLE_SPECS),

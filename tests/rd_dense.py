@@ -86,3 +86,67 @@ def rd_dense(x, y, c, h, b, t=None, groups=None, p=1, q=2, kernel="triangular",
         V["cl"] += (f["iGp"] @ Mcl @ f["iGp"])[0, 0]
         V["rb"] += (f["iGp"] @ Mrb @ f["iGp"])[0, 0]
     return float(tau_cl), float(tau_bc), float(np.sqrt(V["cl"])), float(np.sqrt(V["rb"]))
+
+
+def nn_residuals(x, w, J=3):
+    """Nearest-neighbour residuals (matches J, ties taken as whole groups), x sorted ascending."""
+    n = len(x)
+    dups = np.zeros(n, dtype=int)
+    dupsid = np.zeros(n, dtype=int)
+    i = 0
+    while i < n:
+        j = i
+        while j < n and x[j] == x[i]:
+            j += 1
+        dups[i:j] = j - i
+        dupsid[i:j] = np.arange(1, j - i + 1)
+        i = j
+    res = np.zeros(n)
+    for pos in range(n):
+        rpos = dups[pos] - dupsid[pos]
+        lpos = dupsid[pos] - 1
+        while lpos + rpos < min(J, n - 1):
+            if pos - lpos - 1 < 0:
+                rpos += dups[pos + rpos + 1]
+            elif pos + rpos + 1 >= n:
+                lpos += dups[pos - lpos - 1]
+            elif x[pos] - x[pos - lpos - 1] > x[pos + rpos + 1] - x[pos]:
+                rpos += dups[pos + rpos + 1]
+            elif x[pos] - x[pos - lpos - 1] < x[pos + rpos + 1] - x[pos]:
+                lpos += dups[pos - lpos - 1]
+            else:
+                rpos += dups[pos + rpos + 1]
+                lpos += dups[pos - lpos - 1]
+        lo, hi = pos - lpos, pos + rpos
+        yJ = w[lo:hi + 1].sum() - w[pos]
+        Ji = hi - lo
+        res[pos] = np.sqrt(Ji / (Ji + 1)) * (w[pos] - yJ / Ji)
+    return res
+
+
+def rd_dense_nn(x, y, c, h, b, t=None, p=1, q=2, kernel="triangular", J=3):
+    """Sharp/fuzzy RD with nearest-neighbour variance (no group controls)."""
+    D = np.column_stack([y] + ([t] if t is not None else []))
+    fits = []
+    for mask in (x < c, x >= c):
+        o = np.argsort(x[mask], kind="stable")
+        fits.append(side_fit(x[mask][o], D[mask][o], c, h, b, p, q, kernel))
+    fl, fr = fits
+    dp = fr["bp"][0] - fl["bp"][0]
+    dbc = fr["bbc"][0] - fl["bbc"][0]
+    if t is None:
+        s = np.array([1.0])
+        tau_cl, tau_bc = dp[0], dbc[0]
+    else:
+        tau_cl, tau_bc = dp[0] / dp[1], dbc[0] / dbc[1]
+        s = np.array([1 / dp[1], -dp[0] / dp[1] ** 2])
+    V = {"cl": 0.0, "rb": 0.0}
+    for f in fits:
+        xs = f["u"]
+        res = nn_residuals(xs, f["D"] @ s, J)
+        RW = f["Rp"] * f["wh"][:, None]
+        Mcl = (RW * (res ** 2)[:, None]).T @ RW
+        Mrb = (f["Q"] * (res ** 2)[None, :]) @ f["Q"].T
+        V["cl"] += (f["iGp"] @ Mcl @ f["iGp"])[0, 0]
+        V["rb"] += (f["iGp"] @ Mrb @ f["iGp"])[0, 0]
+    return float(tau_cl), float(tau_bc), float(np.sqrt(V["cl"])), float(np.sqrt(V["rb"]))
