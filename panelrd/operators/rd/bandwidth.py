@@ -10,11 +10,13 @@ Cattaneo and Farrell (2020):
 3. b from the order-q derivative bias with pilot d;
 4. h from the order-p intercept bias with pilot b.
 
-Each stage is one aggregation of kernel-weighted moments per (window, side)
-plus one of residual-weighted moments; the base columns are persisted for the
-seven passes.  Residual variances are nearest-neighbour by default (as the
-estimator), or hc0/hc1.  The quartiles of the pilot use `percentile_approx` (relative
-rank error 1e-4), so the pilot is not sorted through one task.
+Group controls (dummies of `group`, first level dropped) are partialled out
+inside every stage on each side, as in the covariate-adjusted estimator.
+Each stage is one aggregation of kernel-weighted moments per (window, group)
+plus one residual aggregation (nearest-neighbour by default, or hc0/hc1); the
+base columns are persisted for the seven passes.  The quartiles of the pilot
+use `percentile_approx` (relative rank error 1e-4), so nothing is sorted
+through one task.
 """
 
 from __future__ import annotations
@@ -29,79 +31,111 @@ from pyspark.sql import functions as F
 
 from panelrd.operators.rd.core import kernel_weight, _inv, _solve
 
-# Rule-of-thumb pilot constants per kernel (Silverman-type).
+# Rule-of-thumb pilot constants per kernel.
 PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
 
 
 def _moments(base: DataFrame, windows: Sequence[tuple], kernel: str) -> list[dict]:
-    """windows: (side, h, max_power_S, max_power_D).  Σ w zᵐ, Σ w zᵐ y, Σ w zᵐ t, n per window."""
+    """windows: (side, h, max_power_S, max_power_D).  Per window and group: n, Σ k zᵐ, Σ k zᵐ y, Σ k zᵐ t."""
     u, side = F.col("u"), F.col("side")
     wid = F.explode(F.array_compact(F.array(*[
         F.when((side == s) & (F.abs(u) <= h), F.lit(i)) for i, (s, h, _, _) in enumerate(windows)]))).alias("w")
-    e = base.select("u", "y", "t", wid)
+    e = base.select("u", "y", "t", "g", wid)
     hcol = F.element_at(F.array(*[F.lit(float(w[1])) for w in windows]), F.col("w") + 1)
-    e = e.select("w", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"), "y", "t")
+    e = e.select("w", "g", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"), "y", "t")
     ms = max(w[2] for w in windows)
     md = max(w[3] for w in windows)
     z, k = F.col("z"), F.col("k")
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(k * z ** m).alias(f"S{m}") for m in range(ms + 1)]
     aggs += [F.sum(k * z ** m * F.col("y")).alias(f"Y{m}") for m in range(md + 1)]
     aggs += [F.sum(k * z ** m * F.col("t")).alias(f"T{m}") for m in range(md + 1)]
-    got = {r["w"]: r.asDict() for r in e.groupBy("w").agg(*aggs).collect()}
-    return [got.get(i, {"n": 0}) for i in range(len(windows))]
-
-
-def _residual_moments(base: DataFrame, fits: Sequence[tuple], kernel: str, vce: str = "nn", nnmatch: int = 3,
-                      counts: Sequence[int] | None = None) -> list[dict]:
-    """fits: (side, h, order, coef_y, coef_t, s_y, s_t) in z-units.  Σ w² zᵐ e², m ≤ 2·order."""
+    out = [dict(n=0, groups={}) for _ in windows]
+    for r in e.groupBy("w", "g").agg(*aggs).collect():
+        d = r.asDict()
+        out[d["w"]]["groups"][d["g"]] = d
+        out[d["w"]]["n"] += d["n"]
+    for o in out:
+        tot = {}
+        for d in o["groups"].values():
+            for key, v in d.items():
+                if key not in ("w", "g"):
+                    tot[key] = tot.get(key, 0.0) + (v or 0.0)
+        o["tot"] = tot
+    return out
+
+
+def _fit(m: dict, order: int, zgroups: Sequence[str]):
+    """Order-`order` fit of D = (y, t, dummies…) in z-units; returns Γ, β (order+1 × nD), and one-sided γ."""
+    tot = m["tot"]
+    G = np.array([[tot.get(f"S{a + b}", 0.0) for b in range(order + 1)] for a in range(order + 1)])
+    cols = [[tot.get(f"Y{j}", 0.0) for j in range(order + 1)], [tot.get(f"T{j}", 0.0) for j in range(order + 1)]]
+    for g in zgroups:
+        gm = m["groups"].get(g, {})
+        cols.append([gm.get(f"S{j}") or 0.0 for j in range(order + 1)])
+    U = np.array(cols).T
+    beta = _solve(G, U)
+    nz = len(zgroups)
+    gamma = np.zeros((nz, 2))
+    if nz:
+        ZWD = np.zeros((nz, 2 + nz))
+        for a, g in enumerate(zgroups):
+            gm = m["groups"].get(g, {})
+            ZWD[a, 0], ZWD[a, 1], ZWD[a, 2 + a] = gm.get("Y0") or 0.0, gm.get("T0") or 0.0, gm.get("S0") or 0.0
+        UiGU = U[:, 2:].T @ _solve(G, U)
+        gamma = np.linalg.pinv(ZWD[:, 2:] - UiGU[:, 2:]) @ (ZWD[:, :2] - UiGU[:, :2])
+    return G, beta, gamma
+
+
+def _svec(beta, gamma, nu: int, h: float, fuzzy: bool) -> np.ndarray:
+    """Combination of the D columns whose derivative the stage targets (sharp, fuzzy, with group controls)."""
+    nz = gamma.shape[0]
+    if not fuzzy:
+        return np.concatenate([[1.0, 0.0], -gamma[:, 0]])
+    ty = math.factorial(nu) * beta[nu, 0] / h ** nu
+    tt = math.factorial(nu) * beta[nu, 1] / h ** nu
+    if tt == 0:
+        return np.full(2 + nz, float("nan"))
+    return np.concatenate([[1.0 / tt, -ty / tt ** 2], -gamma[:, 0] / tt + (ty / tt ** 2) * gamma[:, 1]])
+
+
+def _residual_moments(base: DataFrame, fits: Sequence[dict], kernel: str, vce: str, nnmatch: int, zgroups: Sequence[str]) -> list[dict]:
+    """fits: dict(side, h, order, beta, s, n).  Σ k² zᵐ r² per fit, r the combined residual (nn or hc)."""
+    spark = base.sparkSession
     u, side = F.col("u"), F.col("side")
     wid = F.explode(F.array_compact(F.array(*[
-        F.when((side == f[0]) & (F.abs(u) <= f[1]), F.lit(i)) for i, f in enumerate(fits)]))).alias("w")
-    e = base.select("x", "u", "y", "t", wid)
+        F.when((side == f["side"]) & (F.abs(u) <= f["h"]), F.lit(i)) for i, f in enumerate(fits)]))).alias("w")
+    e = base.select("x", "u", "y", "t", "g", wid)
+    pick = lambda vals: F.element_at(F.array(*[F.lit(float(v)) for v in vals]), F.col("w") + 1)
+    hcol = pick([f["h"] for f in fits])
+    e = e.select("w", "x", "g", "y", "t", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"),
+                 pick([f["s"][0] for f in fits]).alias("sy"), pick([f["s"][1] for f in fits]).alias("st"))
+    if zgroups:
+        # one row per (fit, non-base group): counted here, so the broadcast size is known
+        gdf = spark.createDataFrame([(i, g, float(f["s"][2 + a])) for i, f in enumerate(fits) for a, g in enumerate(zgroups)],
+                                    "w int, g string, sg double")
+        e = e.join(F.broadcast(gdf), on=["w", "g"], how="left")
+        sg = F.coalesce(F.col("sg"), F.lit(0.0))
+    else:
+        sg = F.lit(0.0)
+    v = F.col("sy") * F.col("y") + F.col("st") * F.col("t") + sg
+    mmax = max(2 * f["order"] for f in fits)
+    terms = {f"M{m}": F.col("k") ** 2 * F.col("z") ** m for m in range(mmax + 1)}
     if vce == "nn":
         from panelrd.operators.rd.nn import nn_sums
 
-        hcol = F.element_at(F.array(*[F.lit(float(f[1])) for f in fits]), F.col("w") + 1)
-        sy = F.element_at(F.array(*[F.lit(float(f[5])) for f in fits]), F.col("w") + 1)
-        st = F.element_at(F.array(*[F.lit(float(f[6])) for f in fits]), F.col("w") + 1)
-        e = e.select("w", "x", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"),
-                     (sy * F.col("y") + st * F.col("t")).alias("_v"))
-        mmax = max(2 * f[2] for f in fits)
-        terms = {f"M{m}": F.col("k") ** 2 * F.col("z") ** m for m in range(mmax + 1)}
-        nk = {(i,): int(counts[i]) for i in range(len(fits)) if counts and counts[i]}
-        got = nn_sums(e, ["w"], "x", "_v", terms, nk, J=nnmatch)
+        nk = {(i,): int(f["n"]) for i, f in enumerate(fits) if f["n"]}
+        got = nn_sums(e.withColumn("_v", v), ["w"], "x", "_v", terms, nk, J=nnmatch)
         return [got.get((i,), {}) for i in range(len(fits))]
-    hcol = F.element_at(F.array(*[F.lit(float(f[1])) for f in fits]), F.col("w") + 1)
-    z = F.col("u") / hcol
-    k = kernel_weight(F.col("u"), hcol, kernel)
-
-    def per_fit(fn):
-        expr = None
-        for i, f in enumerate(fits):
-            v = fn(f)
-            expr = F.when(F.col("w") == i, v) if expr is None else expr.when(F.col("w") == i, v)
-        return expr
-
-    def resid(f):
-        _, _, o, cy, ct, sy, st = f
-        py = sum((F.lit(float(cy[m])) * F.col("z") ** m for m in range(o + 1)), F.lit(0.0))
-        pt = sum((F.lit(float(ct[m])) * F.col("z") ** m for m in range(o + 1)), F.lit(0.0))
-        return F.lit(float(sy)) * (F.col("y") - py) + F.lit(float(st)) * (F.col("t") - pt)
-
-    e = e.select("w", z.alias("z"), k.alias("k"), "y", "t").withColumn("e", per_fit(resid))
-    mmax = max(2 * f[2] for f in fits)
-    aggs = [F.sum(F.col("k") ** 2 * F.col("z") ** m * F.col("e") ** 2).alias(f"M{m}") for m in range(mmax + 1)]
+    # hc: residual of the combined variable from the fit's combined coefficients
+    kap = [f["beta"] @ f["s"] for f in fits]
+    omax = max(f["order"] for f in fits)
+    fitted = sum((pick([kk[m] if m < len(kk) else 0.0 for kk in kap]) * F.col("z") ** m for m in range(omax + 1)), F.lit(0.0))
+    e = e.withColumn("_r", v - fitted)
+    aggs = [F.sum(terms[name] * F.col("_r") ** 2).alias(name) for name in terms]
     got = {r["w"]: r.asDict() for r in e.groupBy("w").agg(*aggs).collect()}
     return [got.get(i, {}) for i in range(len(fits))]
 
 
-def _fit(m: dict, order: int, fuzzy: bool):
-    G = np.array([[m.get(f"S{a + b}") or 0.0 for b in range(order + 1)] for a in range(order + 1)])
-    Dy = np.array([m.get(f"Y{j}") or 0.0 for j in range(order + 1)])
-    Dt = np.array([m.get(f"T{j}") or 0.0 for j in range(order + 1)])
-    return G, _solve(G, Dy), (_solve(G, Dt) if fuzzy else np.zeros(order + 1))
-
-
 def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
     """(Γ⁻¹ M Γ⁻¹) with the hc1 small-sample factor where asked."""
     Mm = np.array([[M.get(f"M{a + b}") or 0.0 for b in range(order + 1)] for a in range(order + 1)])
@@ -111,17 +145,23 @@ def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
     return Gi @ Mm @ Gi
 
 
-def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, p: int = 1, q: int = 2,
-                 kernel: str = "triangular", vce: str = "nn", rule: str = "msetwo", scaleregul: float = 1.0,
-                 as_dict: bool = False, nnmatch: int = 3):
-    """Per-side bandwidths (h_left, h_right, b_left, b_right) for the order-p estimate at `c`."""
-    if rule not in ("msetwo", "certwo"):
+def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
+                 p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", rule: str | Sequence[str] = "msetwo",
+                 scaleregul: float = 1.0, as_dict: bool = False, nnmatch: int = 3):
+    """Per-side bandwidths (h_left, h_right, b_left, b_right) for the order-p estimate at `c`.
+
+    `rule` may be a list ("msetwo", "certwo"): the coverage-error rule only rescales
+    h, so every listed rule comes from the same passes (one row per rule).
+    """
+    rules = [rule] if isinstance(rule, str) else list(rule)
+    if not rules or any(r not in ("msetwo", "certwo") for r in rules):
         raise ValueError("rule must be 'msetwo' or 'certwo'")
     fuzzy = treat is not None
     cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-            (F.col(treat).cast("double") if fuzzy else F.lit(0.0)).alias("t")]
+            (F.col(treat).cast("double") if fuzzy else F.lit(0.0)).alias("t"),
+            (F.col(group).cast("string") if group else F.lit("")).alias("g")]
     base = df.select(*cols).dropna()
-    base = base.select("x", (F.col("x") - F.lit(float(c))).alias("u"), "y", "t",
+    base = base.select("x", (F.col("x") - F.lit(float(c))).alias("u"), "y", "t", "g",
                        F.when(F.col("x") >= c, F.lit(1)).otherwise(F.lit(0)).alias("side"))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -139,52 +179,45 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         ranges = {0: range_l, 1: range_r}
         n_side = {0: pil["nl"], 1: pil["nr"]}
 
-        # V-parts: all three stages use the pilot window; orders q+1, q, p with derivative q+1, p+1, 0
+        # V-parts: all stages use the pilot window; orders q+1, q, p with derivative q+1, p+1, 0
         vstages = [(q + 1, q + 1), (q, p + 1), (p, 0)]
         omax = q + 1
         win = [(s, c_bw, 2 * omax + 1, omax) for s in (0, 1)] + [(s, ranges[s] + 1e-8, 2 * (q + 2), q + 2) for s in (0, 1)]
         mom = _moments(base, win, kernel)
-        vfit = {}
-        rfits = []
+        zgroups = sorted({g for m in mom for g in m["groups"]})[1:] if group else []
+        vfit, rfits = {}, []
         for s in (0, 1):
             for o, nu in vstages:
-                G, by, bt = _fit(mom[s], o, fuzzy)
-                if fuzzy:
-                    ty, tt = math.factorial(nu) * by[nu] / c_bw ** nu, math.factorial(nu) * bt[nu] / c_bw ** nu
-                    sv = (1.0 / tt, -ty / tt ** 2) if tt != 0 else (float("nan"), float("nan"))
-                else:
-                    sv = (1.0, 0.0)
-                v = np.array([mom[s].get(f"S{j + o + 1}") or 0.0 for j in range(o + 1)])
-                bconst = float((_inv(G) @ v)[nu])
-                vfit[(s, o)] = dict(G=G, sv=sv, bconst=bconst, nu=nu)
-                rfits.append((s, c_bw, o, by, bt, sv[0], sv[1]))
-        vres = _residual_moments(base, rfits, kernel, vce, nnmatch, counts=[mom[f[0]]["n"] for f in rfits])
-        for idx, (s, _, o, *_rest) in enumerate(rfits):
-            f = vfit[(s, o)]
-            Vm = _vmat(f["G"], vres[idx], o, mom[s]["n"], vce)
-            f["V"] = (2 * f["nu"] + 1) * c_bw ** (2 * f["nu"] + 1) * float(Vm[f["nu"], f["nu"]]) / c_bw ** (2 * f["nu"])
+                G, beta, gamma = _fit(mom[s], o, zgroups)
+                sv = _svec(beta, gamma, nu, c_bw, fuzzy)
+                v = np.array([mom[s]["tot"].get(f"S{j + o + 1}", 0.0) for j in range(o + 1)])
+                vfit[(s, o)] = dict(G=G, s=sv, bconst=float((_inv(G) @ v)[nu]), nu=nu)
+                rfits.append(dict(side=s, h=c_bw, order=o, beta=beta, s=sv, n=mom[s]["n"]))
+        vres = _residual_moments(base, rfits, kernel, vce, nnmatch, zgroups)
+        for idx, f in enumerate(rfits):
+            vf = vfit[(f["side"], f["order"])]
+            Vm = _vmat(vf["G"], vres[idx], f["order"], f["n"], vce)
+            vf["V"] = (2 * vf["nu"] + 1) * c_bw ** (2 * vf["nu"] + 1) * float(Vm[vf["nu"], vf["nu"]]) / c_bw ** (2 * vf["nu"])
 
         def stage(o, o_b, hb: dict, with_reg: bool, bm=None):
             """Bias part with window hb[side] and order o_b; returns per-side (V, B, R)."""
             if bm is None:
                 bm = _moments(base, [(s, hb[s], 2 * o_b, o_b) for s in (0, 1)], kernel)
-            out = {}
-            fitsB = []
+            fitsB = {}
             for s in (0, 1):
-                G, by, bt = _fit(bm[s], o_b, fuzzy)
-                fitsB.append((s, hb[s], o_b, by, bt, vfit[(s, o)]["sv"][0], vfit[(s, o)]["sv"][1]))
-            resB = (_residual_moments(base, fitsB, kernel, vce, nnmatch, counts=[bm[s]["n"] for s in (0, 1)])
-                    if with_reg else [{}, {}])
+                G, beta, _ = _fit(bm[s], o_b, zgroups)
+                fitsB[s] = dict(side=s, h=hb[s], order=o_b, beta=beta, s=vfit[(s, o)]["s"], n=bm[s]["n"], G=G)
+            resB = _residual_moments(base, [fitsB[0], fitsB[1]], kernel, vce, nnmatch, zgroups) if with_reg else [{}, {}]
+            out = {}
             for s in (0, 1):
-                f = vfit[(s, o)]
-                G, by, bt = _fit(bm[s], o_b, fuzzy)
-                coef = (f["sv"][0] * by[o + 1] + f["sv"][1] * bt[o + 1]) / hb[s] ** (o + 1)
-                B = math.sqrt(2 * (o + 1 - f["nu"])) * f["bconst"] * coef
+                vf, fb = vfit[(s, o)], fitsB[s]
+                coef = float(fb["beta"][o + 1, :] @ vf["s"]) / hb[s] ** (o + 1)
+                B = math.sqrt(2 * (o + 1 - vf["nu"])) * vf["bconst"] * coef
                 R = 0.0
                 if with_reg:
-                    VB = float(_vmat(G, resB[s], o_b, bm[s]["n"], vce)[o + 1, o + 1]) / hb[s] ** (2 * (o + 1))
-                    R = scaleregul * 2 * (o + 1 - f["nu"]) * 3 * f["bconst"] ** 2 * VB
-                out[s] = (f["V"], B, R)
+                    VB = float(_vmat(fb["G"], resB[s], o_b, fb["n"], vce)[o + 1, o + 1]) / hb[s] ** (2 * (o + 1))
+                    R = scaleregul * 2 * (o + 1 - vf["nu"]) * 3 * vf["bconst"] ** 2 * VB
+                out[s] = (vf["V"], B, R)
             return out
 
         # d: order q+1 derivative, bias from an order q+2 fit on the whole side (no regularisation)
@@ -194,14 +227,14 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         b_bw = {s: min((st[s][0] / (st[s][1] ** 2 + scaleregul * st[s][2])) ** (1.0 / (2 * q + 3)), ranges[s]) for s in (0, 1)}
         st = stage(p, q, b_bw, scaleregul > 0)
         h_bw = {s: min((st[s][0] / (st[s][1] ** 2 + scaleregul * st[s][2])) ** (1.0 / (2 * p + 3)), ranges[s]) for s in (0, 1)}
-        if rule == "certwo":
-            cer = N ** (-(p / ((3 + p) * (3 + 2 * p))))
-            h_bw = {s: h_bw[s] * cer for s in (0, 1)}
-        out = dict(rule=rule, h_left=float(h_bw[0]), h_right=float(h_bw[1]), b_left=float(b_bw[0]), b_right=float(b_bw[1]),
-                   pilot=float(c_bw), n_left=int(n_side[0]), n_right=int(n_side[1]))
+        outs = []
+        for r in rules:
+            fac = N ** (-(p / ((3 + p) * (3 + 2 * p)))) if r == "certwo" else 1.0
+            outs.append(dict(rule=r, h_left=float(h_bw[0] * fac), h_right=float(h_bw[1] * fac), b_left=float(b_bw[0]),
+                             b_right=float(b_bw[1]), pilot=float(c_bw), n_left=int(n_side[0]), n_right=int(n_side[1])))
     finally:
         base.unpersist()
     if as_dict:
-        return out
-    return df.sparkSession.createDataFrame([out], "rule string, h_left double, h_right double, b_left double, b_right double, "
-                                                  "pilot double, n_left long, n_right long")
+        return outs[0] if isinstance(rule, str) else outs
+    return df.sparkSession.createDataFrame(outs, "rule string, h_left double, h_right double, b_left double, b_right double, "
+                                                 "pilot double, n_left long, n_right long")

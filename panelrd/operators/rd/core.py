@@ -100,10 +100,11 @@ def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
 
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
-            return_sides: bool = False, nnmatch: int = 3):
+            return_sides: bool = False, nnmatch: int = 3, variance: bool = True):
     """Estimate every spec in one pair of passes; returns the result DataFrame
     (schema `RESULT_SCHEMA`, three rows per spec) and, with `return_sides`, the
-    per-side polynomial coefficients (schema `SIDE_SCHEMA`)."""
+    per-side polynomial coefficients (schema `SIDE_SCHEMA`).  `variance=False`
+    skips the second pass (standard errors and p-values are then NULL)."""
     if q < p + 1:
         raise ValueError("q must be at least p + 1")
     if vce not in ("hc0", "hc1", "nn"):
@@ -248,7 +249,9 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     e_b = lhs - poly("kq", q + 1)
     a_i = poly("arow", q + 1)
     Q = [wh * z ** j - F.col("L")[j] * wb * a_i for j in range(p + 1)]
-    if vce == "nn":
+    if not variance:
+        meat = None
+    elif vce == "nn":
         # nearest-neighbour residuals are the same for both fits: one pass over distinct values
         from panelrd.operators.rd.nn import nn_sums
 
@@ -263,9 +266,11 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
 
     zq = Z975 if level == 95.0 else _zq(level)
     for i, s in enumerate(specs):
-        V = {"cl": 0.0, "rb": 0.0}
+        V = {"cl": 0.0, "rb": 0.0} if meat is not None else {"cl": float("nan"), "rb": float("nan")}
         for sside in (0, 1):
             f = fits[(i, sside)]
+            if meat is None:
+                continue
             m = meat.get((i, sside), {})
             n = f["tot"]["nw"]
             MC = np.array([[m.get(f"MC{a + bb}") or 0.0 for bb in range(p + 1)] for a in range(p + 1)])
@@ -324,8 +329,8 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
     if h is None:
         from panelrd.operators.rd.bandwidth import rd_bandwidth
 
-        bw = rd_bandwidth(df, x, y, c=c, treat=treat, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect, as_dict=True,
-                          nnmatch=nnmatch)
+        bw = rd_bandwidth(df, x, y, c=c, treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect,
+                          as_dict=True, nnmatch=nnmatch)
         hl, hr, bl, br = bw["h_left"], bw["h_right"], bw["b_left"], bw["b_right"]
     else:
         hl, hr = (h, h) if not isinstance(h, tuple) else h

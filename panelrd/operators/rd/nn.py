@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 256
+MAX_BUCKETS = 1024
 PER_BUCKET = 200_000
 
 

@@ -377,14 +377,12 @@ def q_rd_fuzzy_auto(spark, d):
 
 def q_rd_bandwidth(spark, d):
     fx = roles.rd_fixture(spark, d)
-    a = rd_bandwidth(fx, "x", "y", treat="t", rule="msetwo")
-    b = rd_bandwidth(fx, "x", "y", treat="t", rule="certwo")
-    return rounded(a.unionByName(b))
+    return rounded(rd_bandwidth(fx, "x", "y", treat="t", rule=["msetwo", "certwo"]))
 
 
 def q_fitted_lines(spark, d):
     fx = roles.rd_fixture(spark, d)
-    _, sides = rd_grid(fx, "x", EST.FUZZY_SPECS, treat="t", return_sides=True)
+    _, sides = rd_grid(fx, "x", EST.FUZZY_SPECS, treat="t", return_sides=True, variance=False)
     return rounded(B.fitted_lines(fx, "x", sides, c=0.0, h_left=EST.RD_H, h_right=EST.RD_H))
 
 

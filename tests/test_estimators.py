@@ -86,8 +86,7 @@ def test_grid_equals_single_fits(spark, fixture):
 
 def test_bandwidths_positive_and_cer_smaller(spark, fixture):
     df, _ = fixture
-    mse = rd_bandwidth(df, "x", "y", treat="t", as_dict=True)
-    cer = rd_bandwidth(df, "x", "y", treat="t", rule="certwo", as_dict=True)
+    mse, cer = rd_bandwidth(df, "x", "y", treat="t", rule=["msetwo", "certwo"], as_dict=True)
     for k in ("h_left", "h_right", "b_left", "b_right"):
         assert mse[k] > 0
     assert cer["h_left"] < mse["h_left"] and cer["b_left"] == mse["b_left"]
@@ -144,3 +143,14 @@ def test_auto_bandwidth_fuzzy_recovers_effect(spark, fixture):
     res = rd(df, "x", "y", c=0.0, treat="t")
     est, se = _get(res, "robust")
     assert abs(est - 0.2) < 4 * se + 0.01
+
+
+@pytest.mark.parametrize("vce,fuzzy,group", [("hc1", False, False), ("nn", True, True)])
+def test_bandwidth_matches_dense_plugin(spark, fixture, vce, fuzzy, group):
+    from rd_dense import bw_dense
+
+    df, pdf = fixture
+    r = rd_bandwidth(df, "x", "y", treat="t" if fuzzy else None, group="grp" if group else None, vce=vce, as_dict=True)
+    ref = bw_dense(pdf.x.values, pdf.y.values, 0.0, t=pdf.t.values if fuzzy else None,
+                   groups=pdf.grp.values if group else None, vce=vce, c_bw=r["pilot"])
+    np.testing.assert_allclose([r["h_left"], r["h_right"], r["b_left"], r["b_right"]], ref, rtol=1e-8)
