@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.operators.rd.core import kernel_weight, _inv, _solve
+from panelrd.session import jit_friendly
 
 # Rule-of-thumb pilot constants per kernel.
 PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
@@ -50,7 +51,9 @@ def _moments(base: DataFrame, windows: Sequence[tuple], kernel: str) -> list[dic
     aggs += [F.sum(k * z ** m * F.col("y")).alias(f"Y{m}") for m in range(md + 1)]
     aggs += [F.sum(k * z ** m * F.col("t")).alias(f"T{m}") for m in range(md + 1)]
     out = [dict(n=0, groups={}) for _ in windows]
-    for r in e.groupBy("w", "g").agg(*aggs).collect():
+    with jit_friendly(base.sparkSession):
+        rows = e.groupBy("w", "g").agg(*aggs).collect()
+    for r in rows:
         d = r.asDict()
         out[d["w"]]["groups"][d["g"]] = d
         out[d["w"]]["n"] += d["n"]
@@ -132,7 +135,8 @@ def _residual_moments(base: DataFrame, fits: Sequence[dict], kernel: str, vce: s
     fitted = sum((pick([kk[m] if m < len(kk) else 0.0 for kk in kap]) * F.col("z") ** m for m in range(omax + 1)), F.lit(0.0))
     e = e.withColumn("_r", v - fitted)
     aggs = [F.sum(terms[name] * F.col("_r") ** 2).alias(name) for name in terms]
-    got = {r["w"]: r.asDict() for r in e.groupBy("w").agg(*aggs).collect()}
+    with jit_friendly(spark):
+        got = {r["w"]: r.asDict() for r in e.groupBy("w").agg(*aggs).collect()}
     return [got.get(i, {}) for i in range(len(fits))]
 
 

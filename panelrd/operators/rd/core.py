@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.operators.stats import Z975, norm_sf2
+from panelrd.session import jit_friendly
 
 RESULT_COLUMNS = ["spec", "outcome", "method", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high",
                   "n_left", "n_right", "n_eff_left", "n_eff_right", "h_left", "h_right", "b_left", "b_right"]
@@ -157,7 +158,8 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     aggs += [F.sum(wh * z ** m * tt).alias(f"HT{m}") for m in range(p + 1)]
     aggs += [F.sum(wb * z ** m * yy).alias(f"BY{m}") for m in range(q + 1)]
     aggs += [F.sum(wb * z ** m * tt).alias(f"BT{m}") for m in range(q + 1)]
-    mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
+    with jit_friendly(spark):
+        mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
 
     groups = sorted({r["g"] for r in mom}) if group else [""]
     zgroups = groups[1:] if group else []          # first level is the base (dropped dummy)
@@ -262,7 +264,8 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     else:
         aggs2 = [F.sum(wh * wh * z ** m * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
         aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
-        meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
+        with jit_friendly(spark):
+            meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
 
     zq = Z975 if level == 95.0 else _zq(level)
     for i, s in enumerate(specs):

@@ -10,7 +10,9 @@ table of distinct values per key (count d, Σw, Σw²):
 2. a window per (key, bucket) gives the J previous/next distinct values;
 3. neighbours across bucket borders come from a small table of each bucket's
    first/last J values (keys × buckets × 2J rows), gathered once and broadcast;
-4. the neighbour expansion is unrolled into J column steps;
+4. the neighbour expansion needs no loop: left and right groups are taken in
+   order of distance (ties together), so a group is used exactly when the own
+   ties plus all strictly closer groups are still short of min(J, n − 1);
 5. Σ_{i∈v} res_i² = α²Σw² − 2αβΣw + dβ² per distinct value, and the requested
    outer-product terms are summed per key.
 
@@ -25,7 +27,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelrd.session import jit_friendly
+
 MAX_BUCKETS = 1024
+
+
+def _lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
 PER_BUCKET = 200_000
 
 
@@ -45,7 +55,6 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
         F.count(F.lit(1)).alias("_d"), F.sum(F.col(w)).alias("_S"), F.sum(F.col(w) * F.col(w)).alias("_Q"),
         *[F.first(t).alias(name) for name, t in terms.items()])
     kschema = ", ".join(f"{k} {dict(dv.dtypes)[k]}" for k in keys)
-    ndf = spark.createDataFrame([(*k, int(v)) for k, v in n_by_key.items()], f"{kschema}, _n long")
     nb = max(1, min(MAX_BUCKETS, max(n_by_key.values()) // PER_BUCKET))
     persisted = []
     if nb > 1:
@@ -83,48 +92,51 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
                     nxt = [vals[i] for i in range(last + 1, min(len(vals), last + 1 + J))]
                     halo.append((*k, b, [float(v[1]) for v in prev], [int(v[2]) for v in prev], [float(v[3]) for v in prev],
                                  [float(v[1]) for v in nxt], [int(v[2]) for v in nxt], [float(v[3]) for v in nxt]))
-        hdf = spark.createDataFrame(halo, f"{kschema}, _b int, _px array<double>, _pd array<long>, _pS array<double>, "
-                                          f"_qx array<double>, _qd array<long>, _qS array<double>")
-        t = ranked.join(F.broadcast(hdf), on=keys + ["_b"], how="left").join(F.broadcast(ndf), on=keys)
-        r, cnt = F.col("_r"), F.col("_c")
-        L = {c: [] for c in ("x", "d", "S")}
-        R = {c: [] for c in ("x", "d", "S")}
+        q = lambda c: f"`{c}`"
+        # observation count per key as a literal CASE (keys are few: specs × sides)
+        ncase = "CASE " + " ".join(
+            "WHEN " + " AND ".join(f"{q(k)} = {_lit(v)}" for k, v in zip(keys, kv)) + f" THEN {int(n)}"
+            for kv, n in n_by_key.items()) + " END"
+        if nb > 1:
+            hdf = spark.createDataFrame(halo, f"{kschema}, _b int, _px array<double>, _pd array<long>, _pS array<double>, "
+                                              f"_qx array<double>, _qd array<long>, _qS array<double>")
+            t = ranked.join(F.broadcast(hdf), on=keys + ["_b"], how="left")
+
+            def nb_(side, c, j):
+                src = {"x": x, "d": "_d", "S": "_S"}[c]
+                if side == "l":
+                    return (f"CASE WHEN {j} >= _r THEN try_element_at(_p{c}, {j} - _r + 1) ELSE {q(f'_l{j}{src}')} END")
+                return f"CASE WHEN {j} > _c - _r THEN try_element_at(_q{c}, {j} - (_c - _r)) ELSE {q(f'_n{j}{src}')} END"
+        else:
+            t = ranked
+
+            def nb_(side, c, j):
+                src = {"x": x, "d": "_d", "S": "_S"}[c]
+                return q(f"_{'l' if side == 'l' else 'n'}{j}{src}")
+        # the J previous and next distinct values: distance, count, sum
+        cand = []
         for j in range(1, J + 1):
-            for c, src, ps, qs in (("x", x, "_px", "_qx"), ("d", "_d", "_pd", "_qd"), ("S", "_S", "_pS", "_qS")):
-                L[c].append(F.when(F.lit(j) >= r, F.try_element_at(F.col(ps), F.lit(j) - r + 1)).otherwise(F.col(f"_l{j}{src}")))
-                R[c].append(F.when(F.lit(j) > cnt - r, F.try_element_at(F.col(qs), F.lit(j) - (cnt - r))).otherwise(F.col(f"_n{j}{src}")))
-        t = t.select(*keys, F.col(x).alias("_x"), "_d", "_S", "_Q", "_n", *terms.keys(),
-                     *[F.array(*L[c]).alias(f"_arrL{c}") for c in L], *[F.array(*R[c]).alias(f"_arrR{c}") for c in R])
-        target = F.least(F.lit(J), F.col("_n") - 1)
-        t = t.withColumns({"_k": F.col("_d") - 1, "_A": F.lit(0.0), "_li": F.lit(0), "_ri": F.lit(0)})
-        for _ in range(J):
-            need = F.col("_k") < target
-            lx = F.try_element_at(F.col("_arrLx"), F.col("_li") + 1)
-            rx = F.try_element_at(F.col("_arrRx"), F.col("_ri") + 1)
-            hl, hr = lx.isNotNull(), rx.isNotNull()
-            dl, dr = F.col("_x") - lx, rx - F.col("_x")
-            take_l = need & hl & (~hr | (dl <= dr))
-            take_r = need & hr & (~hl | (dl >= dr))
-            ld = F.try_element_at(F.col("_arrLd"), F.col("_li") + 1)
-            rd = F.try_element_at(F.col("_arrRd"), F.col("_ri") + 1)
-            lS = F.try_element_at(F.col("_arrLS"), F.col("_li") + 1)
-            rS = F.try_element_at(F.col("_arrRS"), F.col("_ri") + 1)
-            t = t.withColumns({
-                "_tl": F.coalesce(take_l, F.lit(False)), "_tr": F.coalesce(take_r, F.lit(False)),
-                "_stepld": ld, "_steprd": rd, "_steplsum": lS, "_steprsum": rS,
-            }).withColumns({
-                "_k": F.col("_k") + F.when(F.col("_tl"), F.col("_stepld")).otherwise(0) + F.when(F.col("_tr"), F.col("_steprd")).otherwise(0),
-                "_A": F.col("_A") + F.when(F.col("_tl"), F.col("_steplsum")).otherwise(0.0) + F.when(F.col("_tr"), F.col("_steprsum")).otherwise(0.0),
-                "_li": F.col("_li") + F.col("_tl").cast("int"), "_ri": F.col("_ri") + F.col("_tr").cast("int"),
-            })
-        Ji = F.col("_k").cast("double")
-        cfac = F.sqrt(Ji / (Ji + 1.0))
-        alpha = cfac * (1.0 + 1.0 / Ji)
-        beta = cfac * (F.col("_S") + F.col("_A")) / Ji
-        E = alpha * alpha * F.col("_Q") - 2.0 * alpha * beta * F.col("_S") + F.col("_d") * beta * beta
-        t = t.withColumn("_E", E)
+            cand += [f"{q(x)} - ({nb_('l', 'x', j)}) AS _dl{j}", f"{nb_('l', 'd', j)} AS _cl{j}", f"{nb_('l', 'S', j)} AS _sl{j}",
+                     f"({nb_('r', 'x', j)}) - {q(x)} AS _dr{j}", f"{nb_('r', 'd', j)} AS _cr{j}", f"{nb_('r', 'S', j)} AS _sr{j}"]
+        t = t.selectExpr(*[q(k) for k in keys], "_d", "_S", "_Q", f"{ncase} AS _n", *[q(n) for n in terms], *cand)
+        # Matching merges left and right groups by distance (a tie takes both), so a group is used
+        # exactly when the own ties plus all strictly closer groups are still short of min(J, n − 1).
+        names = [(f"_d{sd}{j}", f"_c{sd}{j}", f"_s{sd}{j}") for j in range(1, J + 1) for sd in ("l", "r")]
+        incl = []
+        for dg, cg, _ in names:
+            before = " + ".join(["(_d - 1)"] + [f"CASE WHEN {dh} < {dg} THEN {ch} ELSE 0 END" for dh, ch, _ in names if dh != dg])
+            incl.append(f"coalesce({dg} IS NOT NULL AND ({before}) < least({J}, _n - 1), false) AS _u{dg}")
+        t = t.selectExpr("*", *incl)
+        k_expr = " + ".join(["(_d - 1)"] + [f"CASE WHEN _u{dg} THEN {cg} ELSE 0 END" for dg, cg, _ in names])
+        a_expr = " + ".join(["0.0D"] + [f"CASE WHEN _u{dg} THEN {sg} ELSE 0.0D END" for dg, _, sg in names])
+        t = t.selectExpr(*[q(k) for k in keys], *[q(n) for n in terms], "_d", "_S", "_Q",
+                         f"CAST({k_expr} AS DOUBLE) AS _k", f"{a_expr} AS _A")
+        # Σ_{i∈v} res_i² with res_i = α w_i − β, α = c(1 + 1/J_i), β = c(S + A)/J_i, c = √(J_i/(J_i+1))
+        t = t.selectExpr("*", "sqrt(_k / (_k + 1.0D)) * (1.0D + 1.0D / _k) AS _al", "sqrt(_k / (_k + 1.0D)) * (_S + _A) / _k AS _be")
+        t = t.selectExpr("*", "_al * _al * _Q - 2.0D * _al * _be * _S + _d * _be * _be AS _E")
         out = t.groupBy(*keys).agg(*[F.sum(F.col(name) * F.col("_E")).alias(name) for name in terms])
-        return {tuple(r[k] for k in keys): r.asDict() for r in out.collect()}
+        with jit_friendly(spark):
+            return {tuple(r[k] for k in keys): r.asDict() for r in out.collect()}
     finally:
         for p in persisted:
             p.unpersist()

@@ -68,3 +68,30 @@ def cut_lineage(df):
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+JIT_METHOD_LIMIT = "8000"
+
+
+class jit_friendly:
+    """Context manager for the estimators' own actions: generated methods above the
+    JVM's JIT size limit (8000 bytecodes) are split back into per-operator code
+    instead of running interpreted.  The caller's setting is restored afterwards."""
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.old = None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.key, None)
+        self.spark.conf.set(self.key, JIT_METHOD_LIMIT)
+        return self
+
+    def __exit__(self, *exc):
+        if self.old is None:
+            self.spark.conf.unset(self.key)
+        else:
+            self.spark.conf.set(self.key, self.old)
+        return False
