@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.rd.core import kernel_weight, _inv, _solve
+from panelrd.operators.rd.core import MAX_GROUP_LEVELS, kernel_weight, _inv, _solve
 from panelrd.session import jit_friendly
 
 # Rule-of-thumb pilot constants per kernel.
@@ -189,6 +189,8 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         win = [(s, c_bw, 2 * omax + 1, omax) for s in (0, 1)] + [(s, ranges[s] + 1e-8, 2 * (q + 2), q + 2) for s in (0, 1)]
         mom = _moments(base, win, kernel)
         zgroups = sorted({g for m in mom for g in m["groups"]})[1:] if group else []
+        if len(zgroups) + 1 > MAX_GROUP_LEVELS:
+            raise ValueError(f"{len(zgroups) + 1} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}")
         vfit, rfits = {}, []
         for s in (0, 1):
             for o, nu in vstages:

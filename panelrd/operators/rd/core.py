@@ -37,6 +37,9 @@ RESULT_SCHEMA = ("spec string, outcome string, method string, estimate double, s
 SIDE_COLUMNS = ["spec", "side", "role", "power", "coef"]
 SIDE_SCHEMA = "spec string, side string, role string, power int, coef double"
 METHODS = ("conventional", "bias_corrected", "robust")
+# Group controls are solved as a dense (levels − 1) system on the driver and their
+# per-level constants are broadcast, so the number of levels is checked first.
+MAX_GROUP_LEVELS = 5000
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,7 @@ def _inv(A: np.ndarray) -> np.ndarray:
 
 
 def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
-    out = {}
+    out = {k: 0.0 for k in keys}
     for r in rows:
         for k in keys:
             out[k] = out.get(k, 0.0) + (r[k] or 0.0)
@@ -162,6 +165,9 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
         mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
 
     groups = sorted({r["g"] for r in mom}) if group else [""]
+    if len(groups) > MAX_GROUP_LEVELS:
+        raise ValueError(f"{len(groups)} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}; "
+                         "use a coarser group column")
     zgroups = groups[1:] if group else []          # first level is the base (dropped dummy)
     nz = len(zgroups)
     keys = ["nw", "nh", "nb"] + [f"H{m}" for m in range(2 * p + 2)] + [f"B{m}" for m in range(2 * q + 1)] + \
@@ -210,6 +216,9 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
         d_p = fr["bp"][0, :] - fl["bp"][0, :]
         d_bc = fr["bbc"][0, :] - fl["bbc"][0, :]
         tY_cl, tY_bc = float(sY @ d_p), float(sY @ d_bc)
+        if min(fl["tot"]["nh"], fr["tot"]["nh"]) < p + 1 or min(fl["tot"]["nb"], fr["tot"]["nb"]) < q + 1:
+            # not enough observations on a side for the fits: the estimate is undefined (NULL row)
+            tY_cl = tY_bc = float("nan")
         if s.fuzzy:
             tT_cl, tT_bc = float(sT @ d_p), float(sT @ d_bc)
             tau_cl = tY_cl / tT_cl if tT_cl != 0 else float("nan")
@@ -290,6 +299,8 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
         tau_cl, tau_bc = est[i]
         se_cl = math.sqrt(V["cl"]) if V["cl"] >= 0 else float("nan")
         se_rb = math.sqrt(V["rb"]) if V["rb"] >= 0 else float("nan")
+        if math.isnan(tau_cl):
+            se_cl = se_rb = float("nan")
         fl, fr = fits[(i, 0)], fits[(i, 1)]
         common = (int(totals[f"l{i}"]), int(totals[f"r{i}"]), int(fl["tot"]["nh"]), int(fr["tot"]["nh"]),
                   float(s.h_left), float(s.h_right), float(s.b_left), float(s.b_right))

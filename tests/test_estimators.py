@@ -154,3 +154,12 @@ def test_bandwidth_matches_dense_plugin(spark, fixture, vce, fuzzy, group):
     ref = bw_dense(pdf.x.values, pdf.y.values, 0.0, t=pdf.t.values if fuzzy else None,
                    groups=pdf.grp.values if group else None, vce=vce, c_bw=r["pilot"])
     np.testing.assert_allclose([r["h_left"], r["h_right"], r["b_left"], r["b_right"]], ref, rtol=1e-8)
+
+
+@pytest.mark.parametrize("vce", ["hc1", "nn"])
+def test_rd_undefined_sides_give_null_rows(spark, vce):
+    rows = [(float(i), float(i % 3)) for i in range(-20, 20)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    for spec in (RDSpec("empty", "y", 100.0, 5.0, 5.0), RDSpec("tiny", "y", 0.0, 2.5, 2.5)):
+        out = rd_grid(df, "x", [spec], vce=vce).collect()
+        assert len(out) == 3 and all(r["estimate"] is None and r["std_error"] is None for r in out)
