@@ -72,3 +72,26 @@ def density_test(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None
     else:
         row = (None, None, None, None, fl, fr, n, float(b), float(h))
     return d.sparkSession.createDataFrame([row], TEST_SCHEMA)
+
+
+def density_curve(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
+    """Smoothed density at every bin midpoint: a triangular-kernel local-linear fit of
+    the normalised heights of the bins on the same side within the bandwidth.
+
+    Bins sit on a regular grid, so each bin is sent only to the evaluation points
+    within `bandwidth` (2·h/width + 1 offsets, a bounded band), never to all bins.
+    """
+    d = df.select(F.col(x).cast("double").alias("x")).dropna()
+    n, b, h, _, _ = _defaults(d, "x", c, bin_width, bandwidth)
+    bins = density_binned(d, "x", c, b, h)
+    H = int(math.floor(h / b))
+    e = bins.select("bin", "height", "side", F.explode(F.sequence(F.lit(-H), F.lit(H))).alias("o"))
+    e = e.select((F.col("bin") + F.col("o")).alias("at"), "side", "height", (-F.col("o") * F.lit(b)).alias("dx"))
+    e = e.withColumn("w", F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("dx")) / F.lit(h))).filter(F.col("w") > 0)
+    w, dx, ht = F.col("w"), F.col("dx"), F.col("height")
+    fit = e.groupBy("at", "side").agg(F.sum(w).alias("s0"), F.sum(w * dx).alias("s1"), F.sum(w * dx * dx).alias("s2"),
+                                      F.sum(w * ht).alias("t0"), F.sum(w * dx * ht).alias("t1"))
+    fit = fit.select(F.col("at").alias("bin"), "side",
+                     F.try_divide(F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1"),
+                                  F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")).alias("density"))
+    return bins.select("bin", "mid", "side", "n", "height").join(fit, on=["bin", "side"], how="left")

@@ -403,6 +403,10 @@ def q_density_binned(spark, d):
     return rounded(DEN.density_binned(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
 
 
+def q_density_curve(spark, d):
+    return rounded(DEN.density_curve(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
+
+
 def q_density_test(spark, d):
     fx = roles.rd_fixture(spark, d)
     bunched = fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))

@@ -215,11 +215,20 @@ th2 AS (SELECT *, ln(fr) - ln(fl) AS theta, sqrt((1.0 / (n * {h})) * (24.0 / 5.0
 SELECT round(theta, 6) AS theta, round(se, 6) AS std_error, round(theta / se, 6) AS statistic, round({pnorm2('theta / se')}, 6) AS p_value,
        round(fl, 6) AS f_left, round(fr, 6) AS f_right, n, round({b}, 6) AS bin_width, round({h}, 6) AS bandwidth, '{label}' AS sample FROM th2)"""
 
+    curve = f"""WITH {rd_cte}, {bins('rd')},
+pr AS (SELECT j.bin, j.side, k.height, (k.bin - j.bin) * {b} AS dx FROM bt j JOIN bt k ON j.side = k.side
+       AND k.bin BETWEEN j.bin - {int(EST.DENSITY_H // EST.DENSITY_BIN)} AND j.bin + {int(EST.DENSITY_H // EST.DENSITY_BIN)}),
+pw AS (SELECT *, greatest(0.0, 1.0 - abs(dx) / {h}) AS w FROM pr),
+ft AS (SELECT bin, side, sum(w) AS s0, sum(w * dx) AS s1, sum(w * dx * dx) AS s2, sum(w * height) AS t0, sum(w * dx * height) AS t1
+       FROM pw WHERE w > 0 GROUP BY bin, side)
+SELECT bt.bin, round(bt.mid, 6) AS mid, bt.side, bt.n, round(bt.height, 6) AS height,
+       round(CASE WHEN s0 * s2 - s1 * s1 = 0 THEN NULL ELSE (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END, 6) AS density
+FROM bt LEFT JOIN ft ON bt.bin = ft.bin AND bt.side = ft.side"""
     binned = f"""WITH {rd_cte}, {bins('rd')}
 SELECT bin, round(mid, 6) AS mid, n, round(height, 6) AS height, side, round(weight, 6) AS weight FROM bt"""
     bunched = "(SELECT * FROM rd WHERE NOT (x >= -3 AND x < 0 AND grp IN ('1-URGENT', '2-HIGH')))"
     dtest = f"WITH {rd_cte} SELECT * FROM {test('rd', 'full')} UNION ALL SELECT * FROM {test(bunched, 'bunched')}"
-    return {"density_binned": binned, "density_test": dtest}
+    return {"density_binned": binned, "density_test": dtest, "density_curve": curve}
 
 
 def all_sql(rd_cte: str) -> dict[str, str]:
