@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from panelrd.session import jit_friendly
 
 MAX_BUCKETS = 1024
+PER_BUCKET = 200_000
 
 
 def _lit(v) -> str:
+    """SQL literal for a key value."""
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
     return repr(v)
-PER_BUCKET = 200_000
 
 
 def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping[str, Column], n_by_key: Mapping[tuple, int],
@@ -132,7 +133,8 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
         t = t.selectExpr(*[q(k) for k in keys], *[q(n) for n in terms], "_d", "_S", "_Q",
                          f"CAST({k_expr} AS DOUBLE) AS _k", f"{a_expr} AS _A")
         # Σ_{i∈v} res_i² with res_i = α w_i − β, α = c(1 + 1/J_i), β = c(S + A)/J_i, c = √(J_i/(J_i+1))
-        t = t.selectExpr("*", "sqrt(_k / (_k + 1.0D)) * (1.0D + 1.0D / _k) AS _al", "sqrt(_k / (_k + 1.0D)) * (_S + _A) / _k AS _be")
+        t = t.selectExpr("*", "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (1.0D + 1.0D / _k) END AS _al",
+                         "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (_S + _A) / _k END AS _be")
         t = t.selectExpr("*", "_al * _al * _Q - 2.0D * _al * _be * _S + _d * _be * _be AS _E")
         out = t.groupBy(*keys).agg(*[F.sum(F.col(name) * F.col("_E")).alias(name) for name in terms])
         with jit_friendly(spark):

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from panelrd.functions.recode import flag
 from panelrd.session import table_path
+from panelrd.sources import load_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return load_table(spark, table_path(sf_dir, name))
 
 
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,10 @@ def test_rd_undefined_sides_give_null_rows(spark, vce):
     for spec in (RDSpec("empty", "y", 100.0, 5.0, 5.0), RDSpec("tiny", "y", 0.0, 2.5, 2.5)):
         out = rd_grid(df, "x", [spec], vce=vce).collect()
         assert len(out) == 3 and all(r["estimate"] is None and r["std_error"] is None for r in out)
+
+
+def test_no_jump_outcome_interval_covers_zero(spark, fixture):
+    df, _ = fixture
+    res = rd_grid(df, "x", [RDSpec("bal", "e", 0.0, 15.0, 15.0, 25.0, 25.0)])
+    r = [x for x in res.collect() if x["method"] == "robust"][0]
+    assert r["conf_low"] < 0 < r["conf_high"]
