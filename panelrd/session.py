@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -76,22 +77,34 @@ JIT_METHOD_LIMIT = "8000"
 class jit_friendly:
     """Context manager for the estimators' own actions: generated methods above the
     JVM's JIT size limit (8000 bytecodes) are split back into per-operator code
-    instead of running interpreted.  The caller's setting is restored afterwards."""
+    instead of running interpreted.  The caller's setting is restored when the
+    last concurrent user leaves (actions may run from several threads)."""
 
     key = "spark.sql.codegen.hugeMethodLimit"
+    _lock = threading.Lock()
+    _depth: dict = {}
+    _saved: dict = {}
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.old = None
 
     def __enter__(self):
-        self.old = self.spark.conf.get(self.key, None)
-        self.spark.conf.set(self.key, JIT_METHOD_LIMIT)
+        sid = id(self.spark)
+        with self._lock:
+            if self._depth.get(sid, 0) == 0:
+                self._saved[sid] = self.spark.conf.get(self.key, None)
+                self.spark.conf.set(self.key, JIT_METHOD_LIMIT)
+            self._depth[sid] = self._depth.get(sid, 0) + 1
         return self
 
     def __exit__(self, *exc):
-        if self.old is None:
-            self.spark.conf.unset(self.key)
-        else:
-            self.spark.conf.set(self.key, self.old)
+        sid = id(self.spark)
+        with self._lock:
+            self._depth[sid] -= 1
+            if self._depth[sid] == 0:
+                old = self._saved.pop(sid)
+                if old is None:
+                    self.spark.conf.unset(self.key)
+                else:
+                    self.spark.conf.set(self.key, old)
         return False
