@@ -413,3 +413,37 @@ def q_density_test(spark, d):
     a = DEN.density_test(fx, "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H).withColumn("sample", F.lit("full"))
     b = DEN.density_test(bunched, "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H).withColumn("sample", F.lit("bunched"))
     return rounded(a.unionByName(b))
+
+
+
+# ---------------------------------------------------------------- the main analysis, end to end (lifecycle L1)
+
+def study_table(spark, d):
+    """One row per unit: normalised score, treatment, persistence outcome and group.
+
+    units (orders) ⟕ collapsed spells (line items) on (unit, cohort); group = the
+    customer's nation; cutoffs inferred per cohort for both treatments; sample
+    restricted to units below the other treatment's cutoff.
+    """
+    from panelrd.functions import persistence
+
+    s = roles.score(spark, d)
+    st = _students(spark, d).select(F.col("id").alias("sid"), F.col("cohort").alias("entry"), "years")
+    st = st.select("*", *persistence(F.col("years"), [2], prefix="persist_"))
+    u = P.join_on(s, st, [("id", "sid"), ("cohort", "entry")], how="left")
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    u = u.join(c, u.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    cuts = C.cutoff_table(u, "score", "cohort", TREATMENTS)
+    u = C.normalise(u, cuts, "score", "cohort", TREATMENTS)
+    return u.filter(F.col("x_treat_a") < 0).select("id", "cohort", "x_treat_b", "treat_b", "persist_1", "n_name")
+
+
+def q_study_main(spark, d):
+    """Fuzzy RD of persistence on the normalised score, treatment take-up as the
+    endogenous variable, group controls, per-side MSE bandwidths, NN variance."""
+    from panelrd.operators.rd import rd
+
+    t = study_table(spark, d)
+    return rounded(rd(t, "x_treat_b", "persist_1", c=0.0, treat="treat_b", group="n_name", bwselect="msetwo",
+                      name="persistence_2y"))

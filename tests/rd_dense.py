@@ -124,22 +124,44 @@ def nn_residuals(x, w, J=3):
     return res
 
 
-def rd_dense_nn(x, y, c, h, b, t=None, p=1, q=2, kernel="triangular", J=3):
-    """Sharp/fuzzy RD with nearest-neighbour variance (no group controls)."""
-    D = np.column_stack([y] + ([t] if t is not None else []))
+def rd_dense_nn(x, y, c, h, b, t=None, p=1, q=2, kernel="triangular", J=3, groups=None, hr=None, br=None):
+    """Sharp/fuzzy RD with nearest-neighbour variance, optional group controls and per-side bandwidths."""
+    cols = [y, t if t is not None else np.zeros_like(y)]
+    if groups is not None:
+        levels = sorted(set(groups))[1:]
+        cols += [(groups == g).astype(float) for g in levels]
+    D = np.column_stack(cols)
+    hr = h if hr is None else hr
+    br = b if br is None else br
     fits = []
-    for mask in (x < c, x >= c):
+    for mask, hh, bb in ((x < c, h, b), (x >= c, hr, br)):
         o = np.argsort(x[mask], kind="stable")
-        fits.append(side_fit(x[mask][o], D[mask][o], c, h, b, p, q, kernel))
+        fits.append(side_fit(x[mask][o], D[mask][o], c, hh, bb, p, q, kernel))
     fl, fr = fits
+    nz = D.shape[1] - 2
+    if nz:
+        ZWZ = np.zeros((nz, nz))
+        ZWY = np.zeros((nz, 2))
+        for f in fits:
+            U = (f["Rp"] * f["wh"][:, None]).T @ f["D"]
+            ZWD = (f["D"][:, 2:] * f["wh"][:, None]).T @ f["D"]
+            UiGU = U[:, 2:].T @ f["iGp"] @ U
+            ZWZ += ZWD[:, 2:] - UiGU[:, 2:]
+            ZWY += ZWD[:, :2] - UiGU[:, :2]
+        gamma = np.linalg.pinv(ZWZ) @ ZWY
+    else:
+        gamma = np.zeros((0, 2))
+    sY = np.concatenate([[1.0, 0.0], -gamma[:, 0]])
+    sT = np.concatenate([[0.0, 1.0], -gamma[:, 1]])
     dp = fr["bp"][0] - fl["bp"][0]
     dbc = fr["bbc"][0] - fl["bbc"][0]
     if t is None:
-        s = np.array([1.0])
-        tau_cl, tau_bc = dp[0], dbc[0]
+        s = sY
+        tau_cl, tau_bc = sY @ dp, sY @ dbc
     else:
-        tau_cl, tau_bc = dp[0] / dp[1], dbc[0] / dbc[1]
-        s = np.array([1 / dp[1], -dp[0] / dp[1] ** 2])
+        tY, tT = sY @ dp, sT @ dp
+        tau_cl, tau_bc = tY / tT, (sY @ dbc) / (sT @ dbc)
+        s = sY / tT - tY / tT ** 2 * sT
     V = {"cl": 0.0, "rb": 0.0}
     for f in fits:
         xs = f["u"]
