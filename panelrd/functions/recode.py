@@ -103,4 +103,11 @@ def persistence(dur, thresholds: Sequence[float], prefix: str = "persist_") -> l
 
 
 def any_of(*conds) -> Column:
+    """OR of conditions where an unknown condition counts as false (two-source dummies)."""
     return reduce(lambda a, b: a | b, [F.coalesce(_col(c), F.lit(False)) for c in conds])
+
+
+def tri_state(col, yes: tuple, no: tuple) -> Column:
+    """1 when the value is in `yes`, 0 when in `no`, NULL otherwise (unknown)."""
+    c = _col(col)
+    return F.when(in_set(c, yes), F.lit(1.0)).when(in_set(c, no), F.lit(0.0))

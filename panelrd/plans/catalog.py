@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrd.functions import Rule, backfill, bracket, flag, in_set, lookup, recode, refine, to_number
+from panelrd.functions import Rule, any_of, backfill, bracket, flag, in_set, lookup, recode, refine, to_number, tri_state
 from panelrd.operators import bins as B
 from panelrd.operators import cutoff as C
 from panelrd.operators import panel as P
@@ -55,8 +55,8 @@ def q_flags(spark, d):
     out = o.select(
         F.col("o_orderkey").alias("id"),
         flag(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-        F.when(F.col("o_orderstatus") == "F", F.lit(1.0)).when(F.col("o_orderstatus") == "O", F.lit(0.0)).alias("finished_known"),
-        flag(in_set(primary, ["1-URGENT", "2-HIGH"]) | in_set(F.col("o_orderstatus"), ["F"])).alias("high_or_done"),
+        tri_state(F.col("o_orderstatus"), ("F",), ("O",)).alias("finished_known"),
+        flag(any_of(in_set(primary, ["1-URGENT", "2-HIGH"]), in_set(F.col("o_orderstatus"), ["F"]))).alias("high_or_done"),
     )
     return rounded(out)
 
