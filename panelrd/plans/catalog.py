@@ -407,6 +407,14 @@ def q_density_curve(spark, d):
     return rounded(DEN.density_curve(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
 
 
+def q_density_lp(spark, d):
+    fx = roles.rd_fixture(spark, d)
+    bunched = fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))
+    a = DEN.density_lp(fx, "x", 0.0, EST.DENSITY_LP_H, EST.DENSITY_LP_P).withColumn("sample", F.lit("full"))
+    b = DEN.density_lp(bunched, "x", 0.0, EST.DENSITY_LP_H, EST.DENSITY_LP_P).withColumn("sample", F.lit("bunched"))
+    return rounded(a.unionByName(b))
+
+
 def q_density_test(spark, d):
     fx = roles.rd_fixture(spark, d)
     bunched = fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))

@@ -17,3 +17,4 @@ TABLE_SPECS = [RDSpec("Y", "y", 0.0, RD_H, RD_H, RD_B, RD_B), RDSpec("T", "t", 0
                RDSpec("E", "e", 0.0, RD_H, RD_H, RD_B, RD_B)]
 DENSITY_BIN, DENSITY_H = 1.0, 20.0
 HIST_BINS, HIST_LO, HIST_HI, HIST_SHIFT = 30, 0.0, 130.0, 95.0
+DENSITY_LP_H, DENSITY_LP_P = 10.0, 2

@@ -228,7 +228,32 @@ FROM bt LEFT JOIN ft ON bt.bin = ft.bin AND bt.side = ft.side"""
 SELECT bin, round(mid, 6) AS mid, n, round(height, 6) AS height, side, round(weight, 6) AS weight FROM bt"""
     bunched = "(SELECT * FROM rd WHERE NOT (x >= -3 AND x < 0 AND grp IN ('1-URGENT', '2-HIGH')))"
     dtest = f"WITH {rd_cte} SELECT * FROM {test('rd', 'full')} UNION ALL SELECT * FROM {test(bunched, 'bunched')}"
-    return {"density_binned": binned, "density_test": dtest, "density_curve": curve}
+    from panelrd.operators.density import lp_density_constant
+
+    hh, const = _dbl(EST.DENSITY_LP_H), repr(lp_density_constant(EST.DENSITY_LP_P))
+
+    def lp(src: str, label: str) -> str:
+        return f"""(WITH d AS (SELECT x FROM {src} WHERE x IS NOT NULL),
+nn AS (SELECT count(*) AS n FROM d),
+ec AS (SELECT x, count(*) OVER (ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
+w AS (SELECT x, cum / CAST(n AS DOUBLE) AS Fh, CASE WHEN x >= 0.0 THEN 1 ELSE 0 END AS side, (x - 0.0) / {hh} AS z,
+             CASE WHEN abs(x - 0.0) / {hh} <= 1 THEN (1 - abs(x - 0.0) / {hh}) / {hh} ELSE 0.0 END AS wt
+      FROM ec, nn WHERE x >= 0.0 - {hh} AND x <= 0.0 + {hh}),
+m AS (SELECT side, CAST(sum(CASE WHEN wt > 0 THEN 1 ELSE 0 END) AS BIGINT) AS nh, sum(wt) AS B0, sum(wt * z) AS B1, sum(wt * z * z) AS B2,
+             sum(wt * z * z * z) AS B3, sum(wt * z * z * z * z) AS B4, sum(wt * Fh) AS T0, sum(wt * z * Fh) AS T1, sum(wt * z * z * Fh) AS T2
+      FROM w GROUP BY side),
+c2 AS (SELECT *, -(B1 * B4 - B2 * B3) AS A12, B0 * B4 - B2 * B2 AS A22, -(B0 * B3 - B1 * B2) AS A23,
+              B0 * (B2 * B4 - B3 * B3) + B1 * (-(B1 * B4 - B2 * B3)) + B2 * (B1 * B3 - B2 * B2) AS det FROM m),
+f AS (SELECT side, nh, (A12 * T0 + A22 * T1 + A23 * T2) / det / {hh} AS f FROM c2),
+tt AS (SELECT (SELECT f FROM f WHERE side = 0) AS fl, (SELECT f FROM f WHERE side = 1) AS fr,
+              (SELECT nh FROM f WHERE side = 0) AS nl, (SELECT nh FROM f WHERE side = 1) AS nr, (SELECT n FROM nn) AS n),
+t2 AS (SELECT *, fr - fl AS diff, sqrt((fl + fr) * {const} / (n * {hh})) AS se FROM tt)
+SELECT round(fl, 6) AS f_left, round(fr, 6) AS f_right, round(diff, 6) AS difference, round(se, 6) AS std_error,
+       round(diff / se, 6) AS statistic, round({pnorm2('diff / se')}, 6) AS p_value, n, nl AS n_left_h, nr AS n_right_h,
+       round({hh}, 6) AS bandwidth, CAST({EST.DENSITY_LP_P} AS INTEGER) AS p, '{label}' AS sample FROM t2)"""
+
+    dlp = f"WITH {rd_cte} SELECT * FROM {lp('rd', 'full')} UNION ALL SELECT * FROM {lp(bunched, 'bunched')}"
+    return {"density_binned": binned, "density_test": dtest, "density_curve": curve, "density_lp": dlp}
 
 
 def all_sql(rd_cte: str) -> dict[str, str]:
