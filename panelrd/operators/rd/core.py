@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.operators.stats import Z975, norm_sf2
-from panelrd.session import jit_friendly
+from panelrd.session import jit_friendly, materialize
 
 RESULT_COLUMNS = ["spec", "outcome", "method", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high",
                   "n_left", "n_right", "n_eff_left", "n_eff_right", "h_left", "h_right", "b_left", "b_right"]
@@ -104,11 +104,17 @@ def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
 
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
-            return_sides: bool = False, nnmatch: int = 3, variance: bool = True):
+            return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "persist"):
     """Estimate every spec in one pair of passes; returns the result DataFrame
     (schema `RESULT_SCHEMA`, three rows per spec) and, with `return_sides`, the
     per-side polynomial coefficients (schema `SIDE_SCHEMA`).  `variance=False`
-    skips the second pass (standard errors and p-values are then NULL)."""
+    skips the second pass (standard errors and p-values are then NULL).
+
+    The pruned input (running variable, outcomes, treatment, group) is scanned
+    three or four times, so it is materialised once: `materialize_mode="persist"`
+    (default; recomputed from lineage if an executor is lost), `"checkpoint"`
+    (written to the cluster's `spark.checkpoint.dir`, cutting an expensive upstream
+    lineage) or `"none"`."""
     if q < p + 1:
         raise ValueError("q must be at least p + 1")
     if vce not in ("hc0", "hc1", "nn"):
@@ -120,7 +126,14 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     K = len(specs)
     xc = F.col(x).cast("double")
     need = [x] + ([treat] if treat else []) + ([group] if group else [])
-    base = df.select(*{c: None for c in need + [s.outcome for s in specs]}.keys())
+    base, release = materialize(df.select(*{c: None for c in need + [s.outcome for s in specs]}.keys()), materialize_mode)
+    try:
+        return _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance)
+    finally:
+        release()
+
+
+def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance):
     valid = []
     for s in specs:
         v = F.col(s.outcome).isNotNull()
@@ -334,12 +347,22 @@ def _zq(level: float) -> float:
 def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
        h: float | tuple | None = None, b: float | tuple | None = None, p: int = 1, q: int = 2,
        kernel: str = "triangular", vce: str = "nn", bwselect: str = "msetwo", name: str | None = None,
-       return_sides: bool = False, nnmatch: int = 3):
+       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "persist"):
     """One RD estimate (sharp, or fuzzy with `treat`, optional group controls).
 
     `h`/`b` may be a number or a (left, right) pair; when `h` is None both are
-    chosen by `rd_bandwidth` (`bwselect` = "msetwo" or "certwo").
+    chosen by `rd_bandwidth` (`bwselect` = "msetwo" or "certwo").  The pruned
+    input is materialised once for the selection and the estimate (see `rd_grid`).
     """
+    cols = [c_ for c_ in dict.fromkeys([x, y, treat, group]) if c_]
+    base, release = materialize(df.select(*cols), materialize_mode)
+    try:
+        return _rd(base, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch)
+    finally:
+        release()
+
+
+def _rd(df, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch):
     if h is None:
         from panelrd.operators.rd.bandwidth import rd_bandwidth
 
@@ -354,4 +377,4 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
             bl, br = (b, b) if not isinstance(b, tuple) else b
     spec = RDSpec(name or y, y, c, hl, hr, bl, br, fuzzy=treat is not None)
     return rd_grid(df, x, [spec], treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, return_sides=return_sides,
-                   nnmatch=nnmatch)
+                   nnmatch=nnmatch, materialize_mode="none")

@@ -67,6 +67,26 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def materialize(df, mode: str = "persist"):
+    """Materialise a DataFrame that several passes will scan; returns (df, release).
+
+    "persist": MEMORY_AND_DISK cache (blocks lost with an executor are recomputed
+    from lineage); "checkpoint": reliable checkpoint in `spark.checkpoint.dir`
+    (lineage cut; survives executor loss without replaying upstream joins);
+    "none": leave as is.
+    """
+    from pyspark import StorageLevel
+
+    if mode == "none":
+        return df, (lambda: None)
+    if mode == "checkpoint":
+        return cut_lineage(df), (lambda: None)
+    if mode != "persist":
+        raise ValueError("mode must be 'persist', 'checkpoint' or 'none'")
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return p, p.unpersist
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

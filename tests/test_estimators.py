@@ -230,3 +230,11 @@ def test_lp_density_bucketed_ecdf_equals_single_bucket(spark, fixture, monkeypat
     monkeypatch.setattr(D2, "ECDF_PER_BUCKET", 100)      # dozens of buckets: offsets + running sums per bucket
     many = D2.density_lp(df, "x", 0.0, 10.0, 2).first()
     np.testing.assert_allclose([many["f_left"], many["f_right"]], [one["f_left"], one["f_right"]], rtol=1e-12)
+
+
+def test_rd_materialize_modes_agree(spark, fixture):
+    df, _ = fixture
+    spec = [RDSpec("s", "y", 0.0, 15.0, 15.0, 25.0, 25.0, fuzzy=True)]
+    got = {m: [(r["method"], r["estimate"], r["std_error"]) for r in rd_grid(df, "x", spec, treat="t", materialize_mode=m).collect()]
+           for m in ("persist", "checkpoint", "none")}
+    assert got["persist"] == got["checkpoint"] == got["none"]
