@@ -155,9 +155,13 @@ def _ecdf_window(d: DataFrame, c: float, h: float):
     for b in sorted(tots):
         offs.append((b, acc))
         acc += tots[b]
-    odf = F.broadcast(spark.createDataFrame(offs or [(0, below)], "b int, off long"))  # one row per bucket (≤ 1024)
+    if nb > 1:
+        odf = F.broadcast(spark.createDataFrame(offs, "b int, off long"))  # one row per bucket (≤ ECDF_MAX_BUCKETS)
+        dv = dv.join(odf, on="b")
+    else:
+        dv = dv.withColumn("off", F.lit(below).cast("long"))
     w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dv.join(odf, on="b").withColumn("F", (F.col("off") + F.sum("d").over(w)) / F.lit(float(n)))
+    out = dv.withColumn("F", (F.col("off") + F.sum("d").over(w)) / F.lit(float(n)))
     return out, n
 
 
