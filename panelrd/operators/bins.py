@@ -22,8 +22,15 @@ def equal_bin(x, lo: float, hi: float, bins: int):
     return F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("int")
 
 
-def bin_means(df: DataFrame, x: str, y: str, bins: int, lo: float, hi: float, by: Sequence[str] = ()) -> DataFrame:
-    """Mean and standard error of `y` in `bins` equal-width bins of `x` over [lo, hi]."""
+def bin_means(df: DataFrame, x: str, y: str, bins: int, lo: float | None = None, hi: float | None = None,
+              by: Sequence[str] = ()) -> DataFrame:
+    """Mean and standard error of `y` in `bins` equal-width bins of `x` over [lo, hi].
+
+    A missing `lo`/`hi` is taken from the data (one small min/max aggregate)."""
+    if lo is None or hi is None:
+        mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+        lo = float(mm["lo"]) if lo is None else lo
+        hi = float(mm["hi"]) if hi is None else hi
     w = (hi - lo) / bins
     xc = F.col(x)
     d = within(df, x, lo, hi).filter(F.col(y).isNotNull()).withColumn("bin", equal_bin(xc, lo, hi, bins))

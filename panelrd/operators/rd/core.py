@@ -104,15 +104,17 @@ def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
 
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
-            return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "persist"):
+            return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "auto"):
     """Estimate every spec in one pair of passes; returns the result DataFrame
     (schema `RESULT_SCHEMA`, three rows per spec) and, with `return_sides`, the
     per-side polynomial coefficients (schema `SIDE_SCHEMA`).  `variance=False`
     skips the second pass (standard errors and p-values are then NULL).
 
     The pruned input (running variable, outcomes, treatment, group) is scanned
-    three or four times, so it is materialised once: `materialize_mode="persist"`
-    (default; recomputed from lineage if an executor is lost), `"checkpoint"`
+    three or four times, so it is materialised once when worth it: `"auto"`
+    (default: persist when the input plan has joins/aggregations/windows, else
+    rescan the pruned columns), `"persist"` (recomputed from lineage if an
+    executor is lost), `"checkpoint"`
     (written to the cluster's `spark.checkpoint.dir`, cutting an expensive upstream
     lineage) or `"none"`."""
     if q < p + 1:
@@ -347,7 +349,7 @@ def _zq(level: float) -> float:
 def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
        h: float | tuple | None = None, b: float | tuple | None = None, p: int = 1, q: int = 2,
        kernel: str = "triangular", vce: str = "nn", bwselect: str = "msetwo", name: str | None = None,
-       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "persist"):
+       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "auto"):
     """One RD estimate (sharp, or fuzzy with `treat`, optional group controls).
 
     `h`/`b` may be a number or a (left, right) pair; when `h` is None both are

@@ -73,16 +73,22 @@ def materialize(df, mode: str = "persist"):
     "persist": MEMORY_AND_DISK cache (blocks lost with an executor are recomputed
     from lineage); "checkpoint": reliable checkpoint in `spark.checkpoint.dir`
     (lineage cut; survives executor loss without replaying upstream joins);
-    "none": leave as is.
+    "none": leave as is; "auto": persist only when the plan has joins, aggregations,
+    windows or generators upstream.
     """
     from pyspark import StorageLevel
 
+    if mode == "auto":
+        # only inputs with an expensive upstream plan are worth materialising; a pruned
+        # columnar scan (plus filters/projections) is cheaper to read again than to cache
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        mode = "persist" if any(op in plan for op in ("Join", "Aggregate", "Window", "Generate")) else "none"
     if mode == "none":
         return df, (lambda: None)
     if mode == "checkpoint":
         return cut_lineage(df), (lambda: None)
     if mode != "persist":
-        raise ValueError("mode must be 'persist', 'checkpoint' or 'none'")
+        raise ValueError("mode must be 'auto', 'persist', 'checkpoint' or 'none'")
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
     return p, p.unpersist
 
