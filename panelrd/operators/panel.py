@@ -69,6 +69,48 @@ def collapse_spells(
     return out
 
 
+def collapse_terms(
+    spells: DataFrame,
+    unit: Sequence[str],
+    drop_flag: str,
+    done_flag: str,
+    end_term: str,
+    units: DataFrame,
+    entry: str,
+    censor: float,
+) -> DataFrame:
+    """`collapse_spells` for durations of the form (end term as a number, NULL → `censor`)
+    − the unit's entry year, where the entry year lives on the unit table.
+
+    The spells need no entry year: each unit's spells are pre-aggregated on the fact
+    side (map-side combined, so a unit holding a third of all spells becomes one
+    record per task before any shuffle), then the unit table is joined 1:1.  With 0/1
+    flags, max(dur·done) = max(0 if any unfinished spell, latest finished end − entry)
+    and max(dur) = latest end − entry; a malformed end term makes `years` NULL, as the
+    strict maxima do.
+    """
+    unit = list(unit)
+    end = F.when(F.col(end_term).isNull(), F.lit(float(censor))).otherwise(term_to_number(end_term))
+    s = spells.withColumn("_end", end)
+    drop_c, done_c = F.col(drop_flag), F.col(done_flag)
+    agg = s.groupBy(*unit).agg(
+        F.when(strict(F.min, drop_c) == 1, F.lit(1.0)).otherwise(F.lit(0.0)).alias("dropped"),
+        F.when(strict(F.max, done_c) == 1, F.lit(1.0)).otherwise(F.lit(0.0)).alias("finished"),
+        strict(F.sum, done_c).alias("_ndone"),
+        F.count_if(F.col("_end").isNull()).alias("_nbad"),
+        F.max(F.when(done_c == 0, F.lit(1))).alias("_open"),
+        F.max(F.when(done_c == 1, F.col("_end"))).alias("_end_done"),
+        F.max("_end").alias("_end_all"),
+        F.count(F.lit(1)).alias("n_spells"),
+    )
+    j = agg.join(units.select(*unit, entry), on=unit, how="inner")
+    e = F.col(entry).cast("double")
+    years = (F.when(F.col("_nbad") > 0, F.lit(None).cast("double"))
+             .when(F.col("_ndone") >= 1, F.greatest(F.when(F.col("_open") == 1, F.lit(0.0)), F.col("_end_done") - e))
+             .when(F.col("_ndone") == 0, F.col("_end_all") - e))
+    return j.select(*unit, entry, "dropped", "finished", years.alias("years"), "n_spells")
+
+
 def group_flags(df: DataFrame, unit: Sequence[str], drop_flag: str, done_flag: str) -> DataFrame:
     """Spell-level rows with the unit's `dropped`/`finished` flags attached (P1).
 

@@ -218,8 +218,17 @@ def q_spell_flags(spark, d):
 
 
 def q_spell_duration(spark, d):
-    sp = _spell_rows(spark, d).withColumn("years_code", P.spell_duration(F.col("end_term"), F.col("cohort"), CENSOR))
-    return rounded(P.collapse_spells(sp, ["id", "cohort"], "drop", "done", "years_code", keep=[]))
+    """Duration = end term − entry year: spells are pre-aggregated per unit on the line
+    items, the entry year (order year) is joined 1:1 afterwards."""
+    li = _t(spark, d, "lineitem")
+    half = F.when(F.month("l_shipdate") <= 6, F.lit("1")).otherwise(F.lit("2"))
+    end_term = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string")).otherwise(
+        F.concat(F.year("l_shipdate").cast("string"), F.lit("/"), half))
+    sp = li.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("closure"), end_term.alias("end_term"))
+    sp = sp.withColumn("cls", recode(F.col("closure"), CLOSURE_RULES)).filter(F.col("cls") != 2)
+    sp = sp.withColumns({"drop": flag(F.col("cls") == 1), "done": flag(F.col("closure") == "A")})
+    units = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("cohort"))
+    return rounded(P.collapse_terms(sp, ["id"], "drop", "done", "end_term", units, "cohort", CENSOR))
 
 
 def q_first_per_key(spark, d):

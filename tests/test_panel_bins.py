@@ -71,3 +71,17 @@ def test_equal_bins_top_edge(spark):
     df = spark.createDataFrame([(-30.0, 1.0), (30.0, 3.0), (29.9, 5.0)], "x double, y double")
     out = {r["bin"]: r["n"] for r in B.bin_means(df, "x", "y", bins=6, lo=-30.0, hi=30.0).collect()}
     assert out == {0: 1, 5: 2}
+
+
+def test_collapse_terms_equals_collapse_spells(spark):
+    rows = [(1, "2020/2", 1.0, 0.0), (1, "2019/1", 0.0, 1.0),           # finished + unfinished
+            (2, "2017/1", 0.0, 1.0), (2, "2016/2", 0.0, 1.0),           # only finished, ends before entry (negative)
+            (3, None, 1.0, 0.0), (3, "2021/1", 1.0, 0.0),               # censored, all dropped out
+            (4, "20x9/1", 0.0, 1.0), (4, "2020/1", 0.0, 0.0)]           # malformed end term → NULL years
+    sp = spark.createDataFrame(rows, "id int, end string, dropf double, done double")
+    units = spark.createDataFrame([(1, 2018), (2, 2018), (3, 2019), (4, 2018)], "id int, entry int")
+    fast = {r["id"]: tuple(r) for r in P.collapse_terms(sp, ["id"], "dropf", "done", "end", units, "entry", 2023.5).collect()}
+    full = sp.join(units, "id").withColumn("dur", P.spell_duration(F.col("end"), F.col("entry"), 2023.5))
+    ref = {r["id"]: tuple(r) for r in P.collapse_spells(full, ["id", "entry"], "dropf", "done", "dur", keep=[]).collect()}
+    assert fast == ref
+    assert fast[2][4] == -0.5 and fast[3][4] == 4.5 and fast[4][4] is None
