@@ -190,11 +190,6 @@ def q_bin_means(spark, d):
 
 # ---------------------------------------------------------------- 2.E-2.H: spells, joins, reshape
 
-def _spell_rows(spark, d):
-    sp = roles.spells(spark, d).withColumn("cls", recode(F.col("closure"), CLOSURE_RULES)).filter(F.col("cls") != 2)
-    return sp.withColumns({"drop": flag(F.col("cls") == 1), "done": flag(F.col("closure") == "A")})
-
-
 def _students(spark, d):
     """One row per (order, cohort) from its line-item spells; duration from `l_quantity`.
 
@@ -212,8 +207,17 @@ def _students(spark, d):
 
 
 def q_spell_flags(spark, d):
-    sp = _spell_rows(spark, d)
-    out = P.group_flags(sp, ["id", "cohort"], "drop", "done")
+    """Unit flags attached to every spell.  The cohort is a function of the unit, so the
+    flags are aggregated per unit on the line items alone (map-side combined) and the
+    cohort is joined last; both joins feed the output directly, so AQE can split a hot
+    unit's partition."""
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+                                         F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("closure"))
+    sp = li.withColumn("cls", recode(F.col("closure"), CLOSURE_RULES)).filter(F.col("cls") != 2)
+    sp = sp.withColumns({"drop": flag(F.col("cls") == 1), "done": flag(F.col("closure") == "A")})
+    out = P.group_flags(sp, ["id"], "drop", "done")
+    units = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("cohort"))
+    out = out.join(units, on="id", how="inner")
     return rounded(out.select("id", "cohort", "line", "part", "drop", "done", "dropped", "finished"))
 
 

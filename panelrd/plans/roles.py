@@ -45,24 +45,3 @@ def rd_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         x.alias("x"), t.alias("t"), e.alias("e"),
         F.col("o_orderpriority").alias("grp"),
     ).withColumn("y", F.lit(0.3) + F.lit(0.01) * F.col("x") + F.lit(0.2) * F.col("t") + F.lit(0.1) * F.col("e"))
-
-
-def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programme spells: one per line item, the unit is the order (`lineitem ⋈ orders`)."""
-    li = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-    half = F.when(F.month("l_shipdate") <= 6, F.lit("1")).otherwise(F.lit("2"))
-    end_term = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string")).otherwise(
-        F.concat(F.year("l_shipdate").cast("string"), F.lit("/"), half))
-    return j.select(
-        F.col("l_orderkey").alias("id"),
-        F.year("o_orderdate").alias("cohort"),
-        F.col("l_linenumber").alias("line"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_returnflag").alias("closure"),
-        end_term.alias("end_term"),
-        (F.col("l_quantity") / 10).alias("dur"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_shipdate").alias("shipdate"),
-    )
