@@ -85,3 +85,19 @@ def test_collapse_terms_equals_collapse_spells(spark):
     ref = {r["id"]: tuple(r) for r in P.collapse_spells(full, ["id", "entry"], "dropf", "done", "dur", keep=[]).collect()}
     assert fast == ref
     assert fast[2][4] == -0.5 and fast[3][4] == 4.5 and fast[4][4] is None
+
+
+def test_join_on_null_safe_keys_and_right_keys(spark):
+    a = spark.createDataFrame([(1, 2018, "x"), (None, 2019, "y")], "id int, yr int, va string")
+    b = spark.createDataFrame([(1, 2018, 10.0), (None, 2019, 20.0), (3, 2020, 30.0)], "k int, year int, vb double")
+    right = sorted((tuple(r) for r in P.join_on(a, b, [("id", "k"), ("yr", "year")], how="right").collect()), key=str)
+    assert right == sorted([(None, 2019, "y", 20.0), (1, 2018, "x", 10.0), (3, 2020, None, 30.0)], key=str)
+    strict_ = P.join_on(a, b, [("id", "k"), ("yr", "year")], how="left", null_safe=False).collect()
+    assert {r["va"]: r["vb"] for r in strict_} == {"x": 10.0, "y": None}     # NULL keys do not match without null_safe
+
+
+def test_join_fill(spark):
+    a = spark.createDataFrame([("m1", 10), ("m2", 5)], "major string, students int")
+    b = spark.createDataFrame([("m1", 3)], "major string, applicants int")
+    out = {r["major"]: r["applicants"] for r in P.join_fill(a, b, ["major"], {"applicants": 0}).collect()}
+    assert out == {"m1": 3, "m2": 0}
