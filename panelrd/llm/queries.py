@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelrd.llm import langid, mixing, packing, toxicity
+from panelrd.llm import langid, mixing, neighbours, packing, toxicity
 from panelrd.llm.common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_best_fit_packing": _over("documents", packing.op4_best_fit_packing),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_language_id": _over("documents", langid.op8_language_id),
+    "op9_nearest_neighbours": _over("embeddings", neighbours.op9_nearest_neighbours),
     "op10_mix_sources": _over("documents", mixing.op10_mix_sources),
 }
 
