@@ -7,10 +7,12 @@ sequences at a time.  Documents then take the planned slots by their rank within
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelrd.llm.common import written
 
 #: Words whose ids a worker process remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _CACHE: dict[str, dict[str, bytes]] = {}
 
 
@@ -29,11 +31,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters on which Unicode versions and the rules for lower case agree; the pre-tokenizer's words over them.
+_PLAIN = re.compile(r"[\t-\r -~\u00a1-\u024f]*")
+_WORD = re.compile(r"""'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
+_WORD_END = "</w>"
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, from remembered ids of their words.
 
-    For tokenizers that cut at white space and drop it: the ids of a text are then those of its words in turn.  That
-    holds for a normalizer that lowers case and a pre-tokenizer that cuts at white space and keeps none.
+    For the word-level BPE vocabulary: it lowers case, drops white space and encodes each word by itself, and a
+    word's last token alone ends in its end mark, so that many new words are encoded at once.  A text with other
+    characters, or one that may hold a special token, goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -42,21 +51,48 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.known = _CACHE.setdefault(path, {})
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if not w.isalpha()]
+        words = [w for w in words if w.isalpha()]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = self._ids([" ".join(part)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends.tolist()], ends.tolist()))
+            else:
+                alone += part
+        self.known.update(zip(alone, (x.tobytes() for x in self._ids(alone))))
+
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return None
+        text = normalize("NFC", text).lower()
+        mere = text.replace(" ", "").replace("\n", "")
+        if any(x in mere for x in ("..", ".,", ",.", ",,")) or not mere.replace(".", "").replace(",", "").isalpha():
+            return _WORD.findall(text)
+        return text.replace(".", " . ").replace(",", " , ").split()  # mere letters and single marks
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        # ASCII letters may be lowered first (fewer different words), unless that could spell a special token
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
+        split = [self._cut(t) for t in texts]
+        words = set().union(*(x for x in split if x))
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = words
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.known.update(zip(part, (np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        if new:
+            self._learn(list(new))
+        return [self._ids([t])[0].tobytes() if x is None else b"".join(map(self.known.__getitem__, x)) for t, x in zip(texts, split)]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
