@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelrd.llm import langid, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from panelrd.llm import langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 from panelrd.llm.common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_best_fit_packing": _over("documents", packing.op4_best_fit_packing),
     "op3_minhash_dedup": _over("documents", minhash.op3_minhash_dedup),
     "op5_substring_dedup": _over("documents", substring_dedup.op5_substring_dedup),
+    "op6_line_dedup": _over("documents", line_dedup.op6_line_dedup),
     "op7_toxicity": lambda spark, sf_dir: toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_language_id": _over("documents", langid.op8_language_id),
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9_nearest_neighbours),
