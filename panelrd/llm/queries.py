@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelrd.llm import langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from panelrd.llm import fingerprints, langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 from panelrd.llm.common import table
 
 
@@ -13,6 +13,7 @@ def _over(name: str, operator):
 QUERIES = {
     "op1_suffix_dedup": _over("documents", suffix_dedup.op1_suffix_dedup),
     "op4_best_fit_packing": _over("documents", packing.op4_best_fit_packing),
+    "op2_edit_fingerprints": _over("documents", fingerprints.op2_edit_fingerprints),
     "op3_minhash_dedup": _over("documents", minhash.op3_minhash_dedup),
     "op5_substring_dedup": _over("documents", substring_dedup.op5_substring_dedup),
     "op6_line_dedup": _over("documents", line_dedup.op6_line_dedup),
