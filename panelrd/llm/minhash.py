@@ -124,14 +124,8 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.col("hub").alias("u"), F.col("class").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Components of (doc_id, text) under links of at least `similarity` per cent of shared 5-word shingles.
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included), kept (doc_id = component_id).
-    Null texts and those without words are linked with nothing.  Repeated rows, and others with equal sets, are linked.
-    A null doc_id is larger than all others, and its component_id is null if it reaches no other.  An empty table gives
-    no rows; other columns are not read.  Shingles are compared by 64-bit hashes.
-    """
+def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """What near_duplicates returns, with rid (the row's key) and component (null without words)."""
     hashed = written(hashed_documents(docs), "minhash-docs")
     kinds = hashed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     kinds = written(kinds, "minhash-classes")
@@ -175,10 +169,33 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     of_class = kinds.select("class", "least").join(reached.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = written(of_class, "minhash-of")
     least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")
-    result = written(of_class.join(least, "component").select("class", "component_id"), "minhash-result")
-    joined = hashed.select("doc_id", "n", "class").join(result, "class", "left")
+    result = written(of_class.join(least, "component").select("class", "component", "component_id"), "minhash-result")
+    joined = hashed.select("doc_id", "rid", "n", "class").join(result, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "rid", F.col("n").alias("n_shingles"), "component", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Components of (doc_id, text) under links of at least `similarity` per cent of shared 5-word shingles.
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included), kept (doc_id = component_id).
+    Null texts and those without words are linked with nothing.  Repeated rows, and others with equal sets, are linked.
+    A null doc_id is larger than all others, and its component_id is null if it reaches no other.  An empty table gives
+    no rows; other columns are not read.  Shingles are compared by 64-bit hashes.
+    """
+    return classified(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """`docs`, all columns, with one row of each component: that of the smallest doc_id.
+
+    Of equal rows one stays, also of those without words, which are otherwise all kept.
+    """
+    found = classified(docs, similarity)
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.col("rid")).alias("alone")]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"]
+    kept = written(found.groupBy(*group).agg(first.alias("_rid")).select("_rid").distinct(), "minhash-kept")
+    return docs.withColumn("_rid", row_key("doc_id", "text")).join(kept, "_rid").dropDuplicates(["_rid"]).select(*docs.columns)
 
 
 def op3_minhash_dedup(docs: DataFrame) -> DataFrame:
