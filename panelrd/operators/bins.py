@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.functions.na import within
+from panelrd.operators.attach import attach
 
 
 def equal_bin(x, lo: float, hi: float, bins: int):
@@ -56,7 +57,7 @@ def bin_bands(df: DataFrame, x: str, y: str, width: float, center: float, z: flo
     k_raw = (F.ceil((xc - F.lit(boundary)) / F.lit(width)) - 1).cast("long")
     if by:
         mins = d.groupBy(*by).agg(F.min(xc).alias("_min"))
-        d = d.join(mins, on=list(by), how="inner")
+        d = attach(d, mins, by, how="inner")
     else:
         # one number: the global minimum, computed by a partial aggregate
         d = d.withColumn("_min", F.lit(d.agg(F.min(xc)).first()[0]).cast("double"))

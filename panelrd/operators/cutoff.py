@@ -2,9 +2,8 @@
 
 All cohorts and all treatments are inferred in one `groupBy(cohort)` (one
 conditional `min` per treatment, combined map-side), replacing one scan per
-cohort × treatment.  The result has one row per cohort, so attaching it to the
-unit rows is a join that AQE turns into a broadcast from the measured size
-of the aggregate (a shuffle join remains the fallback beyond the threshold).
+cohort × treatment.  The result has one row per cohort; its rows are counted and
+broadcast to the unit rows, which are not shuffled by cohort (operators/attach.py).
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrd.operators.attach import attach
+
 
 def cutoff_table(df: DataFrame, score: str, cohort: str, treatments: Mapping[str, float], empty_cutoff: str = "null") -> DataFrame:
     """Wide cutoffs: `cohort`, `cutoff_<t>` = min score among treated (`t == 1`) with score > floor.
@@ -55,7 +56,7 @@ def normalise(df: DataFrame, cutoffs: DataFrame, score: str, cohort: str, treatm
     `x >= 0` (the side convention of the RD estimator).  NULL cutoff → NULL x,
     above = 0.
     """
-    out = df.join(cutoffs, on=cohort, how="left")
+    out = attach(df, cutoffs, [cohort])
     new = {}
     for t in treatments:
         x = F.col(score) - F.col(f"cutoff_{t}")
