@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.functions.na import strict, _col
+from panelrd.session import save_shared
 
 
 def term_to_number(term, sep_pos: int = 6) -> Column:
@@ -111,17 +112,21 @@ def collapse_terms(
     return j.select(*unit, entry, "dropped", "finished", years.alias("years"), "n_spells")
 
 
-def group_flags(df: DataFrame, unit: Sequence[str], drop_flag: str, done_flag: str) -> DataFrame:
+def group_flags(df: DataFrame, unit: Sequence[str], drop_flag: str, done_flag: str, units: DataFrame | None = None) -> DataFrame:
     """Spell-level rows with the unit's `dropped`/`finished` flags attached (P1).
 
-    Done as aggregate + join on the unit key rather than an unbounded window:
-    the aggregate is combined map-side and the join re-uses its partitioning.
+    The flags are aggregated (combined map-side) and, with `units` (one row per unit), joined
+    with its columns 1:1; that table is written to the shared folder and read back, and the
+    spells are joined once and last.  Reading it back matters: a join with the aggregate itself
+    reuses the aggregate's partitioning, and Spark cannot split a hot unit's partition then.
     """
     flags = df.groupBy(*unit).agg(
         F.when(strict(F.min, F.col(drop_flag)) == 1, F.lit(1.0)).otherwise(F.lit(0.0)).alias("dropped"),
         F.when(strict(F.max, F.col(done_flag)) == 1, F.lit(1.0)).otherwise(F.lit(0.0)).alias("finished"),
     )
-    return df.join(flags, on=list(unit), how="left")
+    if units is not None:
+        flags = flags.join(units, on=list(unit), how="inner")
+    return df.join(save_shared(flags, "group-flags"), on=list(unit), how="left" if units is None else "inner")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,18 +39,27 @@ def get_session(master: str | None = None, app: str = "panelrd", shuffle_partiti
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    checkpoint_dir(spark)
+    if is_local(spark):
+        checkpoint_dir(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (local, local[n])."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
 
-    Only when the setting is absent (local tests) a folder is made under the
-    system temp dir; on a cluster the setting must point at shared storage.
+    Only when the setting is absent and driver and executors are one local process
+    (tests) a folder is made under the system temp dir; elsewhere that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="panelrd-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -67,28 +77,33 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def save_shared(df, name: str):
+    """Write `df` as a table in the checkpoint folder and return a DataFrame reading it.
+
+    Unlike a checkpoint it forgets how `df` was partitioned, so that a join with it is an
+    ordinary shuffle join, whose skewed partitions Spark can split.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df, mode: str = "persist"):
     """Materialise a DataFrame that several passes will scan; returns (df, release).
 
     "persist": MEMORY_AND_DISK cache (blocks lost with an executor are recomputed
     from lineage); "checkpoint": reliable checkpoint in `spark.checkpoint.dir`
     (lineage cut; survives executor loss without replaying upstream joins);
-    "none": leave as is; "auto": persist only when the plan has joins, aggregations,
-    windows or generators upstream.
+    "none": leave as is (a pruned columnar scan is cheaper to read again than to cache).
     """
     from pyspark import StorageLevel
 
-    if mode == "auto":
-        # only inputs with an expensive upstream plan are worth materialising; a pruned
-        # columnar scan (plus filters/projections) is cheaper to read again than to cache
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-        mode = "persist" if any(op in plan for op in ("Join", "Aggregate", "Window", "Generate")) else "none"
     if mode == "none":
         return df, (lambda: None)
     if mode == "checkpoint":
         return cut_lineage(df), (lambda: None)
     if mode != "persist":
-        raise ValueError("mode must be 'auto', 'persist', 'checkpoint' or 'none'")
+        raise ValueError("mode must be 'persist', 'checkpoint' or 'none'")
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
     return p, p.unpersist
 
