@@ -42,11 +42,6 @@ def skip_mean(col) -> Column:
     return F.avg(_col(col))
 
 
-def coalesce_sum(col) -> Column:
-    """Sum skipping NULLs; 0 for an all-NULL group, as R's `sum(na.rm = TRUE)`."""
-    return F.coalesce(F.sum(_col(col)), F.lit(0).cast("double"))
-
-
 def n_unique(col) -> Column:
     """`length(unique(x))`: distinct count where NULL counts as one value."""
     c = _col(col)

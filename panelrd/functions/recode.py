@@ -111,3 +111,12 @@ def tri_state(col, yes: tuple, no: tuple) -> Column:
     """1 when the value is in `yes`, 0 when in `no`, NULL otherwise (unknown)."""
     c = _col(col)
     return F.when(in_set(c, yes), F.lit(1.0)).when(in_set(c, no), F.lit(0.0))
+
+
+def deflate(amount: Column, year: Column, factors: Mapping[int, float]) -> Column:
+    """`amount` in the prices of the base year: times the factor of its year, NULL for a year that is not listed (C10).
+
+    The factors are literals in the expression (one map entry for each listed year), so no join is planned.
+    """
+    table = F.create_map(*[F.lit(v) for y, f in factors.items() for v in (int(y), float(f))])
+    return amount * F.try_element_at(table, year.cast("int"))

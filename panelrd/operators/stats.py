@@ -61,16 +61,3 @@ def t_sf2(t: float | None, df: float) -> float | None:
     if t is None or math.isnan(t) or df <= 0:
         return None
     return betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def t_quantile(p: float, df: float) -> float:
-    """Quantile of Student t by bisection on `t_sf2` (for confidence intervals)."""
-    target = 2.0 * (1.0 - p)
-    lo, hi = 0.0, 1e3
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if t_sf2(mid, df) > target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
