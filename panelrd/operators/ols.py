@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from panelrd.operators.stats import t_sf2
 
+#: Part of a regressor's variance that the ones before it must leave.
+ALIASED = 1e-10
 OLS_SCHEMA = ("model string, term string, estimate double, std_error double, statistic double, p_value double, "
               "n long, r2 double")
 
@@ -25,8 +28,16 @@ def ols_models(df: DataFrame, y: str, models: Mapping[str, Sequence[str]], compl
     """`lm(y ~ x1 + … )` for several regressor lists; one row per (model, term).
 
     Rows with a NULL in the response or any regressor used by any model are
-    dropped first (`complete_on_all`), so nested models share their sample.
+    dropped first (`complete_on_all`), so nested models share their sample;
+    otherwise each model has its own complete rows (and its own two scans).
+
+    A regressor that is a linear combination of those before it is aliased: its
+    estimates are NULL and it takes no degree of freedom.  Without rows, or
+    with as many terms as rows, what is undefined is NULL.
     """
+    if not complete_on_all and len(models) > 1:
+        parts = [ols_models(df, y, {name: xs}) for name, xs in models.items()]
+        return reduce(DataFrame.unionByName, parts)
     xs = list(dict.fromkeys(c for m in models.values() for c in m))
     cols = [y] + xs
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
@@ -43,27 +54,48 @@ def ols_models(df: DataFrame, y: str, models: Mapping[str, Sequence[str]], compl
     rows = []
     for name, mx in models.items():
         mx = list(mx)
-        k = len(mx) + 1
-        Sxx = np.array([[S[(a, b)] for b in mx] for a in mx]) if mx else np.zeros((0, 0))
-        Sxy = np.array([S[(a, y)] for a in mx])
+        used = _independent(mx, S) if n else []
+        k = len(used) + 1
+        Sxx = np.array([[S[(a, b)] for b in used] for a in used]).reshape(len(used), len(used))
+        Sxy = np.array([S[(a, y)] for a in used])
         syy = S[(y, y)]
-        beta = np.linalg.solve(Sxx, Sxy) if mx else np.zeros(0)
+        inv = np.linalg.inv(Sxx) if used else np.zeros((0, 0))
+        beta = inv @ Sxy
         rss = syy - float(beta @ Sxy)
         dof = n - k
         s2 = rss / dof if dof > 0 else float("nan")
         r2 = 1 - rss / syy if syy > 0 else float("nan")
-        inv = np.linalg.inv(Sxx) if mx else np.zeros((0, 0))
-        xbar = np.array([mu[a] for a in mx])
-        a0 = mu[y] - float(beta @ xbar) if mx else mu[y]
-        var_a0 = s2 * (1.0 / n + float(xbar @ inv @ xbar)) if mx else s2 / n
-        terms = [("(Intercept)", a0, math.sqrt(var_a0) if var_a0 >= 0 else float("nan"))]
-        terms += [(a, float(beta[i]), math.sqrt(s2 * inv[i, i]) if s2 * inv[i, i] >= 0 else float("nan")) for i, a in enumerate(mx)]
-        for term, est, se in terms:
-            t = est / se if se and se > 0 else float("nan")
-            rows.append((name, term, float(est), float(se), float(t), t_sf2(t, dof), n, float(r2)))
+        fit = {}
+        if n:
+            xbar = np.array([mu[a] for a in used])
+            fit["(Intercept)"] = (mu[y] - float(beta @ xbar), s2 * (1.0 / n + float(xbar @ inv @ xbar)))
+            fit.update({a: (float(beta[i]), s2 * float(inv[i, i])) for i, a in enumerate(used)})
+        for term in ["(Intercept)", *mx]:
+            est, var = fit.get(term, (float("nan"), float("nan")))
+            se = math.sqrt(var) if var >= 0 else float("nan")
+            t = est / se if se > 0 else float("nan")
+            rows.append((name, term, *(_or_null(v) for v in (est, se, t, t_sf2(t, dof) if dof > 0 else float("nan"))), n, _or_null(r2)))
     return df.sparkSession.createDataFrame(rows, OLS_SCHEMA)
 
 
+def _or_null(v):
+    return None if v is None or math.isnan(v) else float(v)
+
+
+def _independent(xs: Sequence[str], S: Mapping[tuple, float]) -> list[str]:
+    """The regressors that are no linear combination of those before them."""
+    kept: list[str] = []
+    for c in xs:
+        left = S[(c, c)]
+        if kept:
+            A = np.array([[S[(a, b)] for b in kept] for a in kept])
+            v = np.array([S[(a, c)] for a in kept])
+            left -= float(v @ np.linalg.solve(A, v))
+        if left > ALIASED * S[(c, c)]:
+            kept.append(c)
+    return kept
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str], name: str = "model") -> DataFrame:
     """One linear model with intercept: estimate, se, t, p (Student t, n − k df)."""
     return ols_models(df, y, {name: list(xs)})
