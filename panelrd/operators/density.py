@@ -32,7 +32,7 @@ def _defaults(df, x, c, bin_width, bandwidth):
 
 def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
     """Bin table: (bin, mid, n, height = n / (N·width), side, in_band, weight)."""
-    d = df.select(F.col(x).cast("double").alias("x")).dropna()
+    d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
     jlo, jhi = math.floor((lo - c) / b), math.floor((hi - c) / b)
     if jhi - jlo + 1 > MAX_BINS:
@@ -51,7 +51,7 @@ def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | Non
 
 def density_test(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
     """θ = ln f₊ − ln f₋ with se = √((1/(N h))·(24/5)·(1/f₊ + 1/f₋)); one-row result."""
-    d = df.select(F.col(x).cast("double").alias("x")).dropna()
+    d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     n, b, h, _, _ = _defaults(d, "x", c, bin_width, bandwidth)
     bins = density_binned(d, "x", c, b, h)
     u = F.col("mid") - F.lit(c)
@@ -81,7 +81,7 @@ def density_curve(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None
     Bins sit on a regular grid, so each bin is sent only to the evaluation points
     within `bandwidth` (2·h/width + 1 offsets, a bounded band), never to all bins.
     """
-    d = df.select(F.col(x).cast("double").alias("x")).dropna()
+    d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     n, b, h, _, _ = _defaults(d, "x", c, bin_width, bandwidth)
     bins = density_binned(d, "x", c, b, h)
     H = int(math.floor(h / b))
@@ -99,7 +99,8 @@ def density_curve(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None
 
 # ---------------------------------------------------------------- local-polynomial density (ECDF regression)
 
-ECDF_PER_BUCKET, ECDF_MAX_BUCKETS = 200_000, 1024
+#: Distinct values that one task sorts.
+ECDF_PER_BUCKET = 200_000
 LP_SCHEMA = ("f_left double, f_right double, difference double, std_error double, statistic double, p_value double, "
              "n long, n_left_h long, n_right_h long, bandwidth double, p int")
 
@@ -130,42 +131,31 @@ def lp_density_constant(p: int = 2, kernel: str = "triangular") -> float:
     return float((Gi @ S @ Gi)[1, 1])
 
 
-def _ecdf_window(d: DataFrame, c: float, h: float):
-    """Distinct values within [c − h, c + h] with their count and ECDF value F̂ = #{x_j ≤ x}/n.
+def _ecdf_window(d: DataFrame, c: float, h: float, per_bucket: int | None = None):
+    """Distinct values within [c − h, c + h] with their count and ECDF value F̂ = #{x_j ≤ x}/n,
+    less its value before c (the fits need slopes only, and small numbers add up more exactly).
 
-    Two-level prefix sum: the count below the window (one aggregate), per-bucket
-    totals of approximate-quantile buckets (a few numbers on the driver, turned into
-    offsets), and a running sum inside each bucket.
+    Two-level prefix sum: the count below the window (one aggregate), running totals
+    over buckets of distinct values (a window over one row per bucket), and a running
+    sum inside each bucket.
     """
     from pyspark.sql import Window
 
-    spark = d.sparkSession
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.lit(c - h)).alias("below")).first()
-    n, below = int(st["n"]), int(st["below"])
+    from panelrd.operators.ranges import range_buckets
+
+    st = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.lit(c - h)).alias("below"), F.count_if(F.col("x") < F.lit(c)).alias("left")).first()
+    n, below, left = int(st["n"]), int(st["below"]), int(st["left"])
     dv = d.filter((F.col("x") >= c - h) & (F.col("x") <= c + h)).groupBy("x").agg(F.count(F.lit(1)).alias("d"))
-    nb = max(1, min(ECDF_MAX_BUCKETS, (n - below) // ECDF_PER_BUCKET))
-    if nb > 1:
-        bounds = sorted(set(dv.agg(F.percentile_approx("x", [i / nb for i in range(1, nb)], 20 * nb)).first()[0]))
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        dv = dv.withColumn("b", F.size(F.filter(arr, lambda v: v <= F.col("x"))))
-    else:
-        dv = dv.withColumn("b", F.lit(0))
-    tots = {r["b"]: int(r["t"]) for r in dv.groupBy("b").agg(F.sum("d").alias("t")).collect()}
-    offs, acc = [], below
-    for b in sorted(tots):
-        offs.append((b, acc))
-        acc += tots[b]
-    if nb > 1:
-        odf = F.broadcast(spark.createDataFrame(offs, "b int, off long"))  # one row per bucket (≤ ECDF_MAX_BUCKETS)
-        dv = dv.join(odf, on="b")
-    else:
-        dv = dv.withColumn("off", F.lit(below).cast("long"))
-    w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dv.withColumn("F", (F.col("off") + F.sum("d").over(w)) / F.lit(float(n)))
-    return out, n
+    dv = range_buckets(dv, [], "x", per_bucket or ECDF_PER_BUCKET)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = dv.groupBy("_b").agg(F.sum("d").alias("t")).select("_b", (F.lit(below) + F.coalesce(F.sum("t").over(before), F.lit(0))).alias("off"))
+    w = Window.partitionBy("_b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dv.withColumn("run", F.sum("d").over(w)).join(offs, on="_b")
+    return out.withColumn("F", (F.col("off") + F.col("run") - F.lit(left)) / F.lit(float(n))), n
 
 
-def density_lp(df: DataFrame, x: str, c: float = 0.0, h: float = 1.0, p: int = 2, kernel: str = "triangular") -> DataFrame:
+def density_lp(df: DataFrame, x: str, c: float = 0.0, h: float = 1.0, p: int = 2, kernel: str = "triangular",
+               per_bucket: int | None = None) -> DataFrame:
     """Density on each side of c from a local polynomial of order p fitted to the ECDF
     (Cattaneo, Jansson and Ma 2020, unrestricted fit), with the plug-in variance
     f·e₁ᵀΓ⁻¹ΣΓ⁻¹e₁/(n h); test of equal densities.  One-row result."""
@@ -173,8 +163,8 @@ def density_lp(df: DataFrame, x: str, c: float = 0.0, h: float = 1.0, p: int = 2
 
     from panelrd.operators.rd.core import kernel_weight
 
-    d = df.select(F.col(x).cast("double").alias("x")).dropna()
-    ec, n = _ecdf_window(d, c, h)
+    d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
+    ec, n = _ecdf_window(d, c, h, per_bucket)
     u = F.col("x") - F.lit(c)
     z = u / F.lit(h)
     wgt = F.col("d") * kernel_weight(u, h, kernel)

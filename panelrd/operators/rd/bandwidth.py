@@ -15,8 +15,7 @@ inside every stage on each side, as in the covariate-adjusted estimator.
 Each stage is one aggregation of kernel-weighted moments per (window, group)
 plus one residual aggregation (nearest-neighbour by default, or hc0/hc1); the
 base columns are persisted for the seven passes.  The quartiles of the pilot
-use `percentile_approx` (relative rank error 1e-4), so nothing is sorted
-through one task.
+are exact order statistics found by counting cells, so nothing is sorted.
 """
 
 from __future__ import annotations
@@ -29,27 +28,73 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.rd.core import MAX_GROUP_LEVELS, kernel_weight, _inv, _solve
+from panelrd.operators.rd.core import _inv, _solve, check_levels, kernel_weight, partial_out, powers
 from panelrd.session import jit_friendly
 
 # Rule-of-thumb pilot constants per kernel.
 PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
 
 
+BANDWIDTH_SCHEMA = ("rule string, h_left double, h_right double, b_left double, b_right double, "
+                    "pilot double, n_left long, n_right long")
+#: Cells that a quantile's range is cut into at each step.
+QUANTILE_CELLS = 4096
+
+
+def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs: Sequence[float]) -> list[float]:
+    """Quantiles by linear interpolation of the two order statistics around p (n − 1), exact and without a sort.
+
+    Rows are counted in QUANTILE_CELLS equal cells of a range; the cells that hold the wanted ranks become the next ranges,
+    until a range is one value.  Each step is one aggregation with a row per cell and wanted rank.
+    """
+    ranks = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    found: dict = {}
+    todo = {k: (lo, hi, k) for k in ranks}          # rank → range that holds it, and its rank in that range
+    while todo:
+        ranges = sorted({(a, b) for a, b, _ in todo.values()})
+        for k, (a, b, _) in list(todo.items()):
+            if a == b:
+                found[k] = a
+                del todo[k]
+        ranges = [r for r in ranges if r[0] < r[1]]
+        if not ranges:
+            break
+        xc = F.col(x)
+        which = F.explode(F.array_compact(F.array(*[
+            F.when((xc >= a) & (xc <= b), F.struct(F.lit(i).alias("i"), F.least(F.floor((xc - a) / (b - a) * QUANTILE_CELLS), F.lit(QUANTILE_CELLS - 1)).alias("cell")))
+            for i, (a, b) in enumerate(ranges)])))
+        cells: dict = {}
+        for r in df.select(xc.alias("x"), which.alias("w")).groupBy("w.i", "w.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            cells.setdefault(r["i"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
+        for k, (a, b, inside) in list(todo.items()):
+            for _, m, c_lo, c_hi in sorted(cells[ranges.index((a, b))]):
+                if inside < m:
+                    todo[k] = (c_lo, c_hi, inside)
+                    break
+                inside -= m
+    out = []
+    for p in probs:
+        at = p * (n - 1)
+        a, b = found[math.floor(at)], found[math.ceil(at)]
+        out.append(a + (at - math.floor(at)) * (b - a))
+    return out
+
+
 def _moments(base: DataFrame, windows: Sequence[tuple], kernel: str) -> list[dict]:
     """windows: (side, h, max_power_S, max_power_D).  Per window and group: n, Σ k zᵐ, Σ k zᵐ y, Σ k zᵐ t."""
     u, side = F.col("u"), F.col("side")
     wid = F.explode(F.array_compact(F.array(*[
         F.when((side == s) & (F.abs(u) <= h), F.lit(i)) for i, (s, h, _, _) in enumerate(windows)]))).alias("w")
-    e = base.select("u", "y", "t", "g", wid)
+    far = max(float(w[1]) for w in windows)
+    e = base.filter(F.abs(u) <= far).select("u", "y", "t", "g", wid)
     hcol = F.element_at(F.array(*[F.lit(float(w[1])) for w in windows]), F.col("w") + 1)
     e = e.select("w", "g", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"), "y", "t")
     ms = max(w[2] for w in windows)
     md = max(w[3] for w in windows)
-    z, k = F.col("z"), F.col("k")
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(k * z ** m).alias(f"S{m}") for m in range(ms + 1)]
-    aggs += [F.sum(k * z ** m * F.col("y")).alias(f"Y{m}") for m in range(md + 1)]
-    aggs += [F.sum(k * z ** m * F.col("t")).alias(f"T{m}") for m in range(md + 1)]
+    z, k = powers(F.col("z"), max(ms, md)), F.col("k")
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(k * z[m]).alias(f"S{m}") for m in range(ms + 1)]
+    aggs += [F.sum(k * z[m] * F.col("y")).alias(f"Y{m}") for m in range(md + 1)]
+    aggs += [F.sum(k * z[m] * F.col("t")).alias(f"T{m}") for m in range(md + 1)]
     out = [dict(n=0, groups={}) for _ in windows]
     with jit_friendly(base.sparkSession):
         rows = e.groupBy("w", "g").agg(*aggs).collect()
@@ -80,12 +125,9 @@ def _fit(m: dict, order: int, zgroups: Sequence[str]):
     nz = len(zgroups)
     gamma = np.zeros((nz, 2))
     if nz:
-        ZWD = np.zeros((nz, 2 + nz))
-        for a, g in enumerate(zgroups):
-            gm = m["groups"].get(g, {})
-            ZWD[a, 0], ZWD[a, 1], ZWD[a, 2 + a] = gm.get("Y0") or 0.0, gm.get("T0") or 0.0, gm.get("S0") or 0.0
-        UiGU = U[:, 2:].T @ _solve(G, U)
-        gamma = np.linalg.pinv(ZWD[:, 2:] - UiGU[:, 2:]) @ (ZWD[:, :2] - UiGU[:, :2])
+        mine = [m["groups"].get(g, {}) for g in zgroups]
+        zy = np.array([[gm.get("Y0") or 0.0, gm.get("T0") or 0.0] for gm in mine])
+        gamma = partial_out([(G, U[:, 2:], np.array([gm.get("S0") or 0.0 for gm in mine]), zy, U[:, :2])])
     return G, beta, gamma
 
 
@@ -122,7 +164,7 @@ def _residual_moments(base: DataFrame, fits: Sequence[dict], kernel: str, vce: s
         sg = F.lit(0.0)
     v = F.col("sy") * F.col("y") + F.col("st") * F.col("t") + sg
     mmax = max(2 * f["order"] for f in fits)
-    terms = {f"M{m}": F.col("k") ** 2 * F.col("z") ** m for m in range(mmax + 1)}
+    terms = {f"M{m}": F.col("k") * F.col("k") * zm for m, zm in enumerate(powers(F.col("z"), max(1, mmax))[:mmax + 1])}
     if vce == "nn":
         from panelrd.operators.rd.nn import nn_sums
 
@@ -165,18 +207,25 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
             (F.col(treat).cast("double") if fuzzy else F.lit(0.0)).alias("t"),
             (F.col(group).cast("string") if group else F.lit("")).alias("g")]
     base = df.select(*cols).dropna()
+    if group:
+        check_levels(base, "g")
     base = base.select("x", (F.col("x") - F.lit(float(c))).alias("u"), "y", "t", "g",
                        F.when(F.col("x") >= c, F.lit(1)).otherwise(F.lit(0)).alias("side"))
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pil = base.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("u").alias("sd"),
-                       F.percentile_approx("u", [0.25, 0.75], 10000).alias("qs"),
                        F.min("u").alias("lo"), F.max("u").alias("hi"),
                        F.count_if(F.col("side") == 0).alias("nl"), F.count_if(F.col("side") == 1).alias("nr")).first()
         N = pil["n"]
         if N is None or N < 10 or pil["nl"] < 5 or pil["nr"] < 5:
-            raise ValueError("too few observations on a side for bandwidth selection")
-        iqr = pil["qs"][1] - pil["qs"][0]
+            # as for the estimate: undefined, a row of NULLs
+            none = dict.fromkeys(("h_left", "h_right", "b_left", "b_right", "pilot"))
+            outs = [dict(rule=r, **none, n_left=int(pil["nl"] or 0), n_right=int(pil["nr"] or 0)) for r in rules]
+            if as_dict:
+                return outs[0] if isinstance(rule, str) else outs
+            return df.sparkSession.createDataFrame([tuple(o.values()) for o in outs], BANDWIDTH_SCHEMA)
+        q1, q3 = exact_quantiles(base, "u", N, pil["lo"], pil["hi"], (0.25, 0.75))
+        iqr = q3 - q1
         spread = min(pil["sd"], iqr / 1.349) if iqr > 0 else pil["sd"]
         range_l, range_r = abs(pil["lo"]), abs(pil["hi"])
         c_bw = min(PILOT_CONSTANT[kernel] * spread * N ** (-0.2), max(range_l, range_r))
@@ -189,8 +238,6 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         win = [(s, c_bw, 2 * omax + 1, omax) for s in (0, 1)] + [(s, ranges[s] + 1e-8, 2 * (q + 2), q + 2) for s in (0, 1)]
         mom = _moments(base, win, kernel)
         zgroups = sorted({g for m in mom for g in m["groups"]})[1:] if group else []
-        if len(zgroups) + 1 > MAX_GROUP_LEVELS:
-            raise ValueError(f"{len(zgroups) + 1} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}")
         vfit, rfits = {}, []
         for s in (0, 1):
             for o, nu in vstages:
@@ -242,5 +289,4 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         base.unpersist()
     if as_dict:
         return outs[0] if isinstance(rule, str) else outs
-    return df.sparkSession.createDataFrame(outs, "rule string, h_left double, h_right double, b_left double, b_right double, "
-                                                 "pilot double, n_left long, n_right long")
+    return df.sparkSession.createDataFrame(outs, BANDWIDTH_SCHEMA)

@@ -37,9 +37,8 @@ RESULT_SCHEMA = ("spec string, outcome string, method string, estimate double, s
 SIDE_COLUMNS = ["spec", "side", "role", "power", "coef"]
 SIDE_SCHEMA = "spec string, side string, role string, power int, coef double"
 METHODS = ("conventional", "bias_corrected", "robust")
-# Group controls are solved as a dense (levels − 1) system on the driver and their
-# per-level constants are broadcast, so the number of levels is checked first.
-MAX_GROUP_LEVELS = 5000
+# Moments and constants of every group level pass through the driver; the levels are counted before they are gathered.
+MAX_GROUP_LEVELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -102,21 +101,63 @@ def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
     return out
 
 
+def check_levels(base: DataFrame, group: str) -> None:
+    """Count the group levels, on the executors, before anything of each level is gathered."""
+    n = base.agg(F.count_distinct(F.col(group))).first()[0]
+    if n > MAX_GROUP_LEVELS:
+        raise ValueError(f"{n} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}; use a coarser group column")
+
+
+def partial_out(sides: Sequence[tuple]) -> np.ndarray:
+    """Coefficients (levels × 2) of group dummies common to both sides, for the outcome and the treatment.
+
+    Each side gives (Γ, U = Σ w r per level, d = Σ w per level, Σ w (y, t) per level, Σ w r (y, t)).  The normal matrix of
+    the partialled-out dummies is diagonal minus a matrix of low rank, Σ diag(d) − Σ UᵀΓ⁻¹U, so it is solved through a
+    system of the size of Γ (Woodbury), in time and memory linear in the levels.
+    """
+    D = sum(d for _, _, d, _, _ in sides)
+    rhs = sum(zy - U.T @ _solve(G, R) for G, U, _, zy, R in sides)
+    P = np.concatenate([U.T for _, U, _, _, _ in sides], axis=1)
+    k = sides[0][0].shape[0]
+    M = np.zeros((P.shape[1], P.shape[1]))
+    for i, (G, *_rest) in enumerate(sides):
+        M[i * k:(i + 1) * k, i * k:(i + 1) * k] = G
+    used = D > 0
+    gamma = np.zeros((len(D), 2))
+    if used.any():
+        Pd, inv = P[used], 1.0 / D[used][:, None]
+        core = M - Pd.T @ (inv * Pd)
+        gamma[used] = inv * rhs[used] + inv * (Pd @ (np.linalg.pinv(core) @ (Pd.T @ (inv * rhs[used]))))
+    return gamma
+
+
+def powers(z: Column, most: int) -> list[Column]:
+    """z⁰ … z^most by multiplication."""
+    out = [F.lit(1.0), z]
+    while len(out) <= most:
+        out.append(out[len(out) // 2] * out[len(out) - len(out) // 2])
+    return out
+
+
+def _known(c: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return c.isNotNull() & ~F.isnan(c)
+
+
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
-            return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "auto"):
+            return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "none",
+            nn_bucket: int | None = None):
     """Estimate every spec in one pair of passes; returns the result DataFrame
     (schema `RESULT_SCHEMA`, three rows per spec) and, with `return_sides`, the
     per-side polynomial coefficients (schema `SIDE_SCHEMA`).  `variance=False`
     skips the second pass (standard errors and p-values are then NULL).
 
     The pruned input (running variable, outcomes, treatment, group) is scanned
-    three or four times, so it is materialised once when worth it: `"auto"`
-    (default: persist when the input plan has joins/aggregations/windows, else
-    rescan the pruned columns), `"persist"` (recomputed from lineage if an
-    executor is lost), `"checkpoint"`
-    (written to the cluster's `spark.checkpoint.dir`, cutting an expensive upstream
-    lineage) or `"none"`."""
+    three or four times.  `materialize_mode` says what to keep of it: `"none"` (rescan
+    the pruned columns), `"persist"` (for an input with an expensive plan; recomputed
+    from lineage if an executor is lost) or `"checkpoint"` (written to the cluster's
+    `spark.checkpoint.dir`, cutting the lineage)."""
     if q < p + 1:
         raise ValueError("q must be at least p + 1")
     if vce not in ("hc0", "hc1", "nn"):
@@ -130,19 +171,21 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     need = [x] + ([treat] if treat else []) + ([group] if group else [])
     base, release = materialize(df.select(*{c: None for c in need + [s.outcome for s in specs]}.keys()), materialize_mode)
     try:
-        return _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance)
+        return _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance, nn_bucket)
     finally:
         release()
 
 
-def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance):
+def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance, nn_bucket):
     valid = []
     for s in specs:
-        v = F.col(s.outcome).isNotNull()
+        v = _known(F.col(s.outcome).cast("double"))
         for c in need:
-            v = v & F.col(c).isNotNull()
+            v = v & (F.col(c).isNotNull() if c == group else _known(F.col(c).cast("double")))
         valid.append(v)
 
+    if group:
+        check_levels(base, group)
     # side totals (whole sample, per spec): one small aggregate
     tot_exprs = []
     for i, s in enumerate(specs):
@@ -154,7 +197,10 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
     for i, s in enumerate(specs):
         wl, wr = max(s.h_left, s.b_left), max(s.h_right, s.b_right)
         in_win.append(F.when(valid[i] & (xc >= s.c - wl) & (xc <= s.c + wr), F.lit(i)))
-    e = base.select("*", F.explode(F.array_compact(F.array(*in_win))).alias("k"))
+    # one range over all windows, which the scan can push down
+    lo = min(s.c - max(s.h_left, s.b_left) for s in specs)
+    hi = max(s.c + max(s.h_right, s.b_right) for s in specs)
+    e = base.filter((F.col(x) >= lo) & (F.col(x) <= hi)).select("*", F.explode(F.array_compact(F.array(*in_win))).alias("k"))
     k = F.col("k")
     c = _pick([s.c for s in specs], k)
     side = F.when(xc >= c, F.lit(1)).otherwise(F.lit(0))
@@ -169,63 +215,54 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
                  (u / scale).alias("z"), kernel_weight(u, h, kernel).alias("wh"), kernel_weight(u, b, kernel).alias("wb"),
                  ycol.alias("y"), (F.col(treat).cast("double") if treat else F.lit(0.0)).alias("t"))
     z, wh, wb, yy, tt = F.col("z"), F.col("wh"), F.col("wb"), F.col("y"), F.col("t")
+    zs = powers(z, 2 * q)
     aggs = [F.count(F.lit(1)).alias("nw"), F.count_if(wh > 0).alias("nh"), F.count_if(wb > 0).alias("nb")]
-    aggs += [F.sum(wh * z ** m).alias(f"H{m}") for m in range(2 * p + 2)]
-    aggs += [F.sum(wb * z ** m).alias(f"B{m}") for m in range(2 * q + 1)]
-    aggs += [F.sum(wh * z ** m * yy).alias(f"HY{m}") for m in range(p + 1)]
-    aggs += [F.sum(wh * z ** m * tt).alias(f"HT{m}") for m in range(p + 1)]
-    aggs += [F.sum(wb * z ** m * yy).alias(f"BY{m}") for m in range(q + 1)]
-    aggs += [F.sum(wb * z ** m * tt).alias(f"BT{m}") for m in range(q + 1)]
+    aggs += [F.sum(wh * zs[m]).alias(f"H{m}") for m in range(2 * p + 2)]
+    aggs += [F.sum(wb * zs[m]).alias(f"B{m}") for m in range(2 * q + 1)]
+    aggs += [F.sum(wh * zs[m] * yy).alias(f"HY{m}") for m in range(p + 1)]
+    aggs += [F.sum(wh * zs[m] * tt).alias(f"HT{m}") for m in range(p + 1)]
+    aggs += [F.sum(wb * zs[m] * yy).alias(f"BY{m}") for m in range(q + 1)]
+    aggs += [F.sum(wb * zs[m] * tt).alias(f"BT{m}") for m in range(q + 1)]
     with jit_friendly(spark):
         mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
 
     groups = sorted({r["g"] for r in mom}) if group else [""]
-    if len(groups) > MAX_GROUP_LEVELS:
-        raise ValueError(f"{len(groups)} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}; "
-                         "use a coarser group column")
     zgroups = groups[1:] if group else []          # first level is the base (dropped dummy)
     nz = len(zgroups)
     keys = ["nw", "nh", "nb"] + [f"H{m}" for m in range(2 * p + 2)] + [f"B{m}" for m in range(2 * q + 1)] + \
            [f"{a}{m}" for a in ("HY", "HT") for m in range(p + 1)] + [f"{a}{m}" for a in ("BY", "BT") for m in range(q + 1)]
 
+    parts: dict = {}
+    for r in mom:
+        parts.setdefault((r["k"], r["side"]), {})[r["g"]] = {c: r[c] or 0.0 for c in keys}
     fits = {}
     for i, s in enumerate(specs):
         for sside in (0, 1):
-            rows = [r for r in mom if r["k"] == i and r["side"] == sside]
-            tot = _sumrows(rows, keys)
-            byg = {g: _sumrows([r for r in rows if r["g"] == g], keys) for g in groups}
+            byg = parts.get((i, sside), {})
+            tot = _sumrows(byg.values(), keys)
             Gp = np.array([[tot.get(f"H{a + bb}", 0.0) for bb in range(p + 1)] for a in range(p + 1)])
             Gq = np.array([[tot.get(f"B{a + bb}", 0.0) for bb in range(q + 1)] for a in range(q + 1)])
             L = np.array([tot.get(f"H{j + p + 1}", 0.0) for j in range(p + 1)])
             cols_p = [[tot.get(f"HY{j}", 0.0) for j in range(p + 1)], [tot.get(f"HT{j}", 0.0) for j in range(p + 1)]]
             cols_q = [[tot.get(f"BY{j}", 0.0) for j in range(q + 1)], [tot.get(f"BT{j}", 0.0) for j in range(q + 1)]]
             for g in zgroups:
-                cols_p.append([byg[g].get(f"H{j}", 0.0) for j in range(p + 1)])
-                cols_q.append([byg[g].get(f"B{j}", 0.0) for j in range(q + 1)])
+                cols_p.append([byg.get(g, {}).get(f"H{j}", 0.0) for j in range(p + 1)])
+                cols_q.append([byg.get(g, {}).get(f"B{j}", 0.0) for j in range(q + 1)])
             RpWD, RqWD = np.array(cols_p).T, np.array(cols_q).T          # (p+1)×nD, (q+1)×nD
             bp = _solve(Gp, RpWD)
             bq = _solve(Gq, RqWD)
             GpL = _solve(Gp, L)
             bbc = bp - np.outer(GpL, bq[p + 1, :])
-            # Z'W_h D rows for group dummies (columns Y, T, Z...)
-            ZWD = np.zeros((nz, 2 + nz))
-            for a, g in enumerate(zgroups):
-                ZWD[a, 0] = byg[g].get("HY0", 0.0)
-                ZWD[a, 1] = byg[g].get("HT0", 0.0)
-                ZWD[a, 2 + a] = byg[g].get("H0", 0.0)
-            UiGU = RpWD[:, 2:].T @ _solve(Gp, RpWD) if nz else np.zeros((0, 2 + nz))
-            fits[(i, sside)] = dict(tot=tot, Gp=Gp, Gq=Gq, L=L, bp=bp, bq=bq, bbc=bbc, ZWD=ZWD, UiGU=UiGU)
+            mine = [byg.get(g, {}) for g in zgroups]
+            d0 = np.array([m.get("H0", 0.0) for m in mine])
+            zy = np.array([[m.get("HY0", 0.0), m.get("HT0", 0.0)] for m in mine]).reshape(nz, 2)
+            fits[(i, sside)] = dict(tot=tot, Gp=Gp, Gq=Gq, L=L, bp=bp, bq=bq, bbc=bbc, dummies=(Gp, RpWD[:, 2:], d0, zy, RpWD[:, :2]))
 
     results, side_rows, const_rows, gconst_rows = [], [], [], []
     est = {}
     for i, s in enumerate(specs):
         fl, fr = fits[(i, 0)], fits[(i, 1)]
-        if nz:
-            ZWZ = (fl["ZWD"] - fl["UiGU"])[:, 2:] + (fr["ZWD"] - fr["UiGU"])[:, 2:]
-            ZWY = (fl["ZWD"] - fl["UiGU"])[:, :2] + (fr["ZWD"] - fr["UiGU"])[:, :2]
-            gamma = np.linalg.pinv(ZWZ) @ ZWY          # nz × 2 (Y, T)
-        else:
-            gamma = np.zeros((0, 2))
+        gamma = partial_out([fl["dummies"], fr["dummies"]]) if nz else np.zeros((0, 2))
         sY = np.concatenate([[1.0, 0.0], -gamma[:, 0]])
         sT = np.concatenate([[0.0, 1.0], -gamma[:, 1]])
         d_p = fr["bp"][0, :] - fl["bp"][0, :]
@@ -254,7 +291,7 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
                     continue
                 coef = f["bp"] @ vec
                 for j in range(p + 1):
-                    side_rows.append((s.name, "right" if sside else "left", role, j, float(coef[j]) / sc ** j))
+                    side_rows.append((s.name, "right" if sside else "left", role, j, float(coef[j]) / sc ** j if sc else None))
         for a, g in enumerate(zgroups):
             gconst_rows.append((i, g, float(svec[2 + a])))
 
@@ -269,24 +306,24 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
         sg = F.coalesce(F.col("sg"), F.lit(0.0))
     else:
         sg = F.lit(0.0)
-    poly = lambda arr, n: sum((F.col(arr)[m] * z ** m for m in range(1, n)), F.col(arr)[0])
+    poly = lambda arr, n: sum((F.col(arr)[m] * zs[m] for m in range(1, n)), F.col(arr)[0])
     lhs = F.col("sy") * yy + F.col("st") * tt + sg
     e_h = lhs - poly("kp", p + 1)
     e_b = lhs - poly("kq", q + 1)
     a_i = poly("arow", q + 1)
-    Q = [wh * z ** j - F.col("L")[j] * wb * a_i for j in range(p + 1)]
+    Q = [wh * zs[j] - F.col("L")[j] * wb * a_i for j in range(p + 1)]
     if not variance:
         meat = None
     elif vce == "nn":
         # nearest-neighbour residuals are the same for both fits: one pass over distinct values
         from panelrd.operators.rd.nn import nn_sums
 
-        terms = {f"MC{m}": wh * wh * z ** m for m in range(2 * p + 1)}
+        terms = {f"MC{m}": wh * wh * zs[m] for m in range(2 * p + 1)}
         terms.update({f"MR{j}_{l}": Q[j] * Q[l] for j in range(p + 1) for l in range(j, p + 1)})
         nk = {(i, sside): int(fits[(i, sside)]["tot"]["nw"]) for i in range(K) for sside in (0, 1) if fits[(i, sside)]["tot"].get("nw")}
-        meat = nn_sums(e2.withColumn("_w", lhs), ["k", "side"], "xr", "_w", terms, nk, J=nnmatch)
+        meat = nn_sums(e2.withColumn("_w", lhs), ["k", "side"], "xr", "_w", terms, nk, J=nnmatch, per_bucket=nn_bucket)
     else:
-        aggs2 = [F.sum(wh * wh * z ** m * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
+        aggs2 = [F.sum(wh * wh * zs[m] * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
         aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
         with jit_friendly(spark):
             meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
@@ -349,7 +386,7 @@ def _zq(level: float) -> float:
 def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
        h: float | tuple | None = None, b: float | tuple | None = None, p: int = 1, q: int = 2,
        kernel: str = "triangular", vce: str = "nn", bwselect: str = "msetwo", name: str | None = None,
-       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "auto"):
+       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "none"):
     """One RD estimate (sharp, or fuzzy with `treat`, optional group controls).
 
     `h`/`b` may be a number or a (left, right) pair; when `h` is None both are
@@ -371,6 +408,8 @@ def _rd(df, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, retu
         bw = rd_bandwidth(df, x, y, c=c, treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect,
                           as_dict=True, nnmatch=nnmatch)
         hl, hr, bl, br = bw["h_left"], bw["h_right"], bw["b_left"], bw["b_right"]
+        if hl is None:  # too few rows on a side: no window, so a row of NULLs
+            hl = hr = bl = br = 0.0
     else:
         hl, hr = (h, h) if not isinstance(h, tuple) else h
         if b is None:

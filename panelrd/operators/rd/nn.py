@@ -6,17 +6,19 @@ rule of Calonico, Cattaneo and Titiunik 2014), scaled by √(J_i/(J_i+1)).
 Because neighbours are defined on distinct values, the work is done on the
 table of distinct values per key (count d, Σw, Σw²):
 
-1. distinct values are cut into approximate-quantile buckets per key;
+1. distinct values are cut into buckets of about `per_bucket` values by range
+   arithmetic (operators/ranges.py), as many as there are;
 2. a window per (key, bucket) gives the J previous/next distinct values;
-3. neighbours across bucket borders come from a small table of each bucket's
-   first/last J values (keys × buckets × 2J rows), gathered once and broadcast;
+3. neighbours across bucket borders come from each bucket's first/last J values:
+   a second window, over the buckets of a key, hands them to the next buckets;
 4. the neighbour expansion needs no loop: left and right groups are taken in
    order of distance (ties together), so a group is used exactly when the own
    ties plus all strictly closer groups are still short of min(J, n − 1);
 5. Σ_{i∈v} res_i² = α²Σw² − 2αβΣw + dβ² per distinct value, and the requested
    outer-product terms are summed per key.
 
-No window ever spans more than one bucket, so no task sorts a whole side.
+No window spans more than one bucket's values or one key's buckets, nothing is
+collected, and small and large inputs take the same path.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelrd.operators.ranges import range_buckets
 from panelrd.session import jit_friendly
 
-MAX_BUCKETS = 1024
+#: Distinct values that one task sorts.
 PER_BUCKET = 200_000
 
 
@@ -41,12 +44,11 @@ def _lit(v) -> str:
 
 
 def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping[str, Column], n_by_key: Mapping[tuple, int],
-            J: int = 3) -> dict:
+            J: int = 3, per_bucket: int | None = None) -> dict:
     """Σ_v term_v · Σ_{i∈v} res_i² per key; `terms` must be constant within (key, x).
 
     `n_by_key` holds the observation count per key (known from the moment pass);
-    it sets the matching target min(J, n − 1) and the number of buckets.  When
-    every key fits one bucket the whole computation is a single job.
+    it sets the matching target min(J, n − 1).
     """
     keys = list(keys)
     spark = rows.sparkSession
@@ -55,19 +57,9 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
     dv = rows.groupBy(*keys, x).agg(
         F.count(F.lit(1)).alias("_d"), F.sum(F.col(w)).alias("_S"), F.sum(F.col(w) * F.col(w)).alias("_Q"),
         *[F.first(t).alias(name) for name, t in terms.items()])
-    kschema = ", ".join(f"{k} {dict(dv.dtypes)[k]}" for k in keys)
-    nb = max(1, min(MAX_BUCKETS, max(n_by_key.values()) // PER_BUCKET))
-    persisted = []
-    if nb > 1:
-        dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
-        persisted.append(dv)
-        probs = [i / nb for i in range(1, nb)]
-        qrows = dv.groupBy(*keys).agg(F.percentile_approx(x, probs, 20 * nb).alias("_bounds")).collect()
-        qdf = spark.createDataFrame([(*[r[k] for k in keys], sorted(set(r["_bounds"]))) for r in qrows], f"{kschema}, _bounds array<double>")
-        dv2 = dv.join(F.broadcast(qdf), on=keys).withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(x)))).drop("_bounds")
-    else:
-        dv2 = dv.withColumn("_b", F.lit(0))
+    dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        dv2 = range_buckets(dv, keys, x, per_bucket or PER_BUCKET)
         win = Window.partitionBy(*keys, "_b").orderBy(x)
         cols = [F.row_number().over(win).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b")).cast("int").alias("_c")]
         for j in range(1, J + 1):
@@ -75,45 +67,30 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
                 cols.append(F.lag(c, j).over(win).alias(f"_l{j}{c}"))
                 cols.append(F.lead(c, j).over(win).alias(f"_n{j}{c}"))
         ranked = dv2.select("*", *cols)
-        halo = []
-        if nb > 1:
-            ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-            persisted.append(ranked)
-            # small edge table: first/last J distinct values of every bucket
-            edges = ranked.filter((F.col("_r") <= J) | (F.col("_r") > F.col("_c") - J)).select(*keys, "_b", x, "_d", "_S").collect()
-            by_key: dict = {}
-            for r in edges:
-                by_key.setdefault(tuple(r[k] for k in keys), []).append((r["_b"], r[x], r["_d"], r["_S"]))
-            for k, vals in by_key.items():
-                vals.sort(key=lambda v: v[1])
-                for b in sorted({v[0] for v in vals}):
-                    first = min(i for i, v in enumerate(vals) if v[0] == b)
-                    last = max(i for i, v in enumerate(vals) if v[0] == b)
-                    prev = [vals[i] for i in range(first - 1, max(-1, first - 1 - J), -1)]
-                    nxt = [vals[i] for i in range(last + 1, min(len(vals), last + 1 + J))]
-                    halo.append((*k, b, [float(v[1]) for v in prev], [int(v[2]) for v in prev], [float(v[3]) for v in prev],
-                                 [float(v[1]) for v in nxt], [int(v[2]) for v in nxt], [float(v[3]) for v in nxt]))
+        # the first and last J values of each bucket, nearest the border first
+        at = Window.partitionBy(*keys, "_b").orderBy(x)
+        ends = dv2.select(*keys, "_b", x, "_d", "_S", F.row_number().over(at).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b")).alias("_c"))
+        ends = ends.filter((F.col("_r") <= J) | (F.col("_r") > F.col("_c") - J))
+        item = F.struct(F.col(x).alias("x"), F.col("_d").alias("d"), F.col("_S").alias("S"))
+        edges = ends.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.when(F.col("_r") <= J, item))).alias("_first"),
+                                              F.sort_array(F.collect_list(F.when(F.col("_r") > F.col("_c") - J, item)), asc=False).alias("_last"))
+        # every bucket holds a value, so J neighbours come from J buckets at most
+        over = Window.partitionBy(*keys).orderBy("_b")
+        none = F.array().cast(dict(edges.dtypes)["_first"])
+        border = lambda f, c: F.slice(F.concat(*[F.coalesce(f(c, j).over(over), none) for j in range(1, J + 1)]), 1, J)
+        edges = edges.select(*keys, "_b", border(F.lag, "_last").alias("_hl"), border(F.lead, "_first").alias("_hr"))
+        t = ranked.join(edges, on=[*keys, "_b"])
         q = lambda c: f"`{c}`"
         # observation count per key as a literal CASE (keys are few: specs × sides)
         ncase = "CASE " + " ".join(
             "WHEN " + " AND ".join(f"{q(k)} = {_lit(v)}" for k, v in zip(keys, kv)) + f" THEN {int(n)}"
             for kv, n in n_by_key.items()) + " END"
-        if nb > 1:
-            hdf = spark.createDataFrame(halo, f"{kschema}, _b int, _px array<double>, _pd array<long>, _pS array<double>, "
-                                              f"_qx array<double>, _qd array<long>, _qS array<double>")
-            t = ranked.join(F.broadcast(hdf), on=keys + ["_b"], how="left")
 
-            def nb_(side, c, j):
-                src = {"x": x, "d": "_d", "S": "_S"}[c]
-                if side == "l":
-                    return (f"CASE WHEN {j} >= _r THEN try_element_at(_p{c}, {j} - _r + 1) ELSE {q(f'_l{j}{src}')} END")
-                return f"CASE WHEN {j} > _c - _r THEN try_element_at(_q{c}, {j} - (_c - _r)) ELSE {q(f'_n{j}{src}')} END"
-        else:
-            t = ranked
-
-            def nb_(side, c, j):
-                src = {"x": x, "d": "_d", "S": "_S"}[c]
-                return q(f"_{'l' if side == 'l' else 'n'}{j}{src}")
+        def nb_(side, c, j):
+            src = {"x": x, "d": "_d", "S": "_S"}[c]
+            if side == "l":
+                return f"CASE WHEN {j} >= _r THEN try_element_at(_hl, {j} - _r + 1).{c} ELSE {q(f'_l{j}{src}')} END"
+            return f"CASE WHEN {j} > _c - _r THEN try_element_at(_hr, {j} - (_c - _r)).{c} ELSE {q(f'_n{j}{src}')} END"
         # the J previous and next distinct values: distance, count, sum
         cand = []
         for j in range(1, J + 1):
@@ -140,5 +117,4 @@ def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping
         with jit_friendly(spark):
             return {tuple(r[k] for k in keys): r.asDict() for r in out.collect()}
     finally:
-        for p in persisted:
-            p.unpersist()
+        dv.unpersist()
