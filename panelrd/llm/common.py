@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task hashes at once (numpy needs about 60 times as much); a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Short rows that one task writes, in steps over tables whose size is known.
+ROWS_PER_TASK = 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -42,9 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Where the number of its rows is known (about), as many tasks write it as the rows ask for: steps over small tables,
+    repeated many times, then do not wait for hundreds of empty tasks.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -132,40 +132,40 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     places = kinds.select("class", F.explode("buckets").alias("bucket"))
     sizes = written(places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "minhash-sizes")
     members = written(places.join(sizes, "bucket"), "minhash-members")
-    weight = written(members.groupBy("class").agg(F.sum("size").alias("weight")).join(kinds.select("class", "n"), "class"), "minhash-weights")
-    members = written(members.join(weight, "class").select("bucket", "class", "n", "weight"), "minhash-places")
+    size = members.count()
+    weight = written(members.groupBy("class").agg(F.sum("size").alias("weight")).join(kinds.select("class", "n"), "class"), "minhash-weights", size)
+    members = written(members.join(weight, "class").select("bucket", "class", "n", "weight"), "minhash-places", size)
     sets = written(full_sets(docs, kinds.select("rid", "class").join(weight.select("class"), "class")), "minhash-sets")
     hub_of = F.max(F.struct("weight", "class", "n")).alias("h")
     # the shared part of two sets is at most the smaller one
     could = 100 * F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
-    edges = members.join(written(members.groupBy("bucket").agg(hub_of), "minhash-hubs"), "bucket").withColumn("hub", F.col("h.class")).withColumn("hub_n", F.col("h.n"))
-    tested = written(edges.filter((F.col("class") != F.col("hub")) & could).select("hub", "class").distinct(), "minhash-edges0")
-    links = written(confirmed(tested, sets, similarity), "minhash-links0")
+    hubs = written(members.groupBy("bucket").agg(hub_of), "minhash-hubs", size)
+    edges = members.join(hubs, "bucket").withColumn("hub", F.col("h.class")).withColumn("hub_n", F.col("h.n"))
+    tested = written(edges.filter((F.col("class") != F.col("hub")) & could).select("hub", "class").distinct(), "minhash-edges0", size)
+    links = written(confirmed(tested, sets, similarity), "minhash-links0", size)
+    had = hubs.select("bucket", F.col("h.class").alias("hub"))
     step = 0
-    reached = written(components(links, "minhash"), "minhash-reached")
     while True:
         step += 1
+        reached = written(components(links, f"minhash{step}", size), f"minhash-reached{step}", size)
         # members by component; components that had a hub in a bucket are done there
         now = members.join(reached.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        now = written(now, f"minhash-now{step}")
-        if step == 1:
-            had = written(now.groupBy("bucket").agg(F.max(F.struct("weight", "class", "component")).alias("h")).select("bucket", F.col("h.class").alias("hub")), "minhash-had0")
-        of_hub = had.join(now.select("class", "component").distinct().withColumnRenamed("class", "hub"), "hub").select("bucket", "component").distinct()
-        open_members = written(now.join(of_hub, ["bucket", "component"], "left_anti"), f"minhash-open{step}")
-        hubs = written(open_members.groupBy("bucket").agg(F.max(F.struct("weight", "class", "n", "component")).alias("h")), f"minhash-hubs{step}")
+        now = written(now, f"minhash-now{step}", size)
+        of_hub = now.join(had.withColumnRenamed("hub", "class"), ["bucket", "class"]).select("bucket", "component").distinct()
+        hubs = now.join(of_hub, ["bucket", "component"], "left_anti").groupBy("bucket").agg(F.max(F.struct("weight", "class", "n", "component")).alias("h"))
+        hubs = written(hubs, f"minhash-hubs{step}", size)
         edges = now.join(hubs, "bucket").filter(F.col("component") != F.col("h.component")).select(F.col("h.class").alias("hub"), "class", "n", F.col("h.n").alias("hub_n")).filter(could)
         pair = [F.greatest("hub", "class").alias("x"), F.least("hub", "class").alias("y")]
         fresh = edges.select("hub", "class", *pair).dropDuplicates(["x", "y"]).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
-        fresh = written(fresh, f"minhash-edges{step}")
+        fresh = written(fresh, f"minhash-edges{step}", size)
         if fresh.isEmpty():
             break
-        new = written(confirmed(fresh, sets, similarity), f"minhash-links{step}")
+        new = written(confirmed(fresh, sets, similarity), f"minhash-links{step}", size)
         if new.isEmpty():
             break
-        had = written(had.unionByName(hubs.select("bucket", F.col("h.class").alias("hub"))), f"minhash-had{step}")
+        had = had.unionByName(hubs.select("bucket", F.col("h.class").alias("hub")))
         tested = tested.unionByName(fresh)
         links = links.unionByName(new)
-        reached = written(components(links, f"minhash{step}"), f"minhash-reached{step}")
     of_class = kinds.select("class", "least").join(reached.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = written(of_class, "minhash-of")
     least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")
