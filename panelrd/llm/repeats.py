@@ -184,7 +184,7 @@ def split(items: DataFrame, width: int, what: Repeats) -> DataFrame:
 Matcher = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int, int]]]
 
 
-def matched(items: DataFrame, matcher: Matcher, block: int = 1 << 20) -> DataFrame:
+def matched(items: DataFrame, matcher: Matcher, block: int = 1 << 18) -> DataFrame:
     """Spans (rid, start, end) that the matcher finds, over whole buckets gathered to blocks of about `block` bytes."""
     kind = ("rid", "start", "end")
 
@@ -263,16 +263,18 @@ def repeated_spans(rows: DataFrame, what: Repeats, matcher: Matcher, name: str)
 
 def spans_of_rows(found: DataFrame) -> DataFrame:
     """All spans of a row in one array `spans`."""
-    return found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
-def covered(spans: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal covered runs."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    change = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(change, [s["start"] for s in spans], 1)
-    np.add.at(change, [s["end"] for s in spans], -1)
-    inside = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return found.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def covered(column: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
+    """For every row of `spans` the starts and ends of the maximal covered runs."""
+    at = np.asarray(column.offsets)
+    start, end = (column.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    for a, b, known in zip(at[:-1].tolist(), at[1:].tolist(), column.is_valid().to_pylist()):
+        if not known or a == b:
+            yield [], []
+            continue
+        order = np.argsort(start[a:b], kind="stable")
+        s, reach = start[a:b][order], np.maximum.accumulate(end[a:b][order])
+        new = np.flatnonzero(np.append(True, s[1:] > reach[:-1]))
+        yield s[new].tolist(), reach[np.append(new[1:] - 1, b - a - 1)].tolist()

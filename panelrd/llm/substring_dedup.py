@@ -21,8 +21,8 @@ from panelrd.llm import repeats
 from panelrd.llm.common import flat_text, row_key
 
 LENGTH = 50
-#: Words of an anchor; different pieces of a bucket that one task compares.
-ANCHOR, LIMIT = 8, 4096
+#: Words of an anchor of a window of LENGTH; different pieces of a bucket that one task compares.
+ANCHOR, LIMIT = 8, 1024
 _LAST = (1 << 63) - 1
 
 
@@ -95,7 +95,7 @@ def parsed(length: int):
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
     """Word spans (rid, start, end) of `docs` (rid, doc_id, text) that cover all windows that also start in a smaller doc_id."""
-    what = repeats.Repeats("words", length, max(1, length // 6), True, limit)
+    what = repeats.Repeats("words", length, max(1, length * ANCHOR // LENGTH), True, limit)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     return repeats.repeated_spans(docs.select("rid", order.alias("ord"), "text"), what, parsed(length), "rlz")
 
@@ -115,12 +115,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFram
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
             out = []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            for i, (starts, ends) in enumerate(repeats.covered(batch.column(2))):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()  # at the six ASCII spaces
                 kept = words
-                if spans:
+                if starts:
                     stays = np.ones(len(words), dtype=bool)
-                    for a, b in zip(*repeats.covered(spans, len(words))):
+                    for a, b in zip(starts, ends):
                         stays[a:b] = False
                     kept = list(compress(words, stays.tolist()))
                 text = b" ".join(kept)

@@ -18,36 +18,43 @@ from panelrd.llm import repeats
 from panelrd.llm.common import flat_text, row_key
 
 LENGTH = 200
-#: Bytes of an anchor; different pieces of a bucket that one task compares.
-ANCHOR, LIMIT = 40, 4096
+#: Bytes of an anchor of a window of LENGTH; different pieces of a bucket that one task compares.
+ANCHOR, LIMIT = 40, 1024
 
 
-def suffix_array(pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(pieces: list[bytes], depth: int, length: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of the pieces sorted by their first `depth` bytes, and the text: all pieces, each with an end mark after it.
 
-    The text holds bytes plus one; an end mark is 0, and an earlier one is the smaller.
+    The text holds bytes plus one; an end mark is 0, and an earlier one is the smaller.  With `length`, the suffixes behind a
+    piece's last window of that length are left out, but for those that the others are induced from.
     """
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.int16) + 1
-    stops = np.cumsum([len(p) + 1 for p in pieces]) - 1
+    raw = b"\0".join(pieces) + b"\0"
+    sizes = np.array([len(p) for p in pieces])
+    text = np.frombuffer(raw, dtype=np.uint8).astype(np.int16) + 1
+    stops = np.cumsum(sizes + 1) - 1
     text[stops] = 0
     n = len(text)
     # stage one: types, and direct sorting of the suffixes that are smaller than their successors
-    step = np.sign(np.diff(text.astype(np.int32)))
-    step = np.append(step, 1)
+    step = np.append(np.sign(np.diff(text)), 1)
     step[stops] = 1  # an end mark is smaller than whatever follows it
     decided = np.where(step != 0, np.arange(n), n)
     following = np.minimum.accumulate(decided[::-1])[::-1]  # where the first difference to the right is
     smaller = step[following] > 0
-    raw = b"\0".join(pieces) + b"\0"
-    direct = np.flatnonzero(smaller & (text > 0))
+    use = np.ones(n, dtype=bool)
+    if length:  # up to the first directly sorted suffix at or behind the last window
+        last = np.maximum(stops - length, stops - sizes)
+        place = np.where(smaller, np.arange(n), n)
+        upto = np.minimum.accumulate(place[::-1])[::-1][last]
+        use = np.arange(n) <= np.repeat(upto, sizes + 1)
+    direct = np.flatnonzero(smaller & use & (text > 0))
     stop_of = stops[np.searchsorted(stops, direct)]
     keys = [raw[a:b] for a, b in zip(direct.tolist(), np.minimum(direct + depth, stop_of).tolist())]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)] if len(keys) else direct
+    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)]
+    del keys
     # stage two: buckets in order; what precedes a suffix just placed, and is larger than it, goes to the front part of its own bucket
-    first = text[direct]
-    bounds = np.searchsorted(first, np.arange(258))
+    bounds = np.searchsorted(text[direct], np.arange(258))
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
-    out: list[np.ndarray] = []
+    out: list[np.ndarray] = [stops[use[stops]]]
 
     def scan(placed: np.ndarray, here: int) -> np.ndarray:
         before = placed[placed > 0] - 1
@@ -63,8 +70,7 @@ def suffix_array(pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarra
             induced[byte[a]].append(before[a:b])
         return again
 
-    scan(stops, 0)
-    out.append(stops)
+    scan(out[0], 0)
     for c in range(1, 257):
         wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
         while len(wave):
@@ -77,16 +83,18 @@ def suffix_array(pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out), text
 
 
-def common_prefixes(a: np.ndarray, b: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that the suffixes at a[i] and b[i] have in common, up to `most`; end marks are never in common."""
-    padded = np.append(text, np.zeros(most, text.dtype))
+def common_prefixes(a: np.ndarray, b: np.ndarray, raw: bytes, most: int) -> np.ndarray:
+    """Bytes that the texts at a[i] and b[i], of at least `most` bytes, have in common, counted up to `most` in words of eight."""
+    word = np.ndarray(len(raw), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
     found, active = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-    for d in range(most):
-        x = padded[a[active] + d]
-        active = active[(x == padded[b[active] + d]) & (x > 0)]
-        if not len(active):
-            break
-        found[active] += 1
+    for d in [*range(0, most - 7, 8), *([most - 8] if most % 8 and most > 8 else [])]:
+        active = active[word[a[active] + d] == word[b[active] + d]]
+        found[active] = d + 8
+    if most < 8:
+        data = np.frombuffer(raw + bytes(8), dtype=np.uint8)
+        for d in range(most):
+            active = active[data[a[active] + d] == data[b[active] + d]]
+            found[active] = d + 1
     return found
 
 
@@ -94,17 +102,18 @@ def repeated_windows(length: int):
     """Matcher: windows of an open piece that start anywhere else in the block."""
 
     def match(pieces: list[bytes], order: np.ndarray, is_open: np.ndarray) -> list[tuple[int, int, int]]:
-        array, text = suffix_array(pieces, length)
-        ends = np.cumsum([len(p) + 1 for p in pieces])
+        array, _ = suffix_array(pieces, length, length)
+        sizes = np.array([len(p) + 1 for p in pieces])
+        ends = np.cumsum(sizes)
         piece = np.searchsorted(ends, array, side="right")
         room = ends[piece] - 1 - array >= length
         array, piece = array[room], piece[room]
         if len(array) < 2:
             return []
-        equal = common_prefixes(array[:-1], array[1:], text, length) >= length
+        equal = common_prefixes(array[:-1], array[1:], b"\0".join(pieces) + b"\0", length) >= length
         hit = np.append(equal, False) | np.append(False, equal)
         hit &= is_open[piece]
-        start = array[hit] - (ends[piece[hit]] - np.array([len(p) + 1 for p in pieces])[piece[hit]])
+        start = array[hit] - (ends - sizes)[piece[hit]]
         return list(zip(piece[hit].tolist(), start.tolist(), (start + length).tolist()))
 
     return match
@@ -112,7 +121,7 @@ def repeated_windows(length: int):
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
     """Byte spans (rid, start, end) of `docs` (rid, text) that cover all `length`-byte strings that also start elsewhere."""
-    what = repeats.Repeats("bytes", length, max(1, length // 5), False, limit)
+    what = repeats.Repeats("bytes", length, max(1, length * ANCHOR // LENGTH), False, limit)
     return repeats.repeated_spans(docs.select("rid", F.lit(0).cast("long").alias("ord"), "text"), what, repeated_windows(length), "suffix")
 
 
@@ -131,11 +140,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFram
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
             out = []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                starts, ends = repeats.covered(spans, len(text))
-                raw = text.tobytes()
-                kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)])) if len(starts) else raw
+            for i, (starts, ends) in enumerate(repeats.covered(batch.column(2))):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)])) if len(starts) else raw
                 out.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
             kind = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kind))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
