@@ -91,6 +91,8 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 11) -> FactorizationMachine:
     """Weighted logistic loss by AdaGrad over small batches; `rows` hold the different term hashes of each text."""
+    if not rows:
+        return FactorizationMachine(np.zeros(0, np.int64), -5.0, np.zeros(0), np.zeros((0, FACTORS)))
     every, at, texts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     toxic = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), minlength=len(every))
     part, n = float(labels.mean()), len(labels)
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
         part = marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return FactorizationMachine(np.zeros(0, np.int64), -5.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return fit_machine([], np.zeros(0), np.zeros(0))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
