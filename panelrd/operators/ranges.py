@@ -20,14 +20,25 @@ HEAVY_ROWS = 100_000
 def range_buckets(values: DataFrame, keys: Sequence[str], x: str, per_bucket: int) -> DataFrame:
     """`values` (rows differ in (keys, x)) with `_b`: array of cell numbers.  Scanned once for each level of cells."""
     keys = list(keys)
-    out = values.withColumn("_b", F.array().cast("array<long>"))
+    sizes = [F.count(F.lit(1)).alias("_cn"), F.min(x).alias("_clo"), F.max(x).alias("_chi")]
+
+    def cell(out: DataFrame):
+        parts = F.ceil(F.col("_cn") / F.lit(per_bucket))
+        # values of one cell differ, so the smallest and the largest of them part at each level
+        part = F.try_divide(F.col(x) - F.col("_clo"), F.col("_chi") - F.col("_clo"))
+        return F.array(F.coalesce(F.least(F.floor(part * parts), parts - 1), F.lit(0)).cast("long"))
+
+    whole = values.groupBy(*keys).agg(*sizes)
+    if keys:
+        out = attach(values, whole, keys)
+    else:
+        row = whole.first()
+        out = values.withColumns({c: F.lit(row[c]) for c in ("_cn", "_clo", "_chi")})
+    out = out.withColumn("_b", cell(out)).drop("_cn", "_clo", "_chi")
     while True:
-        cells = out.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cn"), F.min(x).alias("_clo"), F.max(x).alias("_chi"))
+        cells = out.groupBy(*keys, "_b").agg(*sizes)
         heavy = cells.filter((F.col("_cn") > 2 * per_bucket) & (F.col("_chi") > F.col("_clo")))
         if heavy.isEmpty():
             return out
         out = attach(out, heavy, [*keys, "_b"], bound=HEAVY_ROWS)
-        parts = F.ceil(F.col("_cn") / F.lit(per_bucket))
-        # values of one cell differ, so the smallest and the largest of them part at each level
-        cell = F.least(F.floor((F.col(x) - F.col("_clo")) / (F.col("_chi") - F.col("_clo")) * parts), parts - 1)
-        out = out.withColumn("_b", F.concat("_b", F.array(F.coalesce(cell, F.lit(0)).cast("long")))).drop("_cn", "_clo", "_chi")
+        out = out.withColumn("_b", F.concat("_b", cell(out))).drop("_cn", "_clo", "_chi")
