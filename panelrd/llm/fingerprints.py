@@ -225,9 +225,9 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
     turn = ends.select("doc_id", "side").withColumn("turn", F.row_number().over(Window.orderBy(order, "side")))
     ends = ends.withColumnsRenamed({"doc_id": "d", "side": "s"}).join(turn, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("side")))
     tails = ends.filter("s = 'tail'").select("d", "turn", "fingerprint", "text")
-    total = turn.agg(F.count("*").alias("total"))
+    total = ends.count()
     heads = ends.filter("s = 'head'").select(F.col("turn").alias("next"), F.col("fingerprint").alias("next_fingerprint"), F.col("text").alias("next_text"))
-    pairs = tails.join(F.broadcast(total), F.lit(True)).withColumn("next", F.col("turn") % F.col("total") + 1).join(heads, "next")  # `total` is one row
+    pairs = tails.withColumn("next", F.col("turn") % F.lit(max(total, 1)) + 1).join(heads, "next")
 
     def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
