@@ -33,7 +33,10 @@ def _defaults(df, x, c, bin_width, bandwidth):
 def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
     """Bin table: (bin, mid, n, height = n / (N·width), side, in_band, weight)."""
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
-    n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
+    return _bin_table(d, c, *_defaults(d, "x", c, bin_width, bandwidth))
+
+
+def _bin_table(d: DataFrame, c: float, n: int, b: float, h: float, lo: float, hi: float) -> DataFrame:
     jlo, jhi = math.floor((lo - c) / b), math.floor((hi - c) / b)
     if jhi - jlo + 1 > MAX_BINS:
         raise ValueError("bin grid too large: widen the bins")
@@ -52,8 +55,8 @@ def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | Non
 def density_test(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
     """θ = ln f₊ − ln f₋ with se = √((1/(N h))·(24/5)·(1/f₊ + 1/f₋)); one-row result."""
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
-    n, b, h, _, _ = _defaults(d, "x", c, bin_width, bandwidth)
-    bins = density_binned(d, "x", c, b, h)
+    n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
+    bins = _bin_table(d, c, n, b, h, lo, hi)
     u = F.col("mid") - F.lit(c)
     w = F.col("weight")
     s = bins.filter(w > 0).groupBy("side").agg(
@@ -82,8 +85,8 @@ def density_curve(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None
     within `bandwidth` (2·h/width + 1 offsets, a bounded band), never to all bins.
     """
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
-    n, b, h, _, _ = _defaults(d, "x", c, bin_width, bandwidth)
-    bins = density_binned(d, "x", c, b, h)
+    n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
+    bins = _bin_table(d, c, n, b, h, lo, hi)
     H = int(math.floor(h / b))
     e = bins.select("bin", "height", "side", F.explode(F.sequence(F.lit(-H), F.lit(H))).alias("o"))
     e = e.select((F.col("bin") + F.col("o")).alias("at"), "side", "height", (-F.col("o") * F.lit(b)).alias("dx"))
