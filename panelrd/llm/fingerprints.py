@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelrd.llm.common import mix, written
@@ -179,8 +180,8 @@ def _compared(texts: list[str], prints: list[str], followers: list[str], next_pr
 def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text), of each text edited with the next one, and how near they and the next one's are.
 
-    Next is by descending doc_id, null ids last, equal ids by text; the first follows the last.  The documents are dealt to
-    ranges of ids once; only the first and last document of each range are looked at again, to join the ranges.
+    Next is by descending doc_id, null ids last, equal ids in an order that depends on their texts alone; the first follows the last.  The documents are dealt to
+    ranges of ids once, with compressed texts; only the first and last document of each range are looked at again, to join the ranges.
 
     Null text: empty.  A single document follows itself.  An empty table gives no rows; other columns are not read.
     """
@@ -190,6 +191,7 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
+        plain = zstandard.ZstdDecompressor().decompress
 
         def rows(out: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [id_kind, *kinds])], names=names)
@@ -197,13 +199,14 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
         id_kind = pa.int64()
         for batch in batches:
             id_kind = batch.schema.field(0).type
-            sizes = np.cumsum([len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(1)])
+            packed = batch.column(1).to_pylist()
+            sizes = np.cumsum([zstandard.get_frame_parameters(x).content_size if x else 0 for x in packed])
             at = 0
             while at < batch.num_rows:
                 upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK)) + 1
                 part = batch.slice(at, upto - at)
                 at += part.num_rows
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+                ids, texts = part.column(0).to_pylist(), [plain(x).decode() if x else "" for x in part.column(1).to_pylist()]
                 prints = fingerprints(texts)
                 out = []
                 if last is None:
@@ -218,7 +221,14 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
             yield rows([(last[0], len(last[1]), None, last[2], None, None, None, "tail", last[1])], id_kind)
 
     order = F.col("doc_id").desc_nulls_last()
-    dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(order).sortWithinPartitions(order, "text")
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [pack(x) if x else b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(compress, f"doc_id {id_type}, text binary")
+    dealt = packed.repartitionByRange(order).sortWithinPartitions(order, "text")
     found = written(dealt.mapInArrow(run, f"doc_id {id_type}, {_ROW}, side string, text string"), "fingerprints")
     ends = found.filter("side IS NOT NULL").select("doc_id", "side", "fingerprint", "text")
     # heads and tails of the ranges take turns in the order of ids: two short rows for each range
