@@ -5,7 +5,8 @@ from a bin drawn by a hash until that is not empty; each band of bins is a bucke
 the edges from its hub to its other members; the hub is the member whose buckets are largest in sum, which in a group of copies
 is the text nearest to all of them.  Edges are confirmed on the full sets.  While a bucket holds members of several
 components, the most central member of a component that had no hub yet becomes the next hub, until a round over all
-buckets finds no new link.
+buckets finds no new link.  Links that no hub has seen are then found exactly: the classes of buckets that still hold several
+components are joined across components on the rarest shingles of each, of which two near classes must share one.
 """
 
 from __future__ import annotations
@@ -124,6 +125,27 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.col("hub").alias("u"), F.col("class").alias("v"))
 
 
+def apart_pairs(apart: DataFrame, sets: DataFrame, similarity: int, rows: int) -> DataFrame:
+    """(hub, class): every pair of classes in `apart` (class, component), of different components, that can be near.
+
+    Prefix filter: with shingles in one order for all, rare ones first, the first n - ceil(n * similarity / 100) + 1 shingles of
+    two near sets share one, and behind the first that they share there must be enough of both.
+    """
+    held = sets.join(apart, "class").select("class", "component", F.size("items").alias("n"), "items")
+    items = written(held.select("class", "component", "n", F.explode("items").alias("item")), "minhash-items")
+    common = written(items.groupBy("item").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("often > 1"), "minhash-often")
+    # shingles of a single class come before all others
+    listed = items.join(common.select("item", "often"), "item").groupBy("class", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("s"))
+    length = F.expr(f"n - (n * {similarity} + 99) div 100 + 1 - (n - size(s))")
+    first = listed.filter(length > 0).select("class", "component", "n", F.expr("n - size(s)").alias("before"), F.slice("s", 1, length.cast("int")).alias("s"))
+    first = first.select("class", "component", "n", "before", F.posexplode("s").alias("at", "s")).select("class", "component", "n", F.expr("before + at").alias("at"), F.col("s.item").alias("item"))
+    first = written(first.join(common.filter("lo < hi").select("item"), "item"), "minhash-prefixes", rows)
+    other = first.select("item", *(F.col(c).alias(f"hub_{c}") for c in ("class", "component", "n", "at")))
+    enough = F.expr(f"(100 + {similarity}) * least(n - at, hub_n - hub_at) >= {similarity} * (n + hub_n)")
+    pairs = first.join(other, "item").filter((F.col("component") < F.col("hub_component")) & enough)
+    return pairs.select(F.col("hub_class").alias("hub"), "class").distinct()
+
+
 def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """What near_duplicates returns, with rid (the row's key) and component (null without words)."""
     hashed = written(hashed_documents(docs), "minhash-docs")
@@ -166,6 +188,14 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         had = had.unionByName(hubs.select("bucket", F.col("h.class").alias("hub")))
         tested = tested.unionByName(fresh)
         links = links.unionByName(new)
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    apart = written(now.join(mixed, "bucket").select("class", "component").distinct(), "minhash-apart", size)
+    if not apart.isEmpty():
+        pair = [F.greatest("hub", "class").alias("x"), F.least("hub", "class").alias("y")]
+        rest = apart_pairs(apart, sets, similarity, size).select("hub", "class", *pair).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
+        new = written(confirmed(written(rest, "minhash-rest"), sets, similarity), "minhash-rest-links")
+        if not new.isEmpty():
+            reached = written(components(links.unionByName(new), "minhash-last", size), "minhash-reached-last", size)
     of_class = kinds.select("class", "least").join(reached.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_class = written(of_class, "minhash-of")
     least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 
 from panelrd.llm import components, minhash
 
@@ -44,6 +45,22 @@ def test_keep_one(frame):
     assert got.count(None) == 1  # "alone here"; the other null id has a copy with an id
 
 
+def test_links_between_members_that_never_were_hubs(frame, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, rows = words(60), []
+    for k in range(40):  # texts of much boilerplate, all in one bucket; ten have a near one
+        own = words(50)
+        rows.append((k, " ".join(shared + own)))
+        if k % 4 == 0:
+            rows.append((100 + k, " ".join(shared + own[:-1] + words(1))))
+    hashed = minhash.hashed_documents
+    monkeypatch.setattr(minhash, "hashed_documents", lambda docs: hashed(docs).withColumn("buckets", F.expr("IF(n > 0, array(1L, 2L), NULL)")))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(rows)).collect())
+    assert got == sorted(brute.near_duplicates(rows))
+    assert sum(i != c for i, _, c in got) == 10
+
+
 def test_empty_table_and_no_links(frame):
     assert minhash.op3_minhash_dedup(frame([(1, "a")]).filter("doc_id < 0")).count() == 0
     assert [(r.component_id, r.kept) for r in minhash.op3_minhash_dedup(frame([(1, None), (2, "a b")])).orderBy("doc_id").collect()] == [(1, True), (2, True)]
