@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates (n_chars follows); one that loses all its words goes."""
     ship_package(spark)
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, short_lines=True)
     cut = F.col("_n_removed") > 0
     found = found.filter(~cut | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     found = found.withColumn("text", F.col("_kept")).withColumn("n_chars", F.when(cut, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars")))

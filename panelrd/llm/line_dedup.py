@@ -3,7 +3,8 @@
 A line goes down the tree by its number of tokens and its leading tokens (one with a digit is a field).  In a leaf that lines
 of enough documents reach, the lines are generalised to templates: at each place, a token that enough documents have
 there is constant, all others and those with digits are variable fields.  A template that recurs in enough documents,
-and has enough constants, is dropped everywhere but in the document with the smallest id.
+and has enough constants, is dropped everywhere but in the document with the smallest id.  A line of fewer tokens than the tree
+asks for has a leaf of its own text, so it recurs only as it stands.
 
 Counts are sums with a map-side combine, first over leaves, then over different lines of busy leaves only, so no leaf is
 ever gathered in one task.
@@ -30,7 +31,7 @@ _LAST = (1 << 63) - 1
 
 @dataclass
 class Lines:
-    """Lines of at least `min_tokens` tokens in a block: their row, number in it, leaf, and the hashes of their tokens."""
+    """Lines of a block: their row, number in it, leaf, and the hashes of their tokens."""
 
     row: np.ndarray
     number: np.ndarray
@@ -40,27 +41,31 @@ class Lines:
     tokens: np.ndarray
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> Lines:
+def lines_of(data: np.ndarray, offsets: np.ndarray, short_lines: bool, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> Lines:
+    """Lines of at least `min_tokens` tokens and, with `short_lines`, all others that hold any, whose tokens have no fields."""
     hashes, start, end, at = word_hashes(data, offsets)
     if not len(hashes):
         none = np.zeros(0, np.int64)
         return Lines(none, none, none, none, none, np.zeros(0, np.uint64))
     digits = np.append(0, np.cumsum((data >= _ZERO) & (data <= _NINE)))
-    hashes = np.where(digits[end] > digits[start], _FIELD, hashes)
+    masked = digits[end] > digits[start]
     breaks = np.append(0, np.cumsum(data == _NEWLINE))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     number = breaks[start] - breaks[offsets[row]]
     first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])))
     count = np.diff(np.append(first, len(row)))
-    long = count >= max(min_tokens, depth)
-    first, count = first[long], count[long]
+    short = count < max(min_tokens, depth)
+    hashes = np.where(masked & ~np.repeat(short, count), _FIELD, hashes)
+    if not short_lines:
+        first, count, short = first[~short], count[~short], short[~short]
     leaf = count.astype(np.uint64)
-    for k in range(depth):
-        leaf = mix(leaf * np.uint64(31) + hashes[first + k])
+    for k in range(max(min_tokens, depth)):
+        on = np.flatnonzero(np.where(short, count, depth) > k)
+        leaf[on] = mix(leaf[on] * np.uint64(31) + hashes[first[on] + k])
     return Lines(row[first], number[first], signed(leaf), first, count, hashes)
 
 
-def leaves_of_documents(rows: DataFrame) -> DataFrame:
+def leaves_of_documents(rows: DataFrame, short_lines: bool) -> DataFrame:
     """(rid, leaf, line) of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +73,13 @@ def leaves_of_documents(rows: DataFrame) -> DataFrame:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = flat_text(batch.column(1))
             for i, j in blocks(offsets):
-                found = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], short_lines)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[i + found.row]), pa.array(found.leaf), pa.array(found.number.astype(np.int32))], names=["rid", "leaf", "line"])
 
     return rows.select("rid", "text").mapInArrow(run, "rid long, leaf long, line int")
 
 
-def tokens_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def tokens_of_lines(rows: DataFrame, wanted: DataFrame, short_lines: bool) -> DataFrame:
     """(rid, ord, line, leaf, whole, tokens): the token hashes of the lines in `wanted` (rid, line); whole is the hash of all."""
     by_row = wanted.groupBy("rid").agg(F.collect_set("line").alias("lines"))
     joined = rows.select("rid", "ord", "text").join(by_row, "rid").select("rid", "ord", "text", "lines")
@@ -85,7 +90,7 @@ def tokens_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             lines = batch.column(3).to_pylist()
             data, offsets = flat_text(batch.column(2))
             for i, j in blocks(offsets):
-                found = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], short_lines)
                 asked = [set(x) for x in lines[i:j]]
                 use = [k for k, (r, n) in enumerate(zip(found.row.tolist(), found.number.tolist())) if n in asked[r]]
                 tokens = [signed(found.tokens[found.first[k] : found.first[k] + found.count[k]]) for k in use]
@@ -97,12 +102,12 @@ def tokens_of_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "rid long, ord long, line int, leaf long, whole long, tokens array<long>")
 
 
-def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS, constant_part: float = CONSTANT_PART) -> DataFrame:
+def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS, constant_part: float = CONSTANT_PART, short_lines: bool = False) -> DataFrame:
     """(rid, line) to drop from `rows` (rid, ord, text): lines of recurring templates, but for the document of least ord."""
-    slim = written(leaves_of_documents(rows), "lines-slim")
+    slim = written(leaves_of_documents(rows, short_lines), "lines-slim")
     busy = slim.select("rid", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     wanted = written(slim.join(written(busy, "lines-busy"), "leaf").select("rid", "line"), "lines-wanted")
-    lines = written(tokens_of_lines(rows, wanted), "lines-tokens")
+    lines = written(tokens_of_lines(rows, wanted, short_lines), "lines-tokens")
     different = written(lines.groupBy("leaf", "whole").agg(F.count_distinct("rid").alias("docs"), F.first("tokens").alias("tokens")), "lines-different")
     token = different.select("leaf", "whole", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("token") != int(_FIELD))
     constant = written(token.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "token"), "lines-constants")
@@ -114,17 +119,17 @@ def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS, constant_part: fl
     return placed.join(written(recurring, "lines-recurring"), "template").filter(F.col("ord") > F.col("first")).select("rid", "line")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant_part: float = CONSTANT_PART) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant_part: float = CONSTANT_PART, short_lines: bool = False) -> DataFrame:
     """`docs` (doc_id, text and others) with _n_lines, _n_removed and _kept: the text without its recurring lines.
 
     Lines end at line feeds.  A null text stays null with no lines; an empty one has none.  A null doc_id is larger than all
-    others.  Of documents with equal ids, all keep the first occurrence.  Lines of fewer than MIN_TOKENS tokens stay.  All
-    columns of `docs` stay; an empty table gives no rows.
+    others.  Of documents with equal ids, all keep the first occurrence.  Lines of fewer than MIN_TOKENS tokens stay or,
+    with `short_lines`, recur if they do so token for token.  All columns of `docs` stay; an empty table gives no rows.
     """
     columns = docs.columns
     keyed = docs.withColumn("_rid", row_key("doc_id", "text"))
     rows = keyed.select(F.col("_rid").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), "text")
-    dropped = recurring_lines(rows, min_docs, constant_part).groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("line").alias("_lines"))
+    dropped = recurring_lines(rows, min_docs, constant_part, short_lines).groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("line").alias("_lines"))
     joined = keyed.join(dropped, "_rid", "left").select(*columns, "_lines")
     at = columns.index("text")
 
@@ -148,5 +153,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant_part: float
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:
-    found = dedup_lines(docs.select("doc_id", "text"))
+    found = dedup_lines(docs.select("doc_id", "text"), short_lines=True)
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

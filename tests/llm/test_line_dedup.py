@@ -36,6 +36,13 @@ def test_variable_fields_are_generalised(frame):
     assert got == {0: 0, **{i: 1 for i in range(1, 13)}}
 
 
+def test_exact_short_lines_recur(frame):
+    rows = [(i, f"own text {i}\nAll rights reserved.\nPage {i}\n{'ab'[i % 2]}\n2024 \n\nLes.") for i in range(12)]
+    got = {r.doc_id: r for r in line_dedup.op6_line_dedup(frame(rows)).collect()}
+    assert {i: (r.n_lines, r.n_removed) for i, r in got.items()} == {0: (7, 0), **{i: (7, 3) for i in range(1, 12)}}
+    assert got[5].kept_sha256 == brute.sha(b"own text 5\nPage 5\nb\n")
+
+
 def test_odd_rows(frame):
     line = "these words come again and again"
     rows = [(None, line), (1, line), (1, line), (2, line), (2, line + "\nmore"), (3, None), (4, "")]
