@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from panelrd.operators import density as DEN
 from panelrd.operators import ols as OLS
 from panelrd.operators.rd import RDSpec, rd_bandwidth, rd_grid

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from panelrd.sources import load_table, promote_header, save_table
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -42,9 +42,9 @@ def duck():
 
 
 def _names():
-    import __spark_entry__ as E
+    from panelrd.plans.oracle import SQL
 
-    return sorted(E.oracle_sql())
+    return sorted(SQL)
 
 
 @pytest.mark.parametrize("name", _names())
