@@ -18,7 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from panelrd.llm.common import mix, written
 
@@ -186,11 +187,12 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
     Null text: empty.  A single document follows itself.  An empty table gives no rows; other columns are not read.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "side", "text"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "side", "text", "part"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
+        part_id = TaskContext.get().partitionId()  # ranges are numbered in the order of ids
         plain = zstandard.ZstdDecompressor().decompress
 
         def rows(out: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
@@ -210,17 +212,18 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
                 prints = fingerprints(texts)
                 out = []
                 if last is None:
-                    out.append((ids[0], len(texts[0]), None, prints[0], None, None, None, "head", texts[0]))
+                    out.append((ids[0], len(texts[0]), None, prints[0], None, None, None, "head", texts[0], part_id))
                 else:
                     ids, texts, prints = [last[0], *ids], [last[1], *texts], [last[2], *prints]
                 last = ids[-1], texts[-1], prints[-1]
-                out += [(i, *row, None, None) for i, row in zip(ids, _compared(texts[:-1], prints[:-1], texts[1:], prints[1:]))]
+                out += [(i, *row, None, None, part_id) for i, row in zip(ids, _compared(texts[:-1], prints[:-1], texts[1:], prints[1:]))]
                 if out:
                     yield rows(out, id_kind)
         if last is not None:
-            yield rows([(last[0], len(last[1]), None, last[2], None, None, None, "tail", last[1])], id_kind)
+            yield rows([(last[0], len(last[1]), None, last[2], None, None, None, "tail", last[1], part_id)], id_kind)
 
     order = F.col("doc_id").desc_nulls_last()
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
@@ -229,15 +232,12 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
 
     packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(compress, f"doc_id {id_type}, text binary")
     dealt = packed.repartitionByRange(order).sortWithinPartitions(order, "text")
-    found = written(dealt.mapInArrow(run, f"doc_id {id_type}, {_ROW}, side string, text string"), "fingerprints")
-    ends = found.filter("side IS NOT NULL").select("doc_id", "side", "fingerprint", "text")
-    # heads and tails of the ranges take turns in the order of ids: two short rows for each range
-    turn = ends.select("doc_id", "side").withColumn("turn", F.row_number().over(Window.orderBy(order, "side")))
-    ends = ends.withColumnsRenamed({"doc_id": "d", "side": "s"}).join(turn, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("side")))
-    tails = ends.filter("s = 'tail'").select("d", "turn", "fingerprint", "text")
-    total = ends.count()
-    heads = ends.filter("s = 'head'").select(F.col("turn").alias("next"), F.col("fingerprint").alias("next_fingerprint"), F.col("text").alias("next_text"))
-    pairs = tails.withColumn("next", F.col("turn") % F.lit(max(total, 1)) + 1).join(heads, "next")
+    found = written(dealt.mapInArrow(run, f"doc_id {id_type}, {_ROW}, side string, text string, part long"), "fingerprints")
+    heads, tails = (found.filter(F.col("side") == s).select("doc_id", "part", "fingerprint", "text") for s in ("head", "tail"))
+    parts = sorted(r["part"] for r in heads.select("part").collect())  # a number for each range that has documents
+    follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, next long")
+    heads = heads.select(F.col("part").alias("next"), F.col("fingerprint").alias("next_fingerprint"), F.col("text").alias("next_text"))
+    pairs = tails.join(follows, "part").join(heads, "next")
 
     def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +245,8 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
             out = _compared(text, prints, following, next_prints)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds))], names=names[:7])
 
-    joined = pairs.select(F.col("d").alias("doc_id"), "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(join_ranges, f"doc_id {id_type}, {_ROW}")
-    return found.filter("side IS NULL").drop("side", "text").unionByName(joined)
+    joined = pairs.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(join_ranges, f"doc_id {id_type}, {_ROW}")
+    return found.filter("side IS NULL").drop("side", "text", "part").unionByName(joined)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
