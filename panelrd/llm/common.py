@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -108,6 +109,67 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def cut_blocks(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks (rows, data, offsets) of about `size` bytes; a longer row is cut between words, so a row may go over several blocks.
+
+    rows tells the row of each of a block's parts.
+    """
+    cuts = []
+    for i in np.flatnonzero(np.diff(offsets) > size).tolist():
+        at = int(offsets[i]) + size
+        while at < offsets[i + 1]:
+            while at < offsets[i + 1] and not (gap := between[data[at : min(at + 4096, offsets[i + 1])]]).any():
+                at += 4096
+            if at >= offsets[i + 1]:
+                break
+            at += int(gap.argmax())
+            cuts.append(at)
+            at += size
+    every = np.sort(np.concatenate([offsets, np.asarray(cuts, dtype=offsets.dtype)]))
+    rows = np.searchsorted(offsets, every[:-1], side="right") - 1
+    for i, j in blocks(every, size):
+        yield rows[i:j], data[every[i] : every[j]], every[i : j + 1] - every[i]
+
+
+#: Bytes of input that a Python function over Arrow batches gets at once.
+BATCH_BYTES = 8 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH_BYTES, one row at least."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            step = max(1, int(n * BATCH_BYTES // max(batch.nbytes, 1)))
+            for at in range(0, n, step):
+                part = batch.slice(at, min(step, n - at))
+                while part.nbytes > 2 * BATCH_BYTES and part.num_rows > 1:  # long rows stand together
+                    yield part.slice(0, half := part.num_rows // 2)
+                    part = part.slice(half)
+                yield part
+
+
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system: it stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """`df.mapInArrow(fn, ddl)` over slices bounded in bytes; at the end of each task its worker gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(_parts(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, ddl)
+
+
 def _powers(kind: str, n: int) -> np.ndarray:
     have = _POWERS.get(kind)
     if have is None or len(have) < n:
@@ -152,9 +214,9 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUES[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word of the rows, and the offsets of the rows' words."""
-    space = _IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word of the rows, and the offsets of the rows' words; `between` tells which bytes separate words."""
+    space = between[data]
     begins = ~space
     begins[1:] &= space[:-1]
     ends = ~space
@@ -173,9 +235,9 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where(upper, data + np.uint8(32), data)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and the offsets of the rows' words."""
-    start, end, at = words(data, offsets)
+    start, end, at = words(data, offsets, between)
     if not len(start):
         return np.zeros(0, np.uint64), start, end, at
     return RangeHash(byte_values(data))(start, end), start, end, at
