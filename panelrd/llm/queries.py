@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelrd.llm import fingerprints, langid, line_dedup, minhash, mixing, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from panelrd.llm import fingerprints, html_extract, langid, lexical_search, line_dedup, minhash, mixing, neighbours, packing, spelling, substring_dedup, suffix_dedup, toxicity
 from panelrd.llm.common import table
 
 
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_language_id": _over("documents", langid.op8_language_id),
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9_nearest_neighbours),
     "op10_mix_sources": _over("documents", mixing.op10_mix_sources),
+    "op11_html_extraction": _over("pages", html_extract.op11_html_extraction),
+    "op12_spelling_variants": _over("documents", spelling.op12_spelling_variants),
+    "op13_ranked_search": lambda spark, sf_dir: lexical_search.op13_ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
-SQL = {"op10_mix_sources": mixing.OP10_SQL}
+SQL = {"op10_mix_sources": mixing.OP10_SQL, "op12_spelling_variants": spelling.OP12_SQL, "op13_ranked_search": lexical_search.OP13_SQL}

@@ -57,13 +57,16 @@ def gram_index(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     lists = leaf.groupBy("gram").agg(F.sum("c").alias("f"))
     known = written(leaf.select("window", "gram").join(lists, "gram"), "spelling-dictionary")
     grams = place.join(known, "window").groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "f", "gram"))).alias("at"))
-    # grams over the place i: those from i, i - 1, ... that are long enough
-    reach = F.transform("at", lambda g: F.char_length(g["gram"]))
-    over = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(pad)), F.lit(0), lambda a, k: a + (F.get(F.col("reach"), i - k - 1) > k).cast("int"))
-    grams = grams.withColumn("size", F.char_length("word")).withColumn("reach", reach)
-    bound = F.array_max(F.transform(F.sequence(F.lit(longest), F.lit(pad) + F.col("size")), over))
+
+    def over(state: Column, g: Column) -> Column:
+        """The most grams over a letter so far, and the last places of the grams that are not over at this one."""
+        still = F.filter(state["ends"], lambda e: e >= g["p"])
+        most = F.when(g["p"] >= longest, F.greatest(state["most"], F.size(still) + 1)).otherwise(state["most"])
+        return F.struct(most.alias("most"), F.concat(still, F.array(g["p"] + F.char_length(g["gram"]) - 1)).alias("ends"))
+
+    bound = F.aggregate("at", F.struct(F.lit(0).alias("most"), F.array().cast("array<int>").alias("ends")), over, lambda state: state["most"])
     rare = F.sort_array(F.transform("at", lambda g: F.struct(g["f"].alias("f"), g["gram"].alias("gram"), g["p"].alias("p"))))
-    return grams.select("word", "n", "size", rare.alias("grams"), bound.alias("bound"))
+    return grams.select("word", "n", F.char_length("word").alias("size"), rare.alias("grams"), bound.alias("bound"))
 
 
 def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, frequent: int = FREQUENT) -> DataFrame:

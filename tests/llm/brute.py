@@ -113,3 +113,11 @@ def lines(rows, min_docs, min_tokens=4, depth=3, part=0.5):
         if len(seen[t]) >= min_docs and i > min(seen[t]):
             gone[i].add(k)
     return {i: (len(ls), gone[i], "\n".join(x for k, x in enumerate(ls) if k not in gone[i])) for i, ls in split}
+
+
+def one_edit(a, b):
+    """Whether one inserted, deleted or replaced code point makes `a` into `b`."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]

@@ -6,7 +6,7 @@ from panelrd.llm import common, queries
 
 
 def test_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -14,7 +14,8 @@ def test_registered():
 def test_sql_gives_the_same_rows(spark, sf_small, name):
     got = queries.QUERIES[name](spark, sf_small).toPandas()
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     expected = con.sql(queries.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(expected.columns)
