@@ -164,7 +164,7 @@ def density_lp(df: DataFrame, x: str, c: float = 0.0, h: float = 1.0, p: int = 2
     f·e₁ᵀΓ⁻¹ΣΓ⁻¹e₁/(n h); test of equal densities.  One-row result."""
     import numpy as np
 
-    from panelrd.operators.rd.core import kernel_weight
+    from panelrd.operators.rd.cells import kernel_weight
 
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     ec, n = _ecdf_window(d, c, h, per_bucket)

@@ -13,23 +13,24 @@ Cattaneo and Farrell (2020):
 Group controls (dummies of `group`, first level dropped) are partialled out
 inside every stage on each side, as in the covariate-adjusted estimator.
 Each stage is one aggregation of kernel-weighted moments per (window, group)
-plus one residual aggregation (nearest-neighbour by default, or hc0/hc1); the
-base columns are persisted for the seven passes.  The quartiles of the pilot
-are exact order statistics found by counting cells, so nothing is sorted.
+plus one residual aggregation (nearest-neighbour by default, or hc0/hc1) over
+the cell table (cells.py), for all selections at once: the rows are read once.
+The quartiles of the pilot are exact order statistics found by counting cells,
+so nothing is sorted.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.rd.core import _inv, _solve, check_levels, kernel_weight, partial_out, powers
-from panelrd.session import jit_friendly
+from panelrd.operators.rd.cells import CellTable, Fit
+from panelrd.operators.rd.core import _inv, _solve, check_levels, partial_out
 
 # Rule-of-thumb pilot constants per kernel.
 PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
@@ -41,12 +42,13 @@ BANDWIDTH_SCHEMA = ("rule string, h_left double, h_right double, b_left double,
 QUANTILE_CELLS = 4096
 
 
-def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs: Sequence[float]) -> list[float]:
-    """Quantiles by linear interpolation of the two order statistics around p (n − 1), exact and without a sort.
+def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs: Sequence[float], weight: str | None = None) -> list[float]:
+    """Quantiles of n observations, `weight` of them in each row, by linear interpolation of the two order statistics around p (n − 1), exact and without a sort.
 
     Rows are counted in QUANTILE_CELLS equal cells of a range; the cells that hold the wanted ranks become the next ranges,
     until a range is one value.  Each step is one aggregation with a row per cell and wanted rank.
     """
+    many = F.col(weight) if weight else F.lit(1)
     ranks = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
     found: dict = {}
     todo = {k: (lo, hi, k) for k in ranks}          # rank → range that holds it, and its rank in that range
@@ -64,7 +66,7 @@ def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs:
             F.when((xc >= a) & (xc <= b), F.struct(F.lit(i).alias("i"), F.least(F.floor((xc - a) / (b - a) * QUANTILE_CELLS), F.lit(QUANTILE_CELLS - 1)).alias("cell")))
             for i, (a, b) in enumerate(ranges)])))
         cells: dict = {}
-        for r in df.select(xc.alias("x"), which.alias("w")).groupBy("w.i", "w.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        for r in df.select(xc.alias("x"), which.alias("w"), many.alias("many")).groupBy("w.i", "w.cell").agg(F.sum("many").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
             cells.setdefault(r["i"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
         for k, (a, b, inside) in list(todo.items()):
             for _, m, c_lo, c_hi in sorted(cells[ranges.index((a, b))]):
@@ -80,38 +82,6 @@ def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs:
     return out
 
 
-def _moments(base: DataFrame, windows: Sequence[tuple], kernel: str) -> list[dict]:
-    """windows: (side, h, max_power_S, max_power_D).  Per window and group: n, Σ k zᵐ, Σ k zᵐ y, Σ k zᵐ t."""
-    u, side = F.col("u"), F.col("side")
-    wid = F.explode(F.array_compact(F.array(*[
-        F.when((side == s) & (F.abs(u) <= h), F.lit(i)) for i, (s, h, _, _) in enumerate(windows)]))).alias("w")
-    far = max(float(w[1]) for w in windows)
-    e = base.filter(F.abs(u) <= far).select("u", "y", "t", "g", wid)
-    hcol = F.element_at(F.array(*[F.lit(float(w[1])) for w in windows]), F.col("w") + 1)
-    e = e.select("w", "g", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"), "y", "t")
-    ms = max(w[2] for w in windows)
-    md = max(w[3] for w in windows)
-    z, k = powers(F.col("z"), max(ms, md)), F.col("k")
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(k * z[m]).alias(f"S{m}") for m in range(ms + 1)]
-    aggs += [F.sum(k * z[m] * F.col("y")).alias(f"Y{m}") for m in range(md + 1)]
-    aggs += [F.sum(k * z[m] * F.col("t")).alias(f"T{m}") for m in range(md + 1)]
-    out = [dict(n=0, groups={}) for _ in windows]
-    with jit_friendly(base.sparkSession):
-        rows = e.groupBy("w", "g").agg(*aggs).collect()
-    for r in rows:
-        d = r.asDict()
-        out[d["w"]]["groups"][d["g"]] = d
-        out[d["w"]]["n"] += d["n"]
-    for o in out:
-        tot = {}
-        for d in o["groups"].values():
-            for key, v in d.items():
-                if key not in ("w", "g"):
-                    tot[key] = tot.get(key, 0.0) + (v or 0.0)
-        o["tot"] = tot
-    return out
-
-
 def _fit(m: dict, order: int, zgroups: Sequence[str]):
     """Order-`order` fit of D = (y, t, dummies…) in z-units; returns Γ, β (order+1 × nD), and one-sided γ."""
     tot = m["tot"]
@@ -143,54 +113,127 @@ def _svec(beta, gamma, nu: int, h: float, fuzzy: bool) -> np.ndarray:
     return np.concatenate([[1.0 / tt, -ty / tt ** 2], -gamma[:, 0] / tt + (ty / tt ** 2) * gamma[:, 1]])
 
 
-def _residual_moments(base: DataFrame, fits: Sequence[dict], kernel: str, vce: str, nnmatch: int, zgroups: Sequence[str]) -> list[dict]:
-    """fits: dict(side, h, order, beta, s, n).  Σ k² zᵐ r² per fit, r the combined residual (nn or hc)."""
-    spark = base.sparkSession
-    u, side = F.col("u"), F.col("side")
-    wid = F.explode(F.array_compact(F.array(*[
-        F.when((side == f["side"]) & (F.abs(u) <= f["h"]), F.lit(i)) for i, f in enumerate(fits)]))).alias("w")
-    e = base.select("x", "u", "y", "t", "g", wid)
-    pick = lambda vals: F.element_at(F.array(*[F.lit(float(v)) for v in vals]), F.col("w") + 1)
-    hcol = pick([f["h"] for f in fits])
-    e = e.select("w", "x", "g", "y", "t", (F.col("u") / hcol).alias("z"), kernel_weight(F.col("u"), hcol, kernel).alias("k"),
-                 pick([f["s"][0] for f in fits]).alias("sy"), pick([f["s"][1] for f in fits]).alias("st"))
-    if zgroups:
-        # one row per (fit, non-base group): counted here, so the broadcast size is known
-        gdf = spark.createDataFrame([(i, g, float(f["s"][2 + a])) for i, f in enumerate(fits) for a, g in enumerate(zgroups)],
-                                    "w int, g string, sg double")
-        e = e.join(F.broadcast(gdf), on=["w", "g"], how="left")
-        sg = F.coalesce(F.col("sg"), F.lit(0.0))
-    else:
-        sg = F.lit(0.0)
-    v = F.col("sy") * F.col("y") + F.col("st") * F.col("t") + sg
-    mmax = max(2 * f["order"] for f in fits)
-    terms = {f"M{m}": F.col("k") * F.col("k") * zm for m, zm in enumerate(powers(F.col("z"), max(1, mmax))[:mmax + 1])}
-    if vce == "nn":
-        from panelrd.operators.rd.nn import nn_sums
-
-        nk = {(i,): int(f["n"]) for i, f in enumerate(fits) if f["n"]}
-        got = nn_sums(e.withColumn("_v", v), ["w"], "x", "_v", terms, nk, J=nnmatch)
-        return [got.get((i,), {}) for i in range(len(fits))]
-    # hc: residual of the combined variable from the fit's combined coefficients
-    kap = [f["beta"] @ f["s"] for f in fits]
-    omax = max(f["order"] for f in fits)
-    fitted = sum((pick([kk[m] if m < len(kk) else 0.0 for kk in kap]) * F.col("z") ** m for m in range(omax + 1)), F.lit(0.0))
-    e = e.withColumn("_r", v - fitted)
-    aggs = [F.sum(terms[name] * F.col("_r") ** 2).alias(name) for name in terms]
-    with jit_friendly(spark):
-        got = {r["w"]: r.asDict() for r in e.groupBy("w").agg(*aggs).collect()}
-    return [got.get(i, {}) for i in range(len(fits))]
-
-
 def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
     """(Γ⁻¹ M Γ⁻¹) with the hc1 small-sample factor where asked."""
-    Mm = np.array([[M.get(f"M{a + b}") or 0.0 for b in range(order + 1)] for a in range(order + 1)])
+    Mm = np.array([[M.get(f"HH{a + b}") or 0.0 for b in range(order + 1)] for a in range(order + 1)])
     if vce == "hc1":
         Mm = Mm * (n / (n - order - 1) if n > order + 1 else float("nan"))
     Gi = _inv(G)
     return Gi @ Mm @ Gi
 
 
+@dataclass(frozen=True)
+class Selection:
+    """What bandwidths are chosen for: a sample of a cell table, a cutoff, and whether the estimate is a ratio."""
+
+    o: int
+    c: float
+    fuzzy: bool
+
+
+def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn",
+                      scaleregul: float = 1.0) -> list[dict]:
+    """h_left, h_right, b_left, b_right, pilot, n_left and n_right for each selection; the number of jobs does not depend on theirs.
+
+    A selection with too few rows on a side has bandwidths None.
+    """
+    counts = cells.sides([(s.o, s.c) for s in selections])
+    found: list[dict] = [dict(dict.fromkeys(("h_left", "h_right", "b_left", "b_right", "pilot")), n_left=nl, n_right=nr, N=nl + nr) for nl, nr in counts]
+    live = [i for i, (nl, nr) in enumerate(counts) if nl + nr >= 10 and nl >= 5 and nr >= 5]
+    if not live:
+        return found
+    spreads = _spreads(cells, sorted({selections[i].o for i in live}))
+    hc = vce != "nn"
+    ranges, pilot = {}, {}
+    for i in live:
+        s = selections[i]
+        sample = cells.samples[s.o]
+        ranges[i] = (abs(sample["lo"] - s.c), abs(sample["hi"] - s.c))
+        pilot[i] = min(PILOT_CONSTANT[kernel] * spreads[s.o] * sample["n"] ** (-0.2), max(ranges[i]))
+    sides = [(i, side) for i in live for side in (0, 1)]
+
+    def window(i: int, side: int, h: float) -> Fit:
+        return Fit(selections[i].o, selections[i].c, bool(side), float(h))
+
+    def zgroups_of(moments: list[dict]) -> list[str]:
+        return sorted({g for m in moments for g in m["groups"]} - {cells.samples[selections[live[0]].o]["base"]}) if cells.group else []
+
+    # variance parts: all stages use the pilot window; orders q+1, q, p with derivative q+1, p+1, 0
+    stages = [(q + 1, q + 1), (q, p + 1), (p, 0)]
+    most = q + 2
+    fits = [window(i, s, pilot[i]) for i, s in sides] + [window(i, s, ranges[i][s] + 1e-8) for i, s in sides]
+    moments = cells.moments(fits, kernel, 2 * most, most)
+    zgroups = zgroups_of(moments)
+    near, whole = dict(zip(sides, moments)), dict(zip(sides, moments[len(sides):]))
+    parts, asked = {}, []
+    for i, s in sides:
+        for o, nu in stages:
+            G, beta, gamma = _fit(near[i, s], o, zgroups)
+            combination = _svec(beta, gamma, nu, pilot[i], selections[i].fuzzy)
+            v = np.array([near[i, s]["tot"].get(f"S{j + o + 1}", 0.0) for j in range(o + 1)])
+            parts[i, s, o] = dict(G=G, s=combination, bconst=float((_inv(G) @ v)[nu]), nu=nu)
+            asked.append(((i, s, o), _residual_fit(window(i, s, pilot[i]), near[i, s]["n"], combination, beta, zgroups, hc)))
+    for (key, f), m in zip(asked, cells.residuals([f for _, f in asked], kernel, vce, 2 * (q + 1))):
+        part, h = parts[key], f.h
+        V = _vmat(part["G"], m, key[2], f.n, vce)
+        part["V"] = (2 * part["nu"] + 1) * h ** (2 * part["nu"] + 1) * float(V[part["nu"], part["nu"]]) / h ** (2 * part["nu"])
+
+    def stage(o: int, order: int, h: dict, regularised: bool, known: dict | None = None) -> dict:
+        """(V, bias, regularisation) for each side, the bias from a fit of `order` with window h."""
+        ms = known or dict(zip(sides, cells.moments([window(i, s, h[i, s]) for i, s in sides], kernel, 2 * most, most)))
+        fitted = {k: _fit(ms[k], order, zgroups) for k in sides}
+        rs = {}
+        if regularised:
+            again = [_residual_fit(window(*k, h[k]), ms[k]["n"], parts[*k, o]["s"], fitted[k][1], zgroups, hc) for k in sides]
+            rs = dict(zip(sides, cells.residuals(again, kernel, vce, 2 * order)))
+        out = {}
+        for k in sides:
+            part, (G, beta, _) = parts[*k, o], fitted[k]
+            nu = part["nu"]
+            bias = math.sqrt(2 * (o + 1 - nu)) * part["bconst"] * float(beta[o + 1, :] @ part["s"]) / h[k] ** (o + 1)
+            reg = 0.0
+            if regularised:
+                var = float(_vmat(G, rs[k], order, ms[k]["n"], vce)[o + 1, o + 1]) / h[k] ** (2 * (o + 1))
+                reg = scaleregul * 2 * (o + 1 - nu) * 3 * part["bconst"] ** 2 * var
+            out[k] = (part["V"], bias, reg)
+        return out
+
+    def widths(parts_: dict, o: int) -> dict:
+        return {k: min((V / (B ** 2 + scaleregul * R)) ** (1.0 / (2 * o + 3)), ranges[k[0]][k[1]]) for k, (V, B, R) in parts_.items()}
+
+    # d: order q+1 derivative, bias from an order q+2 fit on the whole side (no regularisation)
+    d_bw = widths(stage(q + 1, q + 2, {(i, s): ranges[i][s] + 1e-8 for i, s in sides}, False, whole), q + 1)
+    b_bw = widths(stage(q, q + 1, d_bw, scaleregul > 0), q)
+    h_bw = widths(stage(p, q, b_bw, scaleregul > 0), p)
+    for i in live:
+        found[i] |= dict(h_left=float(h_bw[i, 0]), h_right=float(h_bw[i, 1]), b_left=float(b_bw[i, 0]), b_right=float(b_bw[i, 1]), pilot=float(pilot[i]))
+    return found
+
+
+def _residual_fit(f: Fit, n: int, s: np.ndarray, beta: np.ndarray, zgroups: Sequence[str], hc: bool) -> Fit:
+    coefficients = [float(v) for v in beta @ s] if hc else []
+    return replace(f, n=int(n), sy=float(s[0]), st=float(s[1]), kh=coefficients, kb=coefficients, groups=dict(zip(zgroups, s[2:])))
+
+
+def _spreads(cells: CellTable, samples: Sequence[int]) -> dict[int, float]:
+    """min(sd, IQR / 1.349) of the running variable in each sample."""
+    own, out = cells.own(), {}
+    means = {o: cells.samples[o]["sum"] / cells.samples[o]["n"] for o in samples}
+    gap = F.col("x") - F.element_at(F.create_map(*(F.lit(v) for kv in means.items() for v in kv)), F.col("o"))
+    squares = {r["o"]: r["ss"] for r in own.filter(F.col("o").isin(list(means))).groupBy("o").agg(F.sum(F.col("n") * gap * gap).alias("ss")).collect()}
+    for o in samples:
+        s = cells.samples[o]
+        sd = math.sqrt(squares[o] / (s["n"] - 1))
+        q1, q3 = exact_quantiles(own.filter(F.col("o") == o), "x", s["n"], s["lo"], s["hi"], (0.25, 0.75), weight="n")
+        out[o] = min(sd, (q3 - q1) / 1.349) if q3 > q1 else sd
+    return out
+
+
+def rule_factor(rule: str, n: int, p: int) -> float:
+    """What a rule scales the MSE-optimal h by."""
+    return n ** (-(p / ((3 + p) * (3 + 2 * p)))) if rule == "certwo" else 1.0
+
+
 def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
                  p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", rule: str | Sequence[str] = "msetwo",
                  scaleregul: float = 1.0, as_dict: bool = False, nnmatch: int = 3):
@@ -202,91 +245,17 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
     rules = [rule] if isinstance(rule, str) else list(rule)
     if not rules or any(r not in ("msetwo", "certwo") for r in rules):
         raise ValueError("rule must be 'msetwo' or 'certwo'")
-    fuzzy = treat is not None
-    cols = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-            (F.col(treat).cast("double") if fuzzy else F.lit(0.0)).alias("t"),
-            (F.col(group).cast("string") if group else F.lit("")).alias("g")]
-    base = df.select(*cols).dropna()
     if group:
-        check_levels(base, "g")
-    base = base.select("x", (F.col("x") - F.lit(float(c))).alias("u"), "y", "t", "g",
-                       F.when(F.col("x") >= c, F.lit(1)).otherwise(F.lit(0)).alias("side"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        check_levels(df, group)
+    cells = CellTable(df, x, [y], treat, group, nnmatch=nnmatch, neighbours=vce == "nn")
     try:
-        pil = base.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("u").alias("sd"),
-                       F.min("u").alias("lo"), F.max("u").alias("hi"),
-                       F.count_if(F.col("side") == 0).alias("nl"), F.count_if(F.col("side") == 1).alias("nr")).first()
-        N = pil["n"]
-        if N is None or N < 10 or pil["nl"] < 5 or pil["nr"] < 5:
-            # as for the estimate: undefined, a row of NULLs
-            none = dict.fromkeys(("h_left", "h_right", "b_left", "b_right", "pilot"))
-            outs = [dict(rule=r, **none, n_left=int(pil["nl"] or 0), n_right=int(pil["nr"] or 0)) for r in rules]
-            if as_dict:
-                return outs[0] if isinstance(rule, str) else outs
-            return df.sparkSession.createDataFrame([tuple(o.values()) for o in outs], BANDWIDTH_SCHEMA)
-        q1, q3 = exact_quantiles(base, "u", N, pil["lo"], pil["hi"], (0.25, 0.75))
-        iqr = q3 - q1
-        spread = min(pil["sd"], iqr / 1.349) if iqr > 0 else pil["sd"]
-        range_l, range_r = abs(pil["lo"]), abs(pil["hi"])
-        c_bw = min(PILOT_CONSTANT[kernel] * spread * N ** (-0.2), max(range_l, range_r))
-        ranges = {0: range_l, 1: range_r}
-        n_side = {0: pil["nl"], 1: pil["nr"]}
-
-        # V-parts: all stages use the pilot window; orders q+1, q, p with derivative q+1, p+1, 0
-        vstages = [(q + 1, q + 1), (q, p + 1), (p, 0)]
-        omax = q + 1
-        win = [(s, c_bw, 2 * omax + 1, omax) for s in (0, 1)] + [(s, ranges[s] + 1e-8, 2 * (q + 2), q + 2) for s in (0, 1)]
-        mom = _moments(base, win, kernel)
-        zgroups = sorted({g for m in mom for g in m["groups"]})[1:] if group else []
-        vfit, rfits = {}, []
-        for s in (0, 1):
-            for o, nu in vstages:
-                G, beta, gamma = _fit(mom[s], o, zgroups)
-                sv = _svec(beta, gamma, nu, c_bw, fuzzy)
-                v = np.array([mom[s]["tot"].get(f"S{j + o + 1}", 0.0) for j in range(o + 1)])
-                vfit[(s, o)] = dict(G=G, s=sv, bconst=float((_inv(G) @ v)[nu]), nu=nu)
-                rfits.append(dict(side=s, h=c_bw, order=o, beta=beta, s=sv, n=mom[s]["n"]))
-        vres = _residual_moments(base, rfits, kernel, vce, nnmatch, zgroups)
-        for idx, f in enumerate(rfits):
-            vf = vfit[(f["side"], f["order"])]
-            Vm = _vmat(vf["G"], vres[idx], f["order"], f["n"], vce)
-            vf["V"] = (2 * vf["nu"] + 1) * c_bw ** (2 * vf["nu"] + 1) * float(Vm[vf["nu"], vf["nu"]]) / c_bw ** (2 * vf["nu"])
-
-        def stage(o, o_b, hb: dict, with_reg: bool, bm=None):
-            """Bias part with window hb[side] and order o_b; returns per-side (V, B, R)."""
-            if bm is None:
-                bm = _moments(base, [(s, hb[s], 2 * o_b, o_b) for s in (0, 1)], kernel)
-            fitsB = {}
-            for s in (0, 1):
-                G, beta, _ = _fit(bm[s], o_b, zgroups)
-                fitsB[s] = dict(side=s, h=hb[s], order=o_b, beta=beta, s=vfit[(s, o)]["s"], n=bm[s]["n"], G=G)
-            resB = _residual_moments(base, [fitsB[0], fitsB[1]], kernel, vce, nnmatch, zgroups) if with_reg else [{}, {}]
-            out = {}
-            for s in (0, 1):
-                vf, fb = vfit[(s, o)], fitsB[s]
-                coef = float(fb["beta"][o + 1, :] @ vf["s"]) / hb[s] ** (o + 1)
-                B = math.sqrt(2 * (o + 1 - vf["nu"])) * vf["bconst"] * coef
-                R = 0.0
-                if with_reg:
-                    VB = float(_vmat(fb["G"], resB[s], o_b, fb["n"], vce)[o + 1, o + 1]) / hb[s] ** (2 * (o + 1))
-                    R = scaleregul * 2 * (o + 1 - vf["nu"]) * 3 * vf["bconst"] ** 2 * VB
-                out[s] = (vf["V"], B, R)
-            return out
-
-        # d: order q+1 derivative, bias from an order q+2 fit on the whole side (no regularisation)
-        st = stage(q + 1, q + 2, {s: ranges[s] + 1e-8 for s in (0, 1)}, False, bm=[mom[2], mom[3]])
-        d_bw = {s: min((st[s][0] / st[s][1] ** 2) ** (1.0 / (2 * (q + 1) + 3)), ranges[s]) for s in (0, 1)}
-        st = stage(q, q + 1, d_bw, scaleregul > 0)
-        b_bw = {s: min((st[s][0] / (st[s][1] ** 2 + scaleregul * st[s][2])) ** (1.0 / (2 * q + 3)), ranges[s]) for s in (0, 1)}
-        st = stage(p, q, b_bw, scaleregul > 0)
-        h_bw = {s: min((st[s][0] / (st[s][1] ** 2 + scaleregul * st[s][2])) ** (1.0 / (2 * p + 3)), ranges[s]) for s in (0, 1)}
-        outs = []
-        for r in rules:
-            fac = N ** (-(p / ((3 + p) * (3 + 2 * p)))) if r == "certwo" else 1.0
-            outs.append(dict(rule=r, h_left=float(h_bw[0] * fac), h_right=float(h_bw[1] * fac), b_left=float(b_bw[0]),
-                             b_right=float(b_bw[1]), pilot=float(c_bw), n_left=int(n_side[0]), n_right=int(n_side[1])))
+        [got] = select_bandwidths(cells, [Selection(0, c, treat is not None)], p, q, kernel, vce, scaleregul)
     finally:
-        base.unpersist()
+        cells.drop()
+    outs = []
+    for r in rules:
+        h = {k: None if got[k] is None else got[k] * rule_factor(r, got["N"], p) for k in ("h_left", "h_right")}
+        outs.append(dict(rule=r, **h, **{k: got[k] for k in ("b_left", "b_right", "pilot", "n_left", "n_right")}))
     if as_dict:
         return outs[0] if isinstance(rule, str) else outs
-    return df.sparkSession.createDataFrame(outs, BANDWIDTH_SCHEMA)
+    return df.sparkSession.createDataFrame([tuple(o.values()) for o in outs], BANDWIDTH_SCHEMA)

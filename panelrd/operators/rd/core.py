@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelrd.operators.rd.cells import CellTable, Fit, kernel_weight, known, powers
 from panelrd.operators.stats import Z975, norm_sf2
 from panelrd.session import jit_friendly, materialize
 
@@ -59,21 +60,6 @@ class RDSpec:
                        b_right=self.h_right if self.b_right is None else self.b_right)
 
 
-def kernel_weight(u: Column, h, kernel: str) -> Column:
-    """K(u/h)/h for the triangular, uniform or Epanechnikov kernel (0 outside |u| ≤ h)."""
-    h = h if isinstance(h, Column) else F.lit(float(h))
-    r = F.abs(u) / h
-    if kernel == "triangular":
-        k = 1.0 - r
-    elif kernel == "uniform":
-        k = F.lit(0.5)
-    elif kernel == "epanechnikov":
-        k = 0.75 * (1.0 - r * r)
-    else:
-        raise ValueError(f"unknown kernel {kernel}")
-    return F.when(r <= 1.0, k / h).otherwise(F.lit(0.0))
-
-
 def _pick(values: Sequence, k: Column) -> Column:
     """Per-row constant of spec `k` from a literal array (spec list is a parameter)."""
     return F.element_at(F.array(*[F.lit(None).cast("double") if v is None else F.lit(float(v)) for v in values]), k + 1)
@@ -131,19 +117,6 @@ def partial_out(sides: Sequence[tuple]) -> np.ndarray:
     return gamma
 
 
-def powers(z: Column, most: int) -> list[Column]:
-    """z⁰ … z^most by multiplication."""
-    out = [F.lit(1.0), z]
-    while len(out) <= most:
-        out.append(out[len(out) // 2] * out[len(out) - len(out) // 2])
-    return out
-
-
-def _known(c: Column) -> Column:
-    """Neither NULL nor NaN."""
-    return c.isNotNull() & ~F.isnan(c)
-
-
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
             return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "none",
@@ -171,17 +144,38 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     need = [x] + ([treat] if treat else []) + ([group] if group else [])
     base, release = materialize(df.select(*{c: None for c in need + [s.outcome for s in specs]}.keys()), materialize_mode)
     try:
+        if vce == "nn" and variance:
+            return _rd_grid_nn(base, x, specs, treat, group, p, q, kernel, level, return_sides, nnmatch, nn_bucket)
         return _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance, nn_bucket)
     finally:
         release()
 
 
+def _rd_grid_nn(base, x, specs, treat, group, p, q, kernel, level, return_sides, nnmatch, nn_bucket):
+    """Fixed bandwidths and neighbour variance: cells of the rows inside the windows; the rest is only counted."""
+    if group:
+        check_levels(base, group)
+    xc, counts = F.col(x).cast("double"), []
+    for i, s in enumerate(specs):
+        valid = known(xc) & known(F.col(s.outcome).cast("double"))
+        valid = valid & known(F.col(treat).cast("double")) if treat else valid
+        valid = valid & F.col(group).isNotNull() if group else valid
+        counts += [F.count_if(valid & (xc < s.c)).alias(f"l{i}"), F.count_if(valid & (xc >= s.c)).alias(f"r{i}")]
+    totals = base.agg(*counts).first()
+    reach = (min(s.c - max(s.h_left, s.b_left) for s in specs), max(s.c + max(s.h_right, s.b_right) for s in specs))
+    cells = CellTable(base, x, list(dict.fromkeys(s.outcome for s in specs)), treat, group, reach, nnmatch, nn_bucket)
+    try:
+        return _grid_from_cells(cells, specs, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(len(specs))], p, q, kernel, level, return_sides)
+    finally:
+        cells.drop()
+
+
 def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance, nn_bucket):
     valid = []
     for s in specs:
-        v = _known(F.col(s.outcome).cast("double"))
+        v = known(F.col(s.outcome).cast("double"))
         for c in need:
-            v = v & (F.col(c).isNotNull() if c == group else _known(F.col(c).cast("double")))
+            v = v & (F.col(c).isNotNull() if c == group else known(F.col(c).cast("double")))
         valid.append(v)
 
     if group:
@@ -227,14 +221,91 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
         mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
 
     groups = sorted({r["g"] for r in mom}) if group else [""]
-    zgroups = groups[1:] if group else []          # first level is the base (dropped dummy)
+    parts: dict = {}
+    for r in mom:
+        parts.setdefault((r["k"], r["side"]), {})[r["g"]] = {c: v or 0.0 for c, v in r.items() if c not in ("k", "side", "g")}
+
+    def meat_of(const_rows, gconst_rows, fits):
+        """Sums of squared residuals of the fits, from the rows."""
+        cschema = "k int, side int, sy double, st double, kp array<double>, kq array<double>, arow array<double>, L array<double>"
+        cdf = F.broadcast(spark.createDataFrame(const_rows, cschema))   # 2 rows per spec: size fixed by the spec list
+        e2 = e.join(cdf, on=["k", "side"], how="inner")
+        if gconst_rows:
+            # one row per (spec, non-base group): counted on the driver, so its size is known
+            gdf = F.broadcast(spark.createDataFrame(gconst_rows, "k int, g string, sg double"))
+            e2 = e2.join(gdf, on=["k", "g"], how="left")
+            sg = F.coalesce(F.col("sg"), F.lit(0.0))
+        else:
+            sg = F.lit(0.0)
+        poly = lambda arr, n: sum((F.col(arr)[m] * zs[m] for m in range(1, n)), F.col(arr)[0])
+        lhs = F.col("sy") * yy + F.col("st") * tt + sg
+        e_h = lhs - poly("kp", p + 1)
+        e_b = lhs - poly("kq", q + 1)
+        a_i = poly("arow", q + 1)
+        Q = [wh * zs[j] - F.col("L")[j] * wb * a_i for j in range(p + 1)]
+        aggs2 = [F.sum(wh * wh * zs[m] * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
+        aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
+        with jit_friendly(spark):
+            return {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
+
+    return _finish(spark, specs, parts, groups, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(K)], p, q, vce, level, return_sides, meat_of if variance else None)
+
+
+def _grid_from_cells(cells: CellTable, specs, totals, p, q, kernel, level, return_sides):
+    """The same estimates with nearest-neighbour variance, from a cell table: two jobs for all specs."""
+    spark, place = cells.spark, {o: i for i, o in enumerate(cells.outcomes)}
+    wide = {(i, side): max((s.h_right, s.b_right) if side else (s.h_left, s.b_left)) for i, s in enumerate(specs) for side in (0, 1)}
+    window = lambda i, side, h, b=None: Fit(place[specs[i].outcome], specs[i].c, bool(side), float(h), b, float(wide[i, side]))
+    pick = lambda s, side: (s.h_right, s.b_right) if side else (s.h_left, s.b_left)
+    # an empty window has no rows, and no scale to divide by
+    sides = [k for k in wide if wide[k] > 0 and min(pick(specs[k[0]], k[1])) > 0]
+    moments = cells.moments([window(*k, pick(specs[k[0]], k[1])[which]) for k in sides for which in (0, 1)], kernel, max(2 * p + 1, 2 * q), q) if sides else []
+    parts: dict = {}
+    for n, k in enumerate(sides):
+        mh, mb = moments[2 * n], moments[2 * n + 1]
+        widest = mh if mh["n"] >= mb["n"] else mb
+        of = {}
+        for g in {*mh["groups"], *mb["groups"]}:
+            a, b, w = (m["groups"].get(g, {}) for m in (mh, mb, widest))
+            of[g] = {"nw": w.get("n") or 0, "nh": a.get("np") or 0, "nb": b.get("np") or 0, **{f"H{m}": a.get(f"S{m}") or 0.0 for m in range(2 * p + 2)}, **{f"B{m}": b.get(f"S{m}") or 0.0 for m in range(2 * q + 1)},
+                     **{f"H{c}{m}": a.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(p + 1)}, **{f"B{c}{m}": b.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(q + 1)}}
+        parts[k] = of
+    groups = sorted({g for of in parts.values() for g in of}) if cells.group else [""]
+
+    def meat_of(const_rows, gconst_rows, fits):
+        """Sums of squared neighbour residuals: those of both bandwidths are the same, so their products come from one pass."""
+        by_spec: dict = {}
+        for i, g, v in gconst_rows:
+            by_spec.setdefault(i, {})[g] = v
+        const = {(r[0], r[1]): r for r in const_rows}
+        asked = [k for k in sides if fits[k]["tot"].get("nw") and np.isfinite(const[k][2:4]).all()]
+        wanted = []
+        for k in asked:
+            h, b = pick(specs[k[0]], k[1])
+            f = window(*k, h, float(b))
+            wanted.append(replace(f, n=int(fits[k]["tot"]["nw"]), sy=const[k][2], st=const[k][3], groups=by_spec.get(k[0], {})))
+        out = {}
+        for k, r in zip(asked, cells.residuals(wanted, kernel, "nn", 2 * q) if wanted else []):
+            arow, L = const[k][6], const[k][7]
+            get = lambda name, m: r.get(f"{name}{m}") or 0.0
+            m = {f"MC{j}": get("HH", j) for j in range(2 * p + 1)}
+            for j in range(p + 1):
+                for l in range(j, p + 1):
+                    cross = sum(a * (L[l] * get("HB", j + i) + L[j] * get("HB", l + i)) for i, a in enumerate(arow))
+                    own = sum(a * a2 * get("BB", i + i2) for i, a in enumerate(arow) for i2, a2 in enumerate(arow))
+                    m[f"MR{j}_{l}"] = get("HH", j + l) - cross + L[j] * L[l] * own
+            out[k] = m
+        return out
+
+    return _finish(spark, specs, parts, groups, totals, p, q, "nn", level, return_sides, meat_of)
+
+
+def _finish(spark, specs, parts, groups, totals, p, q, vce, level, return_sides, meat_of):
+    """Estimates and errors from the moments of each (spec, side, group); `meat_of` gives the sums of squared residuals."""
+    zgroups = groups[1:]          # first level is the base (dropped dummy)
     nz = len(zgroups)
     keys = ["nw", "nh", "nb"] + [f"H{m}" for m in range(2 * p + 2)] + [f"B{m}" for m in range(2 * q + 1)] + \
            [f"{a}{m}" for a in ("HY", "HT") for m in range(p + 1)] + [f"{a}{m}" for a in ("BY", "BT") for m in range(q + 1)]
-
-    parts: dict = {}
-    for r in mom:
-        parts.setdefault((r["k"], r["side"]), {})[r["g"]] = {c: r[c] or 0.0 for c in keys}
     fits = {}
     for i, s in enumerate(specs):
         for sside in (0, 1):
@@ -295,39 +366,7 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
         for a, g in enumerate(zgroups):
             gconst_rows.append((i, g, float(svec[2 + a])))
 
-    # ---------------------------------------------------------------- pass 2
-    cschema = "k int, side int, sy double, st double, kp array<double>, kq array<double>, arow array<double>, L array<double>"
-    cdf = F.broadcast(spark.createDataFrame(const_rows, cschema))   # 2 rows per spec: size fixed by the spec list
-    e2 = e.join(cdf, on=["k", "side"], how="inner")
-    if nz:
-        # one row per (spec, non-base group): counted on the driver above, so its size is known
-        gdf = F.broadcast(spark.createDataFrame(gconst_rows, "k int, g string, sg double"))
-        e2 = e2.join(gdf, on=["k", "g"], how="left")
-        sg = F.coalesce(F.col("sg"), F.lit(0.0))
-    else:
-        sg = F.lit(0.0)
-    poly = lambda arr, n: sum((F.col(arr)[m] * zs[m] for m in range(1, n)), F.col(arr)[0])
-    lhs = F.col("sy") * yy + F.col("st") * tt + sg
-    e_h = lhs - poly("kp", p + 1)
-    e_b = lhs - poly("kq", q + 1)
-    a_i = poly("arow", q + 1)
-    Q = [wh * zs[j] - F.col("L")[j] * wb * a_i for j in range(p + 1)]
-    if not variance:
-        meat = None
-    elif vce == "nn":
-        # nearest-neighbour residuals are the same for both fits: one pass over distinct values
-        from panelrd.operators.rd.nn import nn_sums
-
-        terms = {f"MC{m}": wh * wh * zs[m] for m in range(2 * p + 1)}
-        terms.update({f"MR{j}_{l}": Q[j] * Q[l] for j in range(p + 1) for l in range(j, p + 1)})
-        nk = {(i, sside): int(fits[(i, sside)]["tot"]["nw"]) for i in range(K) for sside in (0, 1) if fits[(i, sside)]["tot"].get("nw")}
-        meat = nn_sums(e2.withColumn("_w", lhs), ["k", "side"], "xr", "_w", terms, nk, J=nnmatch, per_bucket=nn_bucket)
-    else:
-        aggs2 = [F.sum(wh * wh * zs[m] * e_h * e_h).alias(f"MC{m}") for m in range(2 * p + 1)]
-        aggs2 += [F.sum(Q[j] * Q[l] * e_b * e_b).alias(f"MR{j}_{l}") for j in range(p + 1) for l in range(j, p + 1)]
-        with jit_friendly(spark):
-            meat = {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
-
+    meat = meat_of(const_rows, gconst_rows, fits) if meat_of is not None else None
     zq = Z975 if level == 95.0 else _zq(level)
     for i, s in enumerate(specs):
         V = {"cl": 0.0, "rb": 0.0} if meat is not None else {"cl": float("nan"), "rb": float("nan")}
@@ -354,7 +393,7 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
         if math.isnan(tau_cl):
             se_cl = se_rb = float("nan")
         fl, fr = fits[(i, 0)], fits[(i, 1)]
-        common = (int(totals[f"l{i}"]), int(totals[f"r{i}"]), int(fl["tot"]["nh"]), int(fr["tot"]["nh"]),
+        common = (*totals[i], int(fl["tot"]["nh"]), int(fr["tot"]["nh"]),
                   float(s.h_left), float(s.h_right), float(s.b_left), float(s.b_right))
         for method, tau, se in (("conventional", tau_cl, se_cl), ("bias_corrected", tau_bc, se_cl), ("robust", tau_bc, se_rb)):
             zst = tau / se if se and not math.isnan(se) and se > 0 else float("nan")
@@ -402,6 +441,11 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
 
 
 def _rd(df, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch):
+    if h is None and vce == "nn":
+        from panelrd.operators.rd.robustness import AutoSpec, rd_robustness
+
+        spec = AutoSpec(name or y, y, c, treat is not None, bwselect)
+        return rd_robustness(df, x, [spec], treat, group, p, q, kernel, nnmatch=nnmatch, return_sides=return_sides)
     if h is None:
         from panelrd.operators.rd.bandwidth import rd_bandwidth
 

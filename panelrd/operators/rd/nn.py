@@ -1,120 +1,61 @@
-"""Nearest-neighbour residual variance without a global sort.
+"""Nearest-neighbour residuals over distinct values, without a global sort.
 
-For each observation the residual is w_i minus the mean of its J nearest
-neighbours in the running variable, ties taken as whole groups (the matching
-rule of Calonico, Cattaneo and Titiunik 2014), scaled by √(J_i/(J_i+1)).
-Because neighbours are defined on distinct values, the work is done on the
-table of distinct values per key (count d, Σw, Σw²):
+For each observation the residual is w_i minus the mean of its J nearest neighbours in the running variable, ties taken as
+whole groups (the matching rule of Calonico, Cattaneo and Titiunik 2014), scaled by √(J_i/(J_i+1)).  Neighbours are defined
+on distinct values, so the work is done on the table of distinct values (count d, Σw, Σw²):
 
-1. distinct values are cut into buckets of about `per_bucket` values by range
-   arithmetic (operators/ranges.py), as many as there are;
-2. a window per (key, bucket) gives the J previous/next distinct values;
-3. neighbours across bucket borders come from each bucket's first/last J values:
-   a second window, over the buckets of a key, hands them to the next buckets;
-4. the neighbour expansion needs no loop: left and right groups are taken in
-   order of distance (ties together), so a group is used exactly when the own
-   ties plus all strictly closer groups are still short of min(J, n − 1);
-5. Σ_{i∈v} res_i² = α²Σw² − 2αβΣw + dβ² per distinct value, and the requested
-   outer-product terms are summed per key.
-
-No window spans more than one bucket's values or one key's buckets, nothing is
-collected, and small and large inputs take the same path.
+1. distinct values are cut into buckets by range arithmetic (operators/ranges.py); each bucket is given copies of the J
+   values before and after it, its halo, so that every later pass needs one window over buckets alone;
+2. left and right groups are taken in order of distance (ties together), so a group is used exactly when the own
+   ties plus all strictly closer groups are still short of min(J, n − 1): no loop;
+3. Σ_{i∈v} res_i² = α²Σw² − 2αβΣw + dβ² per distinct value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrd.operators.ranges import range_buckets
-from panelrd.session import jit_friendly
 
 #: Distinct values that one task sorts.
 PER_BUCKET = 200_000
 
 
-def _lit(v) -> str:
-    """SQL literal for a key value."""
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return repr(v)
-
-
-def nn_sums(rows: DataFrame, keys: Sequence[str], x: str, w: str, terms: Mapping[str, Column], n_by_key: Mapping[tuple, int],
-            J: int = 3, per_bucket: int | None = None) -> dict:
-    """Σ_v term_v · Σ_{i∈v} res_i² per key; `terms` must be constant within (key, x).
-
-    `n_by_key` holds the observation count per key (known from the moment pass);
-    it sets the matching target min(J, n − 1).
-    """
+def with_halo(values: DataFrame, keys: Sequence[str], x: str, J: int, per_bucket: int) -> DataFrame:
+    """`values` with `_b`, its bucket within the keys, and `_halo`: true for copies of the J distinct values on either side of a bucket."""
     keys = list(keys)
-    spark = rows.sparkSession
-    if not n_by_key:
-        return {}
-    dv = rows.groupBy(*keys, x).agg(
-        F.count(F.lit(1)).alias("_d"), F.sum(F.col(w)).alias("_S"), F.sum(F.col(w) * F.col(w)).alias("_Q"),
-        *[F.first(t).alias(name) for name, t in terms.items()])
-    dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        dv2 = range_buckets(dv, keys, x, per_bucket or PER_BUCKET)
-        win = Window.partitionBy(*keys, "_b").orderBy(x)
-        cols = [F.row_number().over(win).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b")).cast("int").alias("_c")]
-        for j in range(1, J + 1):
-            for c in (x, "_d", "_S"):
-                cols.append(F.lag(c, j).over(win).alias(f"_l{j}{c}"))
-                cols.append(F.lead(c, j).over(win).alias(f"_n{j}{c}"))
-        ranked = dv2.select("*", *cols)
-        # the first and last J values of each bucket, nearest the border first
-        at = Window.partitionBy(*keys, "_b").orderBy(x)
-        ends = dv2.select(*keys, "_b", x, "_d", "_S", F.row_number().over(at).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b")).alias("_c"))
-        ends = ends.filter((F.col("_r") <= J) | (F.col("_r") > F.col("_c") - J))
-        item = F.struct(F.col(x).alias("x"), F.col("_d").alias("d"), F.col("_S").alias("S"))
-        edges = ends.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.when(F.col("_r") <= J, item))).alias("_first"),
-                                              F.sort_array(F.collect_list(F.when(F.col("_r") > F.col("_c") - J, item)), asc=False).alias("_last"))
-        # every bucket holds a value, so J neighbours come from J buckets at most
-        over = Window.partitionBy(*keys).orderBy("_b")
-        none = F.array().cast(dict(edges.dtypes)["_first"])
-        border = lambda f, c: F.slice(F.concat(*[F.coalesce(f(c, j).over(over), none) for j in range(1, J + 1)]), 1, J)
-        edges = edges.select(*keys, "_b", border(F.lag, "_last").alias("_hl"), border(F.lead, "_first").alias("_hr"))
-        t = ranked.join(edges, on=[*keys, "_b"])
-        q = lambda c: f"`{c}`"
-        # observation count per key as a literal CASE (keys are few: specs × sides)
-        ncase = "CASE " + " ".join(
-            "WHEN " + " AND ".join(f"{q(k)} = {_lit(v)}" for k, v in zip(keys, kv)) + f" THEN {int(n)}"
-            for kv, n in n_by_key.items()) + " END"
-
-        def nb_(side, c, j):
-            src = {"x": x, "d": "_d", "S": "_S"}[c]
-            if side == "l":
-                return f"CASE WHEN {j} >= _r THEN try_element_at(_hl, {j} - _r + 1).{c} ELSE {q(f'_l{j}{src}')} END"
-            return f"CASE WHEN {j} > _c - _r THEN try_element_at(_hr, {j} - (_c - _r)).{c} ELSE {q(f'_n{j}{src}')} END"
-        # the J previous and next distinct values: distance, count, sum
-        cand = []
-        for j in range(1, J + 1):
-            cand += [f"{q(x)} - ({nb_('l', 'x', j)}) AS _dl{j}", f"{nb_('l', 'd', j)} AS _cl{j}", f"{nb_('l', 'S', j)} AS _sl{j}",
-                     f"({nb_('r', 'x', j)}) - {q(x)} AS _dr{j}", f"{nb_('r', 'd', j)} AS _cr{j}", f"{nb_('r', 'S', j)} AS _sr{j}"]
-        t = t.selectExpr(*[q(k) for k in keys], "_d", "_S", "_Q", f"{ncase} AS _n", *[q(n) for n in terms], *cand)
-        # Matching merges left and right groups by distance (a tie takes both), so a group is used
-        # exactly when the own ties plus all strictly closer groups are still short of min(J, n − 1).
-        names = [(f"_d{sd}{j}", f"_c{sd}{j}", f"_s{sd}{j}") for j in range(1, J + 1) for sd in ("l", "r")]
-        incl = []
-        for dg, cg, _ in names:
-            before = " + ".join(["(_d - 1)"] + [f"CASE WHEN {dh} < {dg} THEN {ch} ELSE 0 END" for dh, ch, _ in names if dh != dg])
-            incl.append(f"coalesce({dg} IS NOT NULL AND ({before}) < least({J}, _n - 1), false) AS _u{dg}")
-        t = t.selectExpr("*", *incl)
-        k_expr = " + ".join(["(_d - 1)"] + [f"CASE WHEN _u{dg} THEN {cg} ELSE 0 END" for dg, cg, _ in names])
-        a_expr = " + ".join(["0.0D"] + [f"CASE WHEN _u{dg} THEN {sg} ELSE 0.0D END" for dg, _, sg in names])
-        t = t.selectExpr(*[q(k) for k in keys], *[q(n) for n in terms], "_d", "_S", "_Q",
-                         f"CAST({k_expr} AS DOUBLE) AS _k", f"{a_expr} AS _A")
-        # Σ_{i∈v} res_i² with res_i = α w_i − β, α = c(1 + 1/J_i), β = c(S + A)/J_i, c = √(J_i/(J_i+1))
-        t = t.selectExpr("*", "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (1.0D + 1.0D / _k) END AS _al",
-                         "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (_S + _A) / _k END AS _be")
-        t = t.selectExpr("*", "_al * _al * _Q - 2.0D * _al * _be * _S + _d * _be * _be AS _E")
-        out = t.groupBy(*keys).agg(*[F.sum(F.col(name) * F.col("_E")).alias(name) for name in terms])
-        with jit_friendly(spark):
-            return {tuple(r[k] for k in keys): r.asDict() for r in out.collect()}
-    finally:
-        dv.unpersist()
+    cut = range_buckets(values, keys, x, per_bucket)
+    up, down = (Window.partitionBy(*keys, "_b").orderBy(o) for o in (F.asc(x), F.desc(x)))
+    ends = cut.withColumns({"_first": F.dense_rank().over(up), "_last": F.dense_rank().over(down)}).filter((F.col("_first") <= J) | (F.col("_last") <= J))
+    # every bucket holds a value, so J neighbours come from J buckets at most
+    over = Window.partitionBy(*keys).orderBy("_b")
+    near = lambda f: F.array_compact(F.array(*(f("_b", j).over(over) for j in range(1, J + 1))))
+    buckets = cut.select(*keys, "_b").distinct().select(*keys, "_b", near(F.lag).alias("_before"), near(F.lead).alias("_after"))
+    ends = ends.join(buckets, [*keys, "_b"])
+    halo = F.explode(F.concat(F.when(F.col("_first") <= J, F.col("_before")).otherwise(F.array().cast("array<array<bigint>>")), F.when(F.col("_last") <= J, F.col("_after")).otherwise(F.array().cast("array<array<bigint>>"))))
+    copies = ends.select(*values.columns, halo.alias("_b"), F.lit(True).alias("_halo"))
+    return cut.select(*values.columns, "_b", F.lit(False).alias("_halo")).unionByName(copies)
+
+
+def squared_residuals(t: DataFrame, part: Sequence[str], x: str, J: int) -> DataFrame:
+    """`t`, rows of distinct `x` within `part` with _d, _S, _Q and _n, with _E: the sum of squared residuals at each value."""
+    win = Window.partitionBy(*part).orderBy(x)
+    near = [f(c, j).over(win).alias(f"_{side}{j}{name}") for j in range(1, J + 1) for side, f in (("l", F.lag), ("r", F.lead)) for c, name in ((x, "x"), ("_d", "d"), ("_S", "s"))]
+    t = t.select("*", *near)
+    t = t.selectExpr("*", *(f"abs(`{x}` - _{side}{j}x) AS _g{side}{j}" for j in range(1, J + 1) for side in "lr"))
+    names = [(f"_g{side}{j}", f"_{side}{j}d", f"_{side}{j}s") for j in range(1, J + 1) for side in "lr"]
+    used = []
+    for gap, _, _ in names:
+        before = " + ".join(["(_d - 1)"] + [f"CASE WHEN {other} < {gap} THEN {d} ELSE 0 END" for other, d, _ in names if other != gap])
+        used.append(f"coalesce({gap} IS NOT NULL AND ({before}) < least({J}, _n - 1), false) AS _u{gap}")
+    t = t.selectExpr("*", *used)
+    k = " + ".join(["(_d - 1)"] + [f"CASE WHEN _u{gap} THEN {d} ELSE 0 END" for gap, d, _ in names])
+    a = " + ".join(["0.0D"] + [f"CASE WHEN _u{gap} THEN {s} ELSE 0.0D END" for gap, _, s in names])
+    t = t.selectExpr("*", f"CAST({k} AS DOUBLE) AS _k", f"{a} AS _A")
+    # res_i = α w_i − β, α = c(1 + 1/J_i), β = c(S + A)/J_i, c = √(J_i/(J_i+1))
+    t = t.selectExpr("*", "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (1.0D + 1.0D / _k) END AS _al",
+                     "CASE WHEN _k > 0 THEN sqrt(_k / (_k + 1.0D)) * (_S + _A) / _k END AS _be")
+    return t.selectExpr("*", "_al * _al * _Q - 2.0D * _al * _be * _S + _d * _be * _be AS _E")

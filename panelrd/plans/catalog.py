@@ -351,7 +351,7 @@ def q_bubble_table(spark, d):
 
 from panelrd.operators import density as DEN  # noqa: E402
 from panelrd.operators import ols as OLS  # noqa: E402
-from panelrd.operators.rd import rd_bandwidth, rd_grid  # noqa: E402
+from panelrd.operators.rd import rd_bandwidth, rd_grid, rd_robustness  # noqa: E402
 from panelrd.plans import estimates as EST  # noqa: E402
 
 
@@ -395,12 +395,22 @@ def q_rd_fuzzy_auto(spark, d):
     """The main analysis call: fuzzy RD, per-side MSE-optimal bandwidths, nearest-neighbour variance."""
     from panelrd.operators.rd import rd
 
-    return rounded(rd(roles.rd_fixture(spark, d), "x", "y", c=0.0, treat="t", bwselect="msetwo", name="fuzzy_auto"))
+    return rounded(rd(roles.rd_fixture(spark, d), "x", "y", c=0.0, treat="t", bwselect="msetwo", name="fuzzy_auto"), EST.AUTO_DIGITS)
+
+
+def q_rd_sharp_auto(spark, d):
+    """Sharp estimates of an outcome and of a covariate with selected bandwidths."""
+    return rounded(rd_robustness(roles.rd_fixture(spark, d), "x", EST.SHARP_AUTO_SPECS), EST.AUTO_DIGITS)
+
+
+def q_rd_robustness_grid(spark, d):
+    """The robustness study with group controls: rules, multiples of the selected bandwidths, placebo cutoffs, a covariate."""
+    return rounded(rd_robustness(roles.rd_fixture(spark, d), "x", EST.ROBUST_SPECS, treat="t", group="grp"), EST.AUTO_DIGITS)
 
 
 def q_rd_bandwidth(spark, d):
     fx = roles.rd_fixture(spark, d)
-    return rounded(rd_bandwidth(fx, "x", "y", treat="t", rule=["msetwo", "certwo"]))
+    return rounded(rd_bandwidth(fx, "x", "y", treat="t", rule=["msetwo", "certwo"]), EST.AUTO_DIGITS)
 
 
 def q_fitted_lines(spark, d):
@@ -481,4 +491,4 @@ def q_study_main(spark, d):
 
     t = study_table(spark, d)
     return rounded(rd(t, "x_treat_b", "persist_1", c=0.0, treat="treat_b", group="n_name", bwselect="msetwo",
-                      name="persistence_2y", materialize_mode="persist"))
+                      name="persistence_2y"), EST.AUTO_DIGITS)

@@ -343,11 +343,25 @@ c AS (SELECT regr_slope(y_mean, x_mean) AS b, regr_intercept(y_mean, x_mean) AS
 SELECT n_name, n, round(x_mean, 6) AS x_mean, round(y_mean, 6) AS y_mean, round(a + b * x_mean, 6) AS y_fit FROM g, c"""
 
 
-from panelrd.plans import estimates as _EST  # noqa: E402
+from panelrd.plans import estimates as _EST, oracle_auto as _auto  # noqa: E402
 from panelrd.plans.oracle_estimators import all_sql as _est_sql  # noqa: E402
 
 SQL.update(_est_sql(RD))
 
+_ROWS = RD + ", b0 AS MATERIALIZED (SELECT 0 AS o, x, y, t, '' AS g FROM rd{more})"
+_GROUPED = RD + ", b0 AS MATERIALIZED (SELECT 0 AS o, x, y, t, grp AS g FROM rd{more})"
+_STUDY = f"""{SCORE}, {CUTS}, {SPELLS}, {SPELLROWS}, {STUDENTS},
+b0 AS MATERIALIZED (SELECT * FROM (
+  SELECT 0 AS o, n.x_treat_b AS x, CASE WHEN st.id IS NULL THEN NULL WHEN st.years > 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, n.treat_b AS t, nation.n_name AS g
+  FROM norm n LEFT JOIN st ON st.id = n.id AND st.cohort = n.cohort LEFT JOIN customer ON n.o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+  WHERE n.x_treat_a < 0) WHERE x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL AND g IS NOT NULL)"""
+SQL["rd_bandwidth"] = _auto.bandwidth_sql(_ROWS.format(more=""), [(0, 0.0, True)], ["msetwo", "certwo"], _EST.AUTO_DIGITS)
+SQL["rd_fuzzy_auto"] = _auto.estimates_sql(_ROWS.format(more=""), ["y"], _EST.MAIN_SPECS, _EST.AUTO_DIGITS)
+SQL["rd_sharp_auto"] = _auto.estimates_sql(_ROWS.format(more=" UNION ALL SELECT 1, x, e, t, '' FROM rd"), ["y", "e"], _EST.SHARP_AUTO_SPECS, _EST.AUTO_DIGITS)
+SQL["rd_fuzzy_groups"] = _auto.estimates_sql(_GROUPED.format(more=""), ["y"], [s.filled() for s in _EST.FUZZY_SPECS], 6, fixed=True)
+SQL["rd_robustness_grid"] = _auto.estimates_sql(_GROUPED.format(more=" UNION ALL SELECT 1, x, e, t, grp FROM rd"), ["y", "e"], _EST.ROBUST_SPECS, _EST.AUTO_DIGITS)
+SQL["study_main"] = _auto.estimates_sql(_STUDY, ["persist_1"], _EST.STUDY_SPECS, _EST.AUTO_DIGITS)
+
 _HW = repr((_EST.HIST_HI - _EST.HIST_LO) / _EST.HIST_BINS)
 SQL["histogram"] = f"""
 WITH {SCORE}, {CUTS},

@@ -85,7 +85,16 @@ def save_shared(df, name: str):
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.shared_path = path
+    return found
+
+
+def drop_shared(df) -> None:
+    """Delete the table that `save_shared` wrote for `df`; nothing may read it afterwards."""
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df, mode: str = "persist"):
