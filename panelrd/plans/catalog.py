@@ -351,6 +351,7 @@ def q_bubble_table(spark, d):
 
 from panelrd.operators import density as DEN  # noqa: E402
 from panelrd.operators import ols as OLS  # noqa: E402
+from panelrd.operators.density_lp import density_lp_auto, density_lp_curve  # noqa: E402
 from panelrd.operators.rd import rd_bandwidth, rd_grid, rd_robustness  # noqa: E402
 from panelrd.plans import estimates as EST  # noqa: E402
 
@@ -447,6 +448,22 @@ def q_density_lp(spark, d, per_bucket=None):
     return rounded(a.withColumn("sample", F.lit("full")).unionByName(b.withColumn("sample", F.lit("bunched"))))
 
 
+def _bunched(fx):
+    """The fixture with a gap left of the cutoff."""
+    return fx.filter(~((F.col("x") >= -3) & (F.col("x") < 0) & F.col("grp").isin("1-URGENT", "2-HIGH")))
+
+
+def q_density_lp_auto(spark, d):
+    """The density test as it is called, without a bandwidth: selected bandwidths, jackknife errors, robust order."""
+    fx = roles.rd_fixture(spark, d)
+    a, b = (density_lp_auto(s, "x", 0.0, EST.DENSITY_LP_P) for s in (fx, _bunched(fx)))
+    return rounded(a.withColumn("sample", F.lit("full")).unionByName(b.withColumn("sample", F.lit("bunched"))), EST.DENSITY_DIGITS)
+
+
+def q_density_lp_curve(spark, d):
+    return rounded(density_lp_curve(roles.rd_fixture(spark, d), "x", 0.0, None, EST.DENSITY_LP_P, EST.CURVE_POINTS, EST.CURVE_REACH), EST.DENSITY_DIGITS)
+
+
 def q_density_lp_buckets(spark, d):
     """`density_lp` with buckets of 20 values: running sums across dozens of buckets."""
     return q_density_lp(spark, d, per_bucket=20)

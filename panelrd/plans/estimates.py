@@ -29,3 +29,4 @@ AUTO_DIGITS = 4
 DENSITY_BIN, DENSITY_H = 1.0, 20.0
 HIST_BINS, HIST_LO, HIST_HI, HIST_SHIFT = 30, 0.0, 130.0, 95.0
 DENSITY_LP_H, DENSITY_LP_P = 10.0, 2
+CURVE_POINTS, CURVE_REACH, DENSITY_DIGITS = 15, 3.0, 5

@@ -343,7 +343,7 @@ c AS (SELECT regr_slope(y_mean, x_mean) AS b, regr_intercept(y_mean, x_mean) AS
 SELECT n_name, n, round(x_mean, 6) AS x_mean, round(y_mean, 6) AS y_mean, round(a + b * x_mean, 6) AS y_fit FROM g, c"""
 
 
-from panelrd.plans import estimates as _EST, oracle_auto as _auto  # noqa: E402
+from panelrd.plans import estimates as _EST, oracle_auto as _auto, oracle_density as _density  # noqa: E402
 from panelrd.plans.oracle_estimators import all_sql as _est_sql  # noqa: E402
 
 SQL.update(_est_sql(RD))
@@ -360,6 +360,9 @@ SQL["rd_fuzzy_auto"] = _auto.estimates_sql(_ROWS.format(more=""), ["y"], _EST.MA
 SQL["rd_sharp_auto"] = _auto.estimates_sql(_ROWS.format(more=" UNION ALL SELECT 1, x, e, t, '' FROM rd"), ["y", "e"], _EST.SHARP_AUTO_SPECS, _EST.AUTO_DIGITS)
 SQL["rd_fuzzy_groups"] = _auto.estimates_sql(_GROUPED.format(more=""), ["y"], [s.filled() for s in _EST.FUZZY_SPECS], 6, fixed=True)
 SQL["rd_robustness_grid"] = _auto.estimates_sql(_GROUPED.format(more=" UNION ALL SELECT 1, x, e, t, grp FROM rd"), ["y", "e"], _EST.ROBUST_SPECS, _EST.AUTO_DIGITS)
+_BUNCHED = "(SELECT * FROM rd WHERE NOT (x >= -3 AND x < 0 AND grp IN ('1-URGENT', '2-HIGH')))"
+SQL["density_lp_auto"] = f"WITH {RD} SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_density.auto_sql(src, label, _EST.DENSITY_LP_P, _EST.DENSITY_DIGITS) for src, label in (("rd", "full"), (_BUNCHED, "bunched")))
+SQL["density_lp_curve"] = _density.curve_sql(RD, _EST.DENSITY_LP_P, _EST.CURVE_POINTS, _EST.CURVE_REACH, _EST.DENSITY_DIGITS)
 SQL["study_main"] = _auto.estimates_sql(_STUDY, ["persist_1"], _EST.STUDY_SPECS, _EST.AUTO_DIGITS)
 
 _HW = repr((_EST.HIST_HI - _EST.HIST_LO) / _EST.HIST_BINS)
