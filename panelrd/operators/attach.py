@@ -19,6 +19,8 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left"
     from the rows themselves, not from an estimate, and `df` is not shuffled.  Otherwise `small` is repeated once for
     each salt and `df` is dealt by its key and a hash of the row, so that a hot key is spread over `salts` tasks.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left': a repeated side cannot keep its unmatched rows")
     rows = small.limit(bound + 1).collect()
     if len(rows) <= bound:
         return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, small.schema)), on=list(on), how=how)

@@ -3,14 +3,15 @@
 kernel-weighted local-linear fit of the normalised bin heights on each side.
 
 The histogram is one `groupBy(bin)` (map-side combined); the bin grid, which
-includes empty bins, has one row per bin between the data extremes (its size
-is range / width, computed before it is built); the two side fits are small
-aggregates over the grid.
+includes empty bins, has one row per bin between the data extremes and is made
+on the executors; the two side fits need only the bins with rows, as the weights
+of all bins are sums of powers.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,17 @@ from panelrd.operators.stats import norm_sf2
 
 TEST_SCHEMA = ("theta double, std_error double, statistic double, p_value double, f_left double, f_right double, "
                "n long, bin_width double, bandwidth double")
-MAX_BINS = 10_000_000
+BIN_SCHEMA = "bin long, mid double, n long, height double, side string, weight double"
 
 
 def _defaults(df, x, c, bin_width, bandwidth):
     st = df.agg(F.count(F.col(x)).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     n = int(st["n"])
+    if n == 0 or not st["sd"] and (bin_width is None or bandwidth is None):
+        return n, bin_width, bandwidth, st["lo"], st["hi"]  # nothing to choose a width by
     b = bin_width if bin_width is not None else 2.0 * st["sd"] * n ** -0.5
     h = bandwidth if bandwidth is not None else 2.576 * st["sd"] * n ** -0.2
-    return n, b, h, st["lo"], st["hi"]
+    return n, float(b), float(h), st["lo"], st["hi"]
 
 
 def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
@@ -37,9 +40,9 @@ def density_binned(df: DataFrame, x: str, c: float = 0.0, bin_width: float | Non
 
 
 def _bin_table(d: DataFrame, c: float, n: int, b: float, h: float, lo: float, hi: float) -> DataFrame:
+    if lo is None or not b or not h:
+        return d.sparkSession.createDataFrame([], BIN_SCHEMA)
     jlo, jhi = math.floor((lo - c) / b), math.floor((hi - c) / b)
-    if jhi - jlo + 1 > MAX_BINS:
-        raise ValueError("bin grid too large: widen the bins")
     counts = d.groupBy(F.floor((F.col("x") - F.lit(c)) / F.lit(b)).alias("bin")).agg(F.count(F.lit(1)).cast("long").alias("n"))
     grid = d.sparkSession.range(jlo, jhi + 1).withColumnRenamed("id", "bin")
     t = grid.join(counts, on="bin", how="left").fillna(0, subset=["n"])
@@ -52,20 +55,35 @@ def _bin_table(d: DataFrame, c: float, n: int, b: float, h: float, lo: float, hi
     )
 
 
+def _band_sums(bins: int, b: float, h: float) -> tuple[float, float, float]:
+    """Σ w uᵐ, m = 0, 1, 2, over the `bins` bins next to the cutoff, u = (j + ½) b and w = 1 − u / h, by exact sums of powers."""
+    m = max(bins, 0)
+    odd = [Fraction(m), Fraction(m * m, 2), Fraction(m * (4 * m * m - 1), 12), Fraction(m * m * (2 * m * m - 1), 8)]  # Σ (j + ½)ᵏ, j < m
+    p = [float(v) * b ** k for k, v in enumerate(odd)]
+    return p[0] - p[1] / h, p[1] - p[2] / h, p[2] - p[3] / h
+
+
 def density_test(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None = None, bandwidth: float | None = None) -> DataFrame:
     """θ = ln f₊ − ln f₋ with se = √((1/(N h))·(24/5)·(1/f₊ + 1/f₋)); one-row result."""
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
-    bins = _bin_table(d, c, n, b, h, lo, hi)
-    u = F.col("mid") - F.lit(c)
-    w = F.col("weight")
-    s = bins.filter(w > 0).groupBy("side").agg(
-        F.sum(w).alias("s0"), F.sum(w * u).alias("s1"), F.sum(w * u * u).alias("s2"),
-        F.sum(w * F.col("height")).alias("t0"), F.sum(w * u * F.col("height")).alias("t1")).collect()
+    if n == 0 or not b or not h:
+        return d.sparkSession.createDataFrame([(*[None] * 6, n, b, h)], TEST_SCHEMA)
+    # only bins with rows are counted; the weights of all bins, empty ones too, are sums of powers in closed form
+    bin_ = F.floor((F.col("x") - F.lit(c)) / F.lit(b))
+    counts = d.filter((F.col("x") >= c - h - b) & (F.col("x") <= c + h + b)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    u = (F.col("bin") + F.lit(0.5)) * F.lit(b)
+    w = F.greatest(F.lit(0.0), 1.0 - F.abs(u) / F.lit(h))
+    height = F.col("n") / F.lit(float(n) * b)
+    got = {r["right"]: r for r in counts.groupBy((F.col("bin") >= 0).alias("right")).agg(F.sum(w * height).alias("t0"), F.sum(w * u * height).alias("t1")).collect()}
     f = {}
-    for r in s:
-        det = r["s0"] * r["s2"] - r["s1"] ** 2
-        f[r["side"]] = (r["s2"] * r["t0"] - r["s1"] * r["t1"]) / det if det else float("nan")
+    for side, right, reach in (("left", False, -math.floor((lo - c) / b)), ("right", True, math.floor((hi - c) / b) + 1)):
+        if right not in got:
+            continue
+        s0, s1, s2 = _band_sums(min(reach, math.floor(h / b + 0.5)), b, h)
+        s1 = s1 if right else -s1
+        det = s0 * s2 - s1 ** 2
+        f[side] = (s2 * got[right]["t0"] - s1 * got[right]["t1"]) / det if det else float("nan")
     fl, fr = f.get("left"), f.get("right")
     if fl and fr and fl > 0 and fr > 0:
         theta = math.log(fr) - math.log(fl)
@@ -87,10 +105,10 @@ def density_curve(df: DataFrame, x: str, c: float = 0.0, bin_width: float | None
     d = df.select(F.col(x).cast("double").alias("x")).dropna().filter(~F.isnan("x"))
     n, b, h, lo, hi = _defaults(d, "x", c, bin_width, bandwidth)
     bins = _bin_table(d, c, n, b, h, lo, hi)
-    H = int(math.floor(h / b))
+    H = int(math.floor(h / b)) if b and h else 0
     e = bins.select("bin", "height", "side", F.explode(F.sequence(F.lit(-H), F.lit(H))).alias("o"))
-    e = e.select((F.col("bin") + F.col("o")).alias("at"), "side", "height", (-F.col("o") * F.lit(b)).alias("dx"))
-    e = e.withColumn("w", F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("dx")) / F.lit(h))).filter(F.col("w") > 0)
+    e = e.select((F.col("bin") + F.col("o")).alias("at"), "side", "height", (-F.col("o") * F.lit(b or 0.0)).alias("dx"))
+    e = e.withColumn("w", F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("dx")) / F.lit(h or 1.0))).filter(F.col("w") > 0)
     w, dx, ht = F.col("w"), F.col("dx"), F.col("height")
     fit = e.groupBy("at", "side").agg(F.sum(w).alias("s0"), F.sum(w * dx).alias("s1"), F.sum(w * dx * dx).alias("s2"),
                                       F.sum(w * ht).alias("t0"), F.sum(w * dx * ht).alias("t1"))

@@ -1,16 +1,15 @@
 """Distributed least squares from Gram matrices.
 
-Two passes, both single aggregations combined map-side: column means, then
-centred cross-products of all regressors and the response.  Every nested model
-over the same rows is solved on the driver from sub-blocks of the one Gram
-matrix, so a list of models costs the same two scans as one model.
+One pass, a single aggregation combined map-side: rows, means and centred
+cross-products of all regressors and the response for each pattern of missing
+columns.  These merge exactly on the driver to the sample of every model, so
+a list of models costs one scan, whether they share their rows or not.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,31 +28,39 @@ def ols_models(df: DataFrame, y: str, models: Mapping[str, Sequence[str]], compl
 
     Rows with a NULL in the response or any regressor used by any model are
     dropped first (`complete_on_all`), so nested models share their sample;
-    otherwise each model has its own complete rows (and its own two scans).
+    otherwise each model has its own complete rows.
 
     A regressor that is a linear combination of those before it is aliased: its
     estimates are NULL and it takes no degree of freedom.  Without rows, or
     with as many terms as rows, what is undefined is NULL.
     """
-    if not complete_on_all and len(models) > 1:
-        parts = [ols_models(df, y, {name: xs}) for name, xs in models.items()]
-        return reduce(DataFrame.unionByName, parts)
     xs = list(dict.fromkeys(c for m in models.values() for c in m))
-    cols = [y] + xs
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    mean_row = d.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).first()
-    n = int(mean_row["_n"])
-    mu = {c: mean_row[c] for c in cols}
-    cen = {c: F.col(c) - F.lit(mu[c] if mu[c] is not None else 0.0) for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    g = d.agg(*[F.sum(cen[a] * cen[b]).alias(f"{a}__{b}") for a, b in pairs]).first()
-    S = {}
-    for a, b in pairs:
-        v = g[f"{a}__{b}"] or 0.0
-        S[(a, b)] = S[(b, a)] = v
+    cols = list(dict.fromkeys([y] + xs))
+    place = {c: i for i, c in enumerate(cols)}
+    d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for c, i in place.items()])
+    has = [F.col(f"c{i}").isNotNull() & ~F.isnan(f"c{i}") for i in place.values()]
+    d = d.withColumn("mask", F.concat(*(F.when(h, F.lit("1")).otherwise(F.lit("0")) for h in has)))
+    d = d.filter(F.col("mask") == "1" * len(cols)) if complete_on_all else d
+    # per pattern of missing columns: rows, means and centred products, which merge exactly
+    sums = [F.count(F.lit(1)).alias("n"), *(F.avg(f"c{i}").alias(f"m{i}") for i in place.values()), *(F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in place.values() for j in range(i, len(cols)))]
+    masks = d.groupBy("mask").agg(*sums).collect()  # a row for each pattern that occurs
+
+    def merged(used: Sequence[str]) -> tuple[int, dict, dict]:
+        """n, means and centred products of `used` over all rows that have them."""
+        mine = [r for r in masks if all(r["mask"][place[c]] == "1" for c in used)]
+        n = sum(r["n"] for r in mine)
+        mu = {c: sum(r["n"] * r[f"m{place[c]}"] for r in mine) / n if n else None for c in used}
+        S = {}
+        for a in used:
+            for b in used:
+                i, j = sorted((place[a], place[b]))
+                S[a, b] = sum(r["n"] * (r[f"v{i}_{j}"] + (r[f"m{place[a]}"] - mu[a]) * (r[f"m{place[b]}"] - mu[b])) for r in mine)
+        return n, mu, S
+
     rows = []
     for name, mx in models.items():
         mx = list(mx)
+        n, mu, S = merged(cols if complete_on_all else list(dict.fromkeys([y, *mx])))
         used = _independent(mx, S) if n else []
         k = len(used) + 1
         Sxx = np.array([[S[(a, b)] for b in used] for a in used]).reshape(len(used), len(used))

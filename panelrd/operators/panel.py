@@ -9,11 +9,13 @@ holding a third of all rows adds one small record per task to the shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrd.functions.na import strict, _col
+from panelrd.operators.attach import BROADCAST_ROWS, SALTS
 from panelrd.session import save_shared
 
 
@@ -145,31 +147,60 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] |
 
 
 def join_on(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]] | Mapping[str, str], how: str = "left", null_safe: bool = True) -> DataFrame:
-    """Equi-join on key pairs with different names, keeping one copy of each key.
+    """Equi-join on key pairs with different names, keeping one copy of each key: inner, left, right or full.
 
     Keys keep the left names; for a right join the key values come from the right
     side.  `null_safe=True` matches NULL keys to NULL keys (as dplyr does).
+
+    Rows with a NULL among their keys would all meet in one task, so they are joined apart from the others: the side with few
+    of them is broadcast (counted first), or its rows are repeated over salts; rows without a partner are added for
+    the sides that keep theirs.
     """
     pairs = list(pairs.items()) if isinstance(pairs, Mapping) else list(pairs)
-    la, rb = a.alias("_l"), b.alias("_r")
-    cond = None
-    for lk, rk in pairs:
-        c = F.col(f"_l.{lk}").eqNullSafe(F.col(f"_r.{rk}")) if null_safe else (F.col(f"_l.{lk}") == F.col(f"_r.{rk}"))
-        cond = c if cond is None else cond & c
-    j = la.join(rb, cond, how)
-    right_keys = {rk for _, rk in pairs}
-    left_keys = [lk for lk, _ in pairs]
-    key_cols = []
-    for lk, rk in pairs:
-        if how in ("right", "right_outer"):
-            key_cols.append(F.col(f"_r.{rk}").alias(lk))
-        elif how in ("full", "outer", "full_outer"):
-            key_cols.append(F.coalesce(F.col(f"_l.{lk}"), F.col(f"_r.{rk}")).alias(lk))
-        else:
-            key_cols.append(F.col(f"_l.{lk}").alias(lk))
-    left_rest = [F.col(f"_l.{c}").alias(c) for c in a.columns if c not in left_keys]
-    right_rest = [F.col(f"_r.{c}").alias(c) for c in b.columns if c not in right_keys]
-    return j.select(*key_cols, *left_rest, *right_rest)
+    how = {"left_outer": "left", "right_outer": "right", "outer": "full", "full_outer": "full"}.get(how, how)
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError("how must be 'inner', 'left', 'right' or 'full'")
+    keys = [f"_k{i}" for i in range(len(pairs))]
+    a_rest = [c for c in a.columns if c not in {lk for lk, _ in pairs}]
+    b_rest = [c for c in b.columns if c not in {rk for _, rk in pairs}]
+    left = a.select(*(F.col(lk).alias(k) for k, (lk, _) in zip(keys, pairs)), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(a_rest)))
+    right = b.select(*(F.col(rk).alias(k) for k, (_, rk) in zip(keys, pairs)), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(b_rest)))
+    names = [*keys, *(f"_a{i}" for i in range(len(a_rest))), *(f"_b{i}" for i in range(len(b_rest)))]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    parts = [left.filter(known).join(right.filter(known), keys, how).select(*names)]
+    parts += [p.select(*names) for p in _null_keys(left.filter(~known), right.filter(~known), keys, how, null_safe)]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(*(F.col(k).alias(lk) for k, (lk, _) in zip(keys, pairs)), *(F.col(f"_a{i}").alias(c) for i, c in enumerate(a_rest)), *(F.col(f"_b{i}").alias(c) for i, c in enumerate(b_rest)))
+
+
+def _null_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool, bound: int = BROADCAST_ROWS, salts: int = SALTS) -> list[DataFrame]:
+    """The parts of a join whose rows have a NULL among their keys."""
+    spark = left.sparkSession
+    alone = lambda rows, other: rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields if f.name not in keys))
+    few = lambda df: spark.createDataFrame(got, df.schema) if len(got := df.limit(bound + 1).collect()) <= bound else None
+    parts = []
+    small_right = few(right)
+    if not null_safe or small_right is not None and small_right.isEmpty():
+        return [alone(left, right)] * (how in ("left", "full")) + [alone(right, left)] * (how in ("right", "full"))
+
+    def joined(x: DataFrame, y: DataFrame, kind: str) -> DataFrame:
+        """x with y, the side with few rows or repeated ones; kind: inner or left_anti."""
+        small = small_right if y is right else few(y)
+        if small is not None:
+            return x.join(F.broadcast(small.withColumnsRenamed({k: f"_{k}" for k in keys})), reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), kind).drop(*(f"_{k}" for k in keys))
+        salted = y.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnsRenamed({k: f"_{k}" for k in keys})
+        dealt = x.withColumn("_part", F.pmod(F.xxhash64(*x.columns), F.lit(salts)).cast("int"))
+        on = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_part") == F.col("_salt"))
+        return dealt.join(salted, on, kind).drop("_part", "_salt", *(f"_{k}" for k in keys))
+
+    parts.append(joined(left, right, "inner"))
+    if how in ("left", "full"):
+        parts.append(alone(joined(left, right.select(*keys).distinct(), "left_anti"), right))
+    if how in ("right", "full"):
+        parts.append(alone(joined(right, left.select(*keys).distinct(), "left_anti"), left))
+    return parts
 
 
 def join_fill(a: DataFrame, b: DataFrame, keys: Sequence[str], fill: Mapping[str, object]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrd.operators.attach import attach
@@ -42,3 +42,12 @@ def range_buckets(values: DataFrame, keys: Sequence[str], x: str, per_bucket: in
             return out
         out = attach(out, heavy, [*keys, "_b"], bound=HEAVY_ROWS)
         out = out.withColumn("_b", F.concat("_b", cell(out))).drop("_cn", "_clo", "_chi")
+
+
+def running_total(cut: DataFrame, keys: Sequence[str], x: str, d: str, name: str) -> DataFrame:
+    """`cut` (with buckets `_b`) with `name`: the sum of `d` up to each row in x order within the keys, over buckets first."""
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_b").agg(F.sum(d).alias("_t")).select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))  # a row for each bucket
+    inside = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn("_run", F.sum(d).over(inside)).join(starts, [*keys, "_b"]).withColumn(name, F.col("_start") + F.col("_run")).drop("_start", "_run")

@@ -24,13 +24,18 @@ def one_hot(df: DataFrame, keys: Sequence[str], type_col: str, values: Sequence[
     return fill_and_cast(out.select(*keys, *[F.col(f"`{v}`").alias(v) for v in values]), values, 0, "int")
 
 
-def pivot_first(df: DataFrame, keys: Sequence[str], name: str, value: str, values: Sequence[str]) -> DataFrame:
+def pivot_first(df: DataFrame, keys: Sequence[str], name: str, value: str, values: Sequence[str], duplicates=None) -> DataFrame:
     """Long → wide of one (text) value; every other column in `keys` stays a row key.
 
-    A (keys, name) pair is expected to be unique, as in a tidy long table; if it
-    is not, the smallest value is kept so the result is deterministic.
+    A (keys, name) pair must be unique, as in a tidy long table: a second row of one is an error, unless `duplicates`, an
+    aggregate function such as `F.min`, `F.max` or `F.collect_list`, says what becomes of them.
     """
-    out = df.groupBy(*keys).pivot(name, list(values)).agg(F.min(F.col(value)))
+    if duplicates is None:
+        many = F.raise_error(F.concat(F.lit(f"more than one {value} for a key and {name} "), F.first(F.col(name).cast("string"))))
+        one = F.when(F.count(F.lit(1)) > 1, many.cast(df.schema[value].dataType)).otherwise(F.min(F.col(value)))
+    else:
+        one = duplicates(F.col(value))
+    out = df.groupBy(*keys).pivot(name, list(values)).agg(one)
     return out.select(*keys, *[F.col(f"`{v}`").alias(v) for v in values])
 
 

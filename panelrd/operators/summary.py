@@ -90,17 +90,14 @@ def payment_rollup(df: DataFrame, keys: Sequence[str], amount: str, period: str)
 def bubble_table(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Per group: size, mean x, mean y, and the across-group OLS line at mean x.
 
-    The line needs two numbers (slope, intercept) from the small grouped table;
-    they are computed by one aggregate and attached as literals.
+    The line's two numbers (slope, intercept) are a scalar subquery over the grouped table: one plan, which groups once
+    and runs no job before its own.
     """
     g = df.groupBy(group).agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.avg(F.col(x)).alias("x_mean"), F.avg(F.col(y)).alias("y_mean")
     )
-    coef = g.agg(F.regr_slope("y_mean", "x_mean").alias("b"), F.regr_intercept("y_mean", "x_mean").alias("a")).first()
-    a = coef["a"] if coef is not None else None
-    b = coef["b"] if coef is not None else None
-    fitted = (F.lit(a) + F.lit(b) * F.col("x_mean")) if a is not None and b is not None else F.lit(None).cast("double")
-    return g.withColumn("y_fit", fitted.cast("double"))
+    line = g.agg(F.struct(F.regr_slope("y_mean", "x_mean").alias("b"), F.regr_intercept("y_mean", "x_mean").alias("a"))).scalar()
+    return g.withColumn("_line", line).withColumn("y_fit", F.col("_line.a") + F.col("_line.b") * F.col("x_mean")).drop("_line")
 
 
 def stars(p, cuts: Sequence[float] = (0.1, 0.05, 0.01)):

@@ -7,6 +7,8 @@ final step of every query rounds reals to 6 places for a stable comparison.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -371,6 +373,11 @@ def q_rdplot_bins(spark, d):
     return rounded(B.rd_plot_data(roles.rd_fixture(spark, d), "x", "y", c=0.0))
 
 
+def q_rdplot_bins_quantile(spark, d):
+    """The same with quantile-spaced bins."""
+    return rounded(B.rd_plot_data(roles.rd_fixture(spark, d), "x", "y", c=0.0, spaced="quantile"))
+
+
 def q_rd_sharp(spark, d):
     return rounded(rd_grid(roles.rd_fixture(spark, d), "x", EST.SHARP_SPECS, vce="hc1"))
 
@@ -433,6 +440,24 @@ def q_ols_multi(spark, d):
     return rounded(OLS.ols_models(roles.rd_fixture(spark, d), "y", {"m1": ["x"], "m2": ["x", "t"]}))
 
 
+def q_ols_masks(spark, d):
+    """Models over their own complete rows, of a table with holes, in one scan."""
+    fx = roles.rd_fixture(spark, d)
+    hole = lambda c, k: F.when(F.col("id") % k != 0, F.col(c)).alias(c)
+    return rounded(OLS.ols_models(fx.select(hole("y", 7), hole("x", 11), hole("t", 13)), "y", {"m1": ["x"], "m2": ["x", "t"]}, complete_on_all=False))
+
+
+def q_export_round_trip(spark, d):
+    """Export to a partitioned table and read it again."""
+    from panelrd.session import checkpoint_dir
+    from panelrd.sources import load_table, save_table
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("cohort"), F.col("o_orderpriority").alias("type"), F.col("o_totalprice").alias("price"))
+    save_table(o, path, partition_by=["cohort"])
+    return rounded(load_table(spark, path).select("id", F.col("cohort").cast("int").alias("cohort"), "type", "price"))
+
+
 def q_density_binned(spark, d):
     return rounded(DEN.density_binned(roles.rd_fixture(spark, d), "x", 0.0, EST.DENSITY_BIN, EST.DENSITY_H))
 

@@ -48,6 +48,8 @@ def _r(x: str, d: int = 6) -> str:
 
 SQL: dict[str, str] = {}
 
+SQL["export_round_trip"] = "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS cohort, o_orderpriority AS type, round(o_totalprice, 6) AS price FROM orders"
+
 SQL["select_rename"] = "SELECT o_orderkey AS id, o_custkey AS customer, round(o_totalprice, 6) AS price, o_orderstatus AS status FROM orders"
 
 SQL["flags"] = """
@@ -370,8 +372,8 @@ SQL["histogram"] = f"""
 WITH {SCORE}, {CUTS},
 v AS (SELECT x_treat_b + 95.0 AS v FROM norm WHERE x_treat_b + 95.0 >= 0.0 AND x_treat_b + 95.0 <= 130.0),
 b AS (SELECT CAST(least(floor((v - 0.0) / CAST('{_HW}' AS DOUBLE)), 29) AS INTEGER) AS bin FROM v)
-SELECT bin, count(*) AS n, round(0.0 + bin * CAST('{_HW}' AS DOUBLE), 6) AS bin_lo, round(0.0 + (bin + 1) * CAST('{_HW}' AS DOUBLE), 6) AS bin_hi
-FROM b GROUP BY bin"""
+SELECT CAST(g.bin AS INTEGER) AS bin, count(b.bin) AS n, round(0.0 + g.bin * CAST('{_HW}' AS DOUBLE), 6) AS bin_lo, round(0.0 + (g.bin + 1) * CAST('{_HW}' AS DOUBLE), 6) AS bin_hi
+FROM range(0, 30) g(bin) LEFT JOIN b ON b.bin = g.bin GROUP BY g.bin"""
 
 SQL["bin_bands"] = f"""
 WITH {SCORE}, {CUTS},
@@ -386,18 +388,24 @@ SELECT side, bin, n, round(mean, 6) AS mean, round(CAST(0.0 AS DOUBLE) + bin * C
        round(se, 6) AS se, round(mean + 1.96 * se, 6) AS upper, round(mean - 1.96 * se, 6) AS lower
 FROM g"""
 
-SQL["rdplot_bins"] = f"""
+def _rdplot(spaced: str) -> str:
+    V = "n / 4.0 * es / ((hi_e - lo_e) * (hi_e - lo_e))" if spaced == "even" else "qs / (2 * gaps)"
+    bin_ = ("least(greatest(floor((v.x - j.lo_e) / ((j.hi_e - j.lo_e) / j.J)), 0), j.J - 1)" if spaced == "even" else "floor((v.cum - v.d) * j.J / CAST(j.n AS DOUBLE))")
+    return f"""
 WITH {RD},
-d AS (SELECT x, y, CASE WHEN x >= 0.0 THEN 1 ELSE 0 END AS side FROM rd WHERE x IS NOT NULL AND y IS NOT NULL),
-m AS (SELECT side, count(*) AS n, min(x) AS lo, max(x) AS hi, var_samp(y) AS vy, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
-             regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM d GROUP BY side),
-j AS (SELECT *, CAST(greatest(1, ceil(vy / ((syy - sxy * sxy / sxx) / n) * n / (ln(n) * ln(n)))) AS INTEGER) AS J,
-             CASE WHEN side = 0 THEN lo ELSE 0.0 END AS lo_e, CASE WHEN side = 0 THEN 0.0 ELSE hi END AS hi_e FROM m),
-jb AS (SELECT d.side, d.x, d.y, j.J, j.a, j.b,
-              CAST(least(greatest(floor((d.x - j.lo_e) / ((j.hi_e - j.lo_e) / j.J)), 0), j.J - 1) AS INTEGER) AS bin
-       FROM d JOIN j USING (side))
-SELECT side, bin, count(*) AS n, max(J) AS J, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean,
-       round(max(a) + max(b) * avg(x), 6) AS y_fit FROM jb GROUP BY side, bin"""
+r0 AS (SELECT x, y, CASE WHEN x >= 0.0 THEN 1 ELSE 0 END AS side FROM rd WHERE x IS NOT NULL AND y IS NOT NULL),
+v AS MATERIALIZED (SELECT side, x, count(*) AS d, sum(y) AS s, sum(count(*)) OVER (PARTITION BY side ORDER BY x) AS cum FROM r0 GROUP BY side, x),
+g AS (SELECT side, x - lag(x) OVER w AS dx, 2 * pow(s / d - lag(s / d) OVER w, 2) / (1.0 / d + 1.0 / lag(d) OVER w) AS dy2 FROM v WINDOW w AS (PARTITION BY side ORDER BY x)),
+gs AS (SELECT side, sum(dx * dx * dy2) AS es, sum(dy2) AS qs, count(dx) AS gaps FROM g GROUP BY side),
+m AS (SELECT side, count(*) AS n, min(x) AS lo, max(x) AS hi, var_samp(y) AS vy, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r0 GROUP BY side),
+l AS (SELECT m.*, gs.es, gs.qs, gs.gaps, CASE WHEN side = 0 THEN lo ELSE 0.0 END AS lo_e, CASE WHEN side = 0 THEN 0.0 ELSE hi END AS hi_e FROM m JOIN gs USING (side)),
+j AS (SELECT *, CAST(greatest(1, ceil(vy / ({V}) * n / (ln(n) * ln(n)))) AS INTEGER) AS J FROM l),
+jb AS (SELECT v.*, j.J, j.a, j.b, CAST({bin_} AS INTEGER) AS bin FROM v JOIN j USING (side))
+SELECT side, bin, CAST(sum(d) AS BIGINT) AS n, max(J) AS J, round(sum(x * d) / sum(d), 6) AS x_mean, round(sum(s) / sum(d), 6) AS y_mean,
+       round(max(a) + max(b) * (sum(x * d) / sum(d)), 6) AS y_fit FROM jb GROUP BY side, bin"""
+
+
+SQL["rdplot_bins"], SQL["rdplot_bins_quantile"] = _rdplot("even"), _rdplot("quantile")
 
 
 SQL = {k: _rewrite_rounds(_doubles(v)) for k, v in SQL.items()}

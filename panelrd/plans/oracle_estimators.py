@@ -191,6 +191,17 @@ t2 AS (SELECT '(Intercept)' AS term, a AS estimate, sqrt(s2 * (1.0 / n + mx * mx
     return {"ols_simple": simple.replace("{model}", "simple"), "ols_multi": multi}
 
 
+def ols_masks_sql(rd_cte: str) -> str:
+    """Each model over its own complete rows of a table with holes."""
+    def over(where: str) -> dict[str, str]:
+        holes = "rdm AS (SELECT CASE WHEN id % 7 <> 0 THEN y END AS y, CASE WHEN id % 11 <> 0 THEN x END AS x, CASE WHEN id % 13 <> 0 THEN t END AS t FROM rd_all)"
+        return ols_sql(f"{rd_cte.replace('rd AS (', 'rd_all AS (', 1)}, {holes}, rd AS (SELECT * FROM rdm WHERE {where})")
+
+    m1 = over("y IS NOT NULL AND x IS NOT NULL")["ols_simple"].replace("'simple' AS model", "'m1' AS model")
+    m2 = over("y IS NOT NULL AND x IS NOT NULL AND t IS NOT NULL")["ols_multi"]
+    return f"SELECT * FROM ({m1}) UNION ALL SELECT * FROM ({m2}) WHERE model = 'm2'"
+
+
 def density_sql(rd_cte: str) -> dict[str, str]:
     b, h = _dbl(EST.DENSITY_BIN), _dbl(EST.DENSITY_H)
 
@@ -265,5 +276,6 @@ def all_sql(rd_cte: str) -> dict[str, str]:
         "model_table": model_table_sql(rd_cte, EST.TABLE_SPECS),
     }
     out.update(ols_sql(rd_cte))
+    out["ols_masks"] = ols_masks_sql(rd_cte)
     out.update(density_sql(rd_cte))
     return out
