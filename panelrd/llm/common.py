@@ -82,6 +82,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(taken, name: str) -> str:
+    """A column name that none of `taken` has, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row: equal rows share it, so a repeated row gets its twin's result."""
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))
@@ -158,10 +166,23 @@ def give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """`df.mapInArrow(fn, ddl)` over slices bounded in bytes; at the end of each task its worker gives freed memory back."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this worker remembers under `name`, from one task to the next of functions that keep it."""
+    return _KEPT.setdefault(name, {})
+
+
+def map_arrow(df: DataFrame, fn, ddl: str, keeps: str | None = None) -> DataFrame:
+    """`df.mapInArrow(fn, ddl)` over slices bounded in bytes; at the end of each task its worker gives freed memory back.
+
+    What the worker has `kept` under other names than `keeps` is forgotten: it does other work now.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [x for x in _KEPT if x != keeps]:
+            del _KEPT[name]
         try:
             yield from fn(_parts(batches))
         finally:

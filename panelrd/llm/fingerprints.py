@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from panelrd.llm.common import mix, written
+from panelrd.llm.common import map_arrow, mix, written
 
 #: Kept steps of a text at most (about); steps after which the random tables repeat; walkers that go in step.
 KEPT, PERIOD, TOGETHER = 256, 4093, 32
@@ -230,9 +230,9 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
             texts = [pack(x) if x else b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(compress, f"doc_id {id_type}, text binary")
+    packed = map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), compress, f"doc_id {id_type}, text binary")
     dealt = packed.repartitionByRange(order).sortWithinPartitions(order, "text")
-    found = written(dealt.mapInArrow(run, f"doc_id {id_type}, {_ROW}, side string, text string, part long"), "fingerprints")
+    found = written(map_arrow(dealt, run, f"doc_id {id_type}, {_ROW}, side string, text string, part long"), "fingerprints")
     heads, tails = (found.filter(F.col("side") == s).select("doc_id", "part", "fingerprint", "text") for s in ("head", "tail"))
     parts = sorted(r["part"] for r in heads.select("part").collect())  # a number for each range that has documents
     follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, next long")
@@ -245,7 +245,7 @@ def fingerprinted_with_next(docs: DataFrame) -> DataFrame:
             out = _compared(text, prints, following, next_prints)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds))], names=names[:7])
 
-    joined = pairs.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(join_ranges, f"doc_id {id_type}, {_ROW}")
+    joined = map_arrow(pairs.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint"), join_ranges, f"doc_id {id_type}, {_ROW}")
     return found.filter("side IS NULL").drop("side", "text", "part").unionByName(joined)
 
 
@@ -258,7 +258,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             prints = fingerprints([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)] + [pa.array(prints, pa.string())], names=batch.schema.names[:n] + ["_fingerprint"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _fingerprint string")
+    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _fingerprint string")
 
 
 def bands(fingerprint: str, count: int, rows: int) -> list[str]:
@@ -295,10 +295,10 @@ def near_documents(docs: DataFrame, least: float = 0.6, count: int = 16, rows: i
             got = [x for x in got if x[2] >= least]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got) if got else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "near_id", "likeness"])
 
-    dealt = written(kinds.select(F.col("doc_id").cast("long"), "_fingerprint").mapInArrow(deal, "doc_id long, f string, bucket string"), "fingerprints-bands")
+    dealt = written(map_arrow(kinds.select(F.col("doc_id").cast("long"), "_fingerprint"), deal, "doc_id long, f string, bucket string"), "fingerprints-bands")
     hubs = written(dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "f")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("bucket", "h"), "fingerprints-hubs")
     pairs = dealt.join(hubs, "bucket").filter(F.col("doc_id") != F.col("h.doc_id")).select("doc_id", "f", F.col("h.doc_id").alias("near_id"), F.col("h.f").alias("g")).distinct()
-    links = pairs.mapInArrow(verify, "doc_id long, near_id long, likeness double")
+    links = map_arrow(pairs, verify, "doc_id long, near_id long, likeness double")
     same = prints.join(kinds.withColumnRenamed("doc_id", "near_id"), "_fingerprint").filter("doc_id != near_id").select(F.col("doc_id").cast("long"), F.col("near_id").cast("long"), F.lit(1.0).alias("likeness"))
     return links.unionByName(same)
 

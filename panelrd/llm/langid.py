@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelrd.llm.common import blocks, flat_text
+from panelrd.llm.common import blocks, flat_text, map_arrow
 
 #: Hashed n-gram terms; labelled texts per language for the centroids; centroids per language.
 DIMENSIONS, SAMPLE, CENTROIDS = 8192, 800, 4
@@ -115,7 +115,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMENSIONS), -1)), pa.array(np.append(found, rows))], names=["term", "n"])
 
-    got = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
+    got = map_arrow(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
     n = np.zeros(DIMENSIONS + 1, dtype=np.int64)
     for r in got:
         n[r["term"]] = r["n"]
@@ -170,8 +170,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, unknown: str = "und")
     """`docs` with _lang_pred (string), _lang_score (0 to 1) and _lang_rejected.
 
     A null text, and one without any letter, is `unknown` with score 0 and rejected, as is every text without a model.
-    All columns of `docs` stay; an empty table gives no rows.
+    Equal cosines go to the language that comes first.  Rows are read one by one, so repeated rows, null ids and very long
+    texts need nothing else.  All columns of `docs` stay, but for those named as the three new ones; an empty table gives no rows.
     """
+    docs = docs.drop("_lang_pred", "_lang_score", "_lang_rejected")
     n = len(docs.columns)
     at = docs.columns.index("text")
 
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, unknown: str = "und")
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)] + [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=batch.schema.names[:n] + ["_lang_pred", "_lang_score", "_lang_rejected"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _lang_pred string, _lang_score double, _lang_rejected boolean"
-    return docs.mapInArrow(predict, ddl)
+    return map_arrow(docs, predict, ddl)
 
 
 def op8_language_id(docs: DataFrame) -> DataFrame:

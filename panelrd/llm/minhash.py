@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelrd.llm.common import RangeHash, blocks, flat_text, lower_ascii, mix, row_key, signed, word_hashes, written
+from panelrd.llm.common import RangeHash, blocks, flat_text, free_name, lower_ascii, map_arrow, mix, row_key, signed, word_hashes, written
 from panelrd.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 75
@@ -93,7 +93,7 @@ def hashed_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "rid", "n", "class", "buckets"])
 
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("rid"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, rid long, n long, class long, buckets array<long>")
+    return map_arrow(rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, rid long, n long, class long, buckets array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(kind, pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["class", "items"])
 
     rows = docs.select(row_key("doc_id", "text").alias("rid"), "text").join(wanted, "rid").select("rid", "text", "class")
-    return rows.mapInArrow(run, "class long, items array<long>")
+    return map_arrow(rows, run, "class long, items array<long>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -224,8 +224,9 @@ def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     found = classified(docs, similarity)
     group = [F.col("component"), F.when(F.col("component").isNull(), F.col("rid")).alias("alone")]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"]
-    kept = written(found.groupBy(*group).agg(first.alias("_rid")).select("_rid").distinct(), "minhash-kept")
-    return docs.withColumn("_rid", row_key("doc_id", "text")).join(kept, "_rid").dropDuplicates(["_rid"]).select(*docs.columns)
+    rid = free_name(docs.columns, "rid")
+    kept = written(found.groupBy(*group).agg(first.alias(rid)).select(rid).distinct(), "minhash-kept")
+    return docs.withColumn(rid, row_key("doc_id", "text")).join(kept, rid).dropDuplicates([rid]).select(*docs.columns)
 
 
 def op3_minhash_dedup(docs: DataFrame) -> DataFrame:

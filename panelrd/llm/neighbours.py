@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelrd.llm.common import written
+from panelrd.llm.common import map_arrow, written
 
 #: Vectors in a bucket (aimed at), rows of either side in a block.
 BUCKET, BLOCK = 256, 2048
@@ -153,8 +153,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str,
         return run
 
     kind = "key long, id long, v binary"
-    stored = base.filter(F.size("v") == dim).dropDuplicates(["id", "v"]).mapInArrow(hashed(False), kind)
-    asked = usable(queries, id_column, column).filter(F.size("v") == dim).dropDuplicates(["id", "v"]).mapInArrow(hashed(True), kind)
+    stored = map_arrow(base.filter(F.size("v") == dim).dropDuplicates(["id", "v"]), hashed(False), kind)
+    asked = map_arrow(usable(queries, id_column, column).filter(F.size("v") == dim).dropDuplicates(["id", "v"]), hashed(True), kind)
     parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     # how many blocks a bucket has on either side; buckets that nobody probes are left out
     blocks = written(parts(stored, "v_blocks").join(parts(asked, "q_blocks"), "key"), "ann-blocks")

@@ -18,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelrd.llm.common import written
+from panelrd.llm.common import kept, map_arrow, written
 
 #: Words whose ids a worker process remembers; beyond that it starts anew.
 CACHE_WORDS = 600_000
-_CACHE: dict[str, dict[str, bytes]] = {}
 
 
 def default_tokenizer() -> str:
@@ -54,7 +53,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.known = _CACHE.setdefault(path, {})
+        self.known = kept("tokens").setdefault(path, {})
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096,
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, ddl)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, ddl, keeps="tokens")
 
 
 @dataclass
@@ -217,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(sequence[at] + inside // each[at]), pa.array(offset[at] + inside % each[at] * length)], names=[f.name for f in fields] + ["sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ddl)
+    return map_arrow(ranked, place, ddl)
 
 
 def op4_best_fit_packing(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelrd.llm.common import RangeHash, blocks, byte_values, flat_text, mix, signed, word_hashes, written
+from panelrd.llm.common import RangeHash, blocks, byte_values, flat_text, map_arrow, mix, signed, word_hashes, written
 
 #: Each split deals the windows of a bucket to this many cells.
 SPLIT = 4
@@ -123,7 +123,7 @@ def all_records(rows: DataFrame, what: Repeats) -> DataFrame:
                     columns = [rid[i + row], order[i + row], bucket, content, packed(lo - start, hi - start, at - start)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_PLAIN)
 
-    return rows.select("rid", "ord", "text").mapInArrow(run, _RECORD)
+    return map_arrow(rows.select("rid", "ord", "text"), run, _RECORD)
 
 
 def with_pieces(rows: DataFrame, wanted: DataFrame, what: Repeats) -> DataFrame:
@@ -146,7 +146,7 @@ def with_pieces(rows: DataFrame, wanted: DataFrame, what: Repeats) -> DataFrame:
                 piece = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[i + row])] + [pa.array(fields[k][at]) for k in names] + [pa.array(piece, pa.binary())], names=["rid", *names, "piece"])
 
-    return joined.mapInArrow(run, _RECORD + ", open boolean, many boolean, piece binary")
+    return map_arrow(joined, run, _RECORD + ", open boolean, many boolean, piece binary")
 
 
 def split(items: DataFrame, width: int, what: Repeats) -> DataFrame:
@@ -177,7 +177,7 @@ def split(items: DataFrame, width: int, what: Repeats) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kind)], names=[*_PLAIN, "open", "piece"])
 
-    return items.select(*_PLAIN, "open", "piece").mapInArrow(run, _RECORD + ", open boolean, piece binary")
+    return map_arrow(items.select(*_PLAIN, "open", "piece"), run, _RECORD + ", open boolean, piece binary")
 
 
 #: From pieces, their rows' ords and whether they are open: (number of the piece, start, end) of spans to remove.
@@ -211,7 +211,7 @@ def matched(items: DataFrame, matcher: Matcher, block: int = 1 << 18) -> DataFra
             yield flush()
 
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return items.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "rid long, start long, end long")
+    return map_arrow(items.repartition(n, "bucket").sortWithinPartitions("bucket"), run, "rid long, start long, end long")
 
 
 def spans(items: DataFrame, what: Repeats) -> DataFrame:

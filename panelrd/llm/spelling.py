@@ -55,7 +55,7 @@ def gram_index(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     leaf = windows.join(deepest, "window", "left").select("window", "c", F.substr("window", F.lit(1), F.coalesce(F.col("q") + 1, F.lit(shortest))).alias("gram"))
     leaf = written(leaf, "spelling-leaves")
     lists = leaf.groupBy("gram").agg(F.sum("c").alias("f"))
-    known = written(leaf.select("window", "gram").join(lists, "gram"), "spelling-dictionary")
+    known = leaf.select("window", "gram").join(lists, "gram")
     grams = place.join(known, "window").groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "f", "gram"))).alias("at"))
 
     def over(state: Column, g: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelrd.llm import repeats
-from panelrd.llm.common import flat_text, row_key
+from panelrd.llm.common import flat_text, map_arrow, row_key
 
 LENGTH = 50
 #: Words of an anchor of a window of LENGTH; different pieces of a bucket that one task compares.
@@ -129,7 +129,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kind))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     joined = rows.join(found, "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_arrow(joined, cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_substring_dedup(docs: DataFrame) -> DataFrame:
