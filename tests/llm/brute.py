@@ -81,15 +81,18 @@ def near_duplicates(rows):
     return out
 
 
-def lines(rows, min_docs, min_tokens=4, depth=3, part=0.5):
+def lines(rows, min_docs, min_tokens=4, depth=3, part=0.5, share=0.1, short=False):
     """(number of lines, numbers of those dropped) for each row; ids must differ."""
     split = [(i, (t or "").split("\n") if t else []) for i, t in rows]
     every = []
     for i, ls in split:
         for k, x in enumerate(ls):
-            w = tuple(b"\0" if re.search(rb"[0-9]", y) else y for y in words(x))
+            w = tuple(words(x))
             if len(w) >= min_tokens:
+                w = tuple(b"\0" if re.search(rb"[0-9]", y) else y for y in w)
                 every.append((i, k, (len(w), *w[:depth]), w))
+            elif w and short:
+                every.append((i, k, (len(w), *w), w))
     leaf = defaultdict(set)
     for i, _, f, _ in every:
         leaf[f].add(i)
@@ -100,14 +103,19 @@ def lines(rows, min_docs, min_tokens=4, depth=3, part=0.5):
     tokens = Counter()
     for (f, w), ids in docs.items():
         for p, t in enumerate(w):
-            if t != b"\0":
+            if t != b"\0" and p >= depth:
                 tokens[f, p, t] += len(ids)
     of, seen = [], defaultdict(set)
     for i, k, f, w in every:
-        constant = tuple((p, t) for p, t in enumerate(w) if t != b"\0" and tokens[f, p, t] >= min_docs)
-        if constant and len(constant) >= part * len(w):
-            of.append((i, k, (f, constant)))
-            seen[f, constant].add(i)
+        found = []
+        if len(docs[f, w]) >= min_docs and (len(w) < min_tokens or sum(t != b"\0" for t in w) >= part * len(w)):
+            found.append(("line", f, w))
+        constant = tuple((p, t) for p, t in enumerate(w) if t != b"\0" and p >= depth and tokens[f, p, t] >= max(min_docs, share * len(leaf[f])))
+        if constant and len(constant) >= part * (len(w) - depth):
+            found.append(("template", f, constant))
+        for t in found:
+            of.append((i, k, t))
+            seen[t].add(i)
     gone = defaultdict(set)
     for i, k, t in of:
         if len(seen[t]) >= min_docs and i > min(seen[t]):

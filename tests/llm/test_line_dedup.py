@@ -30,6 +30,31 @@ def test_matches_brute_force(frame):
         assert sum(v[1] for v in got.values()) > 30
 
 
+def test_short_lines_and_shares_match_brute_force(frame):
+    rows = logs(2)
+    rows += [(1000 + i, f"Page {i} of the same old report now here\nAll rights\nLes.\nthe cat sat {'abcdefgh'[i % 8]}") for i in range(60)]
+    expected = brute.lines(rows, 10, short=True)
+    got = {r.doc_id: (r._n_lines, r._n_removed, r._kept or "") for r in line_dedup.dedup_lines(frame(rows), short_lines=True).collect()}
+    assert got == {i: (n, len(gone), text) for i, (n, gone, text) in expected.items()}
+    assert sum(v[1] for v in got.values()) > 200
+
+
+def test_lines_that_share_only_their_first_words_stay(frame):
+    """However many documents begin a line alike, its rest must recur."""
+    for n in (12, 150):
+        rows = [(i, f"the cat sat {i % 7}q{i}x w{chr(97 + i % 26)}{i // 26}z {'abcdefghij'[i % 10]}{'klmnopq'[i % 7]}v") for i in range(n)]
+        rows = [(i, "".join(chr(97 + int(c)) if c.isdigit() else c for c in t)) for i, t in rows]
+        assert not any(r._n_removed for r in line_dedup.dedup_lines(frame(rows), short_lines=True).collect())
+
+
+def test_own_column_names_do_not_clash(frame):
+    from pyspark.sql import functions as F
+
+    table = frame([(i, "these words come again and again") for i in range(12)]).withColumns({c: F.lit("mine") for c in ("_rid", "_lines", "rid_", "lines", "_kept")})
+    found = line_dedup.dedup_lines(table)
+    assert {(r._rid, r._lines, r.rid_, r.lines) for r in found.collect()} == {("mine",) * 4} and found.columns.count("_kept") == 1
+
+
 def test_variable_fields_are_generalised(frame):
     rows = [(i, f"Order {i} was shipped to {'abcdefghijklm'[i]}x at noon") for i in range(13)]
     got = {r.doc_id: r._n_removed for r in line_dedup.dedup_lines(frame(rows), min_docs=10).collect()}
