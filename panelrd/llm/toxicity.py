@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelrd.llm.common import RangeHash, blocks, byte_values, flat_text
+from panelrd.llm.common import RangeHash, blocks, byte_values, flat_text, map_arrow
 from panelrd.llm.langid import held_out
 
 #: Labelled texts of each class to fit on at most; factors of a term; texts of the sample a term must occur in.
 SAMPLE, FACTORS, LEAST_TEXTS = 3000, 4, 3
-#: Standard errors by which a term's presence must differ between the classes.
-LEAST_Z = 5.0
+#: Standard errors by which a term's presence must differ between the classes, or by which two terms must change each other's
+#: effect; part of a class's texts that hold a term whose pairs are looked at; texts in each cell of a pair.
+LEAST_Z, LEAST_PAIR_Z, PAIR_SHARE, PAIR_TEXTS = 5.0, 6.0, 0.05, 20
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.1, 2e-3
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
@@ -89,6 +90,32 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def interacting(at: np.ndarray, row: np.ndarray, often: np.ndarray, size: int, labels: np.ndarray, block: int = 256) -> np.ndarray:
+    """Places in `often` of terms that change another's effect: p(both) - p(one) - p(other) + p(neither) is far from 0.
+
+    A term that says nothing by itself, such as a group's name, is kept for its pairs.  Blocks of terms are compared with all
+    others, so memory stays small; p is the part of toxic texts in a cell, smoothed by one text of each class.
+    """
+    place = np.full(size, -1)
+    place[often] = np.arange(len(often))
+    hit = place[at] >= 0
+    has = np.zeros((len(labels), len(often)), dtype=np.float32)
+    has[row[hit], place[at[hit]]] = 1
+    n, y, found = len(labels), labels.astype(np.float32), np.zeros(len(often), dtype=bool)
+    texts, toxic = has.sum(axis=0), y @ has
+    for i in range(0, len(often), block):
+        mine = has[:, i : i + block]
+        both, both_toxic = mine.T @ has, (mine * y[:, None]).T @ has
+        a, a_toxic = texts[i : i + block, None], toxic[i : i + block, None]
+        cells = ((both, both_toxic), (a - both, a_toxic - both_toxic), (texts - both, toxic - both_toxic), (n - a - texts + both, y.sum() - a_toxic - toxic + both_toxic))
+        effect, error, least = 0.0, 0.0, np.inf
+        for sign, (m, k) in zip((1, -1, -1, 1), cells):
+            p = (k + 1) / (m + 2)
+            effect, error, least = effect + sign * p, error + p * (1 - p) / (m + 2), np.minimum(least, m)
+        found[i : i + block] |= ((least >= PAIR_TEXTS) & (np.abs(effect) >= LEAST_PAIR_Z * np.sqrt(error))).any(axis=1)
+    return found
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 11) -> FactorizationMachine:
     """Weighted logistic loss by AdaGrad over small batches; `rows` hold the different term hashes of each text."""
     if not rows:
@@ -97,7 +124,10 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
     toxic = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), minlength=len(every))
     part, n = float(labels.mean()), len(labels)
     z = (toxic - texts * part) / np.sqrt(texts * max(part * (1 - part), 1e-9) * (1 - texts / n) + 1e-9)
-    terms = every[(texts >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)]
+    alone = (texts >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)
+    often = np.flatnonzero((toxic >= PAIR_SHARE * max(labels.sum(), 1)) | (texts - toxic >= PAIR_SHARE * max((1 - labels).sum(), 1)))
+    alone[often[interacting(at, np.repeat(np.arange(n), [len(r) for r in rows]), often, len(every), labels)]] = True
+    terms = every[alone]
     rng = np.random.default_rng(seed)
     share = float(np.average(labels, weights=weights))
     model = FactorizationMachine(terms, float(np.log(max(share, 1e-4) / max(1 - share, 1e-4))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
@@ -153,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary()), batch.column(2)], names=["doc_id", "terms", "toxic"])
 
     # at most 2 x sample rows of labels, so the broadcast is bounded and the texts are not shuffled
-    used = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(terms, "doc_id long, terms binary, toxic int")
+    used = map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic"), terms, "doc_id long, terms binary, toxic int")
     got = sorted(used.collect(), key=lambda r: (r["doc_id"], r["terms"]))  # different terms of at most 2 x sample texts
     rows = [np.frombuffer(r["terms"], dtype=np.int64) for r in got]
     y = np.array([r["toxic"] for r in got], dtype=np.float64)
@@ -164,7 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
 
 
 def score(docs: DataFrame, model: FactorizationMachine, column: str = "_toxicity") -> DataFrame:
-    """`docs` with the toxicity of `text` (0 to 1).  Null and empty texts get the score of no terms."""
+    """`docs` with the toxicity of `text` (0 to 1).  Null and empty texts get the score of no terms.
+
+    Each row is scored by its text alone: repeated rows alike, null ids and very long texts as any.  All columns of `docs` stay,
+    but for one named as the new one; an empty table gives no rows.
+    """
+    docs = docs.drop(column)
     n, at = len(docs.columns), docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +210,7 @@ def score(docs: DataFrame, model: FactorizationMachine, column: str = "_toxicity
                 out[i:j] = model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(n)] + [pa.array(out)], names=batch.schema.names[:n] + [column])
 
-    return docs.mapInArrow(predict, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {column} double")
+    return map_arrow(docs, predict, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {column} double")
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
