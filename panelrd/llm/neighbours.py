@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product: cross-polytope hashing.
 
-Vectors are scaled by the largest length and get one more coordinate that makes them unit vectors, so that the largest
-inner product is the smallest angle.  A table hashes a unit vector by fast pseudo-rotations (three rounds of random
-signs and a Hadamard transform) and the nearest signed axis; for many vectors, several hashes are joined to a key, the
-last over fewer axes, so that buckets keep their size while the table grows.  Queries probe, in every table, the keys
-whose axes are next nearest.  A bucket's vectors and the queries that probe it meet in blocks of bounded size, where exact
-inner products are taken; only each block's best go on.
+Vectors are dealt to classes of nearly equal length.  In each they are scaled by its largest length and get one more
+coordinate that makes them unit vectors, so that the largest inner product is the smallest angle.  A table hashes a unit
+vector by fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and the nearest signed axis; for many
+vectors, several hashes are joined to a key, the last over fewer axes, so that buckets keep their size while the table
+grows.  Queries probe, in every table of every class, the keys whose axes are next nearest.  How many tables and probes that
+takes is measured: a bounded sample of queries is searched exactly, and the least of both that finds enough of its neighbours is
+taken.  A bucket's vectors and the queries that probe it meet in blocks of bounded size, where exact inner products are
+taken; only each block's best go on.  Queries that found fewer rows than there are, or all where no choice finds enough,
+are searched against all rows, in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,10 @@ from panelrd.llm.common import map_arrow, written
 
 #: Vectors in a bucket (aimed at), rows of either side in a block.
 BUCKET, BLOCK = 256, 2048
-TABLES, PROBES = 16, 12
+#: Largest length of a class over its smallest; tables and probes to choose from; queries searched exactly for that choice,
+#: part of their neighbours that it must find, and part under which the index is not used.
+LENGTHS, TABLES, PROBES = 1.25, (4, 8, 16, 32, 64), (4, 8, 12, 16, 24, 32, 64, 128)
+TRIALS, AIM, LEAST = 64, 0.96, 0.92
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -119,61 +125,185 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str, k: int = 20, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET) -> DataFrame:
+@dataclass
+class LengthClass:
+    """Vectors of nearly equal length: the largest length and the hash tables of the class."""
+
+    longest: float
+    index: CrossPolytope
+
+    @property
+    def whole(self) -> bool:
+        """Few vectors: one table of two keys, of which every query probes both."""
+        return self.index.axes == (1,)
+
+    def lifted(self, v: np.ndarray, asks: bool) -> np.ndarray:
+        lengths = np.abs(v).max(axis=1, keepdims=True)
+        lengths = lengths * np.sqrt(((v / lengths) ** 2).sum(axis=1, keepdims=True))
+        scaled = v / (lengths if asks else self.longest)
+        lift = np.zeros((len(v), 1)) if asks else np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1, keepdims=True)))
+        return np.concatenate([scaled, lift], axis=1)
+
+
+def length_classes(base: DataFrame, dim: int, tables: int, bucket: int) -> dict[int, LengthClass]:
+    found = base.groupBy("c").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()  # bounded: the classes of all doubles
+    out = {}
+    for r in found:
+        index = CrossPolytope.sized(dim + 1, r["n"], tables, bucket)
+        out[r["c"]] = LengthClass(float(r["longest"]), CrossPolytope(dim + 1, (1,), 1) if index.axes == (1,) else index)
+    return out
+
+
+def _best_rows(base: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> list:
+    """The k best rows of all of `base` for a bounded set of queries, with their vectors and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), _vectors(batch.column(1))
+            asked, near, score = best_of_block(q_ids, q, ids, v, k)
+            at = {int(x): i for i, x in enumerate(ids.tolist())}
+            rows = pa.array([at[int(x)] for x in near], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(near, pa.int64()), pa.array(score, pa.float64()), batch.column(1).take(rows), batch.column(2).take(rows)], names=["query_id", "id", "score", "v", "c"])
+
+    found = map_arrow(base.select("id", "v", "c"), run, "query_id long, id long, score double, v array<double>, c int")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).collect()  # TRIALS x k rows
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+
+
+def measured_choice(best: list, q_ids: np.ndarray, q: np.ndarray, classes: dict[int, LengthClass], tables: Sequence[int], probes: Sequence[int]) -> tuple[int, int, float]:
+    """(tables, probes, recall): the least work whose recall on the trial queries reaches AIM, or else the most work."""
+    if not best:
+        return tables[0], probes[0], 1.0
+    of = {int(x): i for i, x in enumerate(q_ids.tolist())}
+    rank = np.full((len(best), max(tables)), np.inf)
+    for c in {r["c"] for r in best}:
+        mine = [i for i, r in enumerate(best) if r["c"] == c]
+        kind = classes[c]
+        if kind.whole:
+            rank[mine] = 0
+            continue
+        asked = sorted({of[best[i]["query_id"]] for i in mine})
+        keys = dict(zip(asked, kind.index.probes(kind.lifted(q[asked], True), max(probes))))
+        stored = kind.index.probes(kind.lifted(np.array([best[i]["v"] for i in mine], dtype=np.float64), False), 1)[:, :, 0]
+        for i, key in zip(mine, stored):
+            hit = keys[of[best[i]["query_id"]]] == key[:, None]
+            rank[i] = np.where(hit.any(axis=1), hit.argmax(axis=1), np.inf)
+    found = {(t, p): float((rank[:, :t].min(axis=1) < p).mean()) for t in tables for p in probes}
+    enough = [x for x, recall in found.items() if recall >= AIM]
+    t, p = min(enough, key=lambda x: (x[0] * x[1], x[0])) if enough else (max(tables), max(probes))
+    return t, p, found[t, p]
+
+
+def _blockwise(left: DataFrame, right: DataFrame, on: Sequence[str], k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each block of `on`, the k best of its rows `left` (id, v) for each of its queries `right`."""
+
+    def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
+        if not v.num_rows or not q.num_rows:
+            a = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            a = best_of_block(q["id"].to_numpy(), _matrix(q, "v"), v["id"].to_numpy(), _matrix(v, "v"), k)
+        return pa.table({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.float64())})
+
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+
+
+def _exact(base: DataFrame, n: int, asked: DataFrame, n_asked: int, k: int) -> DataFrame:
+    """The k best of all rows for each query, in blocks of BLOCK rows by BLOCK queries."""
+    v_blocks, q_blocks = -(-n // BLOCK), -(-n_asked // BLOCK)
+    dealt = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    raw = lambda df: map_arrow(df.select("id", "v"), _packed, "id long, v binary")
+    left = raw(base).withColumn("v_block", dealt(v_blocks, 1)).withColumn("q_block", each(q_blocks))
+    right = raw(asked).withColumn("q_block", dealt(q_blocks, 2)).withColumn("v_block", each(v_blocks))
+    return _blockwise(left, right, ["v_block", "q_block"], k)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _vectors(batch.column(1))], pa.binary())], names=["id", "v"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str, k: int = 20, tables: Sequence[int] = TABLES, probes: Sequence[int] = PROBES, bucket: int = BUCKET) -> DataFrame:
     """The k nearest rows of `vectors` found for each row of `queries` (both with id_column and column).
 
     Returns query_id, rank (from 1), vec_id, score (inner product, in double precision, of the original vectors), nearest
     first and ties to the smaller id; a row with the query's id is no candidate.  Unusable vectors (null, empty, zero, with
     null or non-finite components, or of another length than most) and null ids take no part; rows that repeat an id and a
-    vector count once; fewer than k candidates are returned as they are; an empty table gives no rows.
+    vector count once; every query has k rows if there are k candidates; an empty table gives no rows.  Vectors may differ in
+    length by any factor.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    base = usable(vectors, id_column, column)
-    stats = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).orderBy(F.col("n").desc(), "dim").first()
+    usable_rows = usable(vectors, id_column, column)
+    stats = usable_rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").first()
     if stats is None:
         return spark.createDataFrame([], result)
-    dim, longest = stats["dim"], float(np.sqrt(stats["norm2"]))
-    index = CrossPolytope.sized(dim + 1, stats["n"], tables, bucket)
+    dim = stats["dim"]
+    most = F.array_max(F.transform("v", F.abs))
+    length = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("most"), 2)))
+    one_dim = lambda df: df.filter(F.size("v") == dim).dropDuplicates(["id", "v"])
+    base = one_dim(usable_rows).withColumn("most", most).withColumn("length", length).drop("most")
+    base = written(base.withColumn("c", F.floor(F.log("length") / F.lit(float(np.log(LENGTHS)))).cast("int")), "ann-base")
+    asked = written(one_dim(usable(queries, id_column, column)), "ann-asked")
+    sizes = base.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], result)
+    classes = length_classes(base, dim, max(tables), bucket)
+    trial = asked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRIALS).collect()
+    q_ids, q = np.array([r["id"] for r in trial]), np.array([r["v"] for r in trial], dtype=np.float64)
+    use, ask, recall = measured_choice(_best_rows(base, q_ids, q, k), q_ids, q, classes, tables, probes)
+    ranked = lambda df: df.withColumn("rank", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+    if recall < LEAST:
+        return ranked(_exact(base, sizes["n"], asked, n_asked, k))
+    indexes = {c: LengthClass(x.longest, x.index if x.whole else CrossPolytope(x.index.dim, x.index.axes, use)) for c, x in classes.items()}
+
+    def keyed(ids: np.ndarray, raw: np.ndarray, v: np.ndarray, c: int, asks: bool) -> pa.RecordBatch:
+        kind = indexes[c]
+        keys = kind.index.probes(kind.lifted(v, asks), (2 if kind.whole else ask) if asks else 1).reshape(len(ids), -1)
+        row, col = np.nonzero(keys >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), c, np.int32)), pa.array(keys[row, col]), pa.array(ids[row]), pa.array(raw[row], pa.binary())], names=["c", "key", "id", "v"])
 
     def hashed(asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    ids = part.column(0).to_numpy()
-                    v = np.ascontiguousarray(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), dim)
-                    scaled = v / (np.sqrt((v * v).sum(axis=1, keepdims=True)) if asks else longest)
-                    lift = np.zeros((len(v), 1)) if asks else np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1, keepdims=True)))
-                    keys = index.probes(np.concatenate([scaled, lift], axis=1), probes if asks else 1).reshape(len(ids), -1)
-                    row, col = np.nonzero(keys >= 0)
+                    ids, v = part.column(0).to_numpy(), _vectors(part.column(1))
                     raw = np.array([x.tobytes() for x in v], dtype=object)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), pa.array(ids[row]), pa.array(raw[row], pa.binary())], names=["key", "id", "v"])
+                    own = None if asks else part.column(2).to_numpy()
+                    for c in indexes:
+                        mine = np.arange(len(ids)) if asks else np.flatnonzero(own == c)
+                        for i in range(0, len(mine), 64 if asks else 512):
+                            some = mine[i : i + (64 if asks else 512)]
+                            yield keyed(ids[some], raw[some], v[some], c, asks)
 
         return run
 
-    kind = "key long, id long, v binary"
-    stored = map_arrow(base.filter(F.size("v") == dim).dropDuplicates(["id", "v"]), hashed(False), kind)
-    asked = map_arrow(usable(queries, id_column, column).filter(F.size("v") == dim).dropDuplicates(["id", "v"]), hashed(True), kind)
-    parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    kind = "c int, key long, id long, v binary"
+    stored = map_arrow(base.select("id", "v", "c"), hashed(False), kind)
+    probing = map_arrow(asked.select("id", "v"), hashed(True), kind)
+    parts = lambda df, name: df.groupBy("c", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     # how many blocks a bucket has on either side; buckets that nobody probes are left out
-    blocks = written(parts(stored, "v_blocks").join(parts(asked, "q_blocks"), "key"), "ann-blocks")
+    blocks = written(parts(stored, "v_blocks").join(parts(probing, "q_blocks"), ["c", "key"]), "ann-blocks")
     hashed_to = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = stored.join(blocks, "key").withColumn("v_block", hashed_to("v_blocks", 1)).withColumn("q_block", each("q_blocks")).select("key", "v_block", "q_block", "id", "v")
-    right = asked.join(blocks, "key").withColumn("q_block", hashed_to("q_blocks", 2)).withColumn("v_block", each("v_blocks")).select("key", "v_block", "q_block", "id", "v")
-
-    def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
-        if not v.num_rows or not q.num_rows:
-            a = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            a = best_of_block(q["id"].to_numpy(), _matrix(q, "v"), v["id"].to_numpy(), _matrix(v, "v"), k)
-        return pa.table({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.float64())})
-
-    on = ["key", "v_block", "q_block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+    on = ["c", "key", "v_block", "q_block"]
+    left = stored.join(blocks, ["c", "key"]).withColumn("v_block", hashed_to("v_blocks", 1)).withColumn("q_block", each("q_blocks")).select(*on, "id", "v")
+    right = probing.join(blocks, ["c", "key"]).withColumn("q_block", hashed_to("q_blocks", 2)).withColumn("v_block", each("v_blocks")).select(*on, "id", "v")
+    found = written(ranked(_blockwise(left, right, on, k)), "ann-found")
+    # a query with fewer rows than there are candidates is searched against all rows
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, sizes["ids"] - 1)).select(F.col("query_id").alias("id"))
+    short = written(asked.join(full, "id", "left_anti"), "ann-short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    again = ranked(_exact(base, sizes["n"], short, n_short, k))
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(again)
 
 
 def op9_nearest_neighbours(embeddings: DataFrame) -> DataFrame:

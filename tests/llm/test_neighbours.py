@@ -40,6 +40,50 @@ def test_lengths_differ_and_many_buckets(spark):
     assert recall >= 0.9
 
 
+def recall(found, ids, v, k):
+    return np.mean([len(set(found[q]) & set(exact(ids, v, q, k))) / k for q in found])
+
+
+def test_lengths_over_decades_and_one_very_long_vector(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(2000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(2000)
+    spread, long = v * rng.lognormal(0, 0.5, (2000, 1)), v.copy()
+    long[7] *= 1000
+    decades = v * 10.0 ** rng.uniform(-3, 3, (2000, 1))
+    for x in (spread, long, decades):
+        found, rows = search(spark, ids, x, k=20, bucket=32)
+        assert len(found) == 200 and all(len(f) == 20 for f in found.values())
+        assert recall(found, ids, x, 20) >= 0.9
+
+
+def test_keys_of_two_hashes(spark):
+    """So many keys that a second hash comes in: tables and probes grow until enough is found."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert len(neighbours.CrossPolytope.sized(13, 3000, 4, 4).axes) == 2
+    found, _ = search(spark, np.arange(3000), v, k=10, bucket=4)
+    assert recall(found, np.arange(3000), v, 10) >= 0.9
+
+
+def test_without_a_good_choice_all_rows_are_searched(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1500, 16))
+    found, _ = search(spark, np.arange(1500), v, k=10, bucket=4, tables=(1,), probes=(1,))
+    assert recall(found, np.arange(1500), v, 10) == 1.0
+
+
+def test_short_results_are_filled(spark, monkeypatch):
+    """With hardly any probes some queries find less than k rows; these are searched against all."""
+    monkeypatch.setattr(neighbours, "LEAST", 0.0)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(1000, 16))
+    found, _ = search(spark, np.arange(1000), v, k=20, bucket=8, tables=(1,), probes=(1,))
+    assert len(found) == 100 and all(len(f) == 20 for f in found.values())
+
+
 def test_ties_go_to_smaller_ids_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     v = np.ones((200, 8))
