@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.rd.cells import CellTable, Fit
-from panelrd.operators.rd.core import _inv, _solve, check_levels, partial_out
+from panelrd.operators.rd.cells import CellTable, Fit, gram, solve
+from panelrd.operators.rd.core import _inv
 
 # Rule-of-thumb pilot constants per kernel.
 PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
@@ -82,35 +82,12 @@ def exact_quantiles(df: DataFrame, x: str, n: int, lo: float, hi: float, probs:
     return out
 
 
-def _fit(m: dict, order: int, zgroups: Sequence[str]):
-    """Order-`order` fit of D = (y, t, dummies…) in z-units; returns Γ, β (order+1 × nD), and one-sided γ."""
-    tot = m["tot"]
-    G = np.array([[tot.get(f"S{a + b}", 0.0) for b in range(order + 1)] for a in range(order + 1)])
-    cols = [[tot.get(f"Y{j}", 0.0) for j in range(order + 1)], [tot.get(f"T{j}", 0.0) for j in range(order + 1)]]
-    for g in zgroups:
-        gm = m["groups"].get(g, {})
-        cols.append([gm.get(f"S{j}") or 0.0 for j in range(order + 1)])
-    U = np.array(cols).T
-    beta = _solve(G, U)
-    nz = len(zgroups)
-    gamma = np.zeros((nz, 2))
-    if nz:
-        mine = [m["groups"].get(g, {}) for g in zgroups]
-        zy = np.array([[gm.get("Y0") or 0.0, gm.get("T0") or 0.0] for gm in mine])
-        gamma = partial_out([(G, U[:, 2:], np.array([gm.get("S0") or 0.0 for gm in mine]), zy, U[:, :2])])
-    return G, beta, gamma
-
-
-def _svec(beta, gamma, nu: int, h: float, fuzzy: bool) -> np.ndarray:
-    """Combination of the D columns whose derivative the stage targets (sharp, fuzzy, with group controls)."""
-    nz = gamma.shape[0]
+def _combination(beta: np.ndarray, nu: int, h: float, fuzzy: bool) -> np.ndarray:
+    """Weights of outcome and treatment in what a stage targets: the outcome, or the ratio linearised at the fit's derivatives."""
     if not fuzzy:
-        return np.concatenate([[1.0, 0.0], -gamma[:, 0]])
-    ty = math.factorial(nu) * beta[nu, 0] / h ** nu
-    tt = math.factorial(nu) * beta[nu, 1] / h ** nu
-    if tt == 0:
-        return np.full(2 + nz, float("nan"))
-    return np.concatenate([[1.0 / tt, -ty / tt ** 2], -gamma[:, 0] / tt + (ty / tt ** 2) * gamma[:, 1]])
+        return np.array([1.0, 0.0])
+    ty, tt = (math.factorial(nu) * beta[nu, c] / h ** nu for c in (0, 1))
+    return np.array([1.0 / tt, -ty / tt ** 2]) if tt else np.full(2, float("nan"))
 
 
 def _vmat(G, M: dict, order: int, n: int, vce: str) -> np.ndarray:
@@ -155,45 +132,52 @@ def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int
     def window(i: int, side: int, h: float) -> Fit:
         return Fit(selections[i].o, selections[i].c, bool(side), float(h))
 
-    def zgroups_of(moments: list[dict]) -> list[str]:
-        return sorted({g for m in moments for g in m["groups"]} - {cells.samples[selections[live[0]].o]["base"]}) if cells.group else []
+    def residual_fit(f: Fit, n: int, s: np.ndarray, set_: int, beta: np.ndarray) -> Fit:
+        coefficients = [float(v) for v in beta @ s] if hc else []
+        return replace(f, n=int(n), sy=float(s[0]), st=float(s[1]), kh=coefficients, kb=coefficients, gid=set_)
 
     # variance parts: all stages use the pilot window; orders q+1, q, p with derivative q+1, p+1, 0
     stages = [(q + 1, q + 1), (q, p + 1), (p, 0)]
     most = q + 2
     fits = [window(i, s, pilot[i]) for i, s in sides] + [window(i, s, ranges[i][s] + 1e-8) for i, s in sides]
     moments = cells.moments(fits, kernel, 2 * most, most)
-    zgroups = zgroups_of(moments)
-    near, whole = dict(zip(sides, moments)), dict(zip(sides, moments[len(sides):]))
+    place, behind = {k: n for n, k in enumerate(sides)}, len(sides)
+    sets = [((place[k],), o) for k in sides for o, _ in stages]
+    gammas = cells.gammas(moments, sets)
+    gid = {(*k, o): n for n, (k, o) in enumerate((k, o) for k in sides for o, _ in stages)}
     parts, asked = {}, []
     for i, s in sides:
+        m = moments[place[i, s]]
+        own = {o: cells.adjusted(moments, {place[i, s]: gid[i, s, o]}, gammas, most)[place[i, s]] if hc else m for o, _ in stages}
         for o, nu in stages:
-            G, beta, gamma = _fit(near[i, s], o, zgroups)
-            combination = _svec(beta, gamma, nu, pilot[i], selections[i].fuzzy)
-            v = np.array([near[i, s]["tot"].get(f"S{j + o + 1}", 0.0) for j in range(o + 1)])
+            G, R = gram(m, o)
+            combination = _combination(solve(G, R), nu, pilot[i], selections[i].fuzzy)
+            v = np.array([m.get(f"S{j + o + 1}") or 0.0 for j in range(o + 1)])
             parts[i, s, o] = dict(G=G, s=combination, bconst=float((_inv(G) @ v)[nu]), nu=nu)
-            asked.append(((i, s, o), _residual_fit(window(i, s, pilot[i]), near[i, s]["n"], combination, beta, zgroups, hc)))
-    for (key, f), m in zip(asked, cells.residuals([f for _, f in asked], kernel, vce, 2 * (q + 1))):
+            asked.append(((i, s, o), residual_fit(window(i, s, pilot[i]), m["n"], combination, gid[i, s, o], solve(*gram(own[o], o)))))
+    for (key, f), r in zip(asked, cells.residuals([f for _, f in asked], kernel, vce, 2 * (q + 1), gammas)):
         part, h = parts[key], f.h
-        V = _vmat(part["G"], m, key[2], f.n, vce)
+        V = _vmat(part["G"], r, key[2], f.n, vce)
         part["V"] = (2 * part["nu"] + 1) * h ** (2 * part["nu"] + 1) * float(V[part["nu"], part["nu"]]) / h ** (2 * part["nu"])
 
-    def stage(o: int, order: int, h: dict, regularised: bool, known: dict | None = None) -> dict:
+    def stage(o: int, order: int, h: dict, regularised: bool, known: bool = False) -> dict:
         """(V, bias, regularisation) for each side, the bias from a fit of `order` with window h."""
-        ms = known or dict(zip(sides, cells.moments([window(i, s, h[i, s]) for i, s in sides], kernel, 2 * most, most)))
-        fitted = {k: _fit(ms[k], order, zgroups) for k in sides}
+        ms = moments if known else cells.moments([window(*k, h[k]) for k in sides], kernel, 2 * most, most)
+        at = {k: n + behind * known for k, n in place.items()}
+        clean = cells.adjusted(ms, {at[k]: gid[*k, o] for k in sides}, gammas, most)
+        fitted = {k: (gram(clean[at[k]], order)[0], solve(*gram(clean[at[k]], order))) for k in sides}
         rs = {}
         if regularised:
-            again = [_residual_fit(window(*k, h[k]), ms[k]["n"], parts[*k, o]["s"], fitted[k][1], zgroups, hc) for k in sides]
-            rs = dict(zip(sides, cells.residuals(again, kernel, vce, 2 * order)))
+            again = [residual_fit(window(*k, h[k]), ms[at[k]]["n"], parts[*k, o]["s"], gid[*k, o], fitted[k][1]) for k in sides]
+            rs = dict(zip(sides, cells.residuals(again, kernel, vce, 2 * order, gammas)))
         out = {}
         for k in sides:
-            part, (G, beta, _) = parts[*k, o], fitted[k]
+            part, (G, beta) = parts[*k, o], fitted[k]
             nu = part["nu"]
-            bias = math.sqrt(2 * (o + 1 - nu)) * part["bconst"] * float(beta[o + 1, :] @ part["s"]) / h[k] ** (o + 1)
+            bias = math.sqrt(2 * (o + 1 - nu)) * part["bconst"] * float(beta[o + 1] @ part["s"]) / h[k] ** (o + 1)
             reg = 0.0
             if regularised:
-                var = float(_vmat(G, rs[k], order, ms[k]["n"], vce)[o + 1, o + 1]) / h[k] ** (2 * (o + 1))
+                var = float(_vmat(G, rs[k], order, ms[at[k]]["n"], vce)[o + 1, o + 1]) / h[k] ** (2 * (o + 1))
                 reg = scaleregul * 2 * (o + 1 - nu) * 3 * part["bconst"] ** 2 * var
             out[k] = (part["V"], bias, reg)
         return out
@@ -202,7 +186,7 @@ def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int
         return {k: min((V / (B ** 2 + scaleregul * R)) ** (1.0 / (2 * o + 3)), ranges[k[0]][k[1]]) for k, (V, B, R) in parts_.items()}
 
     # d: order q+1 derivative, bias from an order q+2 fit on the whole side (no regularisation)
-    d_bw = widths(stage(q + 1, q + 2, {(i, s): ranges[i][s] + 1e-8 for i, s in sides}, False, whole), q + 1)
+    d_bw = widths(stage(q + 1, q + 2, {(i, s): ranges[i][s] + 1e-8 for i, s in sides}, False, True), q + 1)
     b_bw = widths(stage(q, q + 1, d_bw, scaleregul > 0), q)
     h_bw = widths(stage(p, q, b_bw, scaleregul > 0), p)
     for i in live:
@@ -210,11 +194,6 @@ def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int
     return found
 
 
-def _residual_fit(f: Fit, n: int, s: np.ndarray, beta: np.ndarray, zgroups: Sequence[str], hc: bool) -> Fit:
-    coefficients = [float(v) for v in beta @ s] if hc else []
-    return replace(f, n=int(n), sy=float(s[0]), st=float(s[1]), kh=coefficients, kb=coefficients, groups=dict(zip(zgroups, s[2:])))
-
-
 def _spreads(cells: CellTable, samples: Sequence[int]) -> dict[int, float]:
     """min(sd, IQR / 1.349) of the running variable in each sample."""
     own, out = cells.own(), {}
@@ -245,8 +224,6 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
     rules = [rule] if isinstance(rule, str) else list(rule)
     if not rules or any(r not in ("msetwo", "certwo") for r in rules):
         raise ValueError("rule must be 'msetwo' or 'certwo'")
-    if group:
-        check_levels(df, group)
     cells = CellTable(df, x, [y], treat, group, nnmatch=nnmatch, neighbours=vce == "nn")
     try:
         [got] = select_bandwidths(cells, [Selection(0, c, treat is not None)], p, q, kernel, vce, scaleregul)

@@ -15,14 +15,15 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.attach import attach
+from panelrd.operators.attach import BROADCAST_ROWS, attach
 from panelrd.operators.rd import nn
 from panelrd.session import drop_shared, jit_friendly, save_shared
 
-_FIT = ("array<struct<w:int,o:int,c:double,right:boolean,lo:double,hi:double,h:double,b:double,scale:double,n:bigint,"
+_FIT = ("array<struct<w:int,o:int,c:double,right:boolean,lo:double,hi:double,h:double,b:double,scale:double,n:bigint,gid:int,"
         "sy:double,st:double,kh:array<double>,kb:array<double>>>")
 _NUMBER = ("n", "Y", "T", "YY", "TT", "YT")
 
@@ -31,7 +32,8 @@ _NUMBER = ("n", "Y", "T", "YY", "TT", "YT")
 class Fit:
     """A window of one sample on one side of c, with kernels of bandwidths h and b and powers of (x − c)/scale.
 
-    For residuals: n rows of the window, the combination sy·y + st·t + group term, and for residuals from a fit its coefficients.
+    For residuals: n rows of the window, the combination sy·y + st·t less the coefficients of the group in set `gid`, and
+    for residuals from a fit its coefficients.
     """
 
     o: int
@@ -45,17 +47,37 @@ class Fit:
     st: float = 0.0
     kh: list[float] = field(default_factory=list)
     kb: list[float] = field(default_factory=list)
-    groups: dict[str, float] = field(default_factory=dict)
+    gid: int = -1
 
     def row(self, w: int) -> dict:
         b = self.h if self.b is None else self.b
         wide = max(self.h, b)
         lo, hi = (self.c, self.c + wide) if self.right else (self.c - wide, self.c)
         scale = wide if self.scale is None else self.scale
-        return dict(w=w, o=self.o, c=self.c, right=self.right, lo=lo, hi=hi, h=self.h, b=b, scale=scale, n=int(self.n), sy=self.sy, st=self.st,
+        return dict(w=w, o=self.o, c=self.c, right=self.right, lo=lo, hi=hi, h=self.h, b=b, scale=scale, n=int(self.n), gid=self.gid, sy=self.sy, st=self.st,
                     kh=[float(v) for v in self.kh], kb=[float(v) for v in self.kb])
 
 
+class Moments(list):
+    """Sums of each fit (dicts), and with groups `levels`: the same by (w, g), the number of the fit and the level."""
+
+    levels: DataFrame | None = None
+
+
+def solve(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(A, B)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(A) @ B
+
+
+def gram(m: dict, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Γ and Σ w r (y, t) of a fit from its moments."""
+    get = lambda name: m.get(name) or 0.0
+    G = np.array([[get(f"S{a + b}") for b in range(order + 1)] for a in range(order + 1)])
+    return G, np.array([[get(f"Y{a}"), get(f"T{a}")] for a in range(order + 1)])
+
+
 def known(c: Column) -> Column:
     """Neither NULL nor NaN."""
     return c.isNotNull() & ~F.isnan(c)
@@ -143,37 +165,96 @@ class CellTable:
         near = cells.filter((x >= min(r["lo"] for r in rows)) & (x <= max(r["hi"] for r in rows)))
         return near.select("x", "g", *_NUMBER, *keep, F.explode(F.filter(given, holds)).alias("f"))
 
-    def moments(self, fits: Sequence[Fit], kernel: str, most: int, most_y: int, by_group: bool | None = None) -> list[dict]:
-        """For each fit: n, rows with weight `np`, Σ k zᵐ as S, Σ k zᵐ y as Y, Σ k zᵐ t as T; `tot` over all, `groups` by group."""
+    def moments(self, fits: Sequence[Fit], kernel: str, most: int, most_y: int) -> Moments:
+        """For each fit: n, rows with weight `np`, Σ k zᵐ as S, Σ k zᵐ y as Y, Σ k zᵐ t as T; with groups also by level, as a table."""
         e = self._windows(self.own(), fits)
         u = F.col("x") - F.col("f.c")
         e = e.select(F.col("f.w").alias("w"), "g", "n", "Y", "T", (u / F.col("f.scale")).alias("z"), kernel_weight(u, F.col("f.h"), kernel).alias("k"))
         z, k = powers(F.col("z"), max(most, most_y)), F.col("k")
         sums = [F.sum("n").alias("n"), F.sum(F.when(k > 0, F.col("n")).otherwise(F.lit(0))).alias("np")] + [F.sum(k * z[m] * F.col("n")).alias(f"S{m}") for m in range(most + 1)]
         sums += [F.sum(k * z[m] * F.col(c)).alias(f"{c}{m}") for c in "YT" for m in range(most_y + 1)]
-        by_group = bool(self.group) if by_group is None else by_group
+        out = Moments(dict(n=0, np=0) for _ in fits)
         with jit_friendly(self.spark):
-            rows = e.groupBy("w", *(["g"] if by_group else [])).agg(*sums).collect()
-        out: list[dict] = [dict(n=0, groups={}, tot={}) for _ in fits]
-        for r in rows:
-            d = r.asDict()
-            o = out[d.pop("w")]
-            o["groups"][d.pop("g", "")] = d
-            o["n"] += d["n"]
-            for key, v in d.items():
-                o["tot"][key] = o["tot"].get(key, 0.0) + (v or 0.0)
+            if self.group:
+                out.levels = self._few_or_kept(e.groupBy("w", "g").agg(*sums))
+                e = out.levels
+                sums = [F.sum(c).alias(c) for c in e.columns if c not in ("w", "g")]
+            for r in e.groupBy("w").agg(*sums).collect():
+                out[r["w"]] |= r.asDict()
+        return out
+
+    def _few_or_kept(self, df: DataFrame) -> DataFrame:
+        """A table by group level: held by the driver while it has few rows (fetched up to a bound), written else."""
+        rows = df.limit(BROADCAST_ROWS + 1).collect()
+        return self.spark.createDataFrame(rows, df.schema) if len(rows) <= BROADCAST_ROWS else self._keep(df)
+
+    def gammas(self, moments: Moments, sets: Sequence[tuple[Sequence[int], int]]) -> DataFrame | None:
+        """Group coefficients (gid, g, gy, gt) of each of `sets` (fits, order), common to its fits: one fit, or both sides of a cutoff.
+
+        With Γ = Σ w r rᵀ and β of each fit, and U = Σ w r, d = Σ w, ζ = Σ w (y, t) of a level (over its fits), the normal equations
+        of the dummies are diagonal minus low rank.  So a level's coefficients are (ζ − Uᵀ q) / d with one small q for all levels,
+        which follows from Σ U Uᵀ / d and Σ U ζᵀ / d: only these sums come to the driver, however many levels there are.
+        """
+        if not self.group:
+            return None
+        size = max(o for _, o in sets) + 1
+        sides = max(len(ws) for ws, _ in sets)
+        rows = [dict(gid=gid, w=w, pos=pos, k=o + 1) for gid, (ws, o) in enumerate(sets) for pos, w in enumerate(ws)]
+        given = F.from_json(F.lit(json.dumps(rows)), "array<struct<gid:int,w:int,pos:int,k:int>>")
+        base = min(s["base"] for s in self.samples.values())  # the first level is the base
+        e = moments.levels.filter(F.col("g") != base).select("*", F.explode(F.filter(given, lambda q: q["w"] == F.col("w"))).alias("q"))
+        names = [f"p{s}_{m}" for s in range(sides) for m in range(size)]
+        own = [F.sum(F.when((F.col("q.pos") == s) & (F.col("q.k") > m), F.col(f"S{m}")).otherwise(F.lit(0.0))).alias(f"p{s}_{m}") for s in range(sides) for m in range(size)]
+        by = e.groupBy("q.gid", "g").agg(*own, F.sum("S0").alias("d"), F.sum("Y0").alias("zy"), F.sum("T0").alias("zt")).filter(F.col("d") > 0)
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+        sums = [F.sum(F.col(a) * F.col(b) / F.col("d")).alias(f"{a}x{b}") for a, b in pairs] + [F.sum(F.col(a) * F.col(c) / F.col("d")).alias(f"{a}{c}") for a in names for c in ("zy", "zt")]
+        with jit_friendly(self.spark):
+            got = {r["gid"]: r for r in by.groupBy("gid").agg(*sums).collect()}
+        solved = []
+        for gid, (ws, o) in enumerate(sets):
+            if gid not in got:
+                continue
+            r, k = got[gid], o + 1
+            mine = [f"p{s}_{m}" for s in range(len(ws)) for m in range(k)]
+            A = np.array([[r[f"{a}x{b}"] if f"{a}x{b}" in r else r[f"{b}x{a}"] for b in mine] for a in mine])
+            B = np.array([[r[f"{a}zy"], r[f"{a}zt"]] for a in mine])
+            M, beta = np.zeros((len(mine), len(mine))), np.zeros((len(mine), 2))
+            for s, w in enumerate(ws):
+                G, R = gram(moments[w], o)
+                M[s * k:(s + 1) * k, s * k:(s + 1) * k], beta[s * k:(s + 1) * k] = G, solve(G, R)
+            q = beta - np.linalg.pinv(M - A) @ (B - A @ beta)
+            full = np.zeros((sides * size, 2))
+            for s in range(len(ws)):
+                full[s * size:s * size + k] = q[s * k:(s + 1) * k]
+            solved.append(dict(gid=gid, qy=full[:, 0].tolist(), qt=full[:, 1].tolist()))
+        q = F.filter(F.from_json(F.lit(json.dumps(solved)), "array<struct<gid:int,qy:array<double>,qt:array<double>>>"), lambda x: x["gid"] == F.col("gid"))[0]
+        by = by.withColumn("q", q)
+        less = lambda z, c: ((F.col(z) - sum((F.col(n) * F.col(f"q.{c}")[i] for i, n in enumerate(names)), F.lit(0.0))) / F.col("d"))
+        return self._few_or_kept(by.select("gid", "g", less("zy", "qy").alias("gy"), less("zt", "qt").alias("gt")))
+
+    def adjusted(self, moments: Moments, of: dict[int, int], gammas: DataFrame | None, most_y: int) -> dict[int, dict]:
+        """The moments of the fits in `of` (fit → set) with y and t less their groups' coefficients of that set."""
+        out = {w: dict(moments[w]) for w in of}
+        if gammas is None or not of:
+            return out
+        given = F.from_json(F.lit(json.dumps([dict(w=w, gid=g) for w, g in of.items()])), "array<struct<w:int,gid:int>>")
+        e = moments.levels.select("*", F.explode(F.filter(given, lambda q: q["w"] == F.col("w"))["gid"]).alias("gid")).join(gammas, ["gid", "g"])
+        sums = [F.sum(F.col(f"S{m}") * F.col(c)).alias(f"{name}{m}") for name, c in (("Y", "gy"), ("T", "gt")) for m in range(most_y + 1)]
+        for r in e.groupBy("w").agg(*sums).collect():
+            for name, v in r.asDict().items():
+                if name != "w":
+                    out[r["w"]][name] = (out[r["w"]].get(name) or 0.0) - (v or 0.0)
         return out
 
-    def residuals(self, fits: Sequence[Fit], kernel: str, vce: str, most: int) -> list[dict]:
+    def residuals(self, fits: Sequence[Fit], kernel: str, vce: str, most: int, gammas: DataFrame | None = None) -> list[dict]:
         """For each fit: Σ E zᵐ k_h² as HH, Σ E zᵐ k_h k_b as HB, Σ E zᵐ k_b² as BB, E the squared residuals of the combination.
 
         "nn": residuals from the nearest neighbours.  "hc": from the fits given by kh, and by kb for the sums with k_b.
         """
         e = self._windows(self.cells if vce == "nn" else self.own(), fits, "_b", "_halo")
-        if any(f.groups for f in fits):
-            terms = [(i, g, float(v)) for i, f in enumerate(fits) for g, v in f.groups.items()]
-            e = attach(e.withColumn("w", F.col("f.w")), self.spark.createDataFrame(terms, "w int, g string, sg double"), ["w", "g"])
-            sg = F.coalesce(F.col("sg"), F.lit(0.0))
+        if gammas is not None:
+            e = attach(e.withColumn("gid", F.col("f.gid")), gammas, ["gid", "g"])
+            sg = -(F.col("f.sy") * F.coalesce("gy", F.lit(0.0)) + F.col("f.st") * F.coalesce("gt", F.lit(0.0)))
         else:
             sg = F.lit(0.0)
         n, y, t, sy, st = (F.col(c) for c in ("n", "Y", "T", "f.sy", "f.st"))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrd.operators.rd.cells import CellTable, Fit, kernel_weight, known, powers
+from panelrd.operators.rd.cells import CellTable, Fit, kernel_weight, known, powers, solve
 from panelrd.operators.stats import Z975, norm_sf2
 from panelrd.session import jit_friendly, materialize
 
@@ -38,8 +38,6 @@ RESULT_SCHEMA = ("spec string, outcome string, method string, estimate double, s
 SIDE_COLUMNS = ["spec", "side", "role", "power", "coef"]
 SIDE_SCHEMA = "spec string, side string, role string, power int, coef double"
 METHODS = ("conventional", "bias_corrected", "robust")
-# Moments and constants of every group level pass through the driver; the levels are counted before they are gathered.
-MAX_GROUP_LEVELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,13 +63,6 @@ def _pick(values: Sequence, k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(None).cast("double") if v is None else F.lit(float(v)) for v in values]), k + 1)
 
 
-def _solve(A: np.ndarray, B: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.solve(A, B)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(A) @ B
-
-
 def _inv(A: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.inv(A)
@@ -79,44 +70,6 @@ def _inv(A: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(A)
 
 
-def _sumrows(rows: list[dict], keys: Sequence[str]) -> dict:
-    out = {k: 0.0 for k in keys}
-    for r in rows:
-        for k in keys:
-            out[k] = out.get(k, 0.0) + (r[k] or 0.0)
-    return out
-
-
-def check_levels(base: DataFrame, group: str) -> None:
-    """Count the group levels, on the executors, before anything of each level is gathered."""
-    n = base.agg(F.count_distinct(F.col(group))).first()[0]
-    if n > MAX_GROUP_LEVELS:
-        raise ValueError(f"{n} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}; use a coarser group column")
-
-
-def partial_out(sides: Sequence[tuple]) -> np.ndarray:
-    """Coefficients (levels × 2) of group dummies common to both sides, for the outcome and the treatment.
-
-    Each side gives (Γ, U = Σ w r per level, d = Σ w per level, Σ w (y, t) per level, Σ w r (y, t)).  The normal matrix of
-    the partialled-out dummies is diagonal minus a matrix of low rank, Σ diag(d) − Σ UᵀΓ⁻¹U, so it is solved through a
-    system of the size of Γ (Woodbury), in time and memory linear in the levels.
-    """
-    D = sum(d for _, _, d, _, _ in sides)
-    rhs = sum(zy - U.T @ _solve(G, R) for G, U, _, zy, R in sides)
-    P = np.concatenate([U.T for _, U, _, _, _ in sides], axis=1)
-    k = sides[0][0].shape[0]
-    M = np.zeros((P.shape[1], P.shape[1]))
-    for i, (G, *_rest) in enumerate(sides):
-        M[i * k:(i + 1) * k, i * k:(i + 1) * k] = G
-    used = D > 0
-    gamma = np.zeros((len(D), 2))
-    if used.any():
-        Pd, inv = P[used], 1.0 / D[used][:, None]
-        core = M - Pd.T @ (inv * Pd)
-        gamma[used] = inv * rhs[used] + inv * (Pd @ (np.linalg.pinv(core) @ (Pd.T @ (inv * rhs[used]))))
-    return gamma
-
-
 def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None = None, group: str | None = None,
             p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", level: float = 95.0,
             return_sides: bool = False, nnmatch: int = 3, variance: bool = True, materialize_mode: str = "none",
@@ -144,17 +97,15 @@ def rd_grid(df: DataFrame, x: str, specs: Sequence[RDSpec], treat: str | None =
     need = [x] + ([treat] if treat else []) + ([group] if group else [])
     base, release = materialize(df.select(*{c: None for c in need + [s.outcome for s in specs]}.keys()), materialize_mode)
     try:
-        if vce == "nn" and variance:
-            return _rd_grid_nn(base, x, specs, treat, group, p, q, kernel, level, return_sides, nnmatch, nn_bucket)
+        if vce == "nn" and variance or group:
+            return _rd_grid_cells(base, x, specs, treat, group, p, q, kernel, vce if variance else None, level, return_sides, nnmatch, nn_bucket)
         return _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, variance, nn_bucket)
     finally:
         release()
 
 
-def _rd_grid_nn(base, x, specs, treat, group, p, q, kernel, level, return_sides, nnmatch, nn_bucket):
-    """Fixed bandwidths and neighbour variance: cells of the rows inside the windows; the rest is only counted."""
-    if group:
-        check_levels(base, group)
+def _rd_grid_cells(base, x, specs, treat, group, p, q, kernel, vce, level, return_sides, nnmatch, nn_bucket):
+    """Fixed bandwidths with neighbour variance or groups: cells of the rows inside the windows; the rest is only counted."""
     xc, counts = F.col(x).cast("double"), []
     for i, s in enumerate(specs):
         valid = known(xc) & known(F.col(s.outcome).cast("double"))
@@ -163,9 +114,9 @@ def _rd_grid_nn(base, x, specs, treat, group, p, q, kernel, level, return_sides,
         counts += [F.count_if(valid & (xc < s.c)).alias(f"l{i}"), F.count_if(valid & (xc >= s.c)).alias(f"r{i}")]
     totals = base.agg(*counts).first()
     reach = (min(s.c - max(s.h_left, s.b_left) for s in specs), max(s.c + max(s.h_right, s.b_right) for s in specs))
-    cells = CellTable(base, x, list(dict.fromkeys(s.outcome for s in specs)), treat, group, reach, nnmatch, nn_bucket)
+    cells = CellTable(base, x, list(dict.fromkeys(s.outcome for s in specs)), treat, group, reach, nnmatch, nn_bucket, neighbours=vce == "nn")
     try:
-        return _grid_from_cells(cells, specs, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(len(specs))], p, q, kernel, level, return_sides)
+        return _grid_from_cells(cells, specs, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(len(specs))], p, q, kernel, level, return_sides, vce)
     finally:
         cells.drop()
 
@@ -178,8 +129,6 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
             v = v & (F.col(c).isNotNull() if c == group else known(F.col(c).cast("double")))
         valid.append(v)
 
-    if group:
-        check_levels(base, group)
     # side totals (whole sample, per spec): one small aggregate
     tot_exprs = []
     for i, s in enumerate(specs):
@@ -205,7 +154,7 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
     scale = F.greatest(h, b)
     ycol = F.element_at(F.array(*[F.col(s.outcome).cast("double") for s in specs]), k + 1)
     u = xc - c
-    e = e.select("k", "side", (F.col(group).cast("string") if group else F.lit("")).alias("g"), xc.alias("xr"),
+    e = e.select("k", "side", xc.alias("xr"),
                  (u / scale).alias("z"), kernel_weight(u, h, kernel).alias("wh"), kernel_weight(u, b, kernel).alias("wb"),
                  ycol.alias("y"), (F.col(treat).cast("double") if treat else F.lit(0.0)).alias("t"))
     z, wh, wb, yy, tt = F.col("z"), F.col("wh"), F.col("wb"), F.col("y"), F.col("t")
@@ -218,27 +167,17 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
     aggs += [F.sum(wb * zs[m] * yy).alias(f"BY{m}") for m in range(q + 1)]
     aggs += [F.sum(wb * zs[m] * tt).alias(f"BT{m}") for m in range(q + 1)]
     with jit_friendly(spark):
-        mom = [r.asDict() for r in e.groupBy("k", "side", "g").agg(*aggs).collect()]
+        mom = [r.asDict() for r in e.groupBy("k", "side").agg(*aggs).collect()]
 
-    groups = sorted({r["g"] for r in mom}) if group else [""]
-    parts: dict = {}
-    for r in mom:
-        parts.setdefault((r["k"], r["side"]), {})[r["g"]] = {c: v or 0.0 for c, v in r.items() if c not in ("k", "side", "g")}
+    parts = {(r["k"], r["side"]): {c: v or 0.0 for c, v in r.items() if c not in ("k", "side")} for r in mom}
 
-    def meat_of(const_rows, gconst_rows, fits):
+    def meat_of(const_rows, fits):
         """Sums of squared residuals of the fits, from the rows."""
         cschema = "k int, side int, sy double, st double, kp array<double>, kq array<double>, arow array<double>, L array<double>"
         cdf = F.broadcast(spark.createDataFrame(const_rows, cschema))   # 2 rows per spec: size fixed by the spec list
         e2 = e.join(cdf, on=["k", "side"], how="inner")
-        if gconst_rows:
-            # one row per (spec, non-base group): counted on the driver, so its size is known
-            gdf = F.broadcast(spark.createDataFrame(gconst_rows, "k int, g string, sg double"))
-            e2 = e2.join(gdf, on=["k", "g"], how="left")
-            sg = F.coalesce(F.col("sg"), F.lit(0.0))
-        else:
-            sg = F.lit(0.0)
         poly = lambda arr, n: sum((F.col(arr)[m] * zs[m] for m in range(1, n)), F.col(arr)[0])
-        lhs = F.col("sy") * yy + F.col("st") * tt + sg
+        lhs = F.col("sy") * yy + F.col("st") * tt
         e_h = lhs - poly("kp", p + 1)
         e_b = lhs - poly("kq", q + 1)
         a_i = poly("arow", q + 1)
@@ -248,11 +187,11 @@ def _rd_grid(base, spark, K, xc, need, x, specs, treat, group, p, q, kernel, vce
         with jit_friendly(spark):
             return {(r["k"], r["side"]): r.asDict() for r in e2.groupBy("k", "side").agg(*aggs2).collect()}
 
-    return _finish(spark, specs, parts, groups, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(K)], p, q, vce, level, return_sides, meat_of if variance else None)
+    return _finish(spark, specs, parts, [(int(totals[f"l{i}"]), int(totals[f"r{i}"])) for i in range(K)], p, q, vce, level, return_sides, meat_of if variance else None)
 
 
-def _grid_from_cells(cells: CellTable, specs, totals, p, q, kernel, level, return_sides):
-    """The same estimates with nearest-neighbour variance, from a cell table: two jobs for all specs."""
+def _grid_from_cells(cells: CellTable, specs, totals, p, q, kernel, level, return_sides, vce="nn"):
+    """The estimates from a cell table: the number of jobs does not depend on that of specs.  `vce` None: no variances."""
     spark, place = cells.spark, {o: i for i, o in enumerate(cells.outcomes)}
     wide = {(i, side): max((s.h_right, s.b_right) if side else (s.h_left, s.b_left)) for i, s in enumerate(specs) for side in (0, 1)}
     window = lambda i, side, h, b=None: Fit(place[specs[i].outcome], specs[i].c, bool(side), float(h), b, float(wide[i, side]))
@@ -260,32 +199,28 @@ def _grid_from_cells(cells: CellTable, specs, totals, p, q, kernel, level, retur
     # an empty window has no rows, and no scale to divide by
     sides = [k for k in wide if wide[k] > 0 and min(pick(specs[k[0]], k[1])) > 0]
     moments = cells.moments([window(*k, pick(specs[k[0]], k[1])[which]) for k in sides for which in (0, 1)], kernel, max(2 * p + 1, 2 * q), q) if sides else []
+    # group coefficients are common to both sides, from the fits with bandwidth h; outcome and treatment go on without them
+    sets = {i: [2 * n for n, k in enumerate(sides) if k[0] == i] for i in dict.fromkeys(k[0] for k in sides)}
+    gid = {i: n for n, i in enumerate(sets)}
+    gammas = cells.gammas(moments, [(ws, p) for ws in sets.values()]) if sides else None
+    clean = cells.adjusted(moments, {2 * n + which: gid[k[0]] for n, k in enumerate(sides) for which in (0, 1)}, gammas, q) if sides else {}
     parts: dict = {}
     for n, k in enumerate(sides):
-        mh, mb = moments[2 * n], moments[2 * n + 1]
-        widest = mh if mh["n"] >= mb["n"] else mb
-        of = {}
-        for g in {*mh["groups"], *mb["groups"]}:
-            a, b, w = (m["groups"].get(g, {}) for m in (mh, mb, widest))
-            of[g] = {"nw": w.get("n") or 0, "nh": a.get("np") or 0, "nb": b.get("np") or 0, **{f"H{m}": a.get(f"S{m}") or 0.0 for m in range(2 * p + 2)}, **{f"B{m}": b.get(f"S{m}") or 0.0 for m in range(2 * q + 1)},
-                     **{f"H{c}{m}": a.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(p + 1)}, **{f"B{c}{m}": b.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(q + 1)}}
-        parts[k] = of
-    groups = sorted({g for of in parts.values() for g in of}) if cells.group else [""]
-
-    def meat_of(const_rows, gconst_rows, fits):
-        """Sums of squared neighbour residuals: those of both bandwidths are the same, so their products come from one pass."""
-        by_spec: dict = {}
-        for i, g, v in gconst_rows:
-            by_spec.setdefault(i, {})[g] = v
+        a, b = clean[2 * n], clean[2 * n + 1]
+        parts[k] = {"nw": max(a["n"], b["n"]), "nh": a["np"], "nb": b["np"], **{f"H{m}": a.get(f"S{m}") or 0.0 for m in range(2 * p + 2)}, **{f"B{m}": b.get(f"S{m}") or 0.0 for m in range(2 * q + 1)},
+                    **{f"H{c}{m}": a.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(p + 1)}, **{f"B{c}{m}": b.get(f"{c}{m}") or 0.0 for c in "YT" for m in range(q + 1)}}
+
+    def meat_of(const_rows, fits):
+        """Sums of squared residuals; those for products of both kernels come from the same pass."""
         const = {(r[0], r[1]): r for r in const_rows}
         asked = [k for k in sides if fits[k]["tot"].get("nw") and np.isfinite(const[k][2:4]).all()]
         wanted = []
         for k in asked:
             h, b = pick(specs[k[0]], k[1])
-            f = window(*k, h, float(b))
-            wanted.append(replace(f, n=int(fits[k]["tot"]["nw"]), sy=const[k][2], st=const[k][3], groups=by_spec.get(k[0], {})))
+            wanted.append(replace(window(*k, h, float(b)), n=int(fits[k]["tot"]["nw"]), sy=const[k][2], st=const[k][3], kh=const[k][4], kb=const[k][5], gid=gid[k[0]]))
         out = {}
-        for k, r in zip(asked, cells.residuals(wanted, kernel, "nn", 2 * q) if wanted else []):
+        hh = "HH" if vce == "nn" else "HHb"
+        for k, r in zip(asked, cells.residuals(wanted, kernel, vce, 2 * q, gammas) if wanted else []):
             arow, L = const[k][6], const[k][7]
             get = lambda name, m: r.get(f"{name}{m}") or 0.0
             m = {f"MC{j}": get("HH", j) for j in range(2 * p + 1)}
@@ -293,80 +228,55 @@ def _grid_from_cells(cells: CellTable, specs, totals, p, q, kernel, level, retur
                 for l in range(j, p + 1):
                     cross = sum(a * (L[l] * get("HB", j + i) + L[j] * get("HB", l + i)) for i, a in enumerate(arow))
                     own = sum(a * a2 * get("BB", i + i2) for i, a in enumerate(arow) for i2, a2 in enumerate(arow))
-                    m[f"MR{j}_{l}"] = get("HH", j + l) - cross + L[j] * L[l] * own
+                    m[f"MR{j}_{l}"] = get(hh, j + l) - cross + L[j] * L[l] * own
             out[k] = m
         return out
 
-    return _finish(spark, specs, parts, groups, totals, p, q, "nn", level, return_sides, meat_of)
+    return _finish(spark, specs, parts, totals, p, q, vce, level, return_sides, meat_of if vce else None)
 
 
-def _finish(spark, specs, parts, groups, totals, p, q, vce, level, return_sides, meat_of):
-    """Estimates and errors from the moments of each (spec, side, group); `meat_of` gives the sums of squared residuals."""
-    zgroups = groups[1:]          # first level is the base (dropped dummy)
-    nz = len(zgroups)
+def _finish(spark, specs, parts, totals, p, q, vce, level, return_sides, meat_of):
+    """Estimates and errors from the moments of each (spec, side); `meat_of` gives the sums of squared residuals."""
     keys = ["nw", "nh", "nb"] + [f"H{m}" for m in range(2 * p + 2)] + [f"B{m}" for m in range(2 * q + 1)] + \
            [f"{a}{m}" for a in ("HY", "HT") for m in range(p + 1)] + [f"{a}{m}" for a in ("BY", "BT") for m in range(q + 1)]
     fits = {}
-    for i, s in enumerate(specs):
-        for sside in (0, 1):
-            byg = parts.get((i, sside), {})
-            tot = _sumrows(byg.values(), keys)
-            Gp = np.array([[tot.get(f"H{a + bb}", 0.0) for bb in range(p + 1)] for a in range(p + 1)])
-            Gq = np.array([[tot.get(f"B{a + bb}", 0.0) for bb in range(q + 1)] for a in range(q + 1)])
-            L = np.array([tot.get(f"H{j + p + 1}", 0.0) for j in range(p + 1)])
-            cols_p = [[tot.get(f"HY{j}", 0.0) for j in range(p + 1)], [tot.get(f"HT{j}", 0.0) for j in range(p + 1)]]
-            cols_q = [[tot.get(f"BY{j}", 0.0) for j in range(q + 1)], [tot.get(f"BT{j}", 0.0) for j in range(q + 1)]]
-            for g in zgroups:
-                cols_p.append([byg.get(g, {}).get(f"H{j}", 0.0) for j in range(p + 1)])
-                cols_q.append([byg.get(g, {}).get(f"B{j}", 0.0) for j in range(q + 1)])
-            RpWD, RqWD = np.array(cols_p).T, np.array(cols_q).T          # (p+1)×nD, (q+1)×nD
-            bp = _solve(Gp, RpWD)
-            bq = _solve(Gq, RqWD)
-            GpL = _solve(Gp, L)
-            bbc = bp - np.outer(GpL, bq[p + 1, :])
-            mine = [byg.get(g, {}) for g in zgroups]
-            d0 = np.array([m.get("H0", 0.0) for m in mine])
-            zy = np.array([[m.get("HY0", 0.0), m.get("HT0", 0.0)] for m in mine]).reshape(nz, 2)
-            fits[(i, sside)] = dict(tot=tot, Gp=Gp, Gq=Gq, L=L, bp=bp, bq=bq, bbc=bbc, dummies=(Gp, RpWD[:, 2:], d0, zy, RpWD[:, :2]))
-
-    results, side_rows, const_rows, gconst_rows = [], [], [], []
+    for i in range(len(specs)):
+        for side in (0, 1):
+            tot = dict.fromkeys(keys, 0.0) | parts.get((i, side), {})
+            Gp = np.array([[tot[f"H{a + b}"] for b in range(p + 1)] for a in range(p + 1)])
+            Gq = np.array([[tot[f"B{a + b}"] for b in range(q + 1)] for a in range(q + 1)])
+            L = np.array([tot[f"H{j + p + 1}"] for j in range(p + 1)])
+            bp = solve(Gp, np.array([[tot[f"HY{j}"], tot[f"HT{j}"]] for j in range(p + 1)]))
+            bq = solve(Gq, np.array([[tot[f"BY{j}"], tot[f"BT{j}"]] for j in range(q + 1)]))
+            fits[(i, side)] = dict(tot=tot, Gp=Gp, Gq=Gq, L=L, bp=bp, bq=bq, bbc=bp - np.outer(solve(Gp, L), bq[p + 1, :]))
+
+    results, side_rows, const_rows = [], [], []
     est = {}
     for i, s in enumerate(specs):
         fl, fr = fits[(i, 0)], fits[(i, 1)]
-        gamma = partial_out([fl["dummies"], fr["dummies"]]) if nz else np.zeros((0, 2))
-        sY = np.concatenate([[1.0, 0.0], -gamma[:, 0]])
-        sT = np.concatenate([[0.0, 1.0], -gamma[:, 1]])
-        d_p = fr["bp"][0, :] - fl["bp"][0, :]
-        d_bc = fr["bbc"][0, :] - fl["bbc"][0, :]
-        tY_cl, tY_bc = float(sY @ d_p), float(sY @ d_bc)
+        cl, bc = fr["bp"][0] - fl["bp"][0], fr["bbc"][0] - fl["bbc"][0]
+        tY_cl, tY_bc = float(cl[0]), float(bc[0])
         if min(fl["tot"]["nh"], fr["tot"]["nh"]) < p + 1 or min(fl["tot"]["nb"], fr["tot"]["nb"]) < q + 1:
             # not enough observations on a side for the fits: the estimate is undefined (NULL row)
             tY_cl = tY_bc = float("nan")
         if s.fuzzy:
-            tT_cl, tT_bc = float(sT @ d_p), float(sT @ d_bc)
+            tT_cl, tT_bc = float(cl[1]), float(bc[1])
             tau_cl = tY_cl / tT_cl if tT_cl != 0 else float("nan")
             tau_bc = tY_bc / tT_bc if tT_bc != 0 else float("nan")
-            svec = sY / tT_cl - (tY_cl / tT_cl ** 2) * sT if tT_cl != 0 else sY * float("nan")
+            svec = np.array([1.0 / tT_cl, -tY_cl / tT_cl ** 2]) if tT_cl != 0 else np.full(2, float("nan"))
         else:
-            tau_cl, tau_bc, svec = tY_cl, tY_bc, sY
+            tau_cl, tau_bc, svec = tY_cl, tY_bc, np.array([1.0, 0.0])
         est[i] = (tau_cl, tau_bc)
-        for sside, f in ((0, fl), (1, fr)):
-            kp = f["bp"] @ svec
-            kq = f["bq"] @ svec
+        for side, f in ((0, fl), (1, fr)):
             arow = _inv(f["Gq"])[p + 1, :]
-            sc = max(s.h_right, s.b_right) if sside else max(s.h_left, s.b_left)
-            const_rows.append((i, sside, float(svec[0]), float(svec[1]), [float(v) for v in kp], [float(v) for v in kq],
+            sc = max(s.h_right, s.b_right) if side else max(s.h_left, s.b_left)
+            const_rows.append((i, side, float(svec[0]), float(svec[1]), [float(v) for v in f["bp"] @ svec], [float(v) for v in f["bq"] @ svec],
                                [float(v) for v in arow], [float(v) for v in f["L"]]))
-            for role, vec in (("Y", sY), ("T", sT)):
-                if role == "T" and not s.fuzzy:
-                    continue
-                coef = f["bp"] @ vec
+            for c, role in enumerate("YT" if s.fuzzy else "Y"):
                 for j in range(p + 1):
-                    side_rows.append((s.name, "right" if sside else "left", role, j, float(coef[j]) / sc ** j if sc else None))
-        for a, g in enumerate(zgroups):
-            gconst_rows.append((i, g, float(svec[2 + a])))
+                    side_rows.append((s.name, "right" if side else "left", role, j, float(f["bp"][j, c]) / sc ** j if sc else None))
+    meat = meat_of(const_rows, fits) if meat_of is not None else None
 
-    meat = meat_of(const_rows, gconst_rows, fits) if meat_of is not None else None
     zq = Z975 if level == 95.0 else _zq(level)
     for i, s in enumerate(specs):
         V = {"cl": 0.0, "rb": 0.0} if meat is not None else {"cl": float("nan"), "rb": float("nan")}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from panelrd.operators.rd.bandwidth import Selection, rule_factor, select_bandwidths
 from panelrd.operators.rd.cells import CellTable
-from panelrd.operators.rd.core import MAX_GROUP_LEVELS, RDSpec, _grid_from_cells
+from panelrd.operators.rd.core import RDSpec, _grid_from_cells
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,6 @@ def rd_robustness(df: DataFrame, x: str, specs: Sequence[AutoSpec], treat: str |
         raise ValueError("a fuzzy spec needs `treat`")
     cells = CellTable(df, x, list(dict.fromkeys(s.outcome for s in specs)), treat, group, None, nnmatch, nn_bucket)
     try:
-        if group and (n := cells.own().select("g").distinct().count()) > MAX_GROUP_LEVELS:
-            raise ValueError(f"{n} group levels exceed MAX_GROUP_LEVELS={MAX_GROUP_LEVELS}; use a coarser group column")
         place = {o: i for i, o in enumerate(cells.outcomes)}
         of = [Selection(place[s.outcome], float(s.c), s.fuzzy) for s in specs]
         selections = list(dict.fromkeys(of))

@@ -165,3 +165,25 @@ def test_hot_unit_is_split(spark, static_plans):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_a_million_group_levels(spark):
+    """Group controls are solved from sums over levels: nothing of a level reaches the driver."""
+    n = 2_000_000
+    df = spark.range(n).select(
+        (F.pmod(F.xxhash64("id"), F.lit(20_001)) / 1000.0 - 10).alias("x"), (F.col("id") % 1_000_000).cast("string").alias("grp"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1000)).alias("e"))
+    df = df.withColumn("t", F.when(F.col("x") >= 0, 1.0).otherwise(0.0)).withColumn("y", 0.5 * F.col("t") + 0.02 * F.col("x") + F.col("e") / 1000 + F.pmod(F.xxhash64("grp"), F.lit(100)) / 10)
+    got = by_method(rd_grid(df, "x", SPEC[:1], group="grp", vce="hc1"))
+    plain = by_method(rd_grid(df, "x", SPEC[:1], vce="hc1"))
+    assert abs(got["conventional"][0] - 0.5) < 4 * got["conventional"][1] and got["conventional"][1] < 0.2 * plain["conventional"][1]
+
+
+def test_many_levels_take_the_path_of_few(spark, monkeypatch):
+    from panelrd.operators.rd import cells
+
+    df = sample(spark, levels=40)
+    few = by_method(rd_grid(df, "x", SPEC, group="grp")), rd_bandwidth(df, "x", "y", group="grp", as_dict=True)
+    monkeypatch.setattr(cells, "BROADCAST_ROWS", 5)
+    many = by_method(rd_grid(df, "x", SPEC, group="grp")), rd_bandwidth(df, "x", "y", group="grp", as_dict=True)
+    assert all(many[0][k] == pytest.approx(few[0][k], rel=1e-9) for k in few[0])
+    assert all(many[1][k] == pytest.approx(few[1][k], rel=1e-7) for k in ("h_left", "h_right", "b_left", "b_right"))
