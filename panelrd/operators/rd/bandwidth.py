@@ -38,6 +38,8 @@ PILOT_CONSTANT = {"triangular": 2.576, "uniform": 1.843, "epanechnikov": 2.435}
 
 BANDWIDTH_SCHEMA = ("rule string, h_left double, h_right double, b_left double, b_right double, "
                     "pilot double, n_left long, n_right long")
+#: Part of a side's rows that repeat others' values from which these count as mass points; distinct values in a window then.
+MASS_SHARE, MASS_VALUES = 0.2, 10
 #: Cells that a quantile's range is cut into at each step.
 QUANTILE_CELLS = 4096
 
@@ -109,11 +111,15 @@ class Selection:
 
 
 def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn",
-                      scaleregul: float = 1.0) -> list[dict]:
+                      scaleregul: float = 1.0, masspoints: str = "off") -> list[dict]:
     """h_left, h_right, b_left, b_right, pilot, n_left and n_right for each selection; the number of jobs does not depend on theirs.
 
-    A selection with too few rows on a side has bandwidths None.
+    A selection with too few rows on a side has bandwidths None.  With `masspoints` "adjust", where MASS_SHARE of a side's rows
+    repeat others' values, the pilot counts distinct values in place of rows, and no window holds fewer than
+    MASS_VALUES of them on a side.
     """
+    if masspoints not in ("off", "adjust"):
+        raise ValueError("masspoints must be 'off' or 'adjust'")
     counts = cells.sides([(s.o, s.c) for s in selections])
     found: list[dict] = [dict(dict.fromkeys(("h_left", "h_right", "b_left", "b_right", "pilot")), n_left=nl, n_right=nr, N=nl + nr) for nl, nr in counts]
     live = [i for i, (nl, nr) in enumerate(counts) if nl + nr >= 10 and nl >= 5 and nr >= 5]
@@ -121,12 +127,15 @@ def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int
         return found
     spreads = _spreads(cells, sorted({selections[i].o for i in live}))
     hc = vce != "nn"
-    ranges, pilot = {}, {}
-    for i in live:
+    distinct = cells.distinct_sides([(selections[i].o, selections[i].c) for i in live]) if masspoints == "adjust" else [counts[i] for i in live]
+    ranges, pilot, floors = {}, {}, {}
+    for i, values in zip(live, distinct):
         s = selections[i]
         sample = cells.samples[s.o]
         ranges[i] = (abs(sample["lo"] - s.c), abs(sample["hi"] - s.c))
-        pilot[i] = min(PILOT_CONSTANT[kernel] * spreads[s.o] * sample["n"] ** (-0.2), max(ranges[i]))
+        massed = any(1 - m / n >= MASS_SHARE for m, n in zip(values, counts[i]))
+        floors[i] = cells.nearest(s.o, s.c, MASS_VALUES) if massed else (0.0, 0.0)
+        pilot[i] = max(min(PILOT_CONSTANT[kernel] * spreads[s.o] * (sum(values) if massed else sample["n"]) ** (-0.2), max(ranges[i])), *floors[i])
     sides = [(i, side) for i in live for side in (0, 1)]
 
     def window(i: int, side: int, h: float) -> Fit:
@@ -183,7 +192,7 @@ def select_bandwidths(cells: CellTable, selections: Sequence[Selection], p: int
         return out
 
     def widths(parts_: dict, o: int) -> dict:
-        return {k: min((V / (B ** 2 + scaleregul * R)) ** (1.0 / (2 * o + 3)), ranges[k[0]][k[1]]) for k, (V, B, R) in parts_.items()}
+        return {k: max(min((V / (B ** 2 + scaleregul * R)) ** (1.0 / (2 * o + 3)), ranges[k[0]][k[1]]), floors[k[0]][k[1]]) for k, (V, B, R) in parts_.items()}
 
     # d: order q+1 derivative, bias from an order q+2 fit on the whole side (no regularisation)
     d_bw = widths(stage(q + 1, q + 2, {(i, s): ranges[i][s] + 1e-8 for i, s in sides}, False, True), q + 1)
@@ -215,7 +224,7 @@ def rule_factor(rule: str, n: int, p: int) -> float:
 
 def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
                  p: int = 1, q: int = 2, kernel: str = "triangular", vce: str = "nn", rule: str | Sequence[str] = "msetwo",
-                 scaleregul: float = 1.0, as_dict: bool = False, nnmatch: int = 3):
+                 scaleregul: float = 1.0, as_dict: bool = False, nnmatch: int = 3, masspoints: str = "off"):
     """Per-side bandwidths (h_left, h_right, b_left, b_right) for the order-p estimate at `c`.
 
     `rule` may be a list ("msetwo", "certwo"): the coverage-error rule only rescales
@@ -226,7 +235,7 @@ def rd_bandwidth(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | Non
         raise ValueError("rule must be 'msetwo' or 'certwo'")
     cells = CellTable(df, x, [y], treat, group, nnmatch=nnmatch, neighbours=vce == "nn")
     try:
-        [got] = select_bandwidths(cells, [Selection(0, c, treat is not None)], p, q, kernel, vce, scaleregul)
+        [got] = select_bandwidths(cells, [Selection(0, c, treat is not None)], p, q, kernel, vce, scaleregul, masspoints)
     finally:
         cells.drop()
     outs = []

@@ -156,6 +156,23 @@ class CellTable:
         found = {cut: (int(r[f"l{i}"] or 0), int(r[f"r{i}"] or 0)) for i, cut in enumerate(cuts)}
         return [found[(o, c)] for o, c in at]
 
+    def distinct_sides(self, at: Sequence[tuple[int, float]]) -> list[tuple[int, int]]:
+        """Distinct values on the left and right for each (sample, cutoff)."""
+        cuts = sorted(set(at))
+        values = self.own().select("o", "x").distinct() if self.group else self.own().select("o", "x")
+        sums = [F.count_if((F.col("o") == o) & side).alias(f"{name}{i}") for i, (o, c) in enumerate(cuts) for name, side in (("l", F.col("x") < c), ("r", F.col("x") >= c))]
+        r = values.agg(*sums).first()
+        found = {cut: (int(r[f"l{i}"]), int(r[f"r{i}"])) for i, cut in enumerate(cuts)}
+        return [found[(o, c)] for o, c in at]
+
+    def nearest(self, o: int, c: float, k: int) -> tuple[float, float]:
+        """How far the k-th distinct value of each side is from c; the farthest where there are fewer."""
+        out = []
+        for side in (F.col("x") < c, F.col("x") >= c):
+            gap = F.abs(F.col("x") - F.lit(c)).alias("gap")
+            out.append(max(r["gap"] for r in self.own().filter((F.col("o") == o) & side).select(gap).distinct().orderBy("gap").limit(k).collect()))
+        return tuple(out)
+
     def _windows(self, cells: DataFrame, fits: Sequence[Fit], *keep: str) -> DataFrame:
         """Each cell once for every fit whose window holds it, with `f`, the fit."""
         rows = [f.row(i) for i, f in enumerate(fits)]

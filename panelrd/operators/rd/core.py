@@ -335,7 +335,7 @@ def _zq(level: float) -> float:
 def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None, group: str | None = None,
        h: float | tuple | None = None, b: float | tuple | None = None, p: int = 1, q: int = 2,
        kernel: str = "triangular", vce: str = "nn", bwselect: str = "msetwo", name: str | None = None,
-       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "none"):
+       return_sides: bool = False, nnmatch: int = 3, materialize_mode: str = "none", masspoints: str = "off"):
     """One RD estimate (sharp, or fuzzy with `treat`, optional group controls).
 
     `h`/`b` may be a number or a (left, right) pair; when `h` is None both are
@@ -345,22 +345,22 @@ def rd(df: DataFrame, x: str, y: str, c: float = 0.0, treat: str | None = None,
     cols = [c_ for c_ in dict.fromkeys([x, y, treat, group]) if c_]
     base, release = materialize(df.select(*cols), materialize_mode)
     try:
-        return _rd(base, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch)
+        return _rd(base, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch, masspoints)
     finally:
         release()
 
 
-def _rd(df, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch):
+def _rd(df, x, y, c, treat, group, h, b, p, q, kernel, vce, bwselect, name, return_sides, nnmatch, masspoints):
     if h is None and vce == "nn":
         from panelrd.operators.rd.robustness import AutoSpec, rd_robustness
 
         spec = AutoSpec(name or y, y, c, treat is not None, bwselect)
-        return rd_robustness(df, x, [spec], treat, group, p, q, kernel, nnmatch=nnmatch, return_sides=return_sides)
+        return rd_robustness(df, x, [spec], treat, group, p, q, kernel, nnmatch=nnmatch, return_sides=return_sides, masspoints=masspoints)
     if h is None:
         from panelrd.operators.rd.bandwidth import rd_bandwidth
 
         bw = rd_bandwidth(df, x, y, c=c, treat=treat, group=group, p=p, q=q, kernel=kernel, vce=vce, rule=bwselect,
-                          as_dict=True, nnmatch=nnmatch)
+                          as_dict=True, nnmatch=nnmatch, masspoints=masspoints)
         hl, hr, bl, br = bw["h_left"], bw["h_right"], bw["b_left"], bw["b_right"]
         if hl is None:  # too few rows on a side: no window, so a row of NULLs
             hl = hr = bl = br = 0.0

@@ -34,11 +34,11 @@ class AutoSpec:
 
 
 def rd_robustness(df: DataFrame, x: str, specs: Sequence[AutoSpec], treat: str | None = None, group: str | None = None, p: int = 1, q: int = 2,
-                  kernel: str = "triangular", level: float = 95.0, nnmatch: int = 3, return_sides: bool = False, nn_bucket: int | None = None):
+                  kernel: str = "triangular", level: float = 95.0, nnmatch: int = 3, return_sides: bool = False, nn_bucket: int | None = None, masspoints: str = "off"):
     """Estimates (RESULT_SCHEMA, three rows for each spec) with neighbour variance; the number of jobs does not depend on that of specs.
 
     Rows with NULL or NaN in x, the outcome, the treatment or the group take no part in that outcome's fits.  A spec whose
-    sample has too few rows on a side gives rows of NULLs.
+    sample has too few rows on a side gives rows of NULLs.  `masspoints` "adjust" lets bandwidths heed repeated values of x.
     """
     if q < p + 1:
         raise ValueError("q must be at least p + 1")
@@ -51,7 +51,7 @@ def rd_robustness(df: DataFrame, x: str, specs: Sequence[AutoSpec], treat: str |
         place = {o: i for i, o in enumerate(cells.outcomes)}
         of = [Selection(place[s.outcome], float(s.c), s.fuzzy) for s in specs]
         selections = list(dict.fromkeys(of))
-        chosen = dict(zip(selections, select_bandwidths(cells, selections, p, q, kernel)))
+        chosen = dict(zip(selections, select_bandwidths(cells, selections, p, q, kernel, masspoints=masspoints)))
         filled, totals = [], []
         for s, selection in zip(specs, of):
             got = chosen[selection]

@@ -411,6 +411,12 @@ def q_rd_sharp_auto(spark, d):
     return rounded(rd_robustness(roles.rd_fixture(spark, d), "x", EST.SHARP_AUTO_SPECS), EST.AUTO_DIGITS)
 
 
+def q_rd_mass_points(spark, d):
+    """Selected bandwidths on a running variable of few distinct values."""
+    fx = roles.rd_fixture(spark, d).withColumn("x", F.floor(F.col("x") * 2) / 2)
+    return rounded(rd_robustness(fx, "x", EST.MASS_SPECS, treat="t", masspoints="adjust"), EST.AUTO_DIGITS)
+
+
 def q_rd_robustness_grid(spark, d):
     """The robustness study with group controls: rules, multiples of the selected bandwidths, placebo cutoffs, a covariate."""
     return rounded(rd_robustness(roles.rd_fixture(spark, d), "x", EST.ROBUST_SPECS, treat="t", group="grp"), EST.AUTO_DIGITS)

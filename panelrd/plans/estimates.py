@@ -22,6 +22,7 @@ ROBUST_SPECS = [
     AutoSpec("balance_e", "e", fuzzy=False), AutoSpec("balance_e_cer", "e", fuzzy=False, bwselect="certwo"),
 ]
 SHARP_AUTO_SPECS = [AutoSpec("sharp_y", "y", fuzzy=False), AutoSpec("balance_e", "e", fuzzy=False)]
+MASS_SPECS = [AutoSpec("mass_y", "y"), AutoSpec("mass_cer", "y", bwselect="certwo"), AutoSpec("mass_sharp", "y", fuzzy=False)]
 MAIN_SPECS = [AutoSpec("fuzzy_auto", "y")]
 STUDY_SPECS = [AutoSpec("persistence_2y", "persist_1")]
 #: Places that estimates with selected bandwidths are compared on: these go through chains of solved systems.

@@ -360,6 +360,7 @@ b0 AS MATERIALIZED (SELECT * FROM (
 SQL["rd_bandwidth"] = _auto.bandwidth_sql(_ROWS.format(more=""), [(0, 0.0, True)], ["msetwo", "certwo"], _EST.AUTO_DIGITS)
 SQL["rd_fuzzy_auto"] = _auto.estimates_sql(_ROWS.format(more=""), ["y"], _EST.MAIN_SPECS, _EST.AUTO_DIGITS)
 SQL["rd_sharp_auto"] = _auto.estimates_sql(_ROWS.format(more=" UNION ALL SELECT 1, x, e, t, '' FROM rd"), ["y", "e"], _EST.SHARP_AUTO_SPECS, _EST.AUTO_DIGITS)
+SQL["rd_mass_points"] = _auto.estimates_sql(RD + ", b0 AS MATERIALIZED (SELECT 0 AS o, floor(x * 2) / 2 AS x, y, t, '' AS g FROM rd)", ["y"], _EST.MASS_SPECS, _EST.AUTO_DIGITS, mass=True)
 SQL["rd_fuzzy_groups"] = _auto.estimates_sql(_GROUPED.format(more=""), ["y"], [s.filled() for s in _EST.FUZZY_SPECS], 6, fixed=True)
 SQL["rd_robustness_grid"] = _auto.estimates_sql(_GROUPED.format(more=" UNION ALL SELECT 1, x, e, t, grp FROM rd"), ["y", "e"], _EST.ROBUST_SPECS, _EST.AUTO_DIGITS)
 _BUNCHED = "(SELECT * FROM rd WHERE NOT (x >= -3 AND x < 0 AND grp IN ('1-URGENT', '2-HIGH')))"

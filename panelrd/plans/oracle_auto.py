@@ -87,12 +87,17 @@ def _variance(p: str, at: str) -> str:
   JOIN {p}b c ON c.fit = w.fit AND c.i = {at} AND c.col >= {IDENTITY} JOIN {p}mt m ON m.fit = w.fit AND m.m = (a.col - {IDENTITY}) + (c.col - {IDENTITY}) GROUP BY w.fit)"""
 
 
-def _selection() -> str:
+def _selection(mass: bool = False) -> str:
     """CTEs from `sel` (sel, o, c, fz) and `b0` to `bw` (sel, side, h, b, pilot, range, n)."""
     out = ["""smp AS MATERIALIZED (SELECT s.sel, count(*) AS n, stddev_samp(b.x) AS sd, quantile_cont(b.x, 0.25) AS q1, quantile_cont(b.x, 0.75) AS q3,
     abs(min(b.x) - any_value(s.c)) AS rl, abs(max(b.x) - any_value(s.c)) AS rr FROM sel s JOIN b0 b ON b.o = s.o GROUP BY s.sel),
-pil AS MATERIALIZED (SELECT s.sel, s.c, s.fz, side, least(2.576 * CASE WHEN q3 > q1 THEN least(sd, (q3 - q1) / 1.349) ELSE sd END * pow(n, -0.2), greatest(rl, rr)) AS pilot,
-    CASE WHEN side = 1 THEN rr ELSE rl END AS rng, n FROM sel s JOIN smp USING (sel), range(0, 2) r(side))""",
+mass AS MATERIALIZED (SELECT sel, max(share) AS share, sum(m) AS m, max(CASE WHEN side = 0 THEN fl END) AS fl, max(CASE WHEN side = 1 THEN fl END) AS fr
+    FROM (SELECT sel, side, 1 - count(*) / CAST(sum(d) AS DOUBLE) AS share, count(*) AS m, max(CASE WHEN r <= 10 THEN g END) AS fl
+      FROM (SELECT s.sel, CASE WHEN b.x >= s.c THEN 1 ELSE 0 END AS side, abs(b.x - any_value(s.c)) AS g, count(*) AS d, row_number() OVER (PARTITION BY s.sel, b.x >= any_value(s.c) ORDER BY abs(b.x - any_value(s.c))) AS r
+        FROM sel s JOIN b0 b ON b.o = s.o GROUP BY s.sel, CASE WHEN b.x >= s.c THEN 1 ELSE 0 END, b.x) GROUP BY sel, side) GROUP BY sel),
+pil AS MATERIALIZED (SELECT s.sel, s.c, s.fz, side, greatest(least(2.576 * CASE WHEN q3 > q1 THEN least(sd, (q3 - q1) / 1.349) ELSE sd END * pow(CASE WHEN {massed} THEN m ELSE n END, -0.2), greatest(rl, rr)),
+      CASE WHEN {massed} THEN greatest(fl, fr) ELSE 0 END) AS pilot, CASE WHEN {massed} THEN CASE WHEN side = 1 THEN fr ELSE fl END ELSE 0 END AS floor_,
+    CASE WHEN side = 1 THEN rr ELSE rl END AS rng, n FROM sel s JOIN smp USING (sel) JOIN mass USING (sel), range(0, 2) r(side))""".replace("{massed}", "share >= 0.2" if mass else "false"),
            "vv_w AS MATERIALIZED (SELECT sel * 100 + side * 10 + o AS fit, sel, side, c, pilot AS h, pilot AS scale, o, CASE o WHEN 3 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS nu, fz FROM pil, range(1, 4) r(o))",
            _fits("vv_", "vv_w"), _gammas("vv_", "vv_w", "fit"),
            """vv_tt AS (SELECT w.fit, w.fz, CASE w.nu WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END * y.v / pow(w.h, w.nu) AS ty, CASE w.nu WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END * t.v / pow(w.h, w.nu) AS tt
@@ -106,7 +111,7 @@ vv_all AS MATERIALIZED (SELECT w.*, s.sy, s.st, c.bc, (2 * nu + 1) * pow(h, 2 *
     width, prev = "rng + 1e-8", None
     for p, o, order, regularised in (("dd_", 3, 4, False), ("bb_", 2, 3, True), ("hh_", 1, 2, True)):
         h = "p.rng + 1e-8" if prev is None else f"(SELECT q.bw FROM {prev}x q WHERE q.sel = p.sel AND q.side = p.side)"
-        out.append(f"""{p}w AS MATERIALIZED (SELECT sel * 10 + side AS fit, sel, side, c, w.h, w.h AS scale, {order} AS o, base, rng FROM (SELECT p.*, {h} AS h, p.sel * 100 + p.side * 10 + {o} AS base FROM pil p) w)""")
+        out.append(f"""{p}w AS MATERIALIZED (SELECT sel * 10 + side AS fit, sel, side, c, w.h, w.h AS scale, {order} AS o, base, rng, floor_ FROM (SELECT p.*, {h} AS h, p.sel * 100 + p.side * 10 + {o} AS base FROM pil p) w)""")
         out.append(_fits(p, f"{p}w"))
         out.append(f"""{p}co AS MATERIALIZED (SELECT w.fit, sum(CASE WHEN b.col = 0 THEN v.sy * b.v WHEN b.col = 1 THEN v.st * b.v ELSE -(v.sy * g.gy + v.st * g.gt) * b.v END) / pow(any_value(w.h), {o + 1}) AS v
   FROM {p}w w JOIN {p}b b ON b.fit = w.fit AND b.i = {o + 1} AND b.col < {IDENTITY} JOIN vv_all v ON v.fit = w.base LEFT JOIN vv_gam g ON g.fit = w.base AND g.col = b.col GROUP BY w.fit)""")
@@ -118,7 +123,7 @@ vv_all AS MATERIALIZED (SELECT w.*, s.sy, s.st, c.bc, (2 * nu + 1) * pow(h, 2 *
             reg = f"2 * ({o + 1} - v.nu) * 3 * v.bc * v.bc * (SELECT q.v FROM {p}vv q WHERE q.fit = w.fit) / pow(w.h, {2 * (o + 1)})"
         else:
             reg = "0"
-        out.append(f"""{p}x AS MATERIALIZED (SELECT w.sel, w.side, least(pow(v.V / (2 * ({o + 1} - v.nu) * v.bc * v.bc * c.v * c.v + {reg}), 1.0 / {2 * o + 3}), w.rng) AS bw
+        out.append(f"""{p}x AS MATERIALIZED (SELECT w.sel, w.side, greatest(least(pow(v.V / (2 * ({o + 1} - v.nu) * v.bc * v.bc * c.v * c.v + {reg}), 1.0 / {2 * o + 3}), w.rng), w.floor_) AS bw
   FROM {p}w w JOIN vv_all v ON v.fit = w.base JOIN {p}co c ON c.fit = w.fit)""")
         prev = p
     out.append("bw AS MATERIALIZED (SELECT p.sel, p.side, h.bw AS h, b.bw AS b, p.pilot, p.n FROM pil p JOIN hh_x h USING (sel, side) JOIN bb_x b USING (sel, side))")
@@ -143,7 +148,7 @@ SELECT rule, {r('f * hl')} AS h_left, {r('f * hr')} AS h_right, {r('bl')} AS b_l
 FROM ({rule}) JOIN cnt USING (sel)"""
 
 
-def estimates_sql(base: str, outcomes: Sequence[str], specs: Sequence, digits: int, fixed: bool = False) -> str:
+def estimates_sql(base: str, outcomes: Sequence[str], specs: Sequence, digits: int, fixed: bool = False, mass: bool = False) -> str:
     """Rows of RESULT_SCHEMA for AutoSpecs, or for RDSpecs with `fixed`."""
     of = [(outcomes.index(s.outcome), float(s.c), bool(s.fuzzy)) for s in specs]
     selections = list(dict.fromkeys(of))
@@ -151,7 +156,7 @@ def estimates_sql(base: str, outcomes: Sequence[str], specs: Sequence, digits: i
         values = ", ".join(f"({i}, '{s.name}', '{s.outcome}', {selections.index(o)}, {_dbl(s.h_left)}, {_dbl(s.h_right)}, {_dbl(s.b_left)}, {_dbl(s.b_right)})" for i, (s, o) in enumerate(zip(specs, of)))
         chosen, given = "", f"spec(spec, name, outcome, sel, hl, hr, bl, br) AS (VALUES {values})"
     else:
-        chosen = _selection() + ",\n"
+        chosen = _selection(mass) + ",\n"
         rows = []
         for i, (s, o) in enumerate(zip(specs, of)):
             rule = "pow(l.n, -1.0 / 20)" if s.bwselect == "certwo" else "1.0"

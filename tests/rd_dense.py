@@ -234,7 +234,7 @@ def _bw_side(x, D, c, o, nu, o_B, h_V, h_B, scale, s_fixed, kernel, vce, J, nz):
     return V, B, Rr
 
 
-def bw_dense(x, y, c=0.0, t=None, groups=None, p=1, q=2, kernel="triangular", vce="nn", J=3, scale=1.0, c_bw=None):
+def bw_dense(x, y, c=0.0, t=None, groups=None, p=1, q=2, kernel="triangular", vce="nn", J=3, scale=1.0, c_bw=None, floors=(0.0, 0.0)):
     """Dense per-side MSE bandwidths (h_l, h_r, b_l, b_r) by the staged plug-in."""
     cols = [y, t if t is not None else np.zeros_like(y)]
     nz = 0
@@ -256,10 +256,10 @@ def bw_dense(x, y, c=0.0, t=None, groups=None, p=1, q=2, kernel="triangular", vc
         xs, Ds = x[mask], D[mask]
         fz = None if t is None else True
         V, B, _ = _bw_side(xs, Ds, c, q + 1, q + 1, q + 2, c_bw, rng + 1e-8, 0.0, fz, kernel, vce, J, nz)
-        d = min((V / B ** 2) ** (1 / (2 * (q + 1) + 3)), rng)
+        d = max(min((V / B ** 2) ** (1 / (2 * (q + 1) + 3)), rng), floors[side])
         V, B, R = _bw_side(xs, Ds, c, q, p + 1, q + 1, c_bw, d, scale, fz, kernel, vce, J, nz)
-        b = min((V / (B ** 2 + scale * R)) ** (1 / (2 * q + 3)), rng)
+        b = max(min((V / (B ** 2 + scale * R)) ** (1 / (2 * q + 3)), rng), floors[side])
         V, B, R = _bw_side(xs, Ds, c, p, 0, q, c_bw, b, scale, fz, kernel, vce, J, nz)
-        h = min((V / (B ** 2 + scale * R)) ** (1 / (2 * p + 3)), rng)
+        h = max(min((V / (B ** 2 + scale * R)) ** (1 / (2 * p + 3)), rng), floors[side])
         out[side] = (h, b, c_bw)
     return out[0][0], out[1][0], out[0][1], out[1][1]

@@ -239,3 +239,22 @@ def test_rd_materialize_modes_agree(spark, fixture):
     got = {m: [(r["method"], r["estimate"], r["std_error"]) for r in rd_grid(df, "x", spec, treat="t", materialize_mode=m).collect()]
            for m in ("persist", "checkpoint", "none")}
     assert got["persist"] == got["checkpoint"] == got["none"]
+
+
+@pytest.mark.parametrize("step", [0.5, 4.0])
+def test_mass_points_match_dense_plugin(spark, fixture, step):
+    """Few distinct values: the pilot counts them, and windows hold ten of them at least."""
+    from rd_dense import bw_dense
+
+    df, pdf = fixture
+    r = rd_bandwidth(df.withColumn("x", F.floor(F.col("x") / step) * step), "x", "y", treat="t", masspoints="adjust", as_dict=True)
+    x = np.floor(pdf.x.values / step) * step
+    values = np.unique(x)
+    spread = min(np.std(x, ddof=1), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.349)
+    floors = [np.sort(np.abs(v))[:10].max() for v in (values[values < 0], values[values >= 0])]
+    pilot = max(min(2.576 * spread * len(values) ** -0.2, max(abs(x.min()), x.max())), *floors)
+    assert r["pilot"] == pytest.approx(pilot, rel=1e-12)
+    ref = bw_dense(x, pdf.y.values, 0.0, t=pdf.t.values, c_bw=pilot, floors=floors)
+    np.testing.assert_allclose([r["h_left"], r["h_right"], r["b_left"], r["b_right"]], ref, rtol=1e-7)
+    plain = rd_bandwidth(df, "x", "y", treat="t", masspoints="adjust", as_dict=True)
+    assert plain == pytest.approx(rd_bandwidth(df, "x", "y", treat="t", as_dict=True))
