@@ -5,7 +5,7 @@ from a bin drawn by a hash until that is not empty; each band of bins is a bucke
 the edges from its hub to its other members; the hub is the member whose buckets are largest in sum, which in a group of copies
 is the text nearest to all of them.  Edges are confirmed on the full sets.  While a bucket holds members of several
 components, the most central member of a component that had no hub yet becomes the next hub, until a round over all
-buckets finds no new link.  Links that no hub has seen are then found exactly: the classes of buckets that still hold several
+buckets finds no new link, or for ROUNDS rounds.  Links that no hub has seen are then found exactly: the classes of buckets that still hold several
 components are joined across components on the rarest shingles of each, of which two near classes must share one.
 """
 
@@ -23,6 +23,8 @@ from panelrd.llm.components import components
 SHINGLE, SIMILARITY = 5, 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: Rounds of further hubs; the exact join finds what they leave.
+ROUNDS = 8
 _PROBES = np.random.default_rng(77).integers(0, BINS, (2048, BINS))
 _ODD = np.random.default_rng(78).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -125,7 +127,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.size("a") + F.size("b") - shared)).select(F.col("hub").alias("u"), F.col("class").alias("v"))
 
 
-def apart_pairs(apart: DataFrame, sets: DataFrame, similarity: int, rows: int) -> DataFrame:
+def apart_pairs(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(hub, class): every pair of classes in `apart` (class, component), of different components, that can be near.
 
     Prefix filter: with shingles in one order for all, rare ones first, the first n - ceil(n * similarity / 100) + 1 shingles of
@@ -139,7 +141,7 @@ def apart_pairs(apart: DataFrame, sets: DataFrame, similarity: int, rows: int) -
     length = F.expr(f"n - (n * {similarity} + 99) div 100 + 1 - (n - size(s))")
     first = listed.filter(length > 0).select("class", "component", "n", F.expr("n - size(s)").alias("before"), F.slice("s", 1, length.cast("int")).alias("s"))
     first = first.select("class", "component", "n", "before", F.posexplode("s").alias("at", "s")).select("class", "component", "n", F.expr("before + at").alias("at"), F.col("s.item").alias("item"))
-    first = written(first.join(common.filter("lo < hi").select("item"), "item"), "minhash-prefixes", rows)
+    first = written(first.join(common.filter("lo < hi").select("item"), "item"), "minhash-prefixes")
     other = first.select("item", *(F.col(c).alias(f"hub_{c}") for c in ("class", "component", "n", "at")))
     enough = F.expr(f"(100 + {similarity}) * least(n - at, hub_n - hub_at) >= {similarity} * (n + hub_n)")
     pairs = first.join(other, "item").filter((F.col("component") < F.col("hub_component")) & enough)
@@ -164,7 +166,7 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     hubs = written(members.groupBy("bucket").agg(hub_of), "minhash-hubs", size)
     edges = members.join(hubs, "bucket").withColumn("hub", F.col("h.class")).withColumn("hub_n", F.col("h.n"))
     tested = written(edges.filter((F.col("class") != F.col("hub")) & could).select("hub", "class").distinct(), "minhash-edges0", size)
-    links = written(confirmed(tested, sets, similarity), "minhash-links0", size)
+    links = written(confirmed(tested, sets, similarity), "minhash-links0")
     had = hubs.select("bucket", F.col("h.class").alias("hub"))
     step = 0
     while True:
@@ -180,9 +182,9 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         pair = [F.greatest("hub", "class").alias("x"), F.least("hub", "class").alias("y")]
         fresh = edges.select("hub", "class", *pair).dropDuplicates(["x", "y"]).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
         fresh = written(fresh, f"minhash-edges{step}", size)
-        if fresh.isEmpty():
+        if step > ROUNDS or fresh.isEmpty():
             break
-        new = written(confirmed(fresh, sets, similarity), f"minhash-links{step}", size)
+        new = written(confirmed(fresh, sets, similarity), f"minhash-links{step}")
         if new.isEmpty():
             break
         had = had.unionByName(hubs.select("bucket", F.col("h.class").alias("hub")))
@@ -192,7 +194,7 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     apart = written(now.join(mixed, "bucket").select("class", "component").distinct(), "minhash-apart", size)
     if not apart.isEmpty():
         pair = [F.greatest("hub", "class").alias("x"), F.least("hub", "class").alias("y")]
-        rest = apart_pairs(apart, sets, similarity, size).select("hub", "class", *pair).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
+        rest = apart_pairs(apart, sets, similarity).select("hub", "class", *pair).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
         new = written(confirmed(written(rest, "minhash-rest"), sets, similarity), "minhash-rest-links")
         if not new.isEmpty():
             reached = written(components(links.unionByName(new), "minhash-last", size), "minhash-reached-last", size)
