@@ -24,6 +24,9 @@ LETTERS, LEAST_LETTERS, LEAST_COUNT = "A-Za-zÀ-ÿ", 6, 5
 SHORTEST, LONGEST, FREQUENT = 2, 6, 256
 #: A form is so many times as frequent as its variants; one occurrence in so many loses a letter.
 TIMES, LOSS = 5, 199
+#: All tables here grow with the words.  Spark takes a written table for as large as its compressed files, and may send one to
+#: every executor by way of the driver that is ten times that: they are joined by shuffles instead.
+SHUFFLED = "merge"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,12 +54,12 @@ def gram_index(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     windows = written(place.groupBy("window").agg(F.count("*").alias("c")), "spelling-windows")
     prefix = windows.select("window", "c", F.explode(F.sequence(F.lit(shortest), F.lit(longest - 1))).alias("q")).withColumn("prefix", F.substr("window", F.lit(1), F.col("q")))
     inner = written(prefix.groupBy("prefix").agg(F.sum("c").alias("places")).filter(F.col("places") > frequent).select("prefix"), "spelling-inner")
-    deepest = prefix.join(inner, "prefix", "left_semi").groupBy("window").agg(F.max("q").alias("q"))
-    leaf = windows.join(deepest, "window", "left").select("window", "c", F.substr("window", F.lit(1), F.coalesce(F.col("q") + 1, F.lit(shortest))).alias("gram"))
+    deepest = prefix.join(inner.hint(SHUFFLED), "prefix", "left_semi").groupBy("window").agg(F.max("q").alias("q"))
+    leaf = windows.join(deepest.hint(SHUFFLED), "window", "left").select("window", "c", F.substr("window", F.lit(1), F.coalesce(F.col("q") + 1, F.lit(shortest))).alias("gram"))
     leaf = written(leaf, "spelling-leaves")
     lists = leaf.groupBy("gram").agg(F.sum("c").alias("f"))
-    known = leaf.select("window", "gram").join(lists, "gram")
-    grams = place.join(known, "window").groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "f", "gram"))).alias("at"))
+    known = leaf.select("window", "gram").join(lists.hint(SHUFFLED), "gram")
+    grams = place.join(known.hint(SHUFFLED), "window").groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "f", "gram"))).alias("at"))
 
     def over(state: Column, g: Column) -> Column:
         """The most grams over a letter so far, and the last places of the grams that are not over at this one."""
@@ -78,7 +81,7 @@ def near_words(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGES
     ways = F.array(*(F.struct((F.col("p") + dp).alias("p"), (F.col("size") + ds).alias("size")) for dp, ds in ((0, 0), (0, 1), (1, 1))))
     a = merged.select("gram", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.explode(ways).alias("at")).select("gram", "a", "n_a", "size_a", "at.p", "at.size")
     b = merged.select("gram", "p", "size", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["gram", "p", "size"]).filter(((F.col("size") > F.col("size_a")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    pairs = a.join(b.hint(SHUFFLED), ["gram", "p", "size"]).filter(((F.col("size") > F.col("size_a")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     return pairs.select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -92,7 +95,7 @@ def roots(forms: DataFrame, largest: int) -> DataFrame:
     steps = max(1, math.ceil(math.log(max(largest, 1)) / math.log(TIMES)) + 1)
     for _ in range(math.ceil(math.log2(steps))):
         onward = found.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        found = written(found.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
+        found = written(found.join(onward.hint(SHUFFLED), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
     return found
 
 
@@ -107,13 +110,13 @@ def group_variants(docs: DataFrame, shortest: int = SHORTEST, longest: int = LON
     sides = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("near_n")))
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     is_form = -F.col("best.less") >= TIMES * F.col("n")
-    found = words.join(best, "word", "left").select(
+    found = words.join(best.hint(SHUFFLED), "word", "left").select(
         "word", F.when(is_form, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, -F.col("best.less")).alias("form_n")
     )
     found = written(found, "spelling-forms")
     largest = words.agg(F.max("n")).first()[0] or 0
     chains = roots(found.filter("form IS NOT NULL").select("word", "form"), largest)
-    return found.join(chains, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(chains.hint(SHUFFLED), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(docs: DataFrame) -> DataFrame:

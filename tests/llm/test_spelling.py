@@ -60,3 +60,18 @@ def test_odd_tables(spark, frame):
     got = spelling.group_variants(frame(rows)).collect()
     assert {tuple(r) for r in got} == plain(rows)
     assert spelling.group_variants(frame(rows).limit(0)).count() == 0
+
+
+def test_no_table_is_sent_through_the_driver(frame, monkeypatch):
+    plans = []
+    keep = spelling.written
+
+    def seen(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *a)
+
+    monkeypatch.setattr(spelling, "written", seen)
+    last = spelling.group_variants(frame(texts(1, "ab")))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert last.count() and sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not [p for p in plans if "Broadcast" in p]
