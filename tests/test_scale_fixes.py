@@ -187,3 +187,27 @@ def test_many_levels_take_the_path_of_few(spark, monkeypatch):
     many = by_method(rd_grid(df, "x", SPEC, group="grp")), rd_bandwidth(df, "x", "y", group="grp", as_dict=True)
     assert all(many[0][k] == pytest.approx(few[0][k], rel=1e-9) for k in few[0])
     assert all(many[1][k] == pytest.approx(few[1][k], rel=1e-7) for k in ("h_left", "h_right", "b_left", "b_right"))
+
+
+def test_same_period_joins_on_years_taken_before(spark, tmp_path):
+    import re
+
+    import duckdb
+
+    from panelrd.plans import catalog
+    from panelrd.plans.oracle import SQL
+
+    days = ["1996-12-31 23:59:59", "1997-01-01 00:00:00", "0800-05-05 00:00:00", None]
+    li = [(k, n, days[(k + n) % 4]) for k in range(8) for n in range(4)] + [(None, 9, days[0]), (99, 1, days[0]), (1, 1, days[2])]
+    o = [(k, days[k % 4]) for k in range(8)] + [(1, days[0]), (1, days[1]), (None, days[0])]  # one key repeats, one is null
+    spark.createDataFrame(li, "l_orderkey long, l_linenumber int, t string").selectExpr("l_orderkey", "l_linenumber", "cast(t as timestamp_ntz) l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(o, "o_orderkey long, t string").selectExpr("o_orderkey", "cast(t as timestamp_ntz) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.q_same_period_filter(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"(?:Join|Sort|hashpartitioning|HashedRelation).*", plan)
+    assert keys and not [k for k in keys if "substring" in k or "year(" in k]
+    with duckdb.connect() as c:
+        for t in ("lineitem", "orders"):
+            c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        want = c.sql(SQL["same_period_filter"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 6
