@@ -5,7 +5,7 @@ from a bin drawn by a hash until that is not empty; each band of bins is a bucke
 the edges from its hub to its other members; the hub is the member whose buckets are largest in sum, which in a group of copies
 is the text nearest to all of them.  Edges are confirmed on the full sets.  While a bucket holds members of several
 components, the most central member of a component that had no hub yet becomes the next hub, until a round over all
-buckets finds no new link, or for ROUNDS rounds.  Links that no hub has seen are then found exactly: the classes of buckets that still hold several
+buckets finds no new link or few of its edges, or for ROUNDS rounds.  Links that no hub has seen are then found exactly: the classes of buckets that still hold several
 components are joined across components on the rarest shingles of each, of which two near classes must share one.
 """
 
@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Rounds of further hubs; the exact join finds what they leave.
 ROUNDS = 8
+#: A round that confirms fewer than one in so many of its edges is the last: each takes up to a row for every member of a bucket.
+WORTH = 100
 _PROBES = np.random.default_rng(77).integers(0, BINS, (2048, BINS))
 _ODD = np.random.default_rng(78).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -168,13 +170,15 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     tested = written(edges.filter((F.col("class") != F.col("hub")) & could).select("hub", "class").distinct(), "minhash-edges0", size)
     links = written(confirmed(tested, sets, similarity), "minhash-links0")
     had = hubs.select("bucket", F.col("h.class").alias("hub"))
-    step = 0
+    step, worth = 0, True
     while True:
         step += 1
         reached = written(components(links, f"minhash{step}", size), f"minhash-reached{step}", size)
         # members by component; components that had a hub in a bucket are done there
         now = members.join(reached.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         now = written(now, f"minhash-now{step}", size)
+        if step > ROUNDS or not worth:
+            break
         of_hub = now.join(had.withColumnRenamed("hub", "class"), ["bucket", "class"]).select("bucket", "component").distinct()
         hubs = now.join(of_hub, ["bucket", "component"], "left_anti").groupBy("bucket").agg(F.max(F.struct("weight", "class", "n", "component")).alias("h"))
         hubs = written(hubs, f"minhash-hubs{step}", size)
@@ -182,13 +186,15 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         pair = [F.greatest("hub", "class").alias("x"), F.least("hub", "class").alias("y")]
         fresh = edges.select("hub", "class", *pair).dropDuplicates(["x", "y"]).join(tested.select(*pair), ["x", "y"], "left_anti").select("hub", "class")
         fresh = written(fresh, f"minhash-edges{step}", size)
-        if step > ROUNDS or fresh.isEmpty():
+        if fresh.isEmpty():
             break
         new = written(confirmed(fresh, sets, similarity), f"minhash-links{step}")
-        if new.isEmpty():
+        tested = tested.unionByName(fresh)
+        found = new.count()
+        if not found:
             break
+        worth = found * WORTH >= fresh.count()
         had = had.unionByName(hubs.select("bucket", F.col("h.class").alias("hub")))
-        tested = tested.unionByName(fresh)
         links = links.unionByName(new)
     mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     apart = written(now.join(mixed, "bucket").select("class", "component").distinct(), "minhash-apart", size)

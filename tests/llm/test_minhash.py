@@ -83,3 +83,19 @@ def test_components_of_chains(spark, frame):
     links = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long"), "t").collect()}
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_rounds_end_when_they_confirm_few_of_their_edges(frame, monkeypatch):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, rows = words(60), []
+    for k in range(130):  # texts of much boilerplate in one bucket, each with one near text: a hub finds one link
+        own = words(50)
+        rows += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + own[:-1] + words(1)))]
+    hashed, confirm, calls = minhash.hashed_documents, minhash.confirmed, []
+    monkeypatch.setattr(minhash, "hashed_documents", lambda docs: hashed(docs).withColumn("buckets", F.expr("IF(n > 0, array(1L, 2L), NULL)")))
+    monkeypatch.setattr(minhash, "confirmed", lambda *a: calls.append(1) or confirm(*a))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(rows)).collect())
+    assert got == sorted(brute.near_duplicates(rows))
+    assert sum(i != c for i, _, c in got) == 130
+    assert len(calls) == 3  # the first hubs, one round, the exact join
