@@ -5,8 +5,8 @@ coordinate that makes them unit vectors, so that the largest inner product is th
 vector by fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and the nearest signed axis; for many
 vectors, several hashes are joined to a key, the last over fewer axes, so that buckets keep their size while the table
 grows.  Queries probe, in every table of every class, the keys whose axes are next nearest.  How many tables and probes that
-takes is measured: a bounded sample of queries is searched exactly, and the least of both that finds enough of its neighbours is
-taken.  A bucket's vectors and the queries that probe it meet in blocks of bounded size, where exact inner products are
+takes is measured: a bounded sample of queries is searched exactly, and of what finds enough of its neighbours, that is taken
+which makes the fewest rows of vectors and probes.  A bucket's vectors and the queries that probe it meet in blocks of bounded size, where exact inner products are
 taken; only each block's best go on.  Queries that found fewer rows than there are, or all where no choice finds enough,
 are searched against all rows, in blocks.
 """
@@ -174,8 +174,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
 
-def measured_choice(best: list, q_ids: np.ndarray, q: np.ndarray, classes: dict[int, LengthClass], tables: Sequence[int], probes: Sequence[int]) -> tuple[int, int, float]:
-    """(tables, probes, recall): the least work whose recall on the trial queries reaches AIM, or else the most work."""
+def measured_choice(best: list, q_ids: np.ndarray, q: np.ndarray, classes: dict[int, LengthClass], tables: Sequence[int], probes: Sequence[int], each: float = 0.0) -> tuple[int, int, float]:
+    """(tables, probes, recall): the least work whose recall on the trial queries reaches AIM, or else the most work.
+
+    Work is the rows that meet: in every table each query's probes, and the vectors, of which there are `each` for a query.
+    """
     if not best:
         return tables[0], probes[0], 1.0
     of = {int(x): i for i, x in enumerate(q_ids.tolist())}
@@ -194,7 +197,7 @@ def measured_choice(best: list, q_ids: np.ndarray, q: np.ndarray, classes: dict[
             rank[i] = np.where(hit.any(axis=1), hit.argmax(axis=1), np.inf)
     found = {(t, p): float((rank[:, :t].min(axis=1) < p).mean()) for t in tables for p in probes}
     enough = [x for x, recall in found.items() if recall >= AIM]
-    t, p = min(enough, key=lambda x: (x[0] * x[1], x[0])) if enough else (max(tables), max(probes))
+    t, p = min(enough, key=lambda x: (x[0] * (each + x[1]), x[0])) if enough else (max(tables), max(probes))
     return t, p, found[t, p]
 
 
@@ -256,7 +259,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str,
     classes = length_classes(base, dim, max(tables), bucket)
     trial = asked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRIALS).collect()
     q_ids, q = np.array([r["id"] for r in trial]), np.array([r["v"] for r in trial], dtype=np.float64)
-    use, ask, recall = measured_choice(_best_rows(base, q_ids, q, k), q_ids, q, classes, tables, probes)
+    use, ask, recall = measured_choice(_best_rows(base, q_ids, q, k), q_ids, q, classes, tables, probes, sizes["n"] / n_asked)
     ranked = lambda df: df.withColumn("rank", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
     if recall < LEAST:
         return ranked(_exact(base, sizes["n"], asked, n_asked, k))

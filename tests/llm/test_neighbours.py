@@ -100,3 +100,23 @@ def test_odd_rows(spark):
     got = neighbours.search(df, df.filter("vec_id % 10 = 0"), "vec_id", "embedding").collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.5), (0, 2, 10, 0.0), (10, 1, 1, 1.0), (10, 2, 0, 0.0)]
     assert neighbours.op9_nearest_neighbours(df.filter("vec_id > 99")).count() == 0
+
+
+def test_choice_counts_the_rows_of_vectors_in_every_table():
+    """Found by 4 tables and 16 probes, or by 8 and 4: another table costs a row for each vector, another probe one for each query."""
+
+    class Planned:
+        whole, index = False, property(lambda self: self)
+
+        def lifted(self, v, asks):
+            return v
+
+        def probes(self, v, n):
+            keys = np.full((len(v), 64, n), 0 if n == 1 else -1)
+            if n > 1:
+                keys[:, 0, 15] = keys[:, 4, 3] = 0
+            return keys
+
+    given = [{"query_id": 0, "c": 0, "v": [1.0]}], np.array([0]), np.array([[1.0]]), {0: Planned()}, neighbours.TABLES, neighbours.PROBES
+    assert neighbours.measured_choice(*given) == (8, 4, 1.0)
+    assert neighbours.measured_choice(*given, 20.0) == (4, 16, 1.0)
