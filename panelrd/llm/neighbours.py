@@ -7,13 +7,15 @@ vectors, several hashes are joined to a key, the last over fewer axes, so that b
 grows.  Queries probe, in every table of every class, the keys whose axes are next nearest.  How many tables and probes that
 takes is measured: a bounded sample of queries is searched exactly, and of what finds enough of its neighbours, that is taken
 which makes the fewest rows of vectors and probes.  A bucket's vectors and the queries that probe it meet in blocks of bounded size, where exact inner products are
-taken; only each block's best go on.  Queries that found fewer rows than there are, or all where no choice finds enough,
-are searched against all rows, in blocks.
+taken.  Probes are taken in rounds, each up to three times what went before: a query brings along the score of its k-th best row so
+far, and a block gives back only rows that reach it, so that a round makes few rows for a query however many buckets it probes.
+Queries that found fewer rows than there are, or all where no choice finds enough, are searched against all rows, in blocks and
+rounds of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,27 +29,31 @@ BUCKET, BLOCK = 256, 2048
 #: Largest length of a class over its smallest; tables and probes to choose from; queries searched exactly for that choice,
 #: part of their neighbours that it must find, and part under which the index is not used.
 LENGTHS, TABLES, PROBES = 1.25, (4, 8, 16, 32, 64), (4, 8, 12, 16, 24, 32, 64, 128)
-TRIALS, AIM, LEAST = 64, 0.96, 0.92
+TRIALS, AIM, LEAST = 64, 0.97, 0.92
+#: Buckets or blocks that a query meets in its first round, and how many times as many it has met after each further one.
+STEP = 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; their number of columns is a power of two."""
-    n, step = x.shape[1], 1
+    (rows, n), step = x.shape, 1
+    x = np.ascontiguousarray(x.T)  # sums run over whole rows of numbers, however small the step
     while step < n:
-        y = x.reshape(len(x), -1, 2, step)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+        y = x.reshape(-1, 2, step, rows)
+        x = np.stack([y[:, 0] + y[:, 1], y[:, 0] - y[:, 1]], axis=1).reshape(n, rows)
         step *= 2
-    return x / np.sqrt(n)
+    return np.ascontiguousarray(x.T) / np.sqrt(n)
 
 
 @dataclass
 class CrossPolytope:
-    """Hash tables over unit vectors of `dim` coordinates; `axes` has the axes used by each hash of a key."""
+    """Hash tables `first` to `tables` - 1 over unit vectors of `dim` coordinates; `axes` has the axes used by each hash of a key."""
 
     dim: int
     axes: tuple[int, ...]
     tables: int
     seed: int = 5
+    first: int = 0
 
     @classmethod
     def sized(cls, dim: int, rows: int, tables: int, bucket: int) -> CrossPolytope:
@@ -62,7 +68,7 @@ class CrossPolytope:
         wide = 1 << (self.dim - 1).bit_length()
         x = np.zeros((len(v), wide))
         x[:, : self.dim] = v
-        for t in range(self.tables):
+        for t in range(self.first, self.tables):
             for k in range(len(self.axes)):
                 signs = np.random.default_rng([self.seed, t, k]).choice([-1.0, 1.0], (3, wide))
                 y = x
@@ -72,12 +78,12 @@ class CrossPolytope:
 
     def probes(self, v: np.ndarray, probes: int) -> np.ndarray:
         """Keys, rows x tables x probes: the nearest first; -1 where there are fewer."""
-        out = np.full((len(v), self.tables, probes), -1, dtype=np.int64)
+        out = np.full((len(v), self.tables - self.first, probes), -1, dtype=np.int64)
         keys = loss = None
         for t, k, y in self.rotated(v):
             signed = np.concatenate([y, -y], axis=1)
             m = min(probes, signed.shape[1])
-            best = np.argsort(-signed, axis=1, kind="stable")[:, :m]
+            best = signed.argmax(axis=1)[:, None] if m == 1 else np.argsort(-signed, axis=1, kind="stable")[:, :m]
             value = np.take_along_axis(signed, best, axis=1)
             gap = (value[:, :1] - value) ** 2
             if k == 0:
@@ -89,7 +95,7 @@ class CrossPolytope:
                 first = np.argsort(loss, axis=1, kind="stable")[:, :probes]
                 keys, loss = np.take_along_axis(keys, first, axis=1), np.take_along_axis(loss, first, axis=1)
             if k == len(self.axes) - 1:
-                out[:, t, : keys.shape[1]] = keys * self.tables + t
+                out[:, t - self.first, : keys.shape[1]] = keys * self.tables + t
         return out
 
 
@@ -106,18 +112,31 @@ def _matrix(batch, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k best of a block by exact inner product, ties to smaller ids; a query's own id is left out."""
+def _lengths(v: np.ndarray) -> np.ndarray:
+    most = np.abs(v).max(axis=1, initial=0.0)
+    most[most == 0] = 1
+    return most * np.sqrt(((v / most[:, None]) ** 2).sum(axis=1))
+
+
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the k best of a block by exact inner product, ties to smaller ids; a query's own id is left out.
+
+    With `least`, only rows that reach a query's value in it.
+    """
     rough = q @ v.T
+    with np.errstate(over="ignore"):  # how far a product may be from the one summed row by row
+        slack = 1e-14 * q.shape[1] * _lengths(q) * _lengths(v).max(initial=0.0)
+    least = np.full(len(q_ids), -np.inf) if least is None else least
+    floor = np.full(len(q_ids), -np.inf)
+    np.subtract(least, slack, out=floor, where=np.isfinite(slack))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(q_ids)):
-        r = np.where(ids == q_ids[i], -np.inf, rough[i])
-        n = int((r > -np.inf).sum())
-        if not n:
-            continue
-        least = np.partition(r, len(r) - min(k, n))[len(r) - min(k, n)]
-        near = np.flatnonzero(r >= least - 1e-9 * (1 + abs(least)))
+    for i in np.flatnonzero(np.fmax.reduce(rough, axis=1, initial=-np.inf) >= floor):
+        r = rough[i]
+        near = np.flatnonzero((r >= floor[i]) & (r > -np.inf) & (ids != q_ids[i]))
+        if len(near) > k:
+            near = near[r[near] >= np.partition(r[near], len(near) - k)[len(near) - k] - slack[i]]
         exact = (v[near] * q[i]).sum(axis=1)  # summed row by row, so a pair's value does not depend on its block
+        near, exact = near[exact >= least[i]], exact[exact >= least[i]]
         first = np.lexsort((ids[near], -exact))[:k]
         out.append((np.full(len(first), q_ids[i]), ids[near][first], exact[first]))
     if not out:
@@ -138,9 +157,7 @@ class LengthClass:
         return self.index.axes == (1,)
 
     def lifted(self, v: np.ndarray, asks: bool) -> np.ndarray:
-        lengths = np.abs(v).max(axis=1, keepdims=True)
-        lengths = lengths * np.sqrt(((v / lengths) ** 2).sum(axis=1, keepdims=True))
-        scaled = v / (lengths if asks else self.longest)
+        scaled = v / (_lengths(v)[:, None] if asks else self.longest)
         lift = np.zeros((len(v), 1)) if asks else np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1, keepdims=True)))
         return np.concatenate([scaled, lift], axis=1)
 
@@ -202,32 +219,68 @@ def measured_choice(best: list, q_ids: np.ndarray, q: np.ndarray, classes: dict[
 
 
 def _blockwise(left: DataFrame, right: DataFrame, on: Sequence[str], k: int) -> DataFrame:
-    """(query_id, vec_id, score): for each block of `on`, the k best of its rows `left` (id, v) for each of its queries `right`."""
+    """(query_id, vec_id, score): for each block of `on`, the k best of its rows `left` (id, v) for each of its queries `right` (id, v, least) that reach its `least`."""
 
     def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
         if not v.num_rows or not q.num_rows:
             a = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            a = best_of_block(q["id"].to_numpy(), _matrix(q, "v"), v["id"].to_numpy(), _matrix(v, "v"), k)
+            a = best_of_block(q["id"].to_numpy(), _matrix(q, "v"), v["id"].to_numpy(), _matrix(v, "v"), k, q["least"].to_numpy())
         return pa.table({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.float64())})
 
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rerank, "query_id long, vec_id long, score double")
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+
+
+def _in_rounds(asked: DataFrame, rounds: Sequence, search_round: Callable[[DataFrame, tuple], DataFrame], k: int) -> DataFrame:
+    """The k best rows for each query of all rounds; each is given the queries with the score of their k-th best row so far (least)."""
+    found = None
+    for part in rounds:
+        if found is None:
+            new = search_round(asked.withColumn("least", F.lit(float("-inf"))), part)
+        else:
+            reached = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+            new = search_round(asked.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), part)
+            new = found.drop("rank").unionByName(new)
+        found = written(_ranked(new, k), "ann-found")
+    return found
+
+
+def _ranges(first: int, n: int) -> list[tuple[int, int]]:
+    """0 to n - 1 in ranges [i, j): the first of `first`, then each up to STEP times the end of the one before."""
+    ends = [0, min(first, n)]
+    while ends[-1] < n:
+        ends.append(min(STEP * ends[-1], n))
+    return list(zip(ends, ends[1:]))
+
+
+def probe_rounds(tables: int, probes: int) -> list[tuple[int, int, int, int]]:
+    """(table from, to, probe from, to) of each round: the first table's probes in ranges, then ranges of tables, whose vectors are dealt once."""
+    return [(0, 1, *x) for x in _ranges(STEP, probes)] + [(*x, 0, probes) for x in _ranges(1, tables)[1:]]
+
+
 def _exact(base: DataFrame, n: int, asked: DataFrame, n_asked: int, k: int) -> DataFrame:
     """The k best of all rows for each query, in blocks of BLOCK rows by BLOCK queries."""
     v_blocks, q_blocks = -(-n // BLOCK), -(-n_asked // BLOCK)
     dealt = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    raw = lambda df: map_arrow(df.select("id", "v"), _packed, "id long, v binary")
-    left = raw(base).withColumn("v_block", dealt(v_blocks, 1)).withColumn("q_block", each(q_blocks))
-    right = raw(asked).withColumn("q_block", dealt(q_blocks, 2)).withColumn("v_block", each(v_blocks))
-    return _blockwise(left, right, ["v_block", "q_block"], k)
+    each = lambda start, end: F.explode(F.sequence(F.lit(start), F.lit(end - 1)))
+    rows = base.select("id", "v").withColumn("v_block", dealt(v_blocks, 1))
+
+    def blocks(asked: DataFrame, part: tuple[int, int]) -> DataFrame:
+        left = map_arrow(rows.filter(F.col("v_block").between(part[0], part[1] - 1)), _packed, "id long, v binary, v_block int").withColumn("q_block", each(0, q_blocks))
+        right = map_arrow(asked.select("id", "v", "least"), _packed, "id long, v binary, least double").withColumn("q_block", dealt(q_blocks, 2)).withColumn("v_block", each(*part))
+        return _blockwise(left, right, ["v_block", "q_block"], k)
+
+    return _in_rounds(asked, _ranges(STEP, v_blocks), blocks, k)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _vectors(batch.column(1))], pa.binary())], names=["id", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _vectors(batch.column(1))], pa.binary()), batch.column(2)], names=batch.schema.names)
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str, k: int = 20, tables: Sequence[int] = TABLES, probes: Sequence[int] = PROBES, bucket: int = BUCKET) -> DataFrame:
@@ -250,7 +303,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str,
     length = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("most"), 2)))
     one_dim = lambda df: df.filter(F.size("v") == dim).dropDuplicates(["id", "v"])
     base = one_dim(usable_rows).withColumn("most", most).withColumn("length", length).drop("most")
-    base = written(base.withColumn("c", F.floor(F.log("length") / F.lit(float(np.log(LENGTHS)))).cast("int")), "ann-base")
+    # a class has its middle at length 1, so that rounding does not deal unit vectors to two
+    base = written(base.withColumn("c", F.floor(F.log("length") / F.lit(float(np.log(LENGTHS))) + 0.5).cast("int")), "ann-base")
     asked = written(one_dim(usable(queries, id_column, column)), "ann-asked")
     sizes = base.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     n_asked = asked.count()
@@ -260,52 +314,59 @@ def search(vectors: DataFrame, queries: DataFrame, id_column: str, column: str,
     trial = asked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRIALS).collect()
     q_ids, q = np.array([r["id"] for r in trial]), np.array([r["v"] for r in trial], dtype=np.float64)
     use, ask, recall = measured_choice(_best_rows(base, q_ids, q, k), q_ids, q, classes, tables, probes, sizes["n"] / n_asked)
-    ranked = lambda df: df.withColumn("rank", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
     if recall < LEAST:
-        return ranked(_exact(base, sizes["n"], asked, n_asked, k))
-    indexes = {c: LengthClass(x.longest, x.index if x.whole else CrossPolytope(x.index.dim, x.index.axes, use)) for c, x in classes.items()}
+        return _exact(base, sizes["n"], asked, n_asked, k)
 
-    def keyed(ids: np.ndarray, raw: np.ndarray, v: np.ndarray, c: int, asks: bool) -> pa.RecordBatch:
-        kind = indexes[c]
-        keys = kind.index.probes(kind.lifted(v, asks), (2 if kind.whole else ask) if asks else 1).reshape(len(ids), -1)
+    def keyed(kind: LengthClass, c: int, ids: np.ndarray, raw: np.ndarray, v: np.ndarray, least: np.ndarray | None, probed: tuple[int, int]) -> pa.RecordBatch:
+        asks = least is not None
+        keys = kind.index.probes(kind.lifted(v, asks), 2 if asks and kind.whole else probed[1])[:, :, probed[0] :].reshape(len(ids), -1)
         row, col = np.nonzero(keys >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), c, np.int32)), pa.array(keys[row, col]), pa.array(ids[row]), pa.array(raw[row], pa.binary())], names=["c", "key", "id", "v"])
+        columns = {"c": pa.array(np.full(len(row), c, np.int32)), "key": pa.array(keys[row, col]), "id": pa.array(ids[row]), "v": pa.array(raw[row], pa.binary())}
+        return pa.RecordBatch.from_pydict(columns | ({"least": pa.array(least[row])} if asks else {}))
+
+    def hashed(part: tuple[int, int, int, int], asks: bool):
+        t, end, *probed = part
+        indexes = {c: x if x.whole else LengthClass(x.longest, CrossPolytope(x.index.dim, x.index.axes, end, first=t)) for c, x in classes.items() if not x.whole or (t, probed[0]) == (0, 0)}
 
-    def hashed(asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    ids, v = part.column(0).to_numpy(), _vectors(part.column(1))
+                    some = batch.slice(at, 512)
+                    ids, v = some.column(0).to_numpy(), _vectors(some.column(1))
                     raw = np.array([x.tobytes() for x in v], dtype=object)
-                    own = None if asks else part.column(2).to_numpy()
-                    for c in indexes:
-                        mine = np.arange(len(ids)) if asks else np.flatnonzero(own == c)
+                    last = some.column(2).to_numpy()
+                    lengths = _lengths(v)
+                    for c, kind in indexes.items():
+                        # no row of a class is nearer than both lengths allow
+                        mine = np.flatnonzero(last <= lengths * kind.longest * (1 + 1e-9) + 1e-100 if asks else last == c)
                         for i in range(0, len(mine), 64 if asks else 512):
-                            some = mine[i : i + (64 if asks else 512)]
-                            yield keyed(ids[some], raw[some], v[some], c, asks)
+                            x = mine[i : i + (64 if asks else 512)]
+                            yield keyed(kind, c, ids[x], raw[x], v[x], last[x] if asks else None, tuple(probed) if asks else (0, 1))
 
         return run
 
-    kind = "c int, key long, id long, v binary"
-    stored = map_arrow(base.select("id", "v", "c"), hashed(False), kind)
-    probing = map_arrow(asked.select("id", "v"), hashed(True), kind)
-    parts = lambda df, name: df.groupBy("c", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    # how many blocks a bucket has on either side; buckets that nobody probes are left out
-    blocks = written(parts(stored, "v_blocks").join(parts(probing, "q_blocks"), ["c", "key"]), "ann-blocks")
     hashed_to = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    on = ["c", "key", "v_block", "q_block"]
-    left = stored.join(blocks, ["c", "key"]).withColumn("v_block", hashed_to("v_blocks", 1)).withColumn("q_block", each("q_blocks")).select(*on, "id", "v")
-    right = probing.join(blocks, ["c", "key"]).withColumn("q_block", hashed_to("q_blocks", 2)).withColumn("v_block", each("v_blocks")).select(*on, "id", "v")
-    found = written(ranked(_blockwise(left, right, on, k)), "ann-found")
+    count = lambda df, name: df.groupBy("c", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    def buckets(asked: DataFrame, part: tuple[int, int, int, int]) -> DataFrame:
+        stored = map_arrow(base.select("id", "v", "c"), hashed(part, False), "c int, key long, id long, v binary")
+        probing = map_arrow(asked.select("id", "v", "least"), hashed(part, True), "c int, key long, id long, v binary, least double")
+        # how many blocks a bucket has on either side; buckets that nobody probes are left out
+        blocks = written(count(stored, "v_blocks").join(count(probing, "q_blocks"), ["c", "key"]), "ann-blocks")
+        on = ["c", "key", "v_block", "q_block"]
+        left = stored.join(blocks, ["c", "key"]).withColumn("v_block", hashed_to("v_blocks", 1)).withColumn("q_block", each("q_blocks")).select(*on, "id", "v")
+        right = probing.join(blocks, ["c", "key"]).withColumn("q_block", hashed_to("q_blocks", 2)).withColumn("v_block", each("v_blocks")).select(*on, "id", "v", "least")
+        return _blockwise(left, right, on, k)
+
+    found = _in_rounds(asked, probe_rounds(use, ask), buckets, k)
     # a query with fewer rows than there are candidates is searched against all rows
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, sizes["ids"] - 1)).select(F.col("query_id").alias("id"))
     short = written(asked.join(full, "id", "left_anti"), "ann-short")
     n_short = short.count()
     if not n_short:
         return found
-    again = ranked(_exact(base, sizes["n"], short, n_short, k))
+    again = _exact(base, sizes["n"], short, n_short, k)
     return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(again)
 
 

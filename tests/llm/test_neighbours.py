@@ -1,7 +1,7 @@
 import numpy as np
 
 from panelrd.llm import neighbours
-from panelrd.llm.common import table
+from panelrd.llm.common import table, written
 
 
 def exact(ids, v, q, k):
@@ -120,3 +120,66 @@ def test_choice_counts_the_rows_of_vectors_in_every_table():
     given = [{"query_id": 0, "c": 0, "v": [1.0]}], np.array([0]), np.array([[1.0]]), {0: Planned()}, neighbours.TABLES, neighbours.PROBES
     assert neighbours.measured_choice(*given) == (8, 4, 1.0)
     assert neighbours.measured_choice(*given, 20.0) == (4, 16, 1.0)
+
+
+def made_by_blocks(spark, monkeypatch, ids, v, **options):
+    """Rows that blocks give back for a query, and the search's rows."""
+    made, plain = [], neighbours._blockwise
+
+    def counted(*a):
+        out = written(plain(*a), "counted")
+        made.append(out.count())
+        return out
+
+    with monkeypatch.context() as patched:
+        patched.setattr(neighbours, "_blockwise", counted)
+        _, rows = search(spark, ids, v, **options)
+    return sum(made) / (ids % 10 == 0).sum(), {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in rows}
+
+
+def test_more_probes_make_few_more_rows(spark, monkeypatch):
+    """Each bucket gave its k best to each query that probes it: 8 * 32 of them here, 8 times as many as 4 * 8."""
+    monkeypatch.setattr(neighbours, "LEAST", 0.0)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(3000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(3000)
+    few, _ = made_by_blocks(spark, monkeypatch, ids, v, k=10, bucket=32, tables=(4,), probes=(8,))
+    many, found = made_by_blocks(spark, monkeypatch, ids, v, k=10, bucket=32, tables=(8,), probes=(32,))
+    assert many < 2.5 * few and many < 10 * 8 * 32 / 5
+    assert np.mean([found[q, r][0] in exact(ids, v, q, 10) for q, r in found]) >= 0.9
+
+
+def test_rounds_lose_no_row_that_their_buckets_hold(spark, monkeypatch):
+    """The result of probing everything at once, copies and ties included, whatever the rounds' bounds leave out."""
+    rng = np.random.default_rng(12)
+    v = np.round(rng.normal(size=(1200, 8)), 1) * 10.0 ** rng.integers(-2, 3, (1200, 1))
+    v[300:340] = v[300]
+    ids = np.arange(1200)
+    options = dict(k=5, bucket=16, tables=(6,), probes=(8,))
+    monkeypatch.setattr(neighbours, "LEAST", 0.0)
+    _, rows = search(spark, ids, v, **options)
+    monkeypatch.setattr(neighbours, "probe_rounds", lambda tables, probes: [(0, tables, 0, probes)])
+    _, whole = search(spark, ids, v, **options)
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, r.score)
+    assert sorted(map(key, rows)) == sorted(map(key, whole)) and len(rows) == 600
+
+
+def test_blocks_of_all_rows_make_few_rows(spark, monkeypatch):
+    """Searched against all rows: 47 blocks, of which each gave its k best to each query."""
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(13)
+    v, ids = rng.normal(size=(1500, 16)), np.arange(1500)
+    made, found = made_by_blocks(spark, monkeypatch, ids, v, k=10, bucket=4, tables=(1,), probes=(1,))
+    assert made < 10 * 47 / 3
+    assert all(found[q, r][0] == exact(ids, v, q, 10)[r - 1] for q, r in found)
+
+
+def test_unit_vectors_are_one_class(spark, monkeypatch):
+    """Lengths that rounding puts on either side of 1 fell into two classes, and every query probed both."""
+    seen, plain = [], neighbours.length_classes
+    monkeypatch.setattr(neighbours, "length_classes", lambda *a: seen.append(plain(*a)) or seen[-1])
+    v = np.random.default_rng(14).normal(size=(500, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    search(spark, np.arange(500), v.astype(float), bucket=16)
+    assert len(seen[0]) == 1
